@@ -102,11 +102,11 @@ def fit(x: np.ndarray, ratings: np.ndarray, steps: int = 150, rate: float = 0.1,
     return OrdinalModel(grades.astype(float), p[:d].astype(np.float32), np.cumsum(np.concatenate((p[d : d + 1], np.exp(p[d + 1 :])))))
 
 
-def rated_sample(docs: DataFrame, labels: DataFrame, rating: str, max_labels: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Id, rating and text of at most ``max_labels`` rated documents."""
+def rated_sample(docs: DataFrame, labels: DataFrame, rating: str, max_labels: int, doc_id: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Id, rating, text and ``extra`` columns of at most ``max_labels`` rated documents."""
     rated = labels.select(F.col(doc_id), F.col(rating).cast("double").alias("rating")).where(F.col(doc_id).isNotNull() & F.col("rating").isNotNull())
     chosen = rated.orderBy(F.xxhash64(F.col(doc_id), F.lit(17)), doc_id, "rating").limit(max_labels)
-    return docs.select(doc_id, text).join(F.broadcast(chosen), doc_id)  # max_labels rows at most
+    return docs.select(doc_id, text, *extra).join(F.broadcast(chosen), doc_id)  # max_labels rows at most
 
 
 def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", max_labels: int = MAX_LABELS, doc_id: str = "doc_id", text: str = "text") -> OrdinalModel:

@@ -20,7 +20,9 @@ PIECE_BYTES = 2 << 20
 _LONGEST = 64  # words with more bytes are hashed by xxhash, one by one
 _SEED = np.random.default_rng(20240229)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWER = np.cumprod(np.concatenate(([1], np.full(_LONGEST - 1, 0x9E3779B97F4A7C15, np.uint64))).astype(np.uint64))
+_POWER = np.full(_LONGEST, 0x9E3779B97F4A7C15, np.uint64)
+_POWER[0] = 1
+_POWER = np.cumprod(_POWER, dtype=np.uint64)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
