@@ -17,8 +17,9 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from llm.common import materialize
+
 SEED = 7
-SLICES = 4096
 MAX_PATTERNS = 100_000
 
 
@@ -112,16 +113,20 @@ def mix(
     """``docs`` (``size`` long, ``sources`` array of names, nulls allowed) with ``_copies``, the times that the mix
     takes each document; and the targets by source.
 
-    A pattern's whole repetitions take all its documents; of the rest, documents are taken in the
-    order of a seeded hash as long as their words fit.  The hash deals documents to ``SLICES`` slices; sums
-    by slice give the slice in which the words run out, and only in this slice are documents ranked.
+    A pattern's whole repetitions take all its documents; of the rest, the documents with a seeded hash up to the
+    pattern's limit are taken.  Sums by slice of the hash find the slice in which the words run out, and only the
+    documents of this slice are ranked.  The document whose size is next to what is then still missing is
+    taken, too, if that comes nearer.  So ``docs`` itself is neither shuffled nor sorted; it is read once more
+    with a few numbers for each pattern.
     """
-    df = docs.withColumn("_pattern", F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~"))))))
+    pattern = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~")))))
+    keyed = docs.withColumns({"_pattern": pattern, "_hash": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 1)})
+    slim = materialize(keyed.select("_pattern", "_hash", F.shiftright("_hash", 51).alias("_slice"), F.col(size).alias("_size")))
     name = lambda key: None if key == "~" else key[1:]
-    rows = df.groupBy("_pattern").agg(F.sum(size).alias("words")).limit(max_patterns + 1).collect()
+    rows = slim.groupBy("_pattern").agg(F.sum("_size").alias("words")).limit(max_patterns + 1).collect()
     if len(rows) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    supply = {tuple(r[0]): int(r[1] or 0) for r in rows}
+    supply = {tuple(r[0]): int(r[1] or 0) for r in rows if r[0] is not None}
     members = {p: [name(k) for k in p] for p in supply}
     sizes: dict = {}
     for p, words in supply.items():
@@ -133,17 +138,29 @@ def mix(
     plan = [(list(p), routed[p] // max(1, supply[p]), routed[p] % max(1, supply[p])) for p in supply]
     spark = docs.sparkSession
     plan_df = spark.createDataFrame(plan, "_pattern array<string>, _whole long, _rest long")
-    hashed = F.xxhash64(F.lit(seed), F.col(doc_id))
-    df = df.join(F.broadcast(plan_df), "_pattern", "left").withColumn("_hash", hashed).withColumn("_slice", F.pmod("_hash", F.lit(SLICES)))
-    # SLICES rows a pattern
-    sums = df.groupBy("_pattern", "_slice").agg(F.sum(size).alias("_words"))
+    # max_patterns rows at most in all that is broadcast; at most 4096 rows a pattern in the sums
+    sums = slim.groupBy("_pattern", "_slice").agg(F.sum("_size").alias("_words"))
     run = Window.partitionBy("_pattern").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_words").over(run), F.lit(0)))
-    cut = sums.join(F.broadcast(plan_df), "_pattern").where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest")))
+    cut = sums.join(F.broadcast(plan_df), "_pattern").where((F.col("_rest") > 0) & (F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest")))
     cut = cut.groupBy("_pattern").agg(F.min(F.struct("_slice", "_before")).alias("_cut"))
-    df = df.join(F.broadcast(cut), "_pattern", "left")
-    inside = Window.partitionBy("_pattern", "_slice", F.when(F.col("_slice") != F.col("_cut._slice"), F.xxhash64(doc_id))).orderBy("_hash", doc_id)
-    upto = F.col("_cut._before") + F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    extra = F.when(F.col("_rest") == 0, 0).when(F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut._slice")), 1)
-    extra = extra.when((F.col("_slice") == F.col("_cut._slice")) & (upto <= F.col("_rest")), 1).otherwise(0)
-    return df.withColumn("_copies", F.when(F.col(size) > 0, F.col("_whole") + extra).otherwise(0)).drop("_pattern", "_whole", "_rest", "_hash", "_slice", "_cut"), wanted
+    ranked = slim.join(F.broadcast(plan_df.join(cut, "_pattern")), "_pattern").where(F.col("_slice") == F.col("_cut._slice"))
+    ranked = ranked.groupBy("_pattern", "_hash", "_rest", "_cut").agg(F.sum("_size").alias("_size"))
+    order = Window.partitionBy("_pattern").orderBy("_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranked.withColumn("_upto", F.col("_cut._before") + F.sum("_size").over(order)).where(F.col("_upto") <= F.col("_rest"))
+    limit = ranked.groupBy("_pattern").agg(F.max("_hash").alias("_last"), F.max("_upto").alias("_upto"))
+    # hashes below the cut slice are in; without a cut all that is asked for is whole repetitions
+    bounds = plan_df.join(cut, "_pattern", "left").join(limit, "_pattern", "left").select(
+        "_pattern", "_whole", "_rest",
+        F.coalesce("_last", F.shiftleft(F.col("_cut._slice"), 51) - 1, F.lit(-1)).alias("_last"),
+        (F.col("_rest") - F.coalesce("_upto", "_cut._before", F.lit(0))).alias("_gap"),
+    )
+    bounds = materialize(bounds)
+    more = slim.join(F.broadcast(bounds), "_pattern").where((F.col("_hash") > F.col("_last")) & (F.col("_gap") > 0)).groupBy("_pattern", "_hash", "_gap").agg(F.sum("_size").alias("_size"))
+    more = more.where((F.col("_size") > 0) & (F.abs(F.col("_gap") - F.col("_size")) < F.col("_gap")))
+    more = more.groupBy("_pattern").agg(F.min_by("_hash", F.struct(F.abs(F.col("_gap") - F.col("_size")), "_hash")).alias("_more"))
+    chosen = materialize(bounds.join(more, "_pattern", "left"))
+    out = keyed.join(F.broadcast(chosen.select("_pattern", "_whole", "_last", "_more")), "_pattern", "left")
+    extra = (F.col("_hash") <= F.col("_last")) | F.coalesce(F.col("_hash") == F.col("_more"), F.lit(False))
+    copies = F.when(F.col(size) > 0, F.coalesce(F.col("_whole") + extra.cast("long"), F.lit(0))).otherwise(0)
+    return out.withColumn("_copies", copies).drop("_pattern", "_hash", "_whole", "_last", "_more"), wanted

@@ -27,7 +27,7 @@ SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 UPPER = np.isin(np.arange(256), np.arange(65, 91))
 LETTER = UPPER | np.isin(np.arange(256), np.arange(97, 123))
 ENDS = np.isin(np.arange(256), np.frombuffer(b".!?\"')", np.uint8))
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_ascii_letters"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_ascii_letters", "n_letters"]
 
 
 def repeated_words(piece: Piece, width: int = REPEAT_WIDTH) -> np.ndarray:
@@ -69,6 +69,7 @@ def measure_piece(piece: Piece, rows: pa.RecordBatch) -> pa.RecordBatch:
         n_ended,
         per_text(UPPER[piece.raw], piece.bounds),
         per_text(LETTER[piece.raw], piece.bounds),
+        per_text(LETTER[piece.raw] | (piece.raw >= 0xC0), piece.bounds),  # ASCII letters and characters beyond ASCII
     ]
     return pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.int64()) for c in columns)], [rows.schema.names[0], *MEASURES])
 
@@ -91,12 +92,13 @@ def rules() -> dict[str, Column]:
     mean = c("word_chars") / words
     return {
         "length": _vote(c("n_words") >= 40, c("n_words") < 20),
-        "word_length": _vote(mean.between(3, 8), ~mean.between(2, 12)),
+        "word_length": _vote(mean.between(3, 8), (mean < 2) | ((mean > 15) & (2 * c("n_ascii_letters") > c("word_chars")))),
         "symbols": _vote(c("n_symbols") == 0, c("n_symbols") > 0.1 * words),
+        "letters": _vote(c("n_letters") >= 0.95 * c("word_chars"), c("n_letters") < 0.9 * c("word_chars")),
         "duplicate_lines": _vote(c("n_dup_lines") == 0, c("n_dup_lines") > 0.3 * lines),
         "repetition": _vote(c("n_repeat_words") <= 0.05 * words, c("n_repeat_words") > 0.3 * words),
         "capitals": _vote(c("n_upper") <= 0.2 * c("n_ascii_letters"), c("n_upper") > 0.5 * c("n_ascii_letters")),
-        "line_ends": _vote(c("n_ended") >= 0.7 * lines, c("n_ended") < 0.1 * lines),
+        "line_ends": _vote(c("n_ended") >= 0.7 * lines, (c("n_lines") >= 5) & (c("n_ended") < 0.1 * lines)),
     }
 
 
@@ -115,11 +117,11 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(b - a, -500, 500)))
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, strength: float = 0.05) -> LabelModel:
-    """Expectation-maximisation over vote patterns.  Each rule starts as right more often than wrong,
-    and prior votes worth the share ``strength`` of all documents keep it from turning round."""
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, strength: float = 0.3) -> LabelModel:
+    """Expectation-maximisation over vote patterns.  A good document seldom breaks a rule and a bad one breaks few of
+    the rules, so at the start a bad vote says more than a good one; prior votes worth the share ``strength`` of all documents keep it from turning round."""
     n = max(1.0, float(counts.sum()))
-    prior_good, prior_bad = np.array([0.05, 0.25, 0.7]), np.array([0.4, 0.4, 0.2])
+    prior_good, prior_bad = np.array([0.004, 0.146, 0.85]), np.array([0.2, 0.05, 0.75])
     k = votes.shape[1]
     model = LabelModel(np.tile(prior_good, (k, 1)), np.tile(prior_bad, (k, 1)), 0.8)
     for _ in range(rounds):
