@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import bucket_of, materialize
@@ -40,6 +40,8 @@ from llm.words import SPACE, Piece, mix, pieces, shingles
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 BUCKET_BYTES = 24 << 20  # of text for each bucket of the filter
 BLOCK_NGRAMS = 4_000_000
+MAP_BITS = 1 << 26  # of the bit map of documents to read again
+_SHARED = 0  # the class of n-grams that several classes of a piece have
 _PACK = "bucket int, piece long, ids array<long>, n array<int>, d1 array<long>, d2 array<long>, counts array<int>, local array<int>, grams binary"
 
 
@@ -81,13 +83,13 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def _pack(bucket: int, number: int, ids, n, digests, counts, local, grams: bytes) -> pa.RecordBatch:
-    columns = [pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), _lists(ids, pa.int64()), _lists(n, pa.int32()), _lists(digests[:, 0], pa.int64()), _lists(digests[:, 1], pa.int64()), _lists(counts, pa.int32()), _lists(local, pa.int32()), pa.array([grams], pa.binary())]
+    columns = [pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), _lists(ids, pa.int64()), _lists(n, pa.int32()), _lists(digests[:, 0], pa.int64()), _lists(digests[:, 1] if bucket < 0 else digests[:0, 1], pa.int64()), _lists(counts, pa.int32()), _lists(local, pa.int32()), pa.array([grams], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PACK.split(", ")])
 
 
 def _scan(n_buckets: int, width: int):
     """Packets: one with bucket -1 for each piece, with all its documents; one for each bucket with the n-grams of the
-    piece's classes.  ``counts``: n-grams of each class here; ``local``: (bucket -1) least hits needed."""
+    piece's classes.  ``counts``: n-grams of each class here; ``local`` (bucket 0): hits known within the piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -118,50 +120,73 @@ def _scan(n_buckets: int, width: int):
                 order = np.lexsort((owner, bucket))
                 bucket, owner, keys = bucket[order], owner[order], (keys[order] >> np.uint64(20)).astype(np.uint32)
                 cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                none, klass = np.zeros(0, np.int64), np.concatenate((digests[some, 0], [_SHARED]))
+                local = np.flatnonzero(hits)
                 for b in range(n_buckets):
                     a, z = cut[b], cut[b + 1]
-                    if z > a or b == 0:
-                        mine, counts = np.unique(owner[a:z], return_counts=True)
-                        if b == 0:  # local hits travel with the first bucket
-                            counts = np.bincount(owner[a:z], minlength=len(some) + 1)
-                            mine = np.arange(len(some) + 1)
-                        shared = mine == len(some)
-                        at = some[np.minimum(mine, max(0, len(some) - 1))] if len(some) else np.zeros(len(mine), np.int64)
-                        if not len(some):
-                            continue
-                        local = hits[np.minimum(mine, len(some) - 1)] * (b == 0)
-                        yield _pack(b, number, np.where(shared, 0, ids[at]), np.where(shared, 0, n[at]), np.where(shared[:, None], 0, digests[at]), counts, np.where(shared, 0, local), keys[a:z].tobytes())
+                    mine, counts = np.unique(owner[a:z], return_counts=True)
+                    if b == 0:  # what is known already travels with the first bucket
+                        mine, counts = np.concatenate((mine, local)), np.concatenate((counts, np.zeros(len(local), np.int64)))
+                    if len(mine):
+                        known = np.concatenate((np.zeros(len(mine) - len(local), np.int64), hits[local])) if b == 0 else none
+                        yield _pack(b, number, none, none, np.stack((klass[mine], klass[mine]), 1), counts, known, keys[a:z].tobytes())
 
     return run
 
 
 def _count_hits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """For each packet's classes: n-grams of this bucket that another class has, too, and the hits known before."""
-    cols = {c: table.column(c).combine_chunks() for c in ("n", "d1", "d2", "counts", "local")}
-    flat = {c: (a.values if isinstance(a, pa.ListArray) else a).to_numpy(zero_copy_only=False) for c, a in cols.items()}
+    cols = {c: table.column(c).combine_chunks() for c in ("d1", "counts", "local")}
+    klass, counts, known = (cols[c].values.to_numpy(zero_copy_only=False) for c in ("d1", "counts", "local"))
+    sizes = np.diff(cols["d1"].offsets.to_numpy())
+    local = np.zeros(len(klass), np.int64)
+    if len(known):
+        local[np.repeat(np.diff(cols["local"].offsets.to_numpy()) > 0, sizes)] = known
     grams = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("grams").to_pylist()])
-    entry = np.repeat(np.arange(len(flat["n"])), flat["counts"])
-    klass = flat["d1"] * 3 + flat["d2"]
+    entry = np.repeat(np.arange(len(klass)), counts)
     order = np.argsort(grams, kind="stable")
     g, c = grams[order], klass[entry[order]]
     start = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
     group = np.cumsum(start) - 1
     first = np.flatnonzero(start)
-    differs = (c != c[first][group]) | (flat["n"][entry[order]] == 0)  # n = 0: shared within its piece
     several = np.zeros(len(first), bool)
-    np.logical_or.at(several, group, differs)
-    hits = np.bincount(entry[order][several[group]], minlength=len(flat["n"])) + flat["local"]
-    real = flat["n"] > 0
-    return pa.table({"piece": pa.array(np.repeat(table.column("piece").to_numpy(), np.diff(cols["n"].offsets.to_numpy()))[real]), "n": pa.array(flat["n"][real], pa.int32()), "d1": pa.array(flat["d1"][real]), "d2": pa.array(flat["d2"][real]), "hits": pa.array(hits[real], pa.int64())})
+    several[group[(c != c[first][group]) | (c == _SHARED)]] = True
+    hits = np.bincount(entry[order][several[group]], minlength=len(klass)) + local
+    some = (hits > 0) & (klass != _SHARED)
+    return pa.table({"piece": pa.array(np.repeat(table.column("piece").to_numpy(), sizes)[some]), "d1": pa.array(klass[some]), "hits": pa.array(hits[some], pa.int64())})
 
 
-def _candidates(scanned: DataFrame) -> DataFrame:
-    """Classes (d1, d2) that may have links."""
-    hits = scanned.where("bucket >= 0").groupBy("bucket").applyInArrow(_count_hits, "piece long, n int, d1 long, d2 long, hits long")
-    by_piece = hits.groupBy("piece", "d1", "d2").agg(F.sum("hits").alias("hits"), F.max("n").alias("n"))
+def _candidates(scanned: DataFrame, classes: DataFrame) -> DataFrame:
+    """The ``classes`` that may have links."""
+    hits = scanned.where("bucket >= 0").groupBy("bucket").applyInArrow(_count_hits, "piece long, d1 long, hits long")
+    by_piece = hits.groupBy("piece", "d1").agg(F.sum("hits").alias("hits"))
     # _extra() of the smallest set that may link
     needed = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / 4))
-    return by_piece.groupBy("d1", "d2").agg(F.max("hits").alias("hits"), F.max("n").alias("n")).where(F.col("hits") >= needed).select("d1", "d2")
+    return classes.join(by_piece.groupBy("d1").agg(F.max("hits").alias("hits")), "d1").where(F.col("hits") >= needed).drop("hits", "n")
+
+
+def _position(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(MAP_BITS))
+
+
+def _texts_of(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """``rows`` (id, text) of the documents in ``left``.  A bit map of fixed size drops most others before the join
+    moves any text."""
+    spot = _position("id")
+    marked = left.select(spot.alias("p")).groupBy(F.shiftright("p", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits"))
+    bits = np.zeros((MAP_BITS >> 15, 4096), np.uint8)
+    for row in marked.toLocalIterator():  # MAP_BITS bits at most
+        bits[row["b"]] = np.frombuffer(row["bits"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(2).to_numpy()
+            keep = sent.value[p >> 3] >> (p & 7).astype(np.uint8) & 1
+            yield batch.filter(pa.array(keep.astype(bool))).select([0, 1])
+
+    near = rows.select("id", "text", spot.alias("p")).mapInArrow(run, "id long, text string")
+    return near.join(left, "id").drop("id")
 
 
 def _send_grams(n_buckets: int, width: int):
@@ -474,9 +499,9 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(none)).alias("id"), F.col(text).alias("text"))
     scanned = materialize(rows.mapInArrow(_scan(min(n_buckets, 1 << 20), width), _PACK))
     docs_of = scanned.where("bucket < 0").select(F.explode(F.arrays_zip("ids", "n", "d1", "d2")).alias("x")).select("x.*").withColumnRenamed("ids", "id")
-    classes = docs_of.where((F.col("n") > 0) & (F.col("id") != none)).groupBy("d1", "d2").agg(F.min("id").alias("id")).withColumn("node", F.xxhash64("d1", "d2"))
-    left = classes.join(_candidates(scanned), ["d1", "d2"], "left_semi")
-    texts = rows.join(left, "id").drop("id")
+    classes = docs_of.where((F.col("n") > 0) & (F.col("id") != none)).groupBy("d1", "d2").agg(F.min("id").alias("id"), F.max("n").alias("n")).withColumn("node", F.xxhash64("d1", "d2"))
+    left = materialize(_candidates(scanned, classes))
+    texts = _texts_of(rows, left)
     sent = texts.mapInArrow(_send_grams(n_buckets, width), "bucket int, nodes array<long>, n array<int>, counts array<int>, grams binary")
     back = sent.groupBy("bucket").applyInArrow(_frequencies(n_buckets), "bucket int, nodes array<long>, n array<int>, counts array<int>, grams binary, df binary")
     sets = materialize(back.groupBy("bucket").applyInArrow(_ordered_sets, "node long, n int, prefix int, grams binary, df binary"))
