@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import bucket_of, materialize
+from llm.common import bucket_of, by_bucket, longs, materialize
 from llm.graph import components, forest
 from llm.words import SPACE, Piece, mix, pieces, shingles
 
@@ -134,7 +134,30 @@ def _scan(n_buckets: int, width: int):
     return run
 
 
-def _count_hits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _count_hits(n_buckets: int):
+    """Packets for buckets of classes: the pieces, classes and hits that one bucket of n-grams has."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        piece, klass, hits = _hits(table)
+        to = bucket_of(mix(klass.view(np.uint64)), n_buckets)
+        rows = list(by_bucket(to, piece, klass, hits))
+        return pa.table({"to": pa.array([r[0] for r in rows], pa.int32()), **{c: pa.array([r[1][i] for r in rows], pa.binary()) for i, c in enumerate(("piece", "d1", "hits"))}})
+
+    return run
+
+
+def _most_hits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The hits of each class: summed within a piece, the most of all pieces."""
+    piece, klass, hits = (np.concatenate([longs(x) for x in table.column(c).to_pylist()]) for c in ("piece", "d1", "hits"))
+    order = np.lexsort((piece, klass))
+    piece, klass, hits = piece[order], klass[order], hits[order]
+    first = np.flatnonzero(np.concatenate(([True], (klass[1:] != klass[:-1]) | (piece[1:] != piece[:-1]))))
+    total, klass = np.add.reduceat(hits, first), klass[first]
+    first = np.flatnonzero(np.concatenate(([True], klass[1:] != klass[:-1])))
+    return pa.table({"d1": klass[first], "hits": np.maximum.reduceat(total, first)})
+
+
+def _hits(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each packet's classes: n-grams of this bucket that another class has, too, and the hits known before."""
     cols = {c: table.column(c).combine_chunks() for c in ("d1", "counts", "local")}
     klass, counts, known = (cols[c].values.to_numpy(zero_copy_only=False) for c in ("d1", "counts", "local"))
@@ -153,16 +176,16 @@ def _count_hits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     several[group[(c != c[first][group]) | (c == _SHARED)]] = True
     hits = np.bincount(entry[order][several[group]], minlength=len(klass)) + local
     some = (hits > 0) & (klass != _SHARED)
-    return pa.table({"piece": pa.array(np.repeat(table.column("piece").to_numpy(), sizes)[some]), "d1": pa.array(klass[some]), "hits": pa.array(hits[some], pa.int64())})
+    return np.repeat(table.column("piece").to_numpy(), sizes)[some], klass[some], hits[some].astype(np.int64)
 
 
-def _candidates(scanned: DataFrame, classes: DataFrame) -> DataFrame:
+def _candidates(scanned: DataFrame, classes: DataFrame, n_buckets: int) -> DataFrame:
     """The ``classes`` that may have links."""
-    hits = scanned.where("bucket >= 0").groupBy("bucket").applyInArrow(_count_hits, "piece long, d1 long, hits long")
-    by_piece = hits.groupBy("piece", "d1").agg(F.sum("hits").alias("hits"))
+    hits = scanned.where("bucket >= 0").groupBy("bucket").applyInArrow(_count_hits(n_buckets), "to int, piece binary, d1 binary, hits binary")
+    most = hits.groupBy("to").applyInArrow(_most_hits, "d1 long, hits long")
     # _extra() of the smallest set that may link
     needed = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / 4))
-    return classes.join(by_piece.groupBy("d1").agg(F.max("hits").alias("hits")), "d1").where(F.col("hits") >= needed).drop("hits", "n")
+    return classes.join(most, "d1").where(F.col("hits") >= needed).drop("hits", "n")
 
 
 def _position(doc_id: str) -> Column:
@@ -500,7 +523,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     scanned = materialize(rows.mapInArrow(_scan(min(n_buckets, 1 << 20), width), _PACK))
     docs_of = scanned.where("bucket < 0").select(F.explode(F.arrays_zip("ids", "n", "d1", "d2")).alias("x")).select("x.*").withColumnRenamed("ids", "id")
     classes = docs_of.where((F.col("n") > 0) & (F.col("id") != none)).groupBy("d1", "d2").agg(F.min("id").alias("id"), F.max("n").alias("n")).withColumn("node", F.xxhash64("d1", "d2"))
-    left = materialize(_candidates(scanned, classes))
+    left = materialize(_candidates(scanned, classes, n_buckets))
     texts = _texts_of(rows, left)
     sent = texts.mapInArrow(_send_grams(n_buckets, width), "bucket int, nodes array<long>, n array<int>, counts array<int>, grams binary")
     back = sent.groupBy("bucket").applyInArrow(_frequencies(n_buckets), "bucket int, nodes array<long>, n array<int>, counts array<int>, grams binary, df binary")
