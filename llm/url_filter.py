@@ -49,8 +49,11 @@ def segments(path: Column) -> Column:
 def templates(pages: DataFrame, max_children: int = 64) -> DataFrame:
     """``pages`` (columns host, path) with ``template``: the path with wildcards, in which all levels with
     more than ``max_children`` different segments below one node are ``*``."""
-    df = pages.withColumn("_left", segments("path")).withColumn("template", F.lit(""))
-    for level in range(DEPTH):
+    from llm.common import materialize
+
+    df = materialize(pages.withColumn("_left", segments("path")).withColumn("template", F.lit("")))
+    deepest = df.agg(F.max(F.size("_left"))).collect()[0][0] or 0
+    for level in range(deepest):
         here = F.get("_left", F.lit(level))
         # max_children + 1 different values are enough to know, so a set is never large
         wide = (
@@ -61,6 +64,7 @@ def templates(pages: DataFrame, max_children: int = 64) -> DataFrame:
         df = df.join(wide, ["host", "template"], "left").withColumn(
             "template", F.when(here.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("_wide"), "*").otherwise(here)))
         ).drop("_wide")
+        df = materialize(df)  # a level leans on the ones above; cut off, its plan stays small
     return df.drop("_left")
 
 
