@@ -1,5 +1,6 @@
 import datetime
 import math
+import os
 
 import duckdb
 import pytest
@@ -97,6 +98,7 @@ def test_store_is_idempotent(spark, small, tmp_path):
     assert stats.count() == stats.select("role", "inn").distinct().count() == 6
 
 
+@pytest.mark.skipif(not os.environ.get("RUN_SLOW"), reason="takes minutes")
 def test_whole_run(spark, tmp_path):
     path = str(tmp_path / "in.parquet")
     ledger.synthetic_ledger(spark, DATA).where("cast(debit_inn as int) <= 3").drop("x_quantity", "x_discount", "x_tax", "x_part", "x_line").write.parquet(path)
