@@ -80,12 +80,16 @@ def rolling(df: DataFrame, role: str, windows: tuple[int, ...] = Features.window
     days = active_days(df, role).withColumn("d", F.unix_date("date"))
     party = Window.partitionBy("inn")
     days = days.withColumn("_first", F.min("d").over(party))
-    out = {}
+    seen, out = {}, {}
     for w in windows:
         frame = party.orderBy("d").rangeBetween(-(w - 1), 0)
+        # each window aggregate is a column of its own, or Spark would compute it again wherever it is used
+        seen |= {
+            f"_sum_{w}": F.sum("amt").over(frame), f"_sq_{w}": F.sum(F.col("amt") * F.col("amt")).over(frame),
+            f"_cnt_{w}": F.count(F.when(F.col("amt") > 0, 1)).over(frame), f"_all_{w}": F.collect_list("amt").over(frame),
+        }
         n = F.least(F.lit(w), F.col("d") - F.col("_first") + 1)
-        total, squares = F.sum("amt").over(frame), F.sum(F.col("amt") * F.col("amt")).over(frame)
-        values = F.array_sort(F.collect_list("amt").over(frame))
+        total, values = F.col(f"_sum_{w}"), F.col(f"_sorted_{w}")
         at = (n - 1) * F.lit(0.95)
         low = F.floor(at)
         zeros = n - F.size(values)
@@ -93,11 +97,12 @@ def rolling(df: DataFrame, role: str, windows: tuple[int, ...] = Features.window
         value = lambda k, values=values, zeros=zeros: F.when(k < zeros, 0.0).otherwise(F.get(values, (k - zeros).cast("int")))
         out |= {
             f"{role}_roll_sum_{w}d": total,
-            f"{role}_roll_cnt_{w}d": F.count(F.when(F.col("amt") > 0, 1)).over(frame),
+            f"{role}_roll_cnt_{w}d": F.col(f"_cnt_{w}"),
             f"{role}_roll_mean_{w}d": total / n,
-            f"{role}_roll_std_{w}d": F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (squares - total * total / n) / (n - 1)))).otherwise(0.0),
+            f"{role}_roll_std_{w}d": F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col(f"_sq_{w}") - total * total / n) / (n - 1)))).otherwise(0.0),
             f"{role}_roll_p95_{w}d": value(low) + (at - low) * (F.coalesce(value(F.least(low + 1, n - 1)), F.lit(0.0)) - value(low)),
         }
+    days = days.withColumns(seen).withColumns({f"_sorted_{w}": F.array_sort(f"_all_{w}") for w in windows})
     return days.select("inn", "date", *(c.alias(n) for n, c in out.items()))
 
 

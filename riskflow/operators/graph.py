@@ -22,22 +22,35 @@ def _loops(df: DataFrame) -> DataFrame:
     return df.where("debit_inn is not null and debit_inn = credit_inn").select(F.col("debit_inn").alias("n")).distinct()
 
 
-def common_neighbours(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` with degrees and the number of nodes next to both ends, from the ends' adjacency arrays: a row for each pair, not
-    for each path of two edges."""
-    near = _arcs(pairs).groupBy("u").agg(F.collect_set("v").alias("near"))
-    ends = pairs.join(near.select("u", F.col("near").alias("near_u")), "u").join(near.select(F.col("u").alias("v"), F.col("near").alias("near_v")), "v")
-    return ends.select("u", "v", "txn_count", "total_amount", F.array_intersect("near_u", "near_v").alias("both"), F.size("near_u").alias("deg_u"), F.size("near_v").alias("deg_v"))
+def common_neighbours(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``asked`` (u, v and more) with ``deg_u``, ``deg_v`` in the graph of ``pairs``, ``common`` (nodes next to both ends), and
+    the Adamic-Adar and resource-allocation sums over these.
+
+    The neighbours of the end with the lower degree are looked up at the other end.  For edges that is at most about
+    ``m * sqrt(m)`` rows, however large a hub is, and no node's neighbours are gathered in one row.
+    """
+    arcs = _arcs(pairs)
+    degree = arcs.groupBy("u").agg(F.count(F.lit(1)).alias("deg"))
+    known = asked.join(degree.withColumnRenamed("deg", "deg_u"), "u", "left").join(degree.select(F.col("u").alias("v"), F.col("deg").alias("deg_v")), "v", "left")
+    known = known.na.fill(0, ["deg_u", "deg_v"])
+    first = F.col("deg_u") <= F.col("deg_v")
+    looked = known.select("u", "v", F.when(first, F.col("u")).otherwise(F.col("v")).alias("low"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("high"))
+    near = arcs.select(F.col("u").alias("low"), F.col("v").alias("w"))
+    also = arcs.select(F.col("u").alias("high"), F.col("v").alias("w"))
+    shared = looked.join(near, "low").join(also, ["high", "w"]).join(degree.withColumnRenamed("u", "w"), "w").groupBy("u", "v").agg(
+        F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("deg") > 1, 1 / F.log("deg"))).alias("adamic_adar"), F.sum(1 / F.col("deg")).alias("resource_allocation")
+    )
+    return known.join(shared, ["u", "v"], "left").na.fill(0, ["common"]).na.fill(0.0, ["adamic_adar", "resource_allocation"])
 
 
 def edge_scores(df: DataFrame) -> DataFrame:
     """Jaccard of the ends' other neighbours, rarity, and their blend scaled to 0..1.  A self-loop makes a node its own neighbour."""
     pairs = edges(df)
-    got = common_neighbours(df, pairs)
+    got = common_neighbours(pairs, pairs)
     loops = _loops(df)
     got = got.join(loops.select(F.col("n").alias("u"), F.lit(1).alias("loop_u")), "u", "left").join(loops.select(F.col("n").alias("v"), F.lit(1).alias("loop_v")), "v", "left")
     # each end leaves the other out; a looped end stays in its own set only
-    shared = F.size("both")
+    shared = F.col("common")
     union = (F.col("deg_u") - 1 + F.coalesce("loop_u", F.lit(0))) + (F.col("deg_v") - 1 + F.coalesce("loop_v", F.lit(0))) - shared
     raw = got.withColumn("jaccard", shared / (union + F.lit(1e-6))).withColumn("rarity", 1.0 / (F.col("txn_count") + 1))
     raw = raw.withColumn("raw_score", 0.6 * (1 - F.col("jaccard")) + 0.4 * F.col("rarity"))
@@ -47,9 +60,9 @@ def edge_scores(df: DataFrame) -> DataFrame:
 def node_scores(df: DataFrame) -> DataFrame:
     """Degree (a self-loop adds 2), local clustering, and their blend scaled to 0..1."""
     pairs = edges(df)
-    got = common_neighbours(df, pairs)
-    half = got.select("u", F.size("both").alias("n")).unionByName(got.select(F.col("v").alias("u"), F.size("both").alias("n")))
-    per = half.groupBy(F.col("u").alias("inn")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("links"))
+    got = common_neighbours(pairs, pairs)
+    half = got.select(F.explode(F.array("u", "v")).alias("inn"), F.col("common").alias("n"))
+    per = half.groupBy("inn").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("links"))
     loops = _loops(df).select(F.col("n").alias("inn"), F.lit(2).alias("loop"))
     per = per.join(loops, "inn", "full_outer").select("inn", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("loop", F.lit(0)).alias("loop"))
     per = per.withColumn("degree", (F.col("k") + F.col("loop")).cast("long"))
@@ -72,15 +85,9 @@ def enrich(df: DataFrame, edge: DataFrame, node: DataFrame, canonical: bool = Tr
 def structural_links(df: DataFrame) -> DataFrame:
     """Link features of each pair: common neighbours, Jaccard, Adamic-Adar, resource allocation, log of the degrees' product."""
     pairs = edges(df)
-    got = common_neighbours(df, pairs)
-    degree = _arcs(pairs).groupBy(F.col("u").alias("w")).agg(F.count(F.lit(1)).alias("deg"))
-    through = got.select("u", "v", F.explode("both").alias("w")).join(degree, "w").groupBy("u", "v").agg(
-        F.sum(F.when(F.col("deg") > 1, 1 / F.log("deg"))).alias("adamic_adar"), F.sum(1 / F.col("deg")).alias("resource_allocation")
-    )
-    common = F.size("both").cast("long")
-    return got.join(through, ["u", "v"], "left").select(
-        "u", "v", common.alias("common"), (common / (F.col("deg_u") + F.col("deg_v") - common)).alias("jaccard"),
-        F.coalesce("adamic_adar", F.lit(0.0)).alias("adamic_adar"), F.coalesce("resource_allocation", F.lit(0.0)).alias("resource_allocation"),
+    common = F.col("common")
+    return common_neighbours(pairs, pairs).select(
+        "u", "v", common.alias("common"), (common / (F.col("deg_u") + F.col("deg_v") - common)).alias("jaccard"), "adamic_adar", "resource_allocation",
         F.log1p(F.col("deg_u").cast("double") * F.col("deg_v")).alias("preferential"),
     )
 
@@ -132,11 +139,11 @@ def link_model(df: DataFrame, seed: int = 42) -> DataFrame:
 
     pairs = edges(df)
     asked = pairs.select("u", "v", F.lit(1.0).alias("label")).unionByName(negative_pairs(df, seed=seed).withColumn("label", F.lit(0.0)))
-    near = _arcs(pairs).groupBy("u").agg(F.collect_set("v").alias("near"))
-    ends = asked.join(near.withColumnRenamed("near", "near_u"), "u", "left").join(near.select(F.col("u").alias("v"), F.col("near").alias("near_v")), "v", "left")
-    common, du, dv = F.size(F.array_intersect("near_u", "near_v")), F.size("near_u") - F.col("label"), F.size("near_v") - F.col("label")
+    ends = common_neighbours(asked, pairs)
+    common, du, dv = F.col("common"), F.col("deg_u") - F.col("label"), F.col("deg_v") - F.col("label")  # without the pair itself
     ready = ends.select("u", "v", "label", common.cast("double").alias("common"), (common / F.greatest(du + dv - common, F.lit(1.0))).alias("jaccard"), F.log1p(F.greatest(du, F.lit(0.0)) * F.greatest(dv, F.lit(0.0))).alias("preferential"))
     ready = VectorAssembler(inputCols=["common", "jaccard", "preferential"], outputCol="x", handleInvalid="skip").transform(ready)
+    ready = ready.persist()  # the fit reads it again and again
     model = LogisticRegression(featuresCol="x", maxIter=30, regParam=0.01).fit(ready)
     from pyspark.ml.functions import vector_to_array
 
