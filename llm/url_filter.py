@@ -2,10 +2,11 @@
 
 For each host the path's segments form a tree.  Digits in a segment become ``*``; then, level by
 level from the top, where a node has more than ``max_children`` different segments below it they are
-all one wildcard.  Templates count their pages, rated pages and bad pages.  Sibling branches of a
+all one wildcard.  All nodes of the tree count their rated pages and bad pages.  Sibling branches of a
 node whose rates of bad pages do not differ significantly (a two-sample z test on smoothed rates)
-share one purity estimate.  A template is rejected if its smoothed share of bad pages is above
-one half.
+share one purity estimate, which is smoothed toward their parent's, that toward the host's, and that toward
+the share over all pages, so labels reach branches that have none.  A template is rejected if its smoothed share of
+bad pages is above one half.
 
 All of it is counted, so a host that holds a third of all pages is a few rows per task after the
 partial aggregation.  Null urls and urls without ``://`` have an empty host and an empty path and form
@@ -14,9 +15,15 @@ one template of their own.  Repeated pages count each time; an empty table gives
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEPTH = 8
 
@@ -49,8 +56,6 @@ def segments(path: Column) -> Column:
 def templates(pages: DataFrame, max_children: int = 64) -> DataFrame:
     """``pages`` (columns host, path) with ``template``: the path with wildcards, in which all levels with
     more than ``max_children`` different segments below one node are ``*``."""
-    from llm.common import materialize
-
     df = materialize(pages.withColumn("_left", segments("path")).withColumn("template", F.lit("")))
     deepest = df.agg(F.max(F.size("_left"))).collect()[0][0] or 0
     for level in range(deepest):
@@ -68,27 +73,66 @@ def templates(pages: DataFrame, max_children: int = 64) -> DataFrame:
     return df.drop("_left")
 
 
+def _nodes(counted: DataFrame) -> DataFrame:
+    """``counted`` with a row for each node on the way from the host (depth 0, node ``""``) down to the template."""
+    parts = F.split("template", "/", DEPTH + 1)
+    nodes = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda d: F.array_join(F.slice(parts, 1, d + 1), "/"))
+    return counted.select("*", F.posexplode(nodes).alias("depth", "node"), F.when(F.col("depth") > 0, F.array_join(F.slice(parts, 1, F.col("depth")), "/")).alias("parent"))
+
+
+def merged(rated: np.ndarray, bad: np.ndarray, prior: float, prior_weight: float, z: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rated and bad pages of the branch that each sibling belongs to.  In order of their smoothed rates, neighbours merge
+    while a two-sample z test does not tell them apart."""
+    start = prior_weight * prior
+    branches: list[list] = []  # rated, bad, members
+    for i in np.lexsort((rated, (bad + start) / (rated + prior_weight))).tolist():
+        branches.append([int(rated[i]), int(bad[i]), [i]])
+        while len(branches) > 1:
+            (r1, b1, m1), (r2, b2, m2) = branches[-2:]
+            p = (b1 + b2 + start) / (r1 + r2 + prior_weight)
+            apart = abs((b1 + start) / (r1 + prior_weight) - (b2 + start) / (r2 + prior_weight))
+            if apart > z * math.sqrt(p * (1 - p) * (1 / r1 + 1 / r2)):
+                break
+            if len(m1) < len(m2):
+                m1, m2 = m2, m1
+            m1.extend(m2)
+            branches[-2:] = [[r1 + r2, b1 + b2, m1]]
+    out = np.zeros((2, len(rated)), np.int64)
+    for r, b, members in branches:
+        out[0, members], out[1, members] = r, b
+    return out[0], out[1]
+
+
 def purity(counted: DataFrame, prior_weight: float = 4.0, z: float = 2.0) -> DataFrame:
     """``counted`` (host, template, rated, bad) with ``bad_share``: the smoothed share of bad pages.
 
-    The prior is the share over all pages.  Siblings (templates of one host and parent) within ``z``
-    standard errors of their parent's share count as one branch and take the parent's counts.
+    All nodes on the way from the host to a template count the pages below them, and siblings merge to branches
+    (``merged``).  Down that way, the share over all pages is smoothed by the pages of the host, then of the first
+    segment's branch, and so on, each without those of the next one, so that no page counts twice.  Unrated templates
+    thus take the share of the lowest rated branch above them.
     """
-    parent = Window.partitionBy("host", F.regexp_replace("template", "[^/]*$", ""))
     overall = counted.agg(((F.sum("bad") + 1) / (F.sum("rated") + 10)).alias("_prior"))
-    df = counted.crossJoin(F.broadcast(F.broadcast(overall)))  # one row
-    up_rated, up_bad = F.sum("rated").over(parent), F.sum("bad").over(parent)
-    smooth = lambda bad, rated: (bad + prior_weight * F.col("_prior")) / (rated + prior_weight)
-    df = df.withColumn("_own", smooth(F.col("bad"), F.col("rated"))).withColumn("_up", smooth(up_bad, up_rated))
-    error = F.sqrt(F.col("_up") * (1 - F.col("_up")) / (F.col("rated") + prior_weight))
-    merged = F.abs(F.col("_own") - F.col("_up")) <= z * error
-    return df.withColumn("bad_share", F.when(merged, F.col("_up")).otherwise(F.col("_own"))).drop("_own", "_up", "_prior")
+    # cut off: read for the branches and again for the shares
+    nodes = materialize(_nodes(counted).groupBy("host", "depth", "node", "parent").agg(F.sum("rated").alias("rated"), F.sum("bad").alias("bad")).where("rated > 0"))
+    # siblings with equal counts never differ, so a row for each pair of counts; few even where a node has very many children
+    kinds = nodes.where("depth > 0").groupBy("host", "parent", "rated", "bad").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(overall))  # one row
+
+    def branch(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, b = merged((pdf["rated"] * pdf["n"]).to_numpy(), (pdf["bad"] * pdf["n"]).to_numpy(), float(pdf["_prior"].iloc[0]), prior_weight, z)
+        return pd.DataFrame({"host": pdf["host"], "parent": pdf["parent"], "rated": pdf["rated"], "bad": pdf["bad"], "_r": r, "_b": b})
+
+    branches = kinds.groupBy("host", "parent").applyInPandas(branch, "host string, parent string, rated long, bad long, _r long, _b long")
+    known = nodes.join(branches, ["host", "parent", "rated", "bad"], "left").select("host", "node", F.coalesce("_r", "rated").alias("r"), F.coalesce("_b", "bad").alias("b"))
+    way = _nodes(counted.select("host", "template")).join(known, ["host", "node"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", "r", "b"))).alias("_way"))
+    below = lambda i, c: F.coalesce(F.get(F.col("_way"), i + 1)[c], F.lit(0))
+    own = F.transform("_way", lambda x, i: F.struct((x["r"] - below(i, "r")).alias("r"), (x["b"] - below(i, "b")).alias("b")))
+    share = F.aggregate(F.coalesce(own, F.array().cast("array<struct<r:bigint,b:bigint>>")), F.col("_prior"), lambda up, x: (x["b"] + prior_weight * up) / (x["r"] + prior_weight))
+    df = counted.join(way, ["host", "template"], "left").crossJoin(F.broadcast(overall))
+    return df.withColumn("bad_share", share).drop("_way", "_prior")
 
 
 def template_verdicts(pages: DataFrame, max_children: int = 64, threshold: float = 0.5) -> DataFrame:
     """``pages`` (columns host, path, bad: 1, 0 or null where not rated) with template, bad_share, rejected."""
-    from llm.common import materialize
-
     # one row for each host and generalised path, however many pages
     small = pages.withColumn("_shape", F.concat_ws("/", segments("path")))
     shapes = small.groupBy("host", "_shape").agg(F.count("bad").alias("rated"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
