@@ -118,17 +118,66 @@ def temporal_split(df: DataFrame, cuts: tuple[float, float] = (0.7, 0.85)) -> Da
     return df.withColumn("part", F.when(day <= F.col("_q")[0], "train").when(day <= F.col("_q")[1], "valid").otherwise("test")).drop("_q")
 
 
+def _lowest(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """The ``n`` pairs u, v with the lowest hashes.  Counts of 65,536 ranges of hashes give the range to cut in; only its rows are sorted."""
+    df = df.withColumn("_h", F.xxhash64("u", "v", F.lit(seed))).withColumn("_k", F.shiftrightunsigned("_h", 48).cast("int"))
+    below, cut, some = 0, None, 0
+    for k, c in sorted(map(tuple, df.groupBy("_k").count().collect())):
+        if below + c > n:
+            cut, some = k, n - below
+            break
+        below += c
+    if cut is None:
+        return df.drop("_h", "_k")
+    at = df.where(F.col("_k") == cut).withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("_h", "u", "v"))).where(F.col("_r") <= some)
+    return df.where(F.col("_k") < cut).unionByName(at.drop("_r")).drop("_h", "_k")
+
+
+def _drawn(ends: DataFrame, rows: int, seed: int) -> DataFrame:
+    """Pairs u < v of ``ends`` (n and its number i, told apart by key): two shuffles by hash, paired by row number within ranges of about 100,000."""
+    parts = max(1, rows // 100_000)
+
+    def side(name: str, salt: int) -> DataFrame:
+        h = ends.select(F.col("n").alias(name), "key", "i", F.xxhash64("n", "key", "i", F.lit(salt)).alias("h")).withColumn("s", F.pmod("h", F.lit(parts)))
+        return h.select("s", name, F.row_number().over(Window.partitionBy("s").orderBy("h", name, "key", "i")).alias("r"))
+
+    both = side("a", seed).join(side("b", seed + 1), ["s", "r"]).where("a <> b")
+    return both.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def negative_pairs(df: DataFrame, per_edge: int = 1, seed: int = 42) -> DataFrame:
-    """Random ordered pairs of nodes that have no edge, about ``per_edge`` for each pair: ends of shuffled edges are paired."""
-    pairs = edges(df)
-    salted = _arcs(pairs).select(F.col("u").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(per_edge))).alias("i"))
-    bucket = F.pmod(F.xxhash64("n", "i", F.lit(seed)), F.lit(1 << 20))
-    one = salted.select(F.col("n").alias("a"), bucket.alias("k")).groupBy("k").agg(F.min("a").alias("a"))
-    two = salted.select(F.col("n").alias("b"), F.pmod(F.xxhash64("n", "i", F.lit(seed + 1)), F.lit(1 << 20)).alias("k")).groupBy("k").agg(F.min("b").alias("b"))
-    shift = Window.partitionBy(F.col("k") % 1024).orderBy("k")
-    drawn = one.withColumn("r", F.row_number().over(shift)).withColumn("s", F.col("k") % 1024).join(two.withColumn("r", F.row_number().over(shift)).withColumn("s", F.col("k") % 1024).drop("k"), ["r", "s"])
-    drawn = drawn.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    return drawn.join(pairs.select("u", "v"), ["u", "v"], "left_anti")
+    """Random pairs of nodes that have no edge, ``per_edge`` for each edge, or all that there are if these are fewer.
+
+    Ends of shuffled edges are paired, so nodes come about as often as they have edges.  What falls on edges, itself or pairs drawn before
+    is drawn again; if that gives little (dense cores), all nodes alike.  If at least half of all non-links are wanted, they are listed.
+    """
+    pairs = edges(df).select("u", "v").persist()  # each round reads it again
+    m = pairs.count()
+    nodes = _arcs(pairs).select(F.col("u").alias("n")).distinct().persist()
+    n = nodes.count()
+    free = n * (n - 1) // 2 - m
+    want = min(per_edge * m, free)
+    if 2 * want >= free:
+        listed = nodes.select(F.col("n").alias("u")).join(nodes.select(F.col("n").alias("v")), F.col("u") < F.col("v"))  # few: at most 2 per_edge + 1 for each edge
+        return _lowest(listed.join(pairs, ["u", "v"], "left_anti").persist(), want, seed)
+    out, have, by_degree, turn = None, 0, True, 0
+    while have < want:
+        missing = want - have
+        if by_degree:
+            rows = 2 * m * per_edge
+            ends = _arcs(pairs).select(F.col("u").alias("n"), F.col("v").alias("key"), F.explode(F.sequence(F.lit(1), F.lit(per_edge))).alias("i"))
+        else:
+            each = -(-2 * missing // n)
+            rows = n * each
+            ends = nodes.select("n", F.lit("").alias("key"), F.explode(F.sequence(F.lit(1), F.lit(each))).alias("i"))
+        fresh = _drawn(ends, rows, seed + 2 * turn).join(pairs, ["u", "v"], "left_anti")
+        fresh = (fresh if out is None else fresh.join(out, ["u", "v"], "left_anti")).persist()
+        got = fresh.count()
+        fresh = fresh if got <= missing else _lowest(fresh, missing, seed)
+        out = fresh if out is None else out.unionByName(fresh)
+        have += min(got, missing)
+        by_degree, turn = by_degree and 2 * got >= missing, turn + 1
+    return pairs.limit(0) if out is None else out
 
 
 def link_model(df: DataFrame, seed: int = 42) -> DataFrame:

@@ -82,6 +82,19 @@ def test_graph_fixture(spark):
     assert nodes["D"] == (1, pytest.approx(0.999998, abs=1e-5)) and nodes["A"][1] == pytest.approx(0, abs=1e-6)
 
 
+@pytest.mark.parametrize("per_edge", [1, 3])
+def test_negative_pairs_are_as_many_as_asked(spark, per_edge):
+    ring = [(f"n{i:04}", f"n{(i + k) % 1500:04}") for i in range(1500) for k in (1, 2, 3)]
+    clique = [(f"c{i:02}", f"c{j:02}") for i in range(40) for j in range(i)] + [(f"x{i}", f"y{i}") for i in range(70)]
+    star = [("hub", f"s{i}") for i in range(40)]
+    full = [(f"f{i}", f"f{j}") for i in range(5) for j in range(i)]
+    for links, want in ((ring, per_edge * 4500), (clique, per_edge * 850), (star, min(per_edge * 40, 780)), (full, 0), (full + [("f0", "g")], 4)):
+        df = spark.createDataFrame([(a, b, 1.0) for a, b in links], "debit_inn string, credit_inn string, amount double")
+        got = [tuple(r) for r in graph.negative_pairs(df, per_edge=per_edge).collect()]
+        assert len(got) == len(set(got)) == want and all(u < v for u, v in got)
+        assert not {tuple(sorted(x)) for x in links} & set(got)
+
+
 def test_history_weight_and_level(spark):
     df = spark.createDataFrame([("x", "p", "q", 0.922142, 0.4)], "txn_id string, debit_inn string, credit_inn string, txn_risk_score double, graph_node_score double")
     r = fusion.overall(df, spark.createDataFrame([("p", "debit", 0.9, 50)], "inn string, role string, history_risk double, tx_count long")).first()
