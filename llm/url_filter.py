@@ -1,8 +1,8 @@
 """URL filters with a path-template tree.
 
 For each host the path's segments form a tree.  Digits in a segment become ``*``; then, level by
-level from the top, where a node has more than ``max_children`` different segments below it they are
-all one wildcard.  All nodes of the tree count their rated pages and bad pages.  Sibling branches of a
+level from the top, segments below a node that have neither a significant share of its pages nor a significantly
+other share of bad pages are one wildcard.  All nodes of the tree count their rated pages and bad pages.  Sibling branches of a
 node whose rates of bad pages do not differ significantly (a two-sample z test on smoothed rates)
 share one purity estimate, which is smoothed toward their parent's, that toward the host's, and that toward
 the share over all pages, so labels reach branches that have none.  A template is rejected if its smoothed share of
@@ -53,22 +53,31 @@ def segments(path: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "*"), "/", DEPTH)
 
 
-def templates(pages: DataFrame, max_children: int = 64) -> DataFrame:
-    """``pages`` (columns host, path) with ``template``: the path with wildcards, in which all levels with
-    more than ``max_children`` different segments below one node are ``*``."""
+def _interval(k: Column, n: Column, z: float) -> tuple[Column, Column]:
+    """Wilson's bounds of the share of ``k`` in ``n``; null without rows."""
+    n = F.nullif(n, F.lit(0)).cast("double")
+    p = k / n
+    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return tuple((p + z * z / (2 * n) + sign * half) / (1 + z * z / n) for sign in (-1, 1))
+
+
+def templates(pages: DataFrame, min_share: float = 1 / 64) -> DataFrame:
+    """``pages`` (columns host, path, n, rated, bad) with ``template``: the path with wildcards.  Below each node a segment stays
+    if it surely (2 standard errors) has ``min_share`` of the node's pages, or if its share of bad pages surely (3) differs
+    from that of the other segments; the rest are ``*``.  Neither depends on how many pages or segments there are."""
     df = materialize(pages.withColumn("_left", segments("path")).withColumn("template", F.lit("")))
     deepest = df.agg(F.max(F.size("_left"))).collect()[0][0] or 0
     for level in range(deepest):
         here = F.get("_left", F.lit(level))
-        # max_children + 1 different values are enough to know, so a set is never large
-        wide = (
-            df.where(here.isNotNull()).groupBy("host", "template", here.alias("_seg")).agg(F.count(F.lit(1)).alias("_n"))
-            .groupBy("host", "template").agg(F.count(F.lit(1)).alias("_children"))
-            .where(F.col("_children") > max_children).select("host", "template", F.lit(True).alias("_wide"))
-        )
-        df = df.join(wide, ["host", "template"], "left").withColumn(
-            "template", F.when(here.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("_wide"), "*").otherwise(here)))
-        ).drop("_wide")
+        parts = df.where(here.isNotNull()).groupBy("host", "template", here.alias("_seg")).agg(*(F.sum(c).alias(c) for c in ("n", "rated", "bad")))
+        whole = parts.groupBy("host", "template").agg(*(F.sum(c).alias(f"_{c}") for c in ("n", "rated", "bad")))
+        low, high = _interval(F.col("bad"), F.col("rated"), 3.0)
+        rest_low, rest_high = _interval(F.col("_bad") - F.col("bad"), F.col("_rated") - F.col("rated"), 3.0)
+        kept = (_interval(F.col("n"), F.col("_n"), 2.0)[0] >= min_share) | F.coalesce((low > rest_high) | (high < rest_low), F.lit(False))
+        literal = parts.join(whole, ["host", "template"]).where(kept).select("host", "template", "_seg", F.lit(True).alias("_literal"))
+        df = df.withColumn("_seg", here).join(literal, ["host", "template", "_seg"], "left").withColumn(
+            "template", F.when(here.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("_literal"), here).otherwise("*")))
+        ).drop("_seg", "_literal")
         df = materialize(df)  # a level leans on the ones above; cut off, its plan stays small
     return df.drop("_left")
 
@@ -131,12 +140,12 @@ def purity(counted: DataFrame, prior_weight: float = 4.0, z: float = 2.0) -> Dat
     return df.withColumn("bad_share", share).drop("_way", "_prior")
 
 
-def template_verdicts(pages: DataFrame, max_children: int = 64, threshold: float = 0.5) -> DataFrame:
+def template_verdicts(pages: DataFrame, min_share: float = 1 / 64, threshold: float = 0.5) -> DataFrame:
     """``pages`` (columns host, path, bad: 1, 0 or null where not rated) with template, bad_share, rejected."""
     # one row for each host and generalised path, however many pages
     small = pages.withColumn("_shape", F.concat_ws("/", segments("path")))
-    shapes = small.groupBy("host", "_shape").agg(F.count("bad").alias("rated"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    placed = materialize(templates(shapes.withColumn("path", F.concat(F.lit("/"), "_shape")), max_children))
+    shapes = small.groupBy("host", "_shape").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("rated"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    placed = materialize(templates(shapes.withColumn("path", F.concat(F.lit("/"), "_shape")), min_share))
     counted = placed.groupBy("host", "template").agg(F.sum("rated").alias("rated"), F.sum("bad").alias("bad"))
     judged = placed.select("host", "_shape", "template").join(purity(counted).select("host", "template", "bad_share"), ["host", "template"])
     return small.join(judged, ["host", "_shape"], "left").drop("_shape").withColumn("rejected", F.col("bad_share") > threshold)

@@ -142,6 +142,15 @@ def test_url_labels_reach_unrated_branches(spark):
     assert r.tolist() == [22, 19, 19, 22] and b.tolist() == [1, 19, 19, 1]
 
 
+def test_url_sections_stay_apart_at_any_size(spark):
+    rare = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    for times in (1, 10):  # 10 and 100 rare sections beside a bad one
+        rows = [("h", f"/spam/{i}", 1) for i in range(30 * times)] + [("h", f"/{s}/x", 0) for s in rare[: 10 * times]] + [("h", "/spam/new", None), ("h", "/zz/new", None)]
+        judged = {r["path"]: r for r in url_filter.template_verdicts(spark.createDataFrame(rows, "host string, path string, bad int")).collect()}
+        assert judged["/spam/new"]["template"].startswith("/spam/") and judged["/spam/new"]["rejected"] and not judged[f"/{rare[0]}/x"]["rejected"]
+    assert judged["/zz/new"]["template"].startswith("/*/") and judged["/zz/new"]["bad_share"] < 0.1
+
+
 def test_token_files(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
