@@ -4,13 +4,15 @@ For each host the path's segments form a tree.  Digits in a segment become ``*``
 level from the top, segments below a node that have neither a significant share of its pages nor a significantly
 other share of bad pages are one wildcard.  All nodes of the tree count their rated pages and bad pages.  Sibling branches of a
 node whose rates of bad pages do not differ significantly (a two-sample z test on smoothed rates)
-share one purity estimate, which is smoothed toward their parent's, that toward the host's, and that toward
-the share over all pages, so labels reach branches that have none.  A template is rejected if its smoothed share of
-bad pages is above one half.
+share one purity estimate, which is smoothed toward their parent's and that of the same node on other hosts, that
+toward the host's, and that toward the share over all pages, so labels reach branches and hosts that have none.  A template is
+rejected if its smoothed share of bad pages is above one half.
 
 All of it is counted, so a host that holds a third of all pages is a few rows per task after the
 partial aggregation.  Null urls and urls without ``://`` have an empty host and an empty path and form
-one template of their own.  Repeated pages count each time; an empty table gives an empty result.
+one template of their own.  Repeated pages count each time; an empty table gives an empty result.  Very long paths end in one
+segment with all that follows the first ones.  Other columns of the input pass through, also if their names are those used
+inside; only ``template``, ``bad_share`` and ``rejected`` are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from llm.common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEPTH = 8
+SALTS = 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -112,16 +115,17 @@ def merged(rated: np.ndarray, bad: np.ndarray, prior: float, prior_weight: float
     return out[0], out[1]
 
 
-def purity(counted: DataFrame, prior_weight: float = 4.0, z: float = 2.0) -> DataFrame:
+def purity(counted: DataFrame, prior_weight: float = 4.0, pool_weight: float = 2.0, z: float = 2.0) -> DataFrame:
     """``counted`` (host, template, rated, bad) with ``bad_share``: the smoothed share of bad pages.
 
     All nodes on the way from the host to a template count the pages below them, and siblings merge to branches
     (``merged``).  Down that way, the share over all pages is smoothed by the pages of the host, then of the first
-    segment's branch, and so on, each without those of the next one, so that no page counts twice.  Unrated templates
-    thus take the share of the lowest rated branch above them.
+    segment's branch, and so on, each without those of the next one, so that no page counts twice.  At each node what the
+    other hosts have under the same node counts, too, as ``pool_weight`` pages at most.  Unrated templates thus take the share
+    of the lowest rated branch above them, and hosts without labels that of their templates elsewhere.
     """
     overall = counted.agg(((F.sum("bad") + 1) / (F.sum("rated") + 10)).alias("_prior"))
-    # cut off: read for the branches and again for the shares
+    # cut off: read for the branches, for the pools and again for the shares
     nodes = materialize(_nodes(counted).groupBy("host", "depth", "node", "parent").agg(F.sum("rated").alias("rated"), F.sum("bad").alias("bad")).where("rated > 0"))
     # siblings with equal counts never differ, so a row for each pair of counts; few even where a node has very many children
     kinds = nodes.where("depth > 0").groupBy("host", "parent", "rated", "bad").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(overall))  # one row
@@ -131,21 +135,35 @@ def purity(counted: DataFrame, prior_weight: float = 4.0, z: float = 2.0) -> Dat
         return pd.DataFrame({"host": pdf["host"], "parent": pdf["parent"], "rated": pdf["rated"], "bad": pdf["bad"], "_r": r, "_b": b})
 
     branches = kinds.groupBy("host", "parent").applyInPandas(branch, "host string, parent string, rated long, bad long, _r long, _b long")
-    known = nodes.join(branches, ["host", "parent", "rated", "bad"], "left").select("host", "node", F.coalesce("_r", "rated").alias("r"), F.coalesce("_b", "bad").alias("b"))
-    way = _nodes(counted.select("host", "template")).join(known, ["host", "node"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", "r", "b"))).alias("_way"))
-    below = lambda i, c: F.coalesce(F.get(F.col("_way"), i + 1)[c], F.lit(0))
-    own = F.transform("_way", lambda x, i: F.struct((x["r"] - below(i, "r")).alias("r"), (x["b"] - below(i, "b")).alias("b")))
-    share = F.aggregate(F.coalesce(own, F.array().cast("array<struct<r:bigint,b:bigint>>")), F.col("_prior"), lambda up, x: (x["b"] + prior_weight * up) / (x["r"] + prior_weight))
-    df = counted.join(way, ["host", "template"], "left").crossJoin(F.broadcast(overall))
-    return df.withColumn("bad_share", share).drop("_way", "_prior")
+    known = nodes.join(branches, ["host", "parent", "rated", "bad"], "left").select("host", "node", "rated", "bad", F.coalesce("_r", "rated").alias("r"), F.coalesce("_b", "bad").alias("b"))
+    # the same node on all hosts; very many hosts may have it, so its row is there once for each of SALTS groups of hosts
+    pools = nodes.where("depth > 0").groupBy("node").agg(F.sum("rated").alias("_pr"), F.sum("bad").alias("_pb"))
+    pools = pools.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    way = _nodes(counted.select("host", "template")).withColumn("_salt", F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int"))
+    way = way.join(known, ["host", "node"], "left").join(pools, ["node", "_salt"], "left").groupBy("host", "template").agg(
+        F.array_sort(F.collect_list(F.struct("depth", zero("r").alias("r"), zero("b").alias("b"), (zero("_pr") - zero("rated")).alias("pr"), (zero("_pb") - zero("bad")).alias("pb")))).alias("_way")
+    )
+    # the host's row (depth 0) has no pool; what a level adds is what the next one down doesn't have
+    below = lambda i, c: zero(F.get(F.col("_way"), i + 1)[c])
+    part = lambda x, i, c: F.when((x["depth"] > 0) | F.lit(c in "rb"), x[c] - below(i, c)).otherwise(F.lit(0).cast("long")).alias(c)
+    own = F.transform("_way", lambda x, i: F.struct(*(part(x, i, c) for c in ("r", "b", "pr", "pb"))))
+
+    def down(up: Column, x: Column) -> Column:
+        elsewhere = F.least(x["pr"].cast("double"), F.lit(pool_weight))
+        return (x["b"] + prior_weight * up + elsewhere * x["pb"] / F.greatest(x["pr"], F.lit(1))) / (x["r"] + prior_weight + elsewhere)
+
+    df = counted.join(way, ["host", "template"]).crossJoin(F.broadcast(overall))
+    return df.withColumn("bad_share", F.aggregate(own, F.col("_prior"), down)).drop("_way", "_prior")
 
 
 def template_verdicts(pages: DataFrame, min_share: float = 1 / 64, threshold: float = 0.5) -> DataFrame:
     """``pages`` (columns host, path, bad: 1, 0 or null where not rated) with template, bad_share, rejected."""
+    pages = pages.drop("template", "bad_share", "rejected")
+    row = pages.select(F.struct("*").alias("_row"), F.col("host"), F.concat_ws("/", segments("path")).alias("_shape"), F.col("bad").cast("int").alias("bad"))
     # one row for each host and generalised path, however many pages
-    small = pages.withColumn("_shape", F.concat_ws("/", segments("path")))
-    shapes = small.groupBy("host", "_shape").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("rated"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    shapes = row.groupBy("host", "_shape").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("rated"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     placed = materialize(templates(shapes.withColumn("path", F.concat(F.lit("/"), "_shape")), min_share))
     counted = placed.groupBy("host", "template").agg(F.sum("rated").alias("rated"), F.sum("bad").alias("bad"))
     judged = placed.select("host", "_shape", "template").join(purity(counted).select("host", "template", "bad_share"), ["host", "template"])
-    return small.join(judged, ["host", "_shape"], "left").drop("_shape").withColumn("rejected", F.col("bad_share") > threshold)
+    return row.join(judged, ["host", "_shape"], "left").select("_row.*", "template", "bad_share", (F.col("bad_share") > threshold).alias("rejected"))

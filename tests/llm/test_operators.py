@@ -133,11 +133,13 @@ def test_urls(spark):
 
 def test_url_labels_reach_unrated_branches(spark):
     rows = [("h", f"/bad/s{i % 3}/x", 1) for i in range(12)] + [("h", f"/good/s{i % 3}/x", 0) for i in range(12)] + [("h", "/bad/new/deep/er", None), ("h", "/good/new/deep/er", None)]
-    rows += [("allbad", "/a/b", 1)] * 9 + [("allbad", "/c/d", None), ("one", "/a/b/c/d/e/f", 1), ("none", "/bad/s1/x", None)]
+    rows += [("allbad", "/a/b", 1)] * 9 + [("allbad", "/c/d", None), ("one", "/q/b/c/d/e/f", 1), ("none", "/else/s1/x", None), ("new", "/bad/s1/x", None)]
     judged = {(r["host"], r["path"]): r for r in url_filter.template_verdicts(spark.createDataFrame(rows, "host string, path string, bad int")).collect()}
     assert judged["h", "/bad/new/deep/er"]["rejected"] and judged["allbad", "/c/d"]["rejected"] and not judged["h", "/good/new/deep/er"]["rejected"]
     # one bad page is not more of them for being deep; a host without labels has the share over all
-    assert judged["one", "/a/b/c/d/e/f"]["bad_share"] == pytest.approx((1 + 4 * 23 / 44) / 5) and judged["none", "/bad/s1/x"]["bad_share"] == pytest.approx(23 / 44)
+    assert judged["one", "/q/b/c/d/e/f"]["bad_share"] == pytest.approx((1 + 4 * 23 / 44) / 5) and judged["none", "/else/s1/x"]["bad_share"] == pytest.approx(23 / 44)
+    # nor if its section is bad on another host: that counts as two pages at most for each level that adds any
+    assert judged["new", "/bad/s1/x"]["bad_share"] > 0.6
     r, b = url_filter.merged(np.array([10, 10, 9, 12]), np.array([0, 10, 9, 1]), 0.4, 4.0, 2.0)
     assert r.tolist() == [22, 19, 19, 22] and b.tolist() == [1, 19, 19, 1]
 
