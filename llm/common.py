@@ -13,10 +13,14 @@ from llm.words import SPACE, Piece, pieces
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder, set here only if unset."""
+    """The folder that all executors share: the session's checkpoint folder.  Where none is set, a folder of this machine
+    serves a local master; a cluster has to name one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -60,10 +64,60 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """The columns' values packed for each bucket that has any."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [c[order] for c in columns]
-    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(bucket[a]), [c[a:b].tobytes() for c in columns]
+def per_group(n: int, fan: int) -> int:
+    """Buckets for each group of the first step when ``n`` buckets are dealt: 1 if one step is enough.
+
+    A sender has a packet for each target, so with ever more senders and ever more buckets packets would shrink to
+    nothing.  Beyond ``fan`` buckets they are dealt to groups of buckets first, then (``redeal``) within the groups.
+    """
+    return 1 if n <= fan else -(-n // -(-n // fan))
+
+
+def offsets_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in a sorted array, and its end."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))) if len(values) else np.zeros(1, np.int64)
+
+
+def binaries(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The runs of an array that begin at ``cut`` (and its end) as binary values."""
+    at = np.ascontiguousarray(cut * values.itemsize, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def packets(target: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each target with any values: ``to`` and the values of each column, packed."""
+    order = np.argsort(target, kind="stable")
+    target = target[order]
+    cut = offsets_of(target)
+    arrays = [pa.array(target[cut[:-1]], pa.int64()), *(binaries(c[order], cut) for c in columns.values())]
+    return pa.RecordBatch.from_arrays(arrays, ["to", *columns])
+
+
+def unpack(table: pa.Table | pa.RecordBatch, name: str, kind: type) -> np.ndarray:
+    parts = [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def redeal(df: DataFrame, kinds: dict[str, type], target: Callable[[dict[str, np.ndarray]], np.ndarray], n: int, fan: int, held_bytes: int = 8 << 20) -> DataFrame:
+    """Packets dealt to groups of buckets (``to``: the group), dealt to the buckets of each group."""
+    if per_group(n, fan) == 1:
+        return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= held_bytes:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        columns = {c: unpack(table, c, k) for c, k in kinds.items()}
+        return packets(target(columns), columns)
+
+    return df.repartition("to").mapInArrow(run, df.schema)

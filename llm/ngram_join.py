@@ -11,16 +11,22 @@ A document is the set of its distinct word 5-grams, hashed to 64 bits.  Document
 4. *Prefixes.*  Linked sets share an n-gram of their prefixes (the first ``n - ceil(.75 n) + 1``).
    Classes connected by prefix n-grams form blocks, so all links are within blocks.
 5. *Prefix tree.*  A block's sets, sorted by the global order, form a trie: each set is stored from
-   where it leaves the path of the one before.  A set is matched against the trie by passing each shared part once, with the
-   overlap so far, and leaves a subtree when what remains of both sets can't reach the overlap needed.
-   Sets that are already connected needn't be compared again, so a group of copies isn't expanded into pairs.
+   where it leaves the path of the one before.  All links are found by traversing it with a set from the root towards the
+   sets that share a prefix n-gram: each shared part is passed once, with the overlap so far, and a subtree is left when what
+   remains of both sets can't reach the overlap needed.  One set of each component is looked for first; sets that are
+   then connected needn't be looked for again, so a group of copies isn't expanded into pairs.
    A block of more than ``BLOCK_NGRAMS`` n-grams is cut into parts and each pair of parts is one task, so
    memory is bounded and all links are kept.
 
+Wherever n-grams are dealt by hash, the texts of a chunk (a few megabytes) first agree on the distinct ones, so an n-gram that very many
+documents have is one entry for each chunk; packets hold what a chunk has for a bucket, and with very many buckets they are dealt
+in two steps (``common.redeal``), so the number of packets grows with the bytes.
+
 Only components are asked for, so links within one are found until it is connected.  Hashes of 64 bits stand for n-grams.
 
 Null and empty texts have an empty set and link with nothing.  Rows without id link with nothing and have a null
-component.  Rows with equal ids are separate documents.  Extra columns are ignored; an empty table gives an empty result.
+component.  Rows with equal ids are separate documents.  Extra columns are ignored, also if they have the names of result columns; an
+empty table gives an empty result.  A very long text is one set; tasks hold a small multiple of its size.
 """
 
 from __future__ import annotations
@@ -33,16 +39,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import bucket_of, by_bucket, longs, materialize
+from llm.common import binaries, bucket_of, materialize, offsets_of, packets, per_group, redeal, unpack
 from llm.graph import components, forest
 from llm.words import SPACE, Piece, mix, pieces, shingles
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 BUCKET_BYTES = 24 << 20  # of text for each bucket of the filter
+CHUNK_BYTES = 8 << 20  # of text whose n-grams travel together
+FAN = 4096
 BLOCK_NGRAMS = 4_000_000
-MAP_BITS = 1 << 26  # of the bit map of documents to read again
-_SHARED = 0  # the class of n-grams that several classes of a piece have
-_PACK = "bucket int, piece long, ids array<long>, n array<int>, d1 array<long>, d2 array<long>, counts array<int>, local array<int>, grams binary"
+_SHARED = 0  # the class of n-grams that several classes of a chunk have
+_DOCS = -1
+_SCAN = "bucket long, chunk array<long>, ids array<long>, n array<int>, d1 array<long>, d2 array<long>, counts array<int>, grams binary"
+_HITS = {"chunk": np.int64, "d1": np.int64, "hits": np.int64}
+_PARTS = {"gram": np.uint64, "part": np.int32, "count": np.uint32}
+_FREQUENCY = {"part": np.int32, "gram": np.uint64, "df": np.uint32}
+_PREFIX = {"gram": np.uint64, "node": np.int64}
+
+
+def _schema(kinds: dict[str, type]) -> str:
+    return "to long, " + ", ".join(f"{c} binary" for c in kinds)
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -78,212 +94,287 @@ def _take(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
 
 
-def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.array([values], pa.list_(kind))
+def _lists(values: np.ndarray, cut: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values, kind))
+
+
+def _scan_rows(bucket: np.ndarray, chunk: int, lists: dict[str, tuple[np.ndarray, np.ndarray]], grams: pa.Array | None = None) -> pa.RecordBatch:
+    """Rows of ``_SCAN``; a column is given as its values and where each row's begin."""
+    n, none = len(bucket), np.zeros(len(bucket) + 1, np.int64)
+    columns = [pa.array(bucket, pa.int64()), _lists(np.full(n, chunk), np.arange(n + 1), pa.int64())]
+    for name, kind in (("ids", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("counts", pa.int32())):
+        columns.append(_lists(*lists.get(name, (none[:0], none)), kind))
+    columns.append(binaries(np.zeros(0, np.uint8), none) if grams is None else grams)
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SCAN.split(", ")])
 
 
-def _pack(bucket: int, number: int, ids, n, digests, counts, local, grams: bytes) -> pa.RecordBatch:
-    columns = [pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), _lists(ids, pa.int64()), _lists(n, pa.int32()), _lists(digests[:, 0], pa.int64()), _lists(digests[:, 1] if bucket < 0 else digests[:0, 1], pa.int64()), _lists(counts, pa.int32()), _lists(local, pa.int32()), pa.array([grams], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PACK.split(", ")])
+def _spot(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The filter's bucket, from the low bits: it sees the n-grams with the lowest hashes."""
+    return ((keys & np.uint64(0xFFFFFFFF)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _scan(n_buckets: int, width: int):
-    """Packets: one with bucket -1 for each piece, with all its documents; one for each bucket with the n-grams of the
-    piece's classes.  ``counts``: n-grams of each class here; ``local`` (bucket 0): hits known within the piece."""
+def _filter_rows(chunk: int, klass: np.ndarray, owner: np.ndarray, keys: np.ndarray, n_buckets: int, per: int) -> pa.RecordBatch:
+    """One row for each bucket (or group of them): its classes, how many n-grams each has here, and the n-grams: what
+    their bucket doesn't say of them, or all while there is a step to come."""
+    bucket = _spot(keys, n_buckets) // per
+    order = np.lexsort((owner, bucket))
+    bucket, owner, keys = bucket[order], owner[order], keys[order]
+    entry = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])))) if len(keys) else np.zeros(0, np.int64)
+    cut = offsets_of(bucket)
+    which = np.searchsorted(entry, cut)
+    counts = np.diff(np.concatenate((entry, [len(keys)])))
+    return _scan_rows(bucket[cut[:-1]], chunk, {"d1": (klass[owner[entry]], which), "counts": (counts, which)}, binaries(keys if per > 1 else (keys >> np.uint64(32)).astype(np.uint32), cut))
+
+
+def _scan(n_buckets: int, width: int, fan: int):
+    """Rows with all documents of each piece (bucket ``_DOCS``); for each chunk of several pieces, the n-grams of its classes by
+    bucket, and (buckets below ``_DOCS``) the hits that are known within the chunk."""
+    per = per_group(n_buckets, fan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 40
+        chunk, size = TaskContext.get().partitionId() << 40, 0
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             all_ids = batch.column(0)
             for piece in pieces(batch.column(1), SPACE):
-                number += 1
                 ids = all_ids.slice(piece.first, piece.n).to_numpy(zero_copy_only=False)
                 grams, first = _sets(piece, width)
-                n = np.diff(first)
-                digests = _digests(grams, first)
-                yield _pack(-1, number, ids, n, digests, np.zeros(0, np.int32), np.zeros(0, np.int32), b"")
+                n, digests = np.diff(first), _digests(grams, first)
+                whole = np.array([0, piece.n])
+                yield _scan_rows(np.array([_DOCS]), chunk, {"ids": (ids, whole), "n": (n, whole), "d1": (digests[:, 0], whole), "d2": (digests[:, 1], whole)})
                 some = np.flatnonzero(n > 0)
                 some = some[np.unique(digests[some], axis=0, return_index=True)[1]] if len(some) else some
-                size = n[some]
-                taken = np.minimum(size, size - least_overlap(size) + _extra(size))
-                keys, owner = grams[_take(first[some], taken)], np.repeat(np.arange(len(some)), taken)
-                # n-grams of several classes of the piece are known to be shared and are sent once, by none
-                order = np.argsort(keys, kind="stable")
-                keys, owner = keys[order], owner[order]
-                edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-                many = np.diff(edge) > 1
-                hits = np.bincount(owner[np.repeat(many, np.diff(edge))], minlength=len(some))
-                keys, owner = keys[edge[:-1]], np.where(many, len(some), owner[edge[:-1]])
-                bucket = ((keys & np.uint64(0xFFFFF)) * np.uint64(n_buckets) >> np.uint64(20)).astype(np.int64)
-                order = np.lexsort((owner, bucket))
-                bucket, owner, keys = bucket[order], owner[order], (keys[order] >> np.uint64(20)).astype(np.uint32)
-                cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                none, klass = np.zeros(0, np.int64), np.concatenate((digests[some, 0], [_SHARED]))
-                local = np.flatnonzero(hits)
-                for b in range(n_buckets):
-                    a, z = cut[b], cut[b + 1]
-                    mine, counts = np.unique(owner[a:z], return_counts=True)
-                    if b == 0:  # what is known already travels with the first bucket
-                        mine, counts = np.concatenate((mine, local)), np.concatenate((counts, np.zeros(len(local), np.int64)))
-                    if len(mine):
-                        known = np.concatenate((np.zeros(len(mine) - len(local), np.int64), hits[local])) if b == 0 else none
-                        yield _pack(b, number, none, none, np.stack((klass[mine], klass[mine]), 1), counts, known, keys[a:z].tobytes())
+                taken = np.minimum(n[some], n[some] - least_overlap(n[some]) + _extra(n[some]))
+                held.append((digests[some, 0], taken, grams[_take(first[some], taken)]))
+                size += len(piece.raw)
+                if size >= CHUNK_BYTES:
+                    yield from flush(chunk, held)
+                    chunk, size, held = chunk + 1, 0, []
+        yield from flush(chunk, held)
+
+    def flush(chunk: int, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        classes, taken, keys = (np.concatenate([h[i] for h in held]) for i in range(3))
+        klass, lead = np.unique(classes, return_index=True)
+        once = np.zeros(len(classes), bool)  # a class counts once
+        once[lead] = True
+        keys = keys[np.repeat(once, taken)]
+        owner = np.repeat(np.searchsorted(klass, classes[once]), taken[once])
+        # n-grams of several classes of the chunk are known to be shared and are sent once, by none
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        edge = offsets_of(keys)
+        many = np.diff(edge) > 1
+        hits = np.bincount(owner[np.repeat(many, np.diff(edge))], minlength=len(klass))
+        owner = np.where(many, len(klass), owner[edge[:-1]])
+        if len(keys):
+            yield _filter_rows(chunk, np.concatenate((klass, [_SHARED])), owner, keys[edge[:-1]], n_buckets, per)
+        known = np.flatnonzero(hits)
+        if len(known):
+            to = bucket_of(mix(klass[known].view(np.uint64)), n_buckets) // per
+            order = np.argsort(to, kind="stable")
+            cut = offsets_of(to[order])
+            yield _scan_rows(_DOCS - 1 - to[order][cut[:-1]], chunk, {"d1": (klass[known][order], cut), "counts": (hits[known][order], cut)})
 
     return run
 
 
-def _count_hits(n_buckets: int):
-    """Packets for buckets of classes: the pieces, classes and hits that one bucket of n-grams has."""
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of filter rows, the chunk, class and number of n-grams of each entry."""
+    cols = {c: table.column(c).combine_chunks() for c in ("chunk", "d1", "counts")}
+    klass, counts, chunk = (cols[c].values.to_numpy(zero_copy_only=False) for c in ("d1", "counts", "chunk"))
+    sizes, have = (np.diff(cols[c].offsets.to_numpy()) for c in ("d1", "chunk"))
+    # a row has one chunk for all its entries, or one for each
+    return np.repeat(chunk, np.repeat(np.where(have == sizes, 1, sizes), have)), klass, counts
+
+
+def _filter_redeal(df: DataFrame, n_buckets: int, fan: int) -> DataFrame:
+    """The second step of the filter's dealing."""
+    if per_group(n_buckets, fan) == 1:
+        return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= CHUNK_BYTES:
+                yield flush(held)
+                held = []
+        if held:
+            yield flush(held)
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        chunk, klass, counts = _entries(table)
+        keys, entry = unpack(table, "grams", np.uint64), np.repeat(np.arange(len(klass)), counts)
+        rows = _filter_rows(0, klass, entry, keys, n_buckets, 1)
+        order = np.lexsort((entry, _spot(keys, n_buckets)))
+        again = entry[order][np.concatenate(([True], (np.diff(_spot(keys, n_buckets)[order]) != 0) | (np.diff(entry[order]) != 0)))]
+        return rows.set_column(1, rows.schema.field(1), _lists(chunk[again], rows.column("d1").offsets.to_numpy(), pa.int64()))
+
+    return df.repartition("bucket").mapInArrow(run, df.schema)
+
+
+def _count_hits(n_buckets: int, per: int):
+    """Packets for buckets of classes: the chunks, classes and hits that one bucket of n-grams has."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        piece, klass, hits = _hits(table)
-        to = bucket_of(mix(klass.view(np.uint64)), n_buckets)
-        rows = list(by_bucket(to, piece, klass, hits))
-        return pa.table({"to": pa.array([r[0] for r in rows], pa.int32()), **{c: pa.array([r[1][i] for r in rows], pa.binary()) for i, c in enumerate(("piece", "d1", "hits"))}})
+        chunk, klass, counts = _entries(table)
+        grams = unpack(table, "grams", np.uint32)
+        entry = np.repeat(np.arange(len(klass)), counts)
+        order = np.argsort(grams, kind="stable")
+        c = klass[entry[order]]
+        first = offsets_of(grams[order])
+        group = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        several = np.zeros(len(first) - 1, bool)
+        several[group[(c != c[first[:-1]][group]) | (c == _SHARED)]] = True
+        hits = np.bincount(entry[order][several[group]], minlength=len(klass))
+        some = (hits > 0) & (klass != _SHARED)
+        return pa.Table.from_batches([packets(_class_bucket(klass[some], n_buckets) // per, {"chunk": chunk[some], "d1": klass[some], "hits": hits[some].astype(np.int64)})])
 
     return run
 
 
+def _class_bucket(klass: np.ndarray, n_buckets: int) -> np.ndarray:
+    return bucket_of(mix(klass.view(np.uint64)), n_buckets)
+
+
+def _known_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        chunk, klass, hits = _entries(table)
+        to = np.repeat(_DOCS - 1 - batch.column("bucket").to_numpy(), np.diff(batch.column("d1").offsets.to_numpy()))
+        yield packets(to, {"chunk": chunk, "d1": klass, "hits": hits.astype(np.int64)})
+
+
 def _most_hits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The hits of each class: summed within a piece, the most of all pieces."""
-    piece, klass, hits = (np.concatenate([longs(x) for x in table.column(c).to_pylist()]) for c in ("piece", "d1", "hits"))
-    order = np.lexsort((piece, klass))
-    piece, klass, hits = piece[order], klass[order], hits[order]
-    first = np.flatnonzero(np.concatenate(([True], (klass[1:] != klass[:-1]) | (piece[1:] != piece[:-1]))))
+    """The hits of each class: summed within a chunk, the most of all chunks."""
+    chunk, klass, hits = (unpack(table, c, k) for c, k in _HITS.items())
+    order = np.lexsort((chunk, klass))
+    chunk, klass, hits = chunk[order], klass[order], hits[order]
+    first = np.flatnonzero(np.concatenate(([True], (klass[1:] != klass[:-1]) | (chunk[1:] != chunk[:-1]))))
     total, klass = np.add.reduceat(hits, first), klass[first]
-    first = np.flatnonzero(np.concatenate(([True], klass[1:] != klass[:-1])))
+    first = offsets_of(klass)[:-1]
     return pa.table({"d1": klass[first], "hits": np.maximum.reduceat(total, first)})
 
 
-def _hits(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each packet's classes: n-grams of this bucket that another class has, too, and the hits known before."""
-    cols = {c: table.column(c).combine_chunks() for c in ("d1", "counts", "local")}
-    klass, counts, known = (cols[c].values.to_numpy(zero_copy_only=False) for c in ("d1", "counts", "local"))
-    sizes = np.diff(cols["d1"].offsets.to_numpy())
-    local = np.zeros(len(klass), np.int64)
-    if len(known):
-        local[np.repeat(np.diff(cols["local"].offsets.to_numpy()) > 0, sizes)] = known
-    grams = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("grams").to_pylist()])
-    entry = np.repeat(np.arange(len(klass)), counts)
-    order = np.argsort(grams, kind="stable")
-    g, c = grams[order], klass[entry[order]]
-    start = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
-    group = np.cumsum(start) - 1
-    first = np.flatnonzero(start)
-    several = np.zeros(len(first), bool)
-    several[group[(c != c[first][group]) | (c == _SHARED)]] = True
-    hits = np.bincount(entry[order][several[group]], minlength=len(klass)) + local
-    some = (hits > 0) & (klass != _SHARED)
-    return np.repeat(table.column("piece").to_numpy(), sizes)[some], klass[some], hits[some].astype(np.int64)
-
-
-def _candidates(scanned: DataFrame, classes: DataFrame, n_buckets: int) -> DataFrame:
+def _candidates(scanned: DataFrame, classes: DataFrame, n_buckets: int, fan: int) -> DataFrame:
     """The ``classes`` that may have links."""
-    hits = scanned.where("bucket >= 0").groupBy("bucket").applyInArrow(_count_hits(n_buckets), "to int, piece binary, d1 binary, hits binary")
-    most = hits.groupBy("to").applyInArrow(_most_hits, "d1 long, hits long")
+    dealt = _filter_redeal(scanned.where("bucket >= 0"), n_buckets, fan)
+    hits = dealt.groupBy("bucket").applyInArrow(_count_hits(n_buckets, per_group(n_buckets, fan)), _schema(_HITS))
+    hits = hits.unionByName(scanned.where(F.col("bucket") < _DOCS).mapInArrow(_known_hits, _schema(_HITS)))
+    most = redeal(hits, _HITS, lambda c: _class_bucket(c["d1"], n_buckets), n_buckets, fan).groupBy("to").applyInArrow(_most_hits, "d1 long, hits long")
     # _extra() of the smallest set that may link
     needed = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / 4))
     return classes.join(most, "d1").where(F.col("hits") >= needed).drop("hits", "n")
 
 
-def _position(doc_id: str) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(MAP_BITS))
-
-
-def _texts_of(rows: DataFrame, left: DataFrame) -> DataFrame:
-    """``rows`` (id, text) of the documents in ``left``.  A bit map of fixed size drops most others before the join
-    moves any text."""
-    spot = _position("id")
+def _sets_of(rows: DataFrame, left: DataFrame, width: int) -> DataFrame:
+    """Node and set (``grams``) of each class in ``left``, from one of its documents in ``rows`` (id, text).  A bit map of bounded
+    size drops most others before they are read again."""
+    bits = 1 << min(28, max(20, (16 * left.count()).bit_length()))
+    spot = F.pmod(F.xxhash64("id"), F.lit(bits))
     marked = left.select(spot.alias("p")).groupBy(F.shiftright("p", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits"))
-    bits = np.zeros((MAP_BITS >> 15, 4096), np.uint8)
-    for row in marked.toLocalIterator():  # MAP_BITS bits at most
-        bits[row["b"]] = np.frombuffer(row["bits"], np.uint8)
-    sent = rows.sparkSession.sparkContext.broadcast(bits.ravel())
+    table = np.zeros((bits >> 15, 4096), np.uint8)
+    for row in marked.toLocalIterator():  # 32 MB at most
+        table[row["b"]] = np.frombuffer(row["bits"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(table.ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(2).to_numpy()
-            keep = sent.value[p >> 3] >> (p & 7).astype(np.uint8) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select([0, 1])
+            batch = batch.filter(pa.array((sent.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)))
+            for piece in pieces(batch.column(1), SPACE):
+                grams, first = _sets(piece, width)
+                digests = _digests(grams, first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), binaries(grams, first)], ["id", "d1", "d2", "grams"])
 
-    near = rows.select("id", "text", spot.alias("p")).mapInArrow(run, "id long, text string")
-    return near.join(left, "id").drop("id")
+    near = rows.select("id", "text", spot.alias("p")).mapInArrow(run, "id long, d1 long, d2 long, grams binary")
+    once = near.groupBy("id", "d1", "d2").agg(F.first("grams").alias("grams"))  # rows with the same id and text
+    return once.join(left, ["id", "d1", "d2"]).select("node", "grams")
 
 
-def _send_grams(n_buckets: int, width: int):
-    """All n-grams of the classes left, dealt by hash: node, n, counts for each bucket, grams."""
+def _send_sets(n_parts: int, per: int):
+    """The sets by part (a bucket of chunks; ``to`` -1), and packets: the distinct n-grams of a chunk, and how many of its classes have each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 20, [], 0
         for batch in batches:
-            nodes, want1, want2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "d1", "d2"))
-            for piece in pieces(batch.column("text"), SPACE):
-                part = slice(piece.first, piece.first + piece.n)
-                grams, first = _sets(piece, width)
-                digests = _digests(grams, first)
-                right = (digests[:, 0] == want1[part]) & (digests[:, 1] == want2[part])  # an id may have several texts
-                n = np.where(right, np.diff(first), 0)
-                keys, owner = grams[_take(first[:-1], n)], np.repeat(np.arange(piece.n), n)
-                bucket = bucket_of(keys, n_buckets)
-                order = np.lexsort((owner, bucket))
-                bucket, owner, keys = bucket[order], owner[order], keys[order]
-                cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    mine, counts = np.unique(owner[cut[b] : cut[b + 1]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), _lists(nodes[part][mine], pa.int64()), _lists(n[mine], pa.int32()), _lists(counts, pa.int32()), pa.array([keys[cut[b] : cut[b + 1]].tobytes()], pa.binary())], ["bucket", "nodes", "n", "counts", "grams"])
+            for i in range(0, batch.num_rows, 256):
+                held.append(batch.slice(i, 256))
+                size += held[-1].nbytes
+                if size >= CHUNK_BYTES:
+                    yield from flush(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield from flush(number, held)
+
+    def flush(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        grams, n = unpack(table, "grams", np.uint64), np.array([len(x) // 8 for x in table.column("grams").to_pylist()], np.int64)
+        part = int(mix(np.array([number], np.uint64))[0] % np.uint64(n_parts))
+        packed = [pa.array([x.tobytes()], pa.binary()) for x in (grams, n, table.column("node").to_numpy())]
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([part], pa.int32()), *packed], ["to", "at", "gram", "part", "count"])
+        keys, counts = np.unique(grams, return_counts=True)
+        out = packets(bucket_of(keys, n_parts) // per, {"gram": keys, "part": np.full(len(keys), part, np.int32), "count": counts.astype(np.uint32)})
+        yield pa.RecordBatch.from_arrays([out.column(0), pa.array(np.full(out.num_rows, -1), pa.int32()), *out.columns[1:]], ["to", "at", "gram", "part", "count"])
 
     return run
 
 
-def _frequencies(n_buckets: int):
+def _frequencies(per: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Back to the classes: n-grams of this bucket with a frequency of two or more."""
-        nodes, n, counts = (table.column(c).combine_chunks().values.to_numpy(zero_copy_only=False) for c in ("nodes", "n", "counts"))
-        grams = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()])
-        entry = np.repeat(np.arange(len(nodes)), counts)
-        pair = np.unique(np.stack((grams, nodes[entry].view(np.uint64)), 1), axis=0) if len(np.unique(nodes)) < len(nodes) else np.stack((grams, nodes[entry].view(np.uint64)), 1)
-        _, back, df = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
-        keep = df[back] > 1
-        size_of = dict(zip(nodes.tolist(), n.tolist(), strict=True))
-        grams, node, df = pair[keep, 0], pair[keep, 1].view(np.int64), df[back][keep]
-        to = bucket_of(mix(node.view(np.uint64)), n_buckets)
-        order = np.lexsort((node, to))
-        grams, node, df, to = grams[order], node[order], df[order].astype(np.uint32), to[order]
-        rows = []
-        cut = np.searchsorted(to, np.arange(n_buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            part = slice(cut[b], cut[b + 1])
-            mine, counts = np.unique(node[part], return_counts=True)
-            rows.append((b, mine, [size_of[x] for x in mine.tolist()], counts, grams[part].tobytes(), df[part].tobytes()))
-        kinds = {"bucket": pa.int32(), "nodes": pa.list_(pa.int64()), "n": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()), "grams": pa.binary(), "df": pa.binary()}
-        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
+        """Back to the parts: n-grams of this bucket with a frequency of two or more."""
+        grams, part, count = (unpack(table, c, k) for c, k in _PARTS.items())
+        keys, at = np.unique(grams, return_inverse=True)
+        df = np.bincount(at, count, len(keys)).astype(np.uint32)
+        order = np.lexsort((grams, part))
+        order = order[df[at[order]] > 1]
+        once = np.concatenate(([True], (part[order][1:] != part[order][:-1]) | (grams[order][1:] != grams[order][:-1]))) if len(order) else np.zeros(0, bool)
+        order = order[once]
+        return pa.Table.from_batches([packets(part[order].astype(np.int64) // per, {"part": part[order], "gram": grams[order], "df": df[at[order]]})])
 
     return run
 
 
-def _ordered_sets(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _ordered_sets(key: tuple[pa.Scalar, ...], sets: pa.Table, frequency: pa.Table) -> pa.Table:
     """Each class with its shared n-grams in the global order; ``prefix``: how many of them are in its prefix.  Classes with too few shared
     n-grams for any link are left out."""
-    nodes, n, counts = (table.column(c).combine_chunks().values.to_numpy(zero_copy_only=False) for c in ("nodes", "n", "counts"))
-    grams = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()])
-    df = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("df").to_pylist()])
-    node, size = np.repeat(nodes, counts), np.repeat(n, counts).astype(np.int64)
-    order = np.lexsort((grams, df, node))
-    grams, node, size, df = grams[order], node[order], size[order], df[order]
-    edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
-    have, n = np.diff(edge), size[edge[:-1]]
-    prefix = have - least_overlap(n) + 1  # n-grams of this class alone come first in the order
-    rows = []
-    for i in np.flatnonzero(prefix > 0).tolist():
-        a, b = edge[i], edge[i + 1]
-        rows.append((int(node[a]), int(n[i]), int(prefix[i]), grams[a:b].tobytes(), df[a:b].tobytes()))
-    kinds = {"node": pa.int64(), "n": pa.int32(), "prefix": pa.int32(), "grams": pa.binary(), "df": pa.binary()}
-    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
-
-
-def _send_prefixes(n_buckets: int):
-    """Prefix n-grams by bucket: each with one class of the batch; classes of a batch that share one are linked at once."""
+    grams, n, nodes = unpack(sets, "gram", np.uint64), unpack(sets, "part", np.int64), unpack(sets, "count", np.int64)
+    known, df = unpack(frequency, "gram", np.uint64), unpack(frequency, "df", np.uint32)
+    order = np.argsort(known, kind="stable")
+    known, df = known[order], df[order]
+    at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+    shared = known[at] == grams if len(known) else np.zeros(len(grams), bool)
+    who = np.repeat(np.arange(len(nodes)), n)[shared]
+    grams, df = grams[shared], df[at[shared]] if len(known) else np.zeros(0, np.uint32)
+    order = np.lexsort((grams, df, who))
+    who, grams, df = who[order], grams[order], df[order]
+    first = np.searchsorted(who, np.arange(len(nodes) + 1))
+    prefix = np.diff(first) - least_overlap(n) + 1  # n-grams of this class alone come first in the order
+    some = np.flatnonzero((prefix > 0) & (np.diff(first) > 0))
+    at = _take(first[some], np.diff(first)[some])
+    cut = np.concatenate(([0], np.cumsum(np.diff(first)[some])))
+    return pa.table({"node": nodes[some], "n": pa.array(n[some], pa.int32()), "prefix": pa.array(prefix[some], pa.int32()), "grams": binaries(grams[at], cut), "df": binaries(df[at], cut)})
+
+
+def ordered_sets(sets: DataFrame, n_parts: int, fan: int) -> DataFrame:
+    """``sets`` (node, grams) in the global order: node, n, prefix, grams, df."""
+    per = per_group(n_parts, fan)
+    sent = materialize(sets.mapInArrow(_send_sets(n_parts, per), "to long, at int, gram binary, part binary, count binary"))
+    by_gram = redeal(sent.where("to >= 0").drop("at"), _PARTS, lambda c: bucket_of(c["gram"], n_parts), n_parts, fan)
+    back = redeal(by_gram.groupBy("to").applyInArrow(_frequencies(per), _schema(_FREQUENCY)), _FREQUENCY, lambda c: c["part"].astype(np.int64), n_parts, fan)
+    whole = sent.where("to < 0").select(F.col("at").cast("long").alias("to"), "gram", "part", "count")
+    return materialize(whole.groupBy("to").cogroup(back.groupBy("to")).applyInArrow(_ordered_sets, "node long, n int, prefix int, grams binary, df binary"))
+
+
+def _send_prefixes(n_buckets: int, per: int):
+    """Prefix n-grams by bucket: each with one class of the batch; classes of a batch that share one are linked at once (``to`` -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,25 +382,14 @@ def _send_prefixes(n_buckets: int):
             if not len(prefix):
                 continue
             grams = np.concatenate([np.frombuffer(x, np.uint64, p) for x, p in zip(batch.column("grams").to_pylist(), prefix.tolist(), strict=True)])
-            node = np.repeat(batch.column("node").to_numpy(), prefix)
-            keys, low, a, b = _hubs(grams, node)
+            keys, low, a, b = _hubs(grams, np.repeat(batch.column("node").to_numpy(), prefix))
             if len(a):
-                yield _edge_rows(a, b)
-            bucket = bucket_of(keys, n_buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, keys, low = bucket[order], keys[order], low[order]
-            cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                part = slice(cut[k], cut[k + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([keys[part].tobytes()], pa.binary()), pa.array([low[part].tobytes()], pa.binary())], ["bucket", "x", "y"])
+                yield packets(np.full(len(a), -1), {"gram": a, "node": b})
+            yield packets(bucket_of(keys, n_buckets) // per, {"gram": keys, "node": low})
 
     return run
 
 
-def _edge_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["bucket", "x", "y"])
-
-
 def _hubs(grams: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams with the smallest node of each, and a forest that connects all nodes of each n-gram."""
     order = np.lexsort((node, grams))
@@ -324,9 +404,7 @@ def _hubs(grams: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _block_edges(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    grams = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("x").to_pylist()])
-    node = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("y").to_pylist()])
-    _, _, a, b = _hubs(grams, node)
+    _, _, a, b = _hubs(*(unpack(table, c, k) for c, k in _PREFIX.items()))
     return pa.table({"a": a, "b": b})
 
 
@@ -373,32 +451,40 @@ class PrefixTree:
                 p = self.parent[k]
                 self.longest[p] = max(self.longest[p], self.longest[k])
                 self.least_n[p] = min(self.least_n[p], self.least_n[k])
-        self.by_level = [np.flatnonzero(self.level == d) for d in range(int(self.level.max(initial=-1)) + 1)]
-
-    def match(self, marks: np.ndarray, positions: np.ndarray, n: int, skip: np.ndarray) -> np.ndarray:
-        """Sets (in tree order) linked with a set of size ``n``: ``marks`` has its ranks, ``positions`` the number of its n-grams
-        up to each rank.  Sets in ``skip`` aren't returned."""
-        total = np.concatenate(([0], np.cumsum(marks[self.ranks], dtype=np.int64)))
-        so_far = np.zeros(len(self.order), np.int64)  # overlap where a set leaves its parent
-        live = np.zeros(len(self.order), bool)
-        found = []
-        size = int(positions[-1])
-        for at in self.by_level:
+    def match(self, marks: np.ndarray, positions: np.ndarray, n: int, wanted: np.ndarray) -> np.ndarray:
+        """Those of the sets ``wanted`` (in tree order) that link with a set of size ``n``: ``marks`` has its ranks, ``positions``
+        the number of its n-grams up to each rank.  Only the ways from the root to ``wanted`` are passed, each part once."""
+        on_way = np.zeros(len(self.order), bool)
+        at = wanted
+        while len(at):
+            at = np.unique(at[~on_way[at]])
+            on_way[at] = True
+            at = self.parent[at]
+            at = at[at >= 0]
+        ways = np.flatnonzero(on_way)
+        ways = ways[np.argsort(self.level[ways], kind="stable")]
+        steps = np.searchsorted(self.level[ways], np.arange(self.level[ways[-1]] + 2)) if len(ways) else np.zeros(1, np.int64)
+        overlap, place = np.zeros(len(self.order), np.int64), np.full(len(self.order), -1)  # where its parent is left; in ``total``
+        total, size = np.zeros(1, np.int64), int(positions[-1])
+        for a, b in zip(steps[:-1], steps[1:], strict=True):
+            at = ways[a:b]
             p = self.parent[at]
             top = p < 0
-            at = at[top | live[p]]
-            p = self.parent[at]
-            so_far[at] = np.where(p < 0, 0, so_far[p] + total[self.leaves_at[at]] - total[self.begin[p]])
-            passed = np.where(p < 0, 0, positions[self.ranks[np.maximum(self.leaves_at[at] - 1, 0)]])
-            most = so_far[at] + np.minimum(size - passed, self.longest[at] - self.depth[at])
-            least = self.least_n[at]
-            needed = -(-NUMERATOR * (n + least) // (DENOMINATOR + NUMERATOR))
+            live = top | (place[p] >= 0)
+            at, p, top = at[live], p[live], top[live]
+            begin = np.where(top, 0, place[p])
+            overlap[at] = np.where(top, 0, overlap[p] + total[begin + np.where(top, 0, self.leaves_at[at] - self.begin[p])] - total[begin])
+            passed = np.where(top, 0, positions[self.ranks[np.maximum(self.leaves_at[at] - 1, 0)]])
+            most = overlap[at] + np.minimum(size - passed, self.longest[at] - self.depth[at])
+            needed = -(-NUMERATOR * (n + self.least_n[at]) // (DENOMINATOR + NUMERATOR))
             at = at[most >= needed]
-            live[at] = True
-            overlap = so_far[at] + total[self.end[at]] - total[self.begin[at]]
-            good = DENOMINATOR * overlap >= NUMERATOR * (n + self.sizes[at] - overlap)
-            found.append(at[good & ~skip[at]])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+            own = self.end[at] - self.begin[at]
+            total_here = np.concatenate(([0], np.cumsum(marks[self.ranks[_take(self.begin[at], own)]])))
+            place[at] = len(total) + np.cumsum(own) - own
+            total = np.concatenate((total, total[-1] + total_here))
+        at = wanted[place[wanted] >= 0]
+        both = overlap[at] + total[place[at] + self.end[at] - self.begin[at]] - total[place[at]]
+        return at[DENOMINATOR * both >= NUMERATOR * (n + self.sizes[at] - both)]
 
 
 def link_block(nodes: np.ndarray, sizes: np.ndarray, prefix: np.ndarray, grams: list[np.ndarray], df: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -440,8 +526,8 @@ def link_block(nodes: np.ndarray, sizes: np.ndarray, prefix: np.ndarray, grams:
 
     for i in np.lexsort((np.arange(m), sizes)).tolist():
         shared[:] = False
-        for r in sets[i][: prefix[i]].tolist():
-            shared[owner[first[r] : first[r + 1]]] = True
+        own = sets[i][: prefix[i]]
+        shared[owner[_take(first[own], first[own + 1] - first[own])]] = True
         near = np.flatnonzero(shared & (comp != comp[i]))
         if side_of is not None:
             near = near[side_of[near] != side_of[i]]
@@ -449,20 +535,15 @@ def link_block(nodes: np.ndarray, sizes: np.ndarray, prefix: np.ndarray, grams:
         if not len(near):
             continue
         marks[sets[i]] = 1
+        positions = np.cumsum(marks)
         # one set of each component first: in a group of copies that is mostly enough
-        leads = near[np.unique(comp[near], return_index=True)[1]]
-        for j in leads[:32].tolist():
-            overlap = int(marks[sets[j]].sum())
-            if DENOMINATOR * overlap >= NUMERATOR * (sizes[i] + sizes[j] - overlap):
-                join(i, j)
-        near = near[comp[near] != comp[i]]
-        if len(near):
-            skip = np.ones(m, bool)
-            skip[place[near]] = False
-            for k in tree.match(marks, np.cumsum(marks), int(sizes[i]), skip).tolist():
-                j = tree.order[k]
-                if comp[j] != comp[i]:
-                    join(i, j)
+        lead = np.zeros(len(near), bool)
+        lead[np.unique(comp[near], return_index=True)[1]] = True
+        for some in (near[lead], near[~lead]):
+            some = some[comp[some] != comp[i]]
+            for k in tree.match(marks, positions, int(sizes[i]), place[some]).tolist():
+                if comp[tree.order[k]] != comp[i]:
+                    join(i, tree.order[k])
         marks[sets[i]] = 0
     a, b = (nodes[[e[k] for e in edges]] if edges else np.zeros(0, np.int64) for k in (0, 1))
     return a, b
@@ -487,17 +568,16 @@ def _link(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
 
-def links(sets: DataFrame, n_buckets: int, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
+def links(sets: DataFrame, n_buckets: int, block_ngrams: int = BLOCK_NGRAMS, fan: int = FAN) -> DataFrame:
     """Edges (a, b) that connect the classes of ``sets`` as all links do."""
-    sent = materialize(sets.select("node", "prefix", "grams").mapInArrow(_send_prefixes(n_buckets), "bucket int, x binary, y binary"))
+    sent = materialize(sets.select("node", "prefix", "grams").mapInArrow(_send_prefixes(n_buckets, per_group(n_buckets, fan)), _schema(_PREFIX)))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(unpack(batch, c, np.int64)) for c in _PREFIX], ["a", "b"])
 
-    within = sent.where("bucket < 0").select("x", "y").mapInArrow(unpack, "a long, b long")
-    across = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_block_edges, "a long, b long")
+    within = sent.where("to < 0").mapInArrow(flat, "a long, b long")
+    across = redeal(sent.where("to >= 0"), _PREFIX, lambda c: bucket_of(c["gram"], n_buckets), n_buckets, fan).groupBy("to").applyInArrow(_block_edges, "a long, b long")
     blocks = components(within.unionByName(across))
     held = sets.join(blocks, "node").withColumn("grams_n", (F.length("grams") / 8).cast("long"))
     sizes = held.groupBy("component").agg(F.sum("grams_n").alias("total"))
@@ -514,29 +594,28 @@ def links(sets: DataFrame, n_buckets: int, block_ngrams: int = BLOCK_NGRAMS) ->
     return tasks.groupBy("task").applyInArrow(_link, "a long, b long")
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
     """For each row: the id, ``n_shingles`` (size of the set) and ``component_id`` (smallest id connected by links)."""
     size = docs.agg(F.sum(F.octet_length(text))).collect()[0][0] or 0
-    n_buckets = max(1, -(-size // BUCKET_BYTES))
+    n_buckets = max(1, -(-size // bucket_bytes))
     none = np.iinfo(np.int64).min
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(none)).alias("id"), F.col(text).alias("text"))
-    scanned = materialize(rows.mapInArrow(_scan(min(n_buckets, 1 << 20), width), _PACK))
-    docs_of = scanned.where("bucket < 0").select(F.explode(F.arrays_zip("ids", "n", "d1", "d2")).alias("x")).select("x.*").withColumnRenamed("ids", "id")
-    classes = docs_of.where((F.col("n") > 0) & (F.col("id") != none)).groupBy("d1", "d2").agg(F.min("id").alias("id"), F.max("n").alias("n")).withColumn("node", F.xxhash64("d1", "d2"))
-    left = materialize(_candidates(scanned, classes, n_buckets))
-    texts = _texts_of(rows, left)
-    sent = texts.mapInArrow(_send_grams(n_buckets, width), "bucket int, nodes array<long>, n array<int>, counts array<int>, grams binary")
-    back = sent.groupBy("bucket").applyInArrow(_frequencies(n_buckets), "bucket int, nodes array<long>, n array<int>, counts array<int>, grams binary, df binary")
-    sets = materialize(back.groupBy("bucket").applyInArrow(_ordered_sets, "node long, n int, prefix int, grams binary, df binary"))
-    linked = components(links(sets, n_buckets))
+    scanned = materialize(rows.mapInArrow(_scan(n_buckets, width, fan), _SCAN))
+    docs_of = scanned.where(F.col("bucket") == _DOCS).select(F.col("chunk")[0].alias("chunk"), F.explode(F.arrays_zip("ids", "n", "d1", "d2")).alias("x")).select("chunk", "x.*").withColumnRenamed("ids", "id")
+    # rows without words or id link with nothing
+    named = (F.col("n") > 0) & (F.col("id") != none)
+    classes = docs_of.where(named).groupBy("d1", "d2").agg(F.min("id").alias("id"), F.max("n").alias("n")).withColumn("node", F.xxhash64("d1", "d2"))
+    left = materialize(_candidates(scanned, classes, n_buckets, fan))
+    sets = ordered_sets(_sets_of(rows, left, width), n_buckets, fan)
+    linked = components(links(sets, n_buckets, fan=fan))
     inside = classes.join(linked, "node")
     least = inside.groupBy("component").agg(F.min("id").alias("least"))
     inside = inside.join(least, "component").select("d1", "d2", "least")
     labelled = classes.join(inside, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "id").alias("component"))
-    out = docs_of.join(labelled, ["d1", "d2"], "left")
-    # empty sets and rows without id stand alone
-    alone = (F.col("n") == 0) | (F.col("id") == none)
-    component = F.when(alone, F.col("id")).otherwise(F.col("component"))
+    # a class of very many copies goes to its documents by way of the chunks, one row for each
+    placed = docs_of.where(named).select("chunk", "d1", "d2").distinct().join(labelled, ["d1", "d2"])
+    out = docs_of.join(placed, ["chunk", "d1", "d2"], "left")
+    component = F.when(named, F.col("component")).otherwise(F.col("id"))
     return out.select(
         F.when(F.col("id") != none, F.col("id")).cast(docs.schema[doc_id].dataType).alias(doc_id),
         F.col("n").cast("long").alias("n_shingles"),

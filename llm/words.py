@@ -1,8 +1,9 @@
 """Vectorised splitting and hashing of words in Arrow string columns.
 
 Every operator that looks at words uses this module inside ``mapInArrow`` tasks.  A column is
-cut into pieces of a few megabytes (a single longer text is one piece), each piece is handled
-by a handful of numpy passes, and no Python loop runs per word.
+cut into pieces of a megabyte (a single longer text is one piece), each piece is handled
+by a handful of numpy passes, and no Python loop runs per word.  Arrays with a value for each byte hold one byte each, the
+others have a value for each word or each of a bounded number of bytes, so a long text takes a small multiple of its size.
 
 Null texts and empty texts have no words.
 """
@@ -20,6 +21,7 @@ import xxhash
 PIECE_BYTES = 1 << 20
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _LONGEST = 64  # words with more bytes are hashed by xxhash, one by one
+_STEP = 1 << 17  # words or runs handled at once
 _SEED = np.random.default_rng(20240229)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWER = np.full(_LONGEST, 0x9E3779B97F4A7C15, np.uint64)
@@ -77,21 +79,23 @@ class Piece:
 
 
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of disjoint, ascending, non-empty byte spans."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = ends - starts
-    total = int(size.sum())
-    shift = np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-    at = np.arange(total) + shift
-    place = at - np.repeat(starts, size)
-    value = _BYTE[raw[at]] * _POWER[place & (_LONGEST - 1)]
-    out = mix(np.add.reduceat(value, np.concatenate(([0], np.cumsum(size)[:-1]))) + size.astype(np.uint64))
-    for i in np.flatnonzero(size > _LONGEST):
+    """64-bit hashes of disjoint, ascending, non-empty byte spans; what is held besides them is bounded."""
+    out = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), _STEP):
+        out[i : i + _STEP] = _hash_some(raw, starts[i : i + _STEP], ends[i : i + _STEP])
+    for i in np.flatnonzero(ends - starts > _LONGEST):
         out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
     return out
 
 
+def _hash_some(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = np.minimum(ends - starts, _LONGEST)
+    before = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) + np.repeat(starts - before, size)
+    value = _BYTE[raw[at]] * _POWER[at - np.repeat(starts, size)]
+    return mix(np.add.reduceat(value, before) + size.astype(np.uint64))
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the int64 offsets of its rows; null is empty."""
     column = column.cast(pa.large_string())
@@ -135,10 +139,14 @@ def shingles(hashes: np.ndarray, word_bounds: np.ndarray, width: int) -> tuple[n
     counts = np.diff(word_bounds)
     runs = np.where(counts >= width, counts - width + 1, (counts > 0).astype(counts.dtype))
     owner = np.repeat(np.arange(len(counts)), runs)
-    first = word_bounds[:-1][owner] + np.arange(len(owner)) - (np.cumsum(runs) - runs)[owner]
-    last = word_bounds[1:][owner]
-    out = np.zeros(len(owner), np.uint64)
+    shift = word_bounds[:-1] - (np.cumsum(runs) - runs)
+    out = np.empty(len(owner), np.uint64)
     padded = np.concatenate((hashes, np.zeros(width, np.uint64)))
-    for i in range(width):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + np.where(first + i < last, padded[first + i], np.uint64(0x51ED270B))
-    return mix(out), owner
+    for a in range(0, len(owner), _STEP):
+        mine = owner[a : a + _STEP]
+        first, last = np.arange(a, a + len(mine)) + shift[mine], word_bounds[1:][mine]
+        key = np.zeros(len(mine), np.uint64)
+        for i in range(width):
+            key = key * np.uint64(0xD6E8FEB86659FD93) + np.where(first + i < last, padded[first + i], np.uint64(0x51ED270B))
+        out[a : a + _STEP] = mix(key)
+    return out, owner
