@@ -5,18 +5,21 @@ longest match that ends at each word is tracked, so all copied windows are found
 Words that stand in no pair of neighbouring words known from the items can't be part of a copied
 window; a fixed-size table of such pairs, made by numpy passes, skips them.
 
-Items are cut into blocks of at most ``block_words`` words; a block's automaton is what a task
-holds, and documents go through one pass for each block, without a shuffle.  So what is sent to
-the executors at once is bounded however large the benchmark is.
+Items are cut into parts of at most ``BLOCK_WORDS`` words that overlap by a window less one word, and the parts are dealt to
+blocks of about so many words.  Tasks build a block's automaton each and pack it into sorted arrays (some 70 bytes a word).
+Documents go through a pass for each ``PASS_BLOCKS`` blocks, without a shuffle; a pass is a job of its own, cut off from the
+last one with a checkpoint, so what the driver and the executors hold at once is bounded however large the benchmark is.
 
 Null or empty texts have no words and are never hit; items without words have no window; items
 without an id are matched but not listed.  Repeated documents and items give the same as single
-ones, an empty benchmark gives no hits, and further columns pass through unless they begin with
-``_hit``.
+ones, an empty benchmark gives no hits, and an empty table an empty result.  Further columns pass through; ``find_copies`` replaces those that begin with
+``_hit``.  A very long text is scanned as a whole.
 """
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from llm.common import materialize
 from llm.words import NOT_ALNUM, Piece, pieces
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
+PASS_BLOCKS = 5
 
 
 class SuffixAutomaton:
@@ -92,36 +97,74 @@ class SuffixAutomaton:
                     u = self.link[u]
                 self.marks[u].setdefault(size, set()).update([item] if item is not None else [])
 
-    def finish(self) -> None:
-        """For each state the nearest state, itself or up its suffix links, that has windows."""
-        self.nearest = [0] * len(self.link)
-        for u in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            self.nearest[u] = u if u in self.marks else self.nearest[self.link[u]]
-
-    def windows(self, state: int, length: int) -> Iterator[tuple[int, set[str]]]:
-        """Sizes and items of the windows that end where the longest match has this state and length."""
-        u = self.nearest[state]
-        while u:
-            yield from ((size, items) for size, items in self.marks[u].items() if size <= length)
-            u = self.nearest[self.link[u]]
+    def packed(self) -> dict[str, np.ndarray]:
+        """The automaton as arrays: for each state its suffix link, length, transitions by word, and the nearest state, itself or up its
+        links, with windows; for these, sizes and items."""
+        n = len(self.link)
+        nearest = np.zeros(n, np.int32)
+        for u in sorted(range(1, n), key=self.length.__getitem__):
+            nearest[u] = u if u in self.marks else nearest[self.link[u]]
+        moves = [sorted(x.items()) for x in self.next]
+        names = sorted({i for m in self.marks.values() for ids in m.values() for i in ids})
+        number = {name: k for k, name in enumerate(names)}
+        marks = [sorted(self.marks[u].items()) if u in self.marks else [] for u in range(n)]
+        sizes = [(size, ids) for m in marks for size, ids in m]
+        starts = lambda lengths: np.concatenate(([0], np.cumsum(np.fromiter(lengths, np.int64)))).astype(np.int32)
+        flat = lambda values, kind: np.fromiter(values, kind)
+        return {
+            "link": np.array(self.link, np.int32), "length": np.array(self.length, np.int32), "nearest": nearest,
+            "first": starts(len(m) for m in moves), "word": flat((w for m in moves for w, _ in m), np.uint64), "to": flat((t for m in moves for _, t in m), np.int32),
+            "mark": starts(len(m) for m in marks), "size": flat((size for size, _ in sizes), np.int32), "of": starts(len(ids) for _, ids in sizes),
+            "item": flat((number[i] for _, ids in sizes for i in sorted(ids)), np.int32), "names": np.array(names, object),
+        }
 
 
 class Block:
-    """The automaton of some items and the table that finds where it has to run."""
+    """The packed automaton of some items and the table that finds where it has to run."""
 
-    def __init__(self, items: list[tuple[str | None, list[int]]], window: int):
-        self.automaton = SuffixAutomaton(window)
+    def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int):
+        automaton = SuffixAutomaton(window)
         for _, words in items:
-            self.automaton.add(words)
+            automaton.add(words.tolist())
         for name, words in items:
-            self.automaton.mark(words, name)
-        self.automaton.finish()
-        self.least = min((min(window, len(words)) for _, words in items if words), default=window)
+            automaton.mark(words.tolist(), name)
+        self.arrays = automaton.packed()
+        self.least = min((min(window, len(words)) for _, words in items if len(words)), default=window)
         total = sum(len(words) for _, words in items)
-        self.shift = np.uint64(64 - max(20, int(64 * total + 1).bit_length()))
-        self.table = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.shift = np.uint64(64 - max(16, int(64 * total + 1).bit_length()))
+        table = np.zeros(1 << (64 - int(self.shift)), bool)
         for _, words in items:
-            self.table[self._slot(np.array(words, np.uint64))] = True
+            table[self._slot(words)] = True
+        self.table = np.packbits(table, bitorder="little")
+
+    def open(self) -> Block:
+        """Views that give plain numbers, for a task."""
+        self.views = {c: memoryview(a) for c, a in self.arrays.items() if c != "names"}
+        return self
+
+    def step(self, state: int, length: int, word: int) -> tuple[int, int]:
+        """The longest match after one more word."""
+        v = self.views
+        first, words = v["first"], v["word"]
+        while True:
+            end = first[state + 1]
+            k = bisect_left(words, word, first[state], end)
+            if k < end and words[k] == word:
+                return v["to"][k], length + 1
+            if not state:
+                return 0, 0
+            state = v["link"][state]
+            length = v["length"][state]
+
+    def windows(self, state: int, length: int) -> Iterator[tuple[int, list[str]]]:
+        """Sizes and items of the windows that end where the longest match has this state and length."""
+        v = self.views
+        u = v["nearest"][state]
+        while u:
+            for k in range(v["mark"][u], v["mark"][u + 1]):
+                if v["size"][k] <= length:
+                    yield v["size"][k], self.arrays["names"][self.arrays["item"][v["of"][k] : v["of"][k + 1]]].tolist()
+            u = v["nearest"][v["link"][u]]
 
     def _slot(self, words: np.ndarray) -> np.ndarray:
         key = words if self.least == 1 else words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:]
@@ -132,7 +175,8 @@ class Block:
         single = self.least == 1
         if len(words) < (1 if single else 2):
             return []
-        ok = self.table[self._slot(words)]
+        slot = self._slot(words)
+        ok = (self.table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         if not single:
             ok &= owner[1:] == owner[:-1]
         edge = np.diff(np.concatenate(([0], ok.view(np.int8), [0])))
@@ -146,31 +190,39 @@ class Block:
         enough = ends - begins >= self.least
         return list(zip(begins[enough].tolist(), ends[enough].tolist(), strict=True))
 
-    def scan(self, piece: Piece) -> Iterator[tuple[int, int, int, set[str]]]:
+    def scan(self, piece: Piece, words: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, list[str]]]:
         """The text, first and end word (in the text) and items of each window found."""
-        words, owner, automaton = piece.hashes(), piece.owner(), self.automaton
         for begin, end in self.runs(words, owner):
             text, state, length = int(owner[begin]), 0, 0
             base = begin - int(piece.word_bounds[text])
             for i, word in enumerate(words[begin:end].tolist()):
-                state, length = automaton.step(state, length, word)
-                for size, items in automaton.windows(state, length) if length >= self.least else ():
+                state, length = self.step(state, length, word)
+                for size, items in self.windows(state, length) if length >= self.least else ():
                     yield text, base + i + 1 - size, base + i + 1, items
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[Block]:
-    """Blocks of the items, read one partition at a time, in memory one block at a time."""
-    held: list[tuple[str | None, list[int]]] = []
-    size = 0
-    for row in items.select(F.col(item_id).cast("string"), text).toLocalIterator():
-        piece = next(pieces(pa.array([row[1]], pa.large_string()), NOT_ALNUM))
-        words = piece.hashes().tolist()
-        if size and size + len(words) > block_words:
-            yield Block(held, window)
-            held, size = [], 0
-        held.append((row[0], words))
-        size += len(words)
-    yield Block(held, window)
+def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int) -> DataFrame:
+    """``block`` (from 0, without gaps) and ``packed`` (bytes), a row for each block of items."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column(1), NOT_ALNUM):
+                words, bounds = piece.hashes(), piece.word_bounds
+                # each window is in a part: parts overlap by one word less
+                spans = [(i, a, min(a + block_words + window - 1, int(bounds[i + 1]))) for i in range(piece.n) for a in range(int(bounds[i]), max(int(bounds[i]) + 1, int(bounds[i + 1]) - window + 1), block_words) if bounds[i] < bounds[i + 1]]
+                ids = batch.column(0).slice(piece.first, piece.n).take(pa.array([s[0] for s in spans], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([words[a:b].tobytes() for _, a, b in spans], pa.binary())], ["item", "words"])
+
+    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        held = [(i, np.frombuffer(w, np.uint64)) for i, w in zip(table.column("item").to_pylist(), table.column("words").to_pylist(), strict=True)]
+        held.sort(key=lambda x: (x[0] is not None, x[0] or "", x[1].tobytes()))
+        return pa.table({"packed": pa.array([pickle.dumps(Block(held, window))], pa.binary())})
+
+    cut = materialize(items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).mapInArrow(parts, "item string, words binary").distinct())
+    total = cut.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+    n = max(1, -(-int(total) // block_words))
+    built = cut.groupBy(F.pmod(F.xxhash64("item", "words"), F.lit(n)).alias("at")).applyInArrow(build, "packed binary")
+    return materialize(built.withColumn("_at", F.monotonically_increasing_id()))
 
 
 def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,6 +244,7 @@ def find_copies(
     item_text: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    pass_blocks: int = PASS_BLOCKS,
     clean: bool = False,
 ) -> DataFrame:
     """``docs`` without ``text`` and with what is copied from ``items``.
@@ -201,37 +254,50 @@ def find_copies(
     the text stays and ``_hit_clean`` is the text without these ranges.
     """
     context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in item_blocks(items, item_id, item_text, window, block_words)]
+    built = item_blocks(items, item_id, item_text, window, block_words)
+    places = [r[0] for r in built.select("_at").orderBy("_at").collect()]  # a number for each block
+    groups = [places[i : i + pass_blocks] for i in range(0, len(places), pass_blocks)] or [[]]
     df = docs.withColumns({"_hit_words": F.lit(0).cast("long"), "_hit_spans": F.lit([]).cast("array<array<long>>"), "_hit_items": F.lit([]).cast("array<string>")})
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
+    for k, group in enumerate(groups):
+        rows = built.where(F.col("_at").between(group[0], group[-1])).select("packed").collect() if group else []  # pass_blocks blocks at most
+        blocks = context.broadcast([pickle.loads(r[0]) for r in rows])
+        last = k == len(groups) - 1
         fields = [f for f in df.schema.fields if clean or not last or f.name != text]
         if last and clean:
             fields.append(T.StructField("_hit_clean", T.StringType()))
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-        df = df.mapInArrow(_pass(block, text, [f.name for f in schema]), schema)
+        df = df.mapInArrow(_pass(blocks, k == 0, text, [f.name for f in schema]), schema)
+        if not last:
+            df = materialize(df)  # a pass of its own, so its blocks can go
+            blocks.unpersist()
     return df
 
 
-def _pass(block, text: str, names: list[str]):
+def _pass(blocks, new_docs: bool, text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = [b.open() for b in blocks.value]
         for batch in batches:
             for piece in pieces(batch.column(text), NOT_ALNUM):
                 rows = batch.slice(piece.first, piece.n)
+                words, owner = piece.hashes(), piece.owner()
                 spans, ids = defaultdict(list), defaultdict(set)
-                for i, a, b, items in block.value.scan(piece):
-                    spans[i].append((a, b))
-                    ids[i] |= items
-                old_spans, old_ids = rows.column("_hit_spans").to_pylist(), rows.column("_hit_items").to_pylist()
-                merged = [union_spans([*map(tuple, old), *spans.get(i, ())]) for i, old in enumerate(old_spans)]
+                if not new_docs:
+                    for i, (old_spans, old_ids) in enumerate(zip(rows.column("_hit_spans").to_pylist(), rows.column("_hit_items").to_pylist(), strict=True)):
+                        if old_spans:
+                            spans[i], ids[i] = [tuple(x) for x in old_spans], set(old_ids)
+                for block in opened:
+                    for i, a, b, items in block.scan(piece, words, owner):
+                        spans[i].append((a, b))
+                        ids[i].update(items)
+                merged = {i: union_spans(x) for i, x in spans.items()}
                 new = {
                     "_hit_words": pa.array(np.diff(piece.word_bounds), pa.int64()),
-                    "_hit_spans": pa.array([[list(x) for x in m] for m in merged], pa.list_(pa.list_(pa.int64()))),
-                    "_hit_items": pa.array([sorted({*old, *ids.get(i, ())}) for i, old in enumerate(old_ids)], pa.list_(pa.string())),
+                    "_hit_spans": pa.array([[list(x) for x in merged.get(i, ())] for i in range(piece.n)], pa.list_(pa.list_(pa.int64()))),
+                    "_hit_items": pa.array([sorted(ids.get(i, ())) for i in range(piece.n)], pa.list_(pa.string())),
                 }
                 if "_hit_clean" in names:
                     whole = rows.column(text).to_pylist()
-                    new["_hit_clean"] = pa.array([_without(piece, i, m) if m else whole[i] for i, m in enumerate(merged)], pa.string())
+                    new["_hit_clean"] = pa.array([_without(piece, i, merged[i]) if i in merged else whole[i] for i in range(piece.n)], pa.string())
                 yield pa.RecordBatch.from_arrays([new[n] if n in new else rows.column(n) for n in names], names)
 
     return run
@@ -252,7 +318,9 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with copied ranges of ``min_span`` words or more cut from the text, without documents
     whose share of copied words is above ``max_coverage``.  Other columns stay as they are."""
-    found = find_copies(docs, items, text=text, clean=True, window=min_span, **options)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    row = docs.select((F.struct(*rest) if rest else F.lit(0)).alias("_row"), F.col(text).alias("text"))
+    found = find_copies(row, items, text="text", clean=True, window=min_span, **options)
     hit = F.aggregate("_hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     kept = found.where(hit <= max_coverage * F.col("_hit_words"))
-    return kept.withColumn(text, F.col("_hit_clean")).select(*docs.columns)
+    return kept.select(*(F.col("_hit_clean").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns))
