@@ -7,11 +7,13 @@ language, so ``HASHES`` look-ups and an AND give all languages that hold a gram.
 are counted over all its grams, each count is corrected for the filter's false positives (the share of
 slots with the language's bit, to the power HASHES), and the highest count decides.
 
-At most ``1 / MIN_RATE`` grams of a language reach the driver; the table has a fixed size.
+Grams are counted by Spark's own aggregation, after each task has added up its own.  At most ``1 / MIN_RATE`` grams of a language
+reach the driver; the table has eight slots at least for each gram of the language that holds most.
 
 Null texts and texts without a letter are ``und`` with score 0.  Texts without any known gram get the language
 with most training grams and score 0; ties go to the first language in code point order.  Training rows
-without text or language teach nothing.  Without training rows every text is ``und``.  Repeated rows count each time.
+without text or language teach nothing.  Without training rows every text is ``und``.  Repeated rows count each time.  An empty table
+gives an empty result; columns named ``lang_pred`` or ``score`` are replaced, others pass through.  A very long text is one piece.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from llm.common import materialize
 from llm.words import _LOWER, Piece, mix, pieces
 
 MIN_RATE, MIN_SHARE = 2e-6, 0.2
-SLOTS, HASHES = 1 << 20, 3
-SLICES = 16
+HASHES = 3
+HELD_GRAMS = 1_000_000  # distinct ones that a task adds up before it sends them
 UNKNOWN = "und"
 
 
@@ -67,8 +70,9 @@ class LanguageFilter:
 
     def slots(self, keys: np.ndarray) -> Iterator[np.ndarray]:
         hashed = mix(keys.astype(np.uint64) + np.uint64(1))
+        step = hashed >> np.uint64(32) | np.uint64(1)
         for i in range(HASHES):
-            yield (hashed >> np.uint64(20 * i)).astype(np.int64) & (SLOTS - 1)
+            yield ((hashed + np.uint64(i) * step) & np.uint64(len(self.table) - 1)).astype(np.int64)
 
     def counts(self, keys: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Grams of each text that each language holds, corrected for false positives."""
@@ -99,7 +103,8 @@ def build(held: dict[str, np.ndarray], sizes: dict[str, int]) -> LanguageFilter:
     """The filter of the grams that each language holds."""
     languages = sorted(held)
     words = max(1, -(-len(languages) // 64))
-    out = LanguageFilter(languages, min(languages, key=lambda x: (-sizes[x], x)) if languages else UNKNOWN, np.zeros((SLOTS, words), np.uint64), np.zeros(len(languages)))
+    slots = 1 << max(16, (8 * max((len(x) for x in held.values()), default=0)).bit_length())
+    out = LanguageFilter(languages, min(languages, key=lambda x: (-sizes[x], x)) if languages else UNKNOWN, np.zeros((slots, words), np.uint64), np.zeros(len(languages)))
     for k, language in enumerate(languages):
         bit = np.uint64(1) << np.uint64(k % 64)
         for at in out.slots(held[language]):
@@ -113,14 +118,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", min_rate: float
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list] = defaultdict(list)
-        held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for name, parts in seen.items():
                 keys, n = _add(parts)
-                part = (mix(keys.astype(np.uint64)) % np.uint64(SLICES)).astype(np.int64)
-                rows = [(s, keys[part == s].tobytes(), n[part == s].tobytes()) for s in range(SLICES)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * SLICES), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary())))], ["lang", "slice", "keys", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+            seen.clear()
 
         for batch in batches:
             names = batch.column(1).to_numpy(zero_copy_only=False)
@@ -132,42 +135,24 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", min_rate: float
                     seen[name].append(np.unique(chosen, return_counts=True))
                     if len(seen[name]) > 32:
                         seen[name] = [_add(seen[name])]
+                if sum(len(p[0]) for parts in seen.values() for p in parts) > 4 * HELD_GRAMS:
+                    seen = defaultdict(list, {name: [_add(parts)] for name, parts in seen.items()})
+                    if sum(len(parts[0][0]) for parts in seen.values()) > HELD_GRAMS:
+                        yield from flush()
         yield from flush()
 
-    def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        by: dict[str, list] = defaultdict(list)
-        for row in table.to_pylist():
-            by[row["lang"]].append((np.frombuffer(row["keys"], np.uint32), np.frombuffer(row["n"], np.int64)))
-        rows = [(name, key[0].as_py(), *(a.tobytes() for a in _add(parts))) for name, parts in by.items()]
-        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("lang", pa.string()), ("slice", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())))})
-
-    from llm.common import materialize
-
-    schema = "lang string, slice int, keys binary, n binary"
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counted = materialize(rows.mapInArrow(count, schema).groupBy("slice").applyInArrow(total, schema))
-
-    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([int(np.frombuffer(x, np.int64).sum()) for x in b.column("n").to_pylist()], pa.int64())], ["lang", "n"])
-
-    sizes = {r["lang"]: r["n"] for r in counted.mapInArrow(size, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
-
-    def choose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = {r["lang"]: (np.frombuffer(r["keys"], np.uint32), np.frombuffer(r["n"], np.int64) / sizes[r["lang"]]) for r in table.to_pylist()}
-        every = np.unique(np.concatenate([k for k, _ in parts.values()]))
-        top = np.zeros(len(every))
-        for keys, rate in parts.values():
-            at = np.searchsorted(every, keys)
-            top[at] = np.maximum(top[at], rate)
-        rows = [(name, keys[(rate >= min_rate) & (rate >= min_share * top[np.searchsorted(every, keys)])].tobytes()) for name, (keys, rate) in parts.items()]
-        return pa.table({"lang": pa.array([r[0] for r in rows], pa.string()), "keys": pa.array([r[1] for r in rows], pa.binary())})
-
-    held: dict[str, list] = {name: [] for name, n in sizes.items() if n}
-    for row in counted.groupBy("slice").applyInArrow(choose, "lang string, keys binary").collect():  # 1 / min_rate grams a language at most
-        if row["lang"] in held:
-            held[row["lang"]].append(np.frombuffer(row["keys"], np.uint32))
-    return build({name: np.sort(np.concatenate(k)) for name, k in held.items()}, sizes)
+    counted = materialize(rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    total = counted.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language
+    sizes = {r["lang"]: r["total"] for r in total.collect()}
+    rate = F.col("n") / F.col("total")
+    often = counted.join(F.broadcast(total), "lang").select("lang", "gram", rate.alias("rate")).where(F.col("rate") >= min_rate)
+    # a gram has one row for each language at most
+    shared = often.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("by"))
+    held = shared.select("gram", F.explode(F.filter("by", lambda x: x["rate"] >= min_share * F.col("top"))["lang"]).alias("lang"))
+    got = held.toArrow()  # 1 / min_rate grams a language at most
+    keys, names = got.column("gram").to_numpy().astype(np.uint32), got.column("lang").to_numpy(zero_copy_only=False)
+    return build({name: np.sort(keys[names == name]) for name, n in sizes.items() if n}, sizes)
 
 
 def _add(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +163,7 @@ def _add(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def identify(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ``lang_pred`` and ``score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of slots
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on min_rate and the languages, not on the texts
     fields = [f for f in docs.schema.fields if f.name not in (text, "lang_pred", "score")]
     names = [f.name for f in fields]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
