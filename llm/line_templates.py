@@ -8,15 +8,20 @@ those in the first document (lowest id) with the template, so that no content is
 
 The lines of a few megabytes of text are first reduced to distinct ones, then to distinct ones over all texts, so
 a line that stands in a third of all documents is one row for its leaf.  A leaf is streamed in order of its
-lines; memory grows with its templates, not with its lines' occurrences.
+lines; memory grows with its templates, which are found by parts of theirs that a similar line must have.  A leaf of more
+than ``LEAF_LINES`` distinct lines is split by a hash of the line; templates of its parts meet by these parts, too, and those that agree
+become one.  A line's places stay together by the chunk of text, so a very common line is a row for each chunk.
 
 Null and empty texts have no lines; lines without words are neither counted nor dropped.  Exact copies of a
 whole text are one text when recurrence is counted, so copies alone don't make all their lines recur.  Rows with
-equal id and text get equal results; null ids come last when the first document is chosen.
+equal id and text get equal results; null ids come last when the first document is chosen.  An empty table gives an empty
+result.  Further columns are ignored by the report and pass through ``drop_recurring``, whatever their names.  A very long text is read as a whole; it
+takes a small multiple of its size.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import materialize
+from llm.common import binaries, materialize, offsets_of
+from llm.graph import components
 from llm.words import Piece, mix, pieces
 
 LEAD, SIMILAR = 3, 0.8
+LEAF_LINES = 200_000
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 _WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
 _SCAN = "leaf long, key long, words binary, ids array<long>, texts array<long>, lines array<int>"
+_FOUND = "key long, template long, low long, high long, first long, words binary"
+_NO_ID = np.iinfo(np.int64).max
 
 
 def _line_starts(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,38 +54,34 @@ def _line_starts(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate((first, [len(owner)])), owner[first], number
 
 
-def _scan_piece(piece: Piece, ids: np.ndarray, digests: np.ndarray) -> pa.RecordBatch | None:
-    """One row for each distinct line of the piece, with all places of it."""
+def _scan_piece(piece: Piece, ids: np.ndarray, digests: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row with the number of lines of each text (no leaf), and one for each distinct line of the piece, with all places of it."""
+    first, owner, number = _line_starts(piece)
+    names = [c.split()[0] for c in _SCAN.split(", ")]
+    none, whole = pa.array([None], pa.int64()), pa.array([0, piece.n], pa.int32())
+    per_text = np.bincount(owner, minlength=piece.n)
+    yield pa.RecordBatch.from_arrays([none, none, pa.array([None], pa.binary()), *(pa.ListArray.from_arrays(whole, pa.array(x, t)) for x, t in ((ids, pa.int64()), (digests, pa.int64()), (per_text, pa.int32())))], names)
     if not len(piece.starts):
-        return None
+        return
     words = piece.hashes()
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[piece.raw])))
+    digits = np.concatenate(([0], np.cumsum(_DIGIT[piece.raw], dtype=np.int32)))
     words[digits[piece.ends] > digits[piece.starts]] = _WILD
-    first, owner, number = _line_starts(piece)
     n = np.diff(first)
     place = np.arange(len(words)) - np.repeat(first[:-1], n)
-    weight = mix(place.astype(np.uint64) + np.uint64(77)) | np.uint64(1)
-    mixed = mix(words * weight)
+    mixed = mix(words * (mix(place.astype(np.uint64) + np.uint64(77)) | np.uint64(1)))
     key = mix(np.add.reduceat(mixed, first[:-1]) + n.astype(np.uint64))
     leaf = mix(np.add.reduceat(np.where(place < LEAD, mixed, np.uint64(0)), first[:-1]) ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     order = np.argsort(key, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
-    small = (words & np.uint64(0xFFFF)).astype(np.uint16)
+    edges = offsets_of(key[order])
+    small = words.astype(np.uint32)
     small[small == 0] = 1
     small[words == _WILD] = 0
     lead = order[edges[:-1]]
+    at = np.arange(n[lead].sum()) + np.repeat(first[:-1][lead] - (np.cumsum(n[lead]) - n[lead]), n[lead])
+    packed = binaries(small[at], np.concatenate(([0], np.cumsum(n[lead]))))
     offsets = pa.array(edges, pa.int32())
-
-    def grouped(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-        return pa.ListArray.from_arrays(offsets, pa.array(values[order], kind))
-
-    raw = small.tobytes()
-    packed = [raw[2 * a : 2 * b] for a, b in zip(first[:-1][lead].tolist(), first[1:][lead].tolist(), strict=True)]
-    columns = [pa.array(leaf[lead].view(np.int64)), pa.array(key[lead].view(np.int64)), pa.array(packed, pa.binary()), grouped(ids[owner], pa.int64()), grouped(digests[owner], pa.int64()), grouped(number, pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, ["leaf", "key", "words", "ids", "texts", "lines"])
-
-
-_NO_ID = np.iinfo(np.int64).max
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order], t)) for x, t in ((ids[owner], pa.int64()), (digests[owner], pa.int64()), (number, pa.int32()))]
+    yield pa.RecordBatch.from_arrays([pa.array(leaf[lead].view(np.int64)), pa.array(key[lead].view(np.int64)), packed, *lists], names)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,107 +90,175 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             ids, digests = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             for piece in pieces(batch.column(1)):
                 part = slice(piece.first, piece.first + piece.n)
-                out = _scan_piece(piece, ids[part], digests[part])
-                if out is not None:
-                    yield out
+                yield from _scan_piece(piece, ids[part], digests[part])
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), F.col(text), F.xxhash64(text))
     return materialize(rows.mapInArrow(run, _SCAN))
 
 
 class Leaf:
-    """The templates of one leaf: words with wildcards (0), kept as rows of an array."""
+    """The templates of the lines of one width in one leaf: words with wildcards (0), kept as rows of an array.
+
+    A line that agrees with a template in all but ``misses`` places agrees with it wholly in one of ``misses + 1`` ranges of
+    places, so templates are looked up by the words of these ranges."""
 
     def __init__(self, width: int, similar: float):
-        self.words = np.zeros((4, width), np.uint16)
-        self.n, self.similar = 0, similar
-        self.members: list[list[int]] = []
-
-    def add(self, line: np.ndarray, row: int) -> None:
-        if self.n:
-            same = (self.words[: self.n] == line).sum(1)
-            best = int(same.argmax())
-            if same[best] >= self.similar * len(line):
-                self.words[best][self.words[best] != line] = 0
-                self.members[best].append(row)
-                return
+        self.words = np.zeros((4, width), np.uint32)
+        self.least = similar * width
+        misses = int(np.floor(width - self.least + 1e-9))
+        # the leading words are the same in all lines of a leaf
+        self.cuts = np.unique(np.linspace(min(LEAD, width), width, misses + 2).astype(int)) if width - LEAD > misses else np.array([0, width])
+        self.all = width - LEAD <= misses
+        self.index: dict[tuple[int, bytes], list[int]] = defaultdict(list)
+        self.n = 0
+        self.keys: list[int] = []
+
+    def ranges(self, line: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(0, b"")] if self.all else [(int(a), line[a:b].tobytes()) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+
+    def _enter(self, k: int, ranges: list[tuple[int, bytes]]) -> None:
+        for r in ranges:
+            if k not in self.index[r][-1:]:
+                self.index[r].append(k)
+
+    def add(self, line: np.ndarray, key: int) -> int:
+        """The key of the template that the line has (its own, if it's the first)."""
+        mine = self.ranges(line)
+        near = np.array(sorted({k for r in mine for k in self.index.get(r, ())}), np.int64)
+        if len(near):
+            same = (self.words[near] == line).sum(1)
+            best = int(near[same.argmax()])
+            if same.max() >= self.least:
+                other = self.words[best] != line
+                if other.any():
+                    self.words[best][other] = 0
+                    self._enter(best, self.ranges(self.words[best]))
+                return self.keys[best]
         if self.n == len(self.words):
             self.words = np.concatenate((self.words, np.zeros_like(self.words)))
         self.words[self.n] = line
+        self.keys.append(key)
+        self._enter(self.n, mine)
         self.n += 1
-        self.members.append([row])
+        return key
 
 
-def templates(distinct: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``distinct`` (leaf, key, words, low, high, first: distinct lines, the lowest and highest digest of their texts, their
-    first document) -> key, template and first document of all lines whose template recurs."""
+def _assign(similar: float, with_templates: bool):
+    """Lines (leaf, key, words, low, high, first), in order of their leaf, with their template; ``with_templates`` also gives a
+    row with the words of each template of a leaf that is ``split`` (key null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # lines of a leaf that goes on in the next batch
+        at, leaf = None, {}  # the leaf that goes on in the next batch: its templates by width
         for batch in batches:
-            rows = held + list(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
-            leaves = np.array([r[0] for r in rows])
-            edges = np.flatnonzero(np.concatenate(([True], leaves[1:] != leaves[:-1], [True])))
-            held = rows[edges[-2] :]
-            yield from emit(rows, edges[:-1])
-        if held:
-            yield from emit(held, np.array([0, len(held)]))
-
-    def emit(rows: list[tuple], edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a == 1:
-                groups = [[a]]
-            else:
-                by_width: dict[int, Leaf] = {}
+            leaves, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lines = batch.column(2).to_pylist()
+            template = keys.copy()
+            edges = offsets_of(leaves)
+            words: list[tuple[int, bytes]] = []
+            for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                if leaves[a] != at:
+                    words += _rows(leaf)
+                    at, leaf = leaves[a], {}
+                    if b - a == 1 and k < len(edges) - 2 and not with_templates:
+                        continue  # a line of its own
                 for i in range(a, b):
-                    line = np.frombuffer(rows[i][2], np.uint16)
-                    by_width.setdefault(len(line), Leaf(len(line), similar)).add(line, i)
-                groups = [m for leaf in by_width.values() for m in leaf.members]
-            for group in groups:
-                texts = {rows[i][3] for i in group} | {rows[i][4] for i in group}
-                if len(texts) > 1:
-                    first = min(rows[i][5] for i in group)
-                    out += [(rows[i][1], rows[group[0]][1], first) for i in group]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["key", "template", "first"])
-
-    ordered = distinct.repartition("leaf").sortWithinPartitions("leaf", "key")
-    return ordered.select("leaf", "key", "words", "low", "high", "first").mapInArrow(run, "key long, template long, first long")
-
-
-def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """All lines scanned, and of the lines whose template recurs: id, digest of the text, line number, template, and
-    whether it is dropped."""
-    lines = scan(docs, doc_id, text)
+                    line = np.frombuffer(lines[i], np.uint32)
+                    if len(line) not in leaf:
+                        leaf[len(line)] = Leaf(len(line), similar)
+                    template[i] = leaf[len(line)].add(line, int(keys[i]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(template), *(batch.column(i) for i in (3, 4, 5)), pa.nulls(len(keys), pa.binary())], _NAMES)
+            if with_templates and words:
+                yield made(words)
+        if with_templates and (words := _rows(leaf)):
+            yield made(words)
+
+    def made(words: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        none = pa.nulls(len(words), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array([w[0] for w in words], pa.int64()), none, none, none, pa.array([w[1] for w in words], pa.binary())], _NAMES)
+
+    return run
+
+
+_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+
+
+def _rows(leaf: dict[int, Leaf]) -> list[tuple[int, bytes]]:
+    return [(key, x.words[i].tobytes()) for x in leaf.values() for i, key in enumerate(x.keys)]
+
+
+def _merged(parts: DataFrame, similar: float) -> DataFrame:
+    """``parts`` (leaf, template, words: templates of the parts of split leaves) -> template, group, of those that agree with others."""
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for leaf, key, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                line = np.frombuffer(words, np.uint32)
+                rows += [(leaf, len(line), a, part, key, words) for a, part in Leaf(len(line), similar).ranges(line)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()))], ["leaf", "width", "at", "part", "key", "words"])
+
+    sent = parts.mapInArrow(ranges, "leaf long, width int, at int, part binary, key long, words binary").withColumn("leaf", F.xxhash64("leaf", "width", "at", "part"))
+    none = F.lit(None).cast("long")
+    ordered = sent.repartition("leaf").sortWithinPartitions("leaf", "key").select("leaf", "key", "words", none.alias("low"), none.alias("high"), none.alias("first"))
+    met = ordered.mapInArrow(_assign(similar, False), _FOUND).where("key <> template")
+    return components(met.select(F.col("key").alias("a"), F.col("template").alias("b"))).select(F.col("node").alias("template"), F.col("component").alias("group"))
+
+
+def templates(distinct: DataFrame, similar: float = SIMILAR, leaf_lines: int = LEAF_LINES) -> DataFrame:
+    """``distinct`` (leaf, key, words, low, high, first: distinct lines, the lowest and highest digest of their texts, their
+    first document) -> key, template and first document of all lines whose template recurs.  ``distinct`` is read a few times."""
+    columns = ("leaf", "key", "words", "low", "high", "first")
+    large = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_lines)
+    large = materialize(large.select("leaf", F.ceil(F.col("n") / leaf_lines).alias("parts")))
+    if large.limit(1).count():
+        both = distinct.join(large, "leaf", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod("key", F.col("parts"))))
+        whole = both.where("part is null")
+        pieces_of = both.where("part is not null").withColumn("own", F.col("leaf")).withColumn("leaf", F.xxhash64("leaf", "part"))
+        names = pieces_of.select("key", "own")
+        split = materialize(pieces_of.repartition("leaf").sortWithinPartitions("leaf", "key").select(*columns).mapInArrow(_assign(similar, True), _FOUND))
+        group = _merged(split.where("key is null").select("template", "words").join(names.withColumnRenamed("key", "template"), "template").select("own", "template", "words"), similar)
+        found = split.where("key is not null").join(group, "template", "left").withColumn("template", F.coalesce("group", "template")).drop("group")
+    else:
+        whole, found = distinct, None
+    out = whole.repartition("leaf").sortWithinPartitions("leaf", "key").select(*columns).mapInArrow(_assign(similar, False), _FOUND)
+    out = materialize((out if found is None else out.unionByName(found)).drop("words"))
+    recurring = out.groupBy("template").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).where("low <> high")
+    return out.select("key", "template").join(recurring.select("template", "first"), "template")
+
+
+def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> tuple[DataFrame, DataFrame]:
+    """The number of lines of each row of ``docs`` (id, digest, n_lines); and of the lines whose template recurs: id, digest of
+    the text, line number, template, and whether it is dropped."""
+    scanned = scan(docs, doc_id, text)
+    lines = scanned.where("leaf is not null")
     # the lowest and the highest digest tell whether a line stands in two different texts
-    distinct = lines.groupBy("leaf", "key").agg(F.min(F.array_min("texts")).alias("low"), F.max(F.array_max("texts")).alias("high"), F.first("words").alias("words"), F.min(F.array_min("ids")).alias("first"))
-    found = templates(distinct, similar)
-    places = lines.select("key", F.explode(F.arrays_zip("ids", "texts", "lines")).alias("p")).join(found, "key")
-    return lines, places.select(F.col("p.ids").alias("id"), F.col("p.texts").alias("digest"), F.col("p.lines").alias("line"), "template", (F.col("p.ids") != F.col("first")).alias("dropped"))
+    distinct = materialize(lines.groupBy("leaf", "key").agg(F.min(F.array_min("texts")).alias("low"), F.max(F.array_max("texts")).alias("high"), F.first("words").alias("words"), F.min(F.array_min("ids")).alias("first")))
+    found = lines.select("key", "ids", "texts", "lines").join(templates(distinct, **options), "key")
+    places = found.select("template", "first", F.explode(F.arrays_zip("ids", "texts", "lines")).alias("p"))
+    rows = scanned.where("leaf is null").select(F.explode(F.arrays_zip("ids", "texts", "lines")).alias("p"))
+    return (
+        rows.select(F.col("p.ids").alias("id"), F.col("p.texts").alias("digest"), F.col("p.lines").cast("long").alias("n_lines")),
+        places.select(F.col("p.ids").alias("id"), F.col("p.texts").alias("digest"), F.col("p.lines").alias("line"), "template", (F.col("p.ids") != F.col("first")).alias("dropped")),
+    )
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """For each document: n_lines (with a word), n_recurring, n_dropped, and dropped_lines (their numbers from 0, ascending)."""
-    lines, found = recurring_lines(docs, doc_id, text, **options)
-    total = lines.select(F.explode(F.arrays_zip("ids", "texts", "lines")).alias("p")).select(F.col("p.ids").alias("id"), F.col("p.texts").alias("digest"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("boolean").alias("dropped"), F.col("p.lines").alias("number"))
-    both = total.unionByName(found.select("id", "digest", "line", "dropped"), allowMissingColumns=True)
-    counted = both.groupBy("id", "digest").agg(
-        F.countDistinct("number").alias("n_lines"),
-        F.countDistinct("line").alias("n_recurring"),
-        F.array_sort(F.collect_set(F.when(F.col("dropped"), F.col("line")))).alias("dropped_lines"),
-    )
-    ids = docs.select(F.col(doc_id), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("digest"))
-    out = ids.join(counted, ["id", "digest"], "left")
+    """For each row: the id, n_lines (with a word), n_recurring, n_dropped, and dropped_lines (their numbers from 0, ascending)."""
+    rows, found = recurring_lines(docs, doc_id, text, **options)
+    counted = found.groupBy("id", "digest").agg(F.countDistinct("line").alias("n_recurring"), F.array_sort(F.collect_set(F.when(F.col("dropped"), F.col("line")))).alias("dropped_lines"))
+    out = rows.join(counted, ["id", "digest"], "left")
     lost = F.coalesce("dropped_lines", F.lit([]).cast("array<int>"))
-    return out.select(doc_id, F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_recurring", F.lit(0)).alias("n_recurring"), F.size(lost).cast("long").alias("n_dropped"), lost.alias("dropped_lines"))
+    own = F.when(F.col("id") != _NO_ID, F.col("id")).cast(docs.schema[doc_id].dataType)
+    return out.select(own.alias(doc_id), "n_lines", F.coalesce("n_recurring", F.lit(0)).alias("n_recurring"), F.size(lost).cast("long").alias("n_dropped"), lost.alias("dropped_lines"))
 
 
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs``, all columns, with the dropped lines cut from ``text``; other texts stay byte for byte."""
     _, found = recurring_lines(docs, doc_id, text, **options)
-    cut = found.where("dropped").groupBy("id", "digest").agg(F.collect_set("line").alias("_cut"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "_digest": F.xxhash64(text)})
-    out = keyed.join(cut.withColumnsRenamed({"id": "_id", "digest": "_digest"}), ["_id", "_digest"], "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_cut", i)), "\n")
-    return out.withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    cut = found.where("dropped").groupBy("id", "digest").agg(F.collect_set("line").alias("cut"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    keyed = docs.select(F.struct(*rest).alias("_row"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("digest"))
+    out = keyed.join(cut, ["id", "digest"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("cut", i)), "\n")
+    new = F.when(F.col("cut").isNull(), F.col("text")).otherwise(kept)
+    return out.select(*(new.alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns))
