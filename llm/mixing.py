@@ -1,18 +1,23 @@
 """Mixing sources to target weights by min-cost flow.
 
-Documents are aggregated by membership pattern: the set of sources that hold them.  Each pattern
-supplies its words once at no cost, a second time at cost 1, a third at cost 2 (convex repetition
-costs), and each source asks for its target.  The cheapest flow routes capacity to quotas; within a
-pattern, seeded documents then carry what is routed.  Only counts by pattern reach the driver: they
-grow with the number of patterns, and more than ``max_patterns`` of them raise an error.
+Documents are aggregated by membership pattern: the set of sources that hold them.  Each source asks for its
+target, and the cheapest flow routes the patterns' words to these quotas.  Repeating words has convex costs: a pattern's
+words are free once, then each doubling of their use costs one more a word.  Within a pattern, seeded documents then carry
+what is routed.  Rows of the same document in several sources are rows of one pattern; with ``source`` a row serves only the
+quota of its own source, ``max_repeat`` times at most, and what the sources of a pattern take together is what has the costs, so a
+source rather repeats documents that the others don't have.
+
+The flow is a maximum flow for each level of the cost in turn, on sums by pattern in the driver.  Patterns beyond the ``max_patterns`` with most words
+count as patterns of their row's first (or own) source alone: that forgoes savings on repetitions, not words or quotas.
 
 Documents with null or empty text have size 0 and are never taken.  A null source is a source of its
-own, the last one.  Repeated rows are separate documents.  An empty table gives an empty result.
+own, the last one.  Repeated rows are separate documents; rows with equal ids are taken together, all rows without an id, too.  An empty table
+gives an empty result.  Columns of the input pass through, whatever their names; only ``_copies`` is replaced.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +25,8 @@ from pyspark.sql import functions as F
 from llm.common import materialize
 
 SEED = 7
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = 50_000
+SALTS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -47,55 +53,118 @@ def targets(sizes: dict[str | None, int], weights: list[float], share: float, ma
     return out
 
 
-def min_cost_flow(supply: dict, members: dict, quotas: dict, max_repeat: int) -> dict:
-    """Words routed from each pattern to each of its sources: {(pattern, source): words}.
+class _Network:
+    """Maximum flow (Dinic) whose capacities may grow between runs."""
+
+    def __init__(self, n: int):
+        self.out: list[list[int]] = [[] for _ in range(n)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(r)
+        return len(self.to) - 2
+
+    def push(self, start: int, end: int) -> None:
+        while True:
+            level = [-1] * len(self.out)
+            level[start] = 0
+            queue = deque([start])
+            while queue:
+                a = queue.popleft()
+                for e in self.out[a]:
+                    if self.room[e] and level[self.to[e]] < 0:
+                        level[self.to[e]] = level[a] + 1
+                        queue.append(self.to[e])
+            if level[end] < 0:
+                return
+            at = [0] * len(self.out)
+            path: list[int] = []
+            node = start
+            while True:
+                if node == end:
+                    least = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= least
+                        self.room[e ^ 1] += least
+                    path, node = [], start
+                    continue
+                while at[node] < len(self.out[node]):
+                    e = self.out[node][at[node]]
+                    if self.room[e] and level[self.to[e]] == level[node] + 1:
+                        break
+                    at[node] += 1
+                else:
+                    if not path:
+                        break
+                    level[node] = -1
+                    node = self.to[path.pop() ^ 1]
+                    continue
+                path.append(e)
+                node = self.to[e]
 
-    Successive shortest paths.  The k-th repetition of a pattern costs k - 1 a word; a path may take
-    words back from a source that another pattern can serve.
+
+def min_cost_flow(words: dict, limits: dict, quotas: dict, totals: dict | None = None) -> dict:
+    """Words routed from patterns to sources: {(pattern, source): words}.
+
+    ``words``: a pattern's words, each counted once; ``limits``: the most that each (pattern, source) may give; ``totals``: the most
+    that a pattern may give in all (the sum of its limits by default).  Using a pattern's words up to once is free, each further doubling costs one more a word.
+    Costs only stand at the patterns, so a maximum flow at each level of the cost, on top of the last one, is a cheapest flow.
     """
-    flow: dict = {}
-    used = dict.fromkeys(supply, 0)
-    by_source: dict = {}
-    for p, sources in members.items():
-        for s in sources:
-            by_source.setdefault(s, []).append(p)
-    need = dict(quotas)
-    while True:
-        # Dijkstra from all patterns with capacity left; every arc but a repetition is free
-        heap, best, back = [], {}, {}
-        for n, p in enumerate(supply):
-            if supply[p] and used[p] < max_repeat * supply[p]:
-                best["p", p] = used[p] // supply[p]
-                heapq.heappush(heap, (best["p", p], n, ("p", p)))
-        n, end = len(supply), None
-        while heap:
-            cost, _, node = heapq.heappop(heap)
-            if cost > best[node]:
-                continue
-            kind, name = node
-            if kind == "s" and need.get(name, 0) > 0:
-                end = node
-                break
-            onward = [("s", s) for s in members[name]] if kind == "p" else [("p", p) for p in by_source[name] if flow.get((p, name), 0) > 0]
-            for to in onward:
-                if cost < best.get(to, float("inf")):
-                    best[to], back[to], n = cost, node, n + 1
-                    heapq.heappush(heap, (cost, n, to))
-        if end is None:
-            return flow
-        path = [end]
-        while path[-1] in back:
-            path.append(back[path[-1]])
-        start = path[-1][1]
-        layer_end = (used[start] // supply[start] + 1) * supply[start]
-        room = min([need[end[1]], layer_end - used[start]] + [flow[a[1], b[1]] for b, a in zip(path[1:], path, strict=False) if a[0] == "p" and b[0] == "s"])
-        for a, b in zip(path, path[1:], strict=False):  # from the end backwards
-            if a[0] == "s":
-                flow[b[1], a[1]] = flow.get((b[1], a[1]), 0) + room
-            else:
-                flow[a[1], b[1]] -= room
-        used[start] += room
-        need[end[1]] -= room
+    patterns, sources = list(words), list(quotas)
+    place = {p: i for i, p in enumerate(patterns)}
+    goal = {s: len(patterns) + i for i, s in enumerate(sources)}
+    start, end = len(patterns) + len(sources), len(patterns) + len(sources) + 1
+    net = _Network(end + 1)
+    supply = {p: net.arc(start, place[p], 0) for p in patterns}
+    arcs = {(p, s): net.arc(place[p], goal[s], room) for (p, s), room in limits.items() if s in goal}
+    for s in sources:
+        net.arc(goal[s], end, quotas[s])
+    most = dict.fromkeys(patterns, 0)
+    for (p, _), room in limits.items():
+        most[p] += room
+    most = {p: min(most[p], totals[p]) if totals else most[p] for p in patterns}
+    given, level = dict.fromkeys(patterns, 0), 1
+    while any(given[p] < most[p] for p in patterns if words[p]):
+        for p in patterns:
+            now = min(most[p], words[p] * level)
+            net.room[supply[p]] += now - given[p]
+            given[p] = now
+        net.push(start, end)
+        level *= 2
+    return {key: net.room[e ^ 1] for key, e in arcs.items() if net.room[e ^ 1]}
+
+
+def shared_by(docs: DataFrame, text_key: str, source: str) -> DataFrame:
+    """``docs`` with ``sources``: all sources that hold a row with the same ``text_key``.  Only keys of several sources are joined, and
+    each of them is there SALTS times, so a text that very many rows have is dealt to several tasks."""
+    name = F.coalesce(F.concat(F.lit("s"), source), F.lit("~"))
+    several = docs.groupBy(F.col(text_key).alias("_k")).agg(F.collect_set(name).alias("_all")).where(F.size("_all") > 1)
+    several = several.select("_k", "_all", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.floor(F.rand(1) * SALTS).cast("int")
+    joined = docs.withColumn("_salt", salt).join(several.withColumnRenamed("_salt", "_salt2"), (F.col(text_key) == F.col("_k")) & (F.col("_salt") == F.col("_salt2")), "left")
+    back = F.transform("_all", lambda x: F.when(x != "~", F.substring(x, 2, F.length(x))))
+    return joined.withColumn("sources", F.coalesce(back, F.array(source))).drop("_k", "_all", "_salt", "_salt2")
+
+
+def whole_repetitions(routed: dict, cells: dict, max_repeat: int) -> dict:
+    """``routed`` with whole repetitions for all cells of a source but the largest, which takes what that leaves or adds: a few
+    documents seldom add up to a given number of words, many do."""
+    out, largest = dict(routed), {}
+    for cell in sorted(cells, key=lambda c: (cells[c], c)):
+        largest[cell[1]] = cell
+    for cell in sorted(cells, key=lambda c: (-cells[c], c)):
+        main, words = largest[cell[1]], cells[cell]
+        if cell != main and words:
+            rest = out[cell] % words
+            rest = rest - words if 2 * rest > words else rest
+            if 0 <= out[main] + rest <= max_repeat * cells[main]:
+                out[cell] -= rest
+                out[main] += rest
+    return out
 
 
 def mix(
@@ -108,59 +177,91 @@ def mix(
     share: float,
     max_repeat: int = 2,
     seed: int = SEED,
+    source: str | None = None,
+    text_key: str | None = None,
     max_patterns: int = MAX_PATTERNS,
 ) -> tuple[DataFrame, dict]:
     """``docs`` (``size`` long, ``sources`` array of names, nulls allowed) with ``_copies``, the times that the mix
     takes each document; and the targets by source.
 
-    A pattern's whole repetitions take all its documents; of the rest, the documents with a seeded hash up to the
-    pattern's limit are taken.  Sums by slice of the hash find the slice in which the words run out, and only the
+    ``source``: the column with the row's own source; without it a row serves any of its sources.  ``text_key``: what rows of the
+    same document have in common (without it each row is a document of its own).
+
+    What a pattern gives a source in whole repetitions takes all its documents; of the rest, the documents with a seeded hash up to the
+    limit are taken.  Sums by slice of the hash find the slice in which the words run out, and only the
     documents of this slice are ranked.  The document whose size is next to what is then still missing is
     taken, too, if that comes nearer.  So ``docs`` itself is neither shuffled nor sorted; it is read once more
     with a few numbers for each pattern.
     """
-    pattern = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~")))))
-    keyed = docs.withColumns({"_pattern": pattern, "_hash": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 1)})
-    slim = materialize(keyed.select("_pattern", "_hash", F.shiftright("_hash", 51).alias("_slice"), F.col(size).alias("_size")))
-    name = lambda key: None if key == "~" else key[1:]
-    rows = slim.groupBy("_pattern").agg(F.sum("_size").alias("words")).limit(max_patterns + 1).collect()
-    if len(rows) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    supply = {tuple(r[0]): int(r[1] or 0) for r in rows if r[0] is not None}
-    members = {p: [name(k) for k in p] for p in supply}
+    key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("~"))
+    pattern = F.array_sort(F.array_distinct(F.transform(sources, key)))
+    own = key(F.col(source)) if source else F.lit("")
+    keyed = docs.select(
+        F.struct("*").alias("_row"), F.struct(pattern.alias("of"), own.alias("own")).alias("_cell"), F.col(size).alias("_size"), (F.col(text_key) if text_key else F.lit(None)).alias("_text"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 1).alias("_hash"),
+    )
+    slim = materialize(keyed.select("_cell", "_hash", F.shiftright("_hash", 51).alias("_slice"), "_size", "_text"))
+    by_cell = slim.groupBy("_cell").agg(F.sum("_size").alias("words"))
+    if by_cell.count() > max_patterns:
+        most = by_cell.groupBy("_cell.of").agg(F.sum("words").alias("words")).orderBy(F.desc("words"), "of").limit(max_patterns)
+        most = materialize(most.select("of", F.lit(True).alias("_keep")))
+
+        def rarer(df: DataFrame) -> DataFrame:
+            alone = F.struct(F.when(F.col("_keep"), F.col("_cell.of")).otherwise(F.array(F.col("_cell.own") if source else F.get("_cell.of", F.lit(0)))).alias("of"), F.col("_cell.own").alias("own"))
+            return df.join(F.broadcast(most), F.col("_cell.of") == F.col("of"), "left").withColumn("_cell", alone).drop("of", "_keep")  # max_patterns rows at most
+
+        keyed, slim = rarer(keyed), materialize(rarer(slim))
+        by_cell = slim.groupBy("_cell").agg(F.sum("_size").alias("words"))
+    name = lambda k: None if k == "~" else k[1:]
+    cells = {(tuple(r[0]["of"]), r[0]["own"]): int(r[1] or 0) for r in by_cell.collect() if r[0]["of"] is not None}
     sizes: dict = {}
-    for p, words in supply.items():
-        for s in members[p]:
+    for (p, mine), words in cells.items():
+        for s in [name(mine)] if source else map(name, p):
             sizes[s] = sizes.get(s, 0) + words
     wanted = targets(sizes, weights, share, max_repeat)
-    flow = min_cost_flow(supply, members, {s: int(round(t)) for s, t in wanted.items()}, max_repeat)
-    routed = {p: sum(flow.get((p, s), 0) for s in members[p]) for p in supply}
-    plan = [(list(p), routed[p] // max(1, supply[p]), routed[p] % max(1, supply[p])) for p in supply]
+    if source and text_key:  # each text once
+        once = slim.groupBy("_cell.of", "_text").agg(F.max("_size").alias("words")).groupBy("of").agg(F.sum("words").alias("words"))
+        supply = {tuple(r[0]): int(r[1] or 0) for r in once.collect() if r[0] is not None}
+    else:
+        supply = {}
+        for (p, _), words in cells.items():
+            supply[p] = supply.get(p, 0) + words
+    if source:
+        limits = {(p, name(mine)): max_repeat * words for (p, mine), words in cells.items()}
+    else:
+        limits = {(p, name(k)): max_repeat * words for (p, _), words in cells.items() for k in p}
+    flow = min_cost_flow(supply, limits, {s: int(round(t)) for s, t in wanted.items()}, None if source else {p: max_repeat * w for p, w in supply.items()})
+    routed = {(p, mine): flow.get((p, name(mine)), 0) if source else sum(flow.get((p, name(k)), 0) for k in p) for p, mine in cells}
+    if source:
+        routed = whole_repetitions(routed, cells, max_repeat)
+    plan = [((list(p), mine), routed[p, mine] // max(1, words), routed[p, mine] % max(1, words)) for (p, mine), words in cells.items()]
     spark = docs.sparkSession
-    plan_df = spark.createDataFrame(plan, "_pattern array<string>, _whole long, _rest long")
-    # max_patterns rows at most in all that is broadcast; at most 4096 rows a pattern in the sums
-    sums = slim.groupBy("_pattern", "_slice").agg(F.sum("_size").alias("_words"))
-    run = Window.partitionBy("_pattern").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    plan_df = spark.createDataFrame(plan, "_cell struct<of:array<string>,own:string>, _whole long, _rest long")
+    small = F.broadcast if len(plan) <= 2 * max_patterns else lambda df: df
+    # at most 4096 rows a cell in the sums
+    sums = slim.groupBy("_cell", "_slice").agg(F.sum("_size").alias("_words"))
+    run = Window.partitionBy("_cell").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_words").over(run), F.lit(0)))
-    cut = sums.join(F.broadcast(plan_df), "_pattern").where((F.col("_rest") > 0) & (F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest")))
-    cut = cut.groupBy("_pattern").agg(F.min(F.struct("_slice", "_before")).alias("_cut"))
-    ranked = slim.join(F.broadcast(plan_df.join(cut, "_pattern")), "_pattern").where(F.col("_slice") == F.col("_cut._slice"))
-    ranked = ranked.groupBy("_pattern", "_hash", "_rest", "_cut").agg(F.sum("_size").alias("_size"))
-    order = Window.partitionBy("_pattern").orderBy("_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = sums.join(small(plan_df), "_cell").where((F.col("_rest") > 0) & (F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest")))
+    cut = materialize(cut.groupBy("_cell").agg(F.min(F.struct("_slice", "_before")).alias("_cut")))
+    ranked = slim.join(small(plan_df.join(cut, "_cell")), "_cell").where(F.col("_slice") == F.col("_cut._slice"))
+    ranked = ranked.groupBy("_cell", "_hash", "_rest", "_cut").agg(F.sum("_size").alias("_size"))
+    order = Window.partitionBy("_cell").orderBy("_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranked.withColumn("_upto", F.col("_cut._before") + F.sum("_size").over(order)).where(F.col("_upto") <= F.col("_rest"))
-    limit = ranked.groupBy("_pattern").agg(F.max("_hash").alias("_last"), F.max("_upto").alias("_upto"))
+    limit = ranked.groupBy("_cell").agg(F.max("_hash").alias("_last"), F.max("_upto").alias("_upto"))
     # hashes below the cut slice are in; without a cut all that is asked for is whole repetitions
-    bounds = plan_df.join(cut, "_pattern", "left").join(limit, "_pattern", "left").select(
-        "_pattern", "_whole", "_rest",
+    bounds = plan_df.join(cut, "_cell", "left").join(limit, "_cell", "left").select(
+        "_cell", "_whole", "_rest",
         F.coalesce("_last", F.shiftleft(F.col("_cut._slice"), 51) - 1, F.lit(-1)).alias("_last"),
         (F.col("_rest") - F.coalesce("_upto", "_cut._before", F.lit(0))).alias("_gap"),
     )
     bounds = materialize(bounds)
-    more = slim.join(F.broadcast(bounds), "_pattern").where((F.col("_hash") > F.col("_last")) & (F.col("_gap") > 0)).groupBy("_pattern", "_hash", "_gap").agg(F.sum("_size").alias("_size"))
+    more = slim.join(small(bounds), "_cell").where((F.col("_hash") > F.col("_last")) & (F.col("_gap") > 0)).groupBy("_cell", "_hash", "_gap").agg(F.sum("_size").alias("_size"))
     more = more.where((F.col("_size") > 0) & (F.abs(F.col("_gap") - F.col("_size")) < F.col("_gap")))
-    more = more.groupBy("_pattern").agg(F.min_by("_hash", F.struct(F.abs(F.col("_gap") - F.col("_size")), "_hash")).alias("_more"))
-    chosen = materialize(bounds.join(more, "_pattern", "left"))
-    out = keyed.join(F.broadcast(chosen.select("_pattern", "_whole", "_last", "_more")), "_pattern", "left")
+    more = more.groupBy("_cell").agg(F.min_by("_hash", F.struct(F.abs(F.col("_gap") - F.col("_size")), "_hash")).alias("_more"))
+    chosen = materialize(bounds.join(more, "_cell", "left"))
+    out = keyed.join(small(chosen.select("_cell", "_whole", "_last", "_more")), "_cell", "left")
     extra = (F.col("_hash") <= F.col("_last")) | F.coalesce(F.col("_hash") == F.col("_more"), F.lit(False))
-    copies = F.when(F.col(size) > 0, F.coalesce(F.col("_whole") + extra.cast("long"), F.lit(0))).otherwise(0)
-    return out.withColumn("_copies", copies).drop("_pattern", "_hash", "_whole", "_last", "_more"), wanted
+    # a document is never taken more often than max_repeat, the one that fills the gap included
+    copies = F.when(F.col("_size") > 0, F.least(F.coalesce(F.col("_whole") + extra.cast("long"), F.lit(0)), F.lit(max_repeat))).otherwise(0)
+    return out.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c != "_copies"), copies.cast("long").alias("_copies")), wanted

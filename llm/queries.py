@@ -75,11 +75,12 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    mixed, wanted = mixing.mix(docs.withColumn("sources", F.array("source")), size="size", sources="sources", doc_id="doc_id", weights=WEIGHTS, share=SHARE, max_repeat=MAX_REPEAT)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("key"))
+    docs = mixing.shared_by(docs, "key", "source")
+    mixed, wanted = mixing.mix(docs, size="size", sources="sources", doc_id="doc_id", weights=WEIGHTS, share=SHARE, max_repeat=MAX_REPEAT, source="source", text_key="key")
     sizes = docs.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("source_size"))
     rows = [(s, float(t)) for s, t in wanted.items()]
-    known = sizes.join(spark.createDataFrame(rows, "_source string, target double").withColumnRenamed("_source", "_t"), F.col("_source").eqNullSafe(F.col("_t")), "left").drop("_t")
+    known = sizes.join(spark.createDataFrame(rows, "_t string, target double"), F.col("_source").eqNullSafe(F.col("_t")), "left").drop("_t")
     out = mixed.join(known, F.col("source").eqNullSafe(F.col("_source")), "left")
     return out.select("doc_id", "size", "source_size", "target", (F.col("_copies") * F.col("size")).alias("taken"))
 

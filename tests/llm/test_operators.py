@@ -172,7 +172,7 @@ def test_token_files(spark, odd, tmp_path):
 
 def test_mixing(spark, odd):
     assert mixing.targets({"a": 100, "b": 10, None: 50}, [5, 2, 1], 1.5, 2) == pytest.approx({"a": 220 * 5 / 6, "b": 20, None: 220 / 6})
-    flow = mixing.min_cost_flow({"ab": 10, "a": 10}, {"ab": ["a", "b"], "a": ["a"]}, {"a": 10, "b": 10}, 2)
+    flow = mixing.min_cost_flow({"ab": 10, "a": 10}, {("ab", "a"): 20, ("ab", "b"): 20, ("a", "a"): 20}, {"a": 10, "b": 10}, {"ab": 20, "a": 20})
     assert flow.get(("ab", "b")) == 10 and flow.get(("a", "a")) == 10  # nothing is repeated
     docs = odd.withColumns({"size": mixing.word_count(F.col("text")), "sources": F.array("source")})
     got, wanted = mixing.mix(docs, size="size", sources="sources", doc_id="doc_id", weights=[5, 2, 1], share=1.5)
