@@ -203,19 +203,16 @@ def test_lines(spark, odd):
 
 def test_toxicity(spark, odd, labels):
     rng = np.random.default_rng(0)
-    vocabulary = rng.integers(0, toxicity.BUCKETS, 400)
-    bad = vocabulary[:5]
-    texts, y = [], []
-    for i in range(400):
-        t = rng.choice(vocabulary[5:], 60)
-        if i % 5 == 0:
-            t[rng.integers(60, size=3)] = rng.choice(bad, 3)
-        texts.append(t.astype(np.uint16))
-        y.append(float(i % 5 == 0))
-    net = toxicity.train_net(texts[:300], np.array(y[:300]))
-    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts[300:]])))
-    z = net.logits(net.tables(), np.concatenate(texts[300:]).astype(np.int64), bounds)
-    assert z[np.array(y[300:]) == 1].min() > z[np.array(y[300:]) == 0].max()
+    y, texts = np.arange(400) % 5 == 0, []
+    for bad in y:
+        t = rng.integers(5, 400, 60)
+        if bad:
+            t[rng.integers(60, size=3)] = rng.integers(0, 5, 3)
+        texts.append(t)
+    sample = toxicity.Sample(rng.integers(0, toxicity.BUCKETS, (400, 2)).astype(np.int32), np.concatenate(texts), np.arange(0, 24001, 60), y.astype(float))
+    net = toxicity.train_net(sample, np.arange(240), np.arange(240, 300))
+    z = net.logits(net.tables(), *sample.part(np.arange(300, 400)))
+    assert z[y[300:]].min() > z[~y[300:]].max()
     trained = toxicity.train(odd, labels)
     got = toxicity.score(odd, trained).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
