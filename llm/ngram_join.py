@@ -275,7 +275,7 @@ def _candidates(scanned: DataFrame, classes: DataFrame, n_buckets: int, fan: int
 def _sets_of(rows: DataFrame, left: DataFrame, width: int) -> DataFrame:
     """Node and set (``grams``) of each class in ``left``, from one of its documents in ``rows`` (id, text).  A bit map of bounded
     size drops most others before they are read again."""
-    bits = 1 << min(28, max(20, (16 * left.count()).bit_length()))
+    bits = 1 << min(28, max(20, (64 * left.count()).bit_length()))
     spot = F.pmod(F.xxhash64("id"), F.lit(bits))
     marked = left.select(spot.alias("p")).groupBy(F.shiftright("p", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits"))
     table = np.zeros((bits >> 15, 4096), np.uint8)
