@@ -10,7 +10,7 @@ The lines of a few megabytes of text are first reduced to distinct ones, then to
 a line that stands in a third of all documents is one row for its leaf.  A leaf is streamed in order of its
 lines; memory grows with its templates, which are found by parts of theirs that a similar line must have.  A leaf of more
 than ``LEAF_LINES`` distinct lines is split by a hash of the line; templates of its parts meet by these parts, too, and those that agree
-become one.  A line's places stay together by the chunk of text, so a very common line is a row for each chunk.
+become one.  A line's places stay together by the chunk of text (a piece of a megabyte), so a very common line is a row for each chunk.
 
 Null and empty texts have no lines; lines without words are neither counted nor dropped.  Exact copies of a
 whole text are one text when recurrence is counted, so copies alone don't make all their lines recur.  Rows with
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import binaries, materialize, offsets_of
+from llm.common import binaries, materialize, offsets_of, written
 from llm.graph import components
 from llm.words import Piece, mix, pieces
 
@@ -37,7 +37,7 @@ LEAD, SIMILAR = 3, 0.8
 LEAF_LINES = 200_000
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 _WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
-_SCAN = "leaf long, key long, words binary, ids array<long>, texts array<long>, lines array<int>"
+_SCAN = "chunk long, leaf long, key long, words binary, low long, high long, first long, docs array<int>, lines array<int>"
 _FOUND = "key long, template long, low long, high long, first long, words binary"
 _NO_ID = np.iinfo(np.int64).max
 
@@ -54,13 +54,16 @@ def _line_starts(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate((first, [len(owner)])), owner[first], number
 
 
-def _scan_piece(piece: Piece, ids: np.ndarray, digests: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row with the number of lines of each text (no leaf), and one for each distinct line of the piece, with all places of it."""
-    first, owner, number = _line_starts(piece)
+def _scan_piece(chunk: int, piece: Piece, ids: np.ndarray, digests: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each text (no leaf): its number in the piece, id, digest and number of lines; and one for each distinct line of the
+    piece, in the order of their first places: the lowest and highest digest of its texts, their first document, and all its places."""
     names = [c.split()[0] for c in _SCAN.split(", ")]
-    none, whole = pa.array([None], pa.int64()), pa.array([0, piece.n], pa.int32())
-    per_text = np.bincount(owner, minlength=piece.n)
-    yield pa.RecordBatch.from_arrays([none, none, pa.array([None], pa.binary()), *(pa.ListArray.from_arrays(whole, pa.array(x, t)) for x, t in ((ids, pa.int64()), (digests, pa.int64()), (per_text, pa.int32())))], names)
+    first, owner, number = _line_starts(piece)
+    one = pa.array(np.arange(piece.n + 1), pa.int32())
+    listed = lambda x, cut: pa.ListArray.from_arrays(cut, pa.array(x, pa.int32()))
+    none = pa.nulls(piece.n, pa.int64())
+    row = [pa.array(np.full(piece.n, chunk)), none, none, pa.nulls(piece.n, pa.binary()), pa.array(digests), none, pa.array(ids), listed(np.arange(piece.n), one), listed(np.bincount(owner, minlength=piece.n), one)]
+    yield pa.RecordBatch.from_arrays(row, names)
     if not len(piece.starts):
         return
     words = piece.hashes()
@@ -73,27 +76,35 @@ def _scan_piece(piece: Piece, ids: np.ndarray, digests: np.ndarray) -> Iterator[
     leaf = mix(np.add.reduceat(np.where(place < LEAD, mixed, np.uint64(0)), first[:-1]) ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     order = np.argsort(key, kind="stable")
     edges = offsets_of(key[order])
+    low, high, least = np.minimum.reduceat(digests[owner][order], edges[:-1]), np.maximum.reduceat(digests[owner][order], edges[:-1]), np.minimum.reduceat(ids[owner][order], edges[:-1])
+    lead, size = order[edges[:-1]], np.diff(edges)
+    turn = np.argsort(lead)
+    lead, size = lead[turn], size[turn]
+    order = order[np.arange(len(order)) + np.repeat(edges[:-1][turn] - (np.cumsum(size) - size), size)]
     small = words.astype(np.uint32)
     small[small == 0] = 1
     small[words == _WILD] = 0
-    lead = order[edges[:-1]]
     at = np.arange(n[lead].sum()) + np.repeat(first[:-1][lead] - (np.cumsum(n[lead]) - n[lead]), n[lead])
     packed = binaries(small[at], np.concatenate(([0], np.cumsum(n[lead]))))
-    offsets = pa.array(edges, pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order], t)) for x, t in ((ids[owner], pa.int64()), (digests[owner], pa.int64()), (number, pa.int32()))]
-    yield pa.RecordBatch.from_arrays([pa.array(leaf[lead].view(np.int64)), pa.array(key[lead].view(np.int64)), packed, *lists], names)
+    cut = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+    longs = [pa.array(x) for x in (np.full(len(lead), chunk), leaf[lead].view(np.int64), key[lead].view(np.int64))]
+    yield pa.RecordBatch.from_arrays([*longs, packed, *(pa.array(x[turn]) for x in (low, high, least)), listed(owner[order], cut), listed(number[order], cut)], names)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, digests = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             for piece in pieces(batch.column(1)):
                 part = slice(piece.first, piece.first + piece.n)
-                yield from _scan_piece(piece, ids[part], digests[part])
+                yield from _scan_piece(chunk, piece, ids[part], digests[part])
+                chunk += 1
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), F.col(text), F.xxhash64(text))
-    return materialize(rows.mapInArrow(run, _SCAN))
+    return written(rows.mapInArrow(run, _SCAN), "lines")
 
 
 class Leaf:
@@ -221,41 +232,43 @@ def templates(distinct: DataFrame, similar: float = SIMILAR, leaf_lines: int = L
     else:
         whole, found = distinct, None
     out = whole.repartition("leaf").sortWithinPartitions("leaf", "key").select(*columns).mapInArrow(_assign(similar, False), _FOUND)
-    out = materialize((out if found is None else out.unionByName(found)).drop("words"))
+    out = written((out if found is None else out.unionByName(found)).drop("words"), "templates")
     recurring = out.groupBy("template").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).where("low <> high")
     return out.select("key", "template").join(recurring.select("template", "first"), "template")
 
 
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> tuple[DataFrame, DataFrame]:
-    """The number of lines of each row of ``docs`` (id, digest, n_lines); and of the lines whose template recurs: id, digest of
-    the text, line number, template, and whether it is dropped."""
+    """Each row of ``docs``: chunk and doc (its place in the scan), id, digest of the text, n_lines; and the places of the lines whose
+    template recurs: chunk, doc, line number, template, and the first document with it."""
     scanned = scan(docs, doc_id, text)
     lines = scanned.where("leaf is not null")
     # the lowest and the highest digest tell whether a line stands in two different texts
-    distinct = materialize(lines.groupBy("leaf", "key").agg(F.min(F.array_min("texts")).alias("low"), F.max(F.array_max("texts")).alias("high"), F.first("words").alias("words"), F.min(F.array_min("ids")).alias("first")))
-    found = lines.select("key", "ids", "texts", "lines").join(templates(distinct, **options), "key")
-    places = found.select("template", "first", F.explode(F.arrays_zip("ids", "texts", "lines")).alias("p"))
-    rows = scanned.where("leaf is null").select(F.explode(F.arrays_zip("ids", "texts", "lines")).alias("p"))
-    return (
-        rows.select(F.col("p.ids").alias("id"), F.col("p.texts").alias("digest"), F.col("p.lines").cast("long").alias("n_lines")),
-        places.select(F.col("p.ids").alias("id"), F.col("p.texts").alias("digest"), F.col("p.lines").alias("line"), "template", (F.col("p.ids") != F.col("first")).alias("dropped")),
-    )
+    distinct = lines.groupBy("leaf", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("words").alias("words"), F.min("first").alias("first"))
+    found = lines.select("chunk", "key", "docs", "lines").join(templates(written(distinct, "distinct"), **options), "key")
+    places = found.select("chunk", "template", "first", F.explode(F.arrays_zip("docs", "lines")).alias("p"))
+    rows = scanned.where("leaf is null").select("chunk", F.col("docs")[0].alias("doc"), F.col("first").alias("id"), F.col("low").alias("digest"), F.col("lines")[0].cast("long").alias("n_lines"))
+    return rows, places.select("chunk", F.col("p.docs").alias("doc"), F.col("p.lines").alias("line"), "template", "first")
+
+
+def _dropped(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
+    """Each row of ``docs`` with the numbers of its recurring lines and of those that are dropped."""
+    rows, places = recurring_lines(docs, doc_id, text, **options)
+    lines = places.groupBy("chunk", "doc").agg(F.collect_list(F.struct("line", "first")).alias("found"))
+    out = rows.join(lines, ["chunk", "doc"], "left")
+    found = F.coalesce("found", F.array().cast("array<struct<line:int,first:bigint>>"))
+    cut = F.filter(found, lambda x: x["first"] != F.col("id"))
+    return out.select("id", "digest", "n_lines", F.size(found).cast("long").alias("n_recurring"), F.array_sort(F.transform(cut, lambda x: x["line"])).alias("cut"))
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """For each row: the id, n_lines (with a word), n_recurring, n_dropped, and dropped_lines (their numbers from 0, ascending)."""
-    rows, found = recurring_lines(docs, doc_id, text, **options)
-    counted = found.groupBy("id", "digest").agg(F.countDistinct("line").alias("n_recurring"), F.array_sort(F.collect_set(F.when(F.col("dropped"), F.col("line")))).alias("dropped_lines"))
-    out = rows.join(counted, ["id", "digest"], "left")
-    lost = F.coalesce("dropped_lines", F.lit([]).cast("array<int>"))
     own = F.when(F.col("id") != _NO_ID, F.col("id")).cast(docs.schema[doc_id].dataType)
-    return out.select(own.alias(doc_id), "n_lines", F.coalesce("n_recurring", F.lit(0)).alias("n_recurring"), F.size(lost).cast("long").alias("n_dropped"), lost.alias("dropped_lines"))
+    return _dropped(docs, doc_id, text, **options).select(own.alias(doc_id), "n_lines", "n_recurring", F.size("cut").cast("long").alias("n_dropped"), F.col("cut").alias("dropped_lines"))
 
 
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs``, all columns, with the dropped lines cut from ``text``; other texts stay byte for byte."""
-    _, found = recurring_lines(docs, doc_id, text, **options)
-    cut = found.where("dropped").groupBy("id", "digest").agg(F.collect_set("line").alias("cut"))
+    cut = _dropped(docs, doc_id, text, **options).where(F.size("cut") > 0).select("id", "digest", "cut").distinct()  # rows with equal id and text lose the same
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     keyed = docs.select(F.struct(*rest).alias("_row"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("digest"))
     out = keyed.join(cut, ["id", "digest"], "left")
