@@ -144,7 +144,7 @@ def shared_by(docs: DataFrame, text_key: str, source: str) -> DataFrame:
     name = F.coalesce(F.concat(F.lit("s"), source), F.lit("~"))
     several = docs.groupBy(F.col(text_key).alias("_k")).agg(F.collect_set(name).alias("_all")).where(F.size("_all") > 1)
     several = several.select("_k", "_all", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salt = F.floor(F.rand(1) * SALTS).cast("int")
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)), F.lit(SALTS)).cast("int")
     joined = docs.withColumn("_salt", salt).join(several.withColumnRenamed("_salt", "_salt2"), (F.col(text_key) == F.col("_k")) & (F.col("_salt") == F.col("_salt2")), "left")
     back = F.transform("_all", lambda x: F.when(x != "~", F.substring(x, 2, F.length(x))))
     return joined.withColumn("sources", F.coalesce(back, F.array(source))).drop("_k", "_all", "_salt", "_salt2")
