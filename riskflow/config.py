@@ -43,6 +43,7 @@ class Forest:
     sample: int = 256
     seed: int = 42
     min_rows: int = 10
+    group_rows: int = 100_000
 
 
 @dataclass(frozen=True)

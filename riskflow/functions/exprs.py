@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-6
+HOT = 1000  # a value is hot if it has more than 1 / HOT of all rows, so at most HOT values are
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut off from its plan by a reliable checkpoint in the folder that the session names.  A local
+    session may do without one; a cluster may not."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
 
 
 def ensure_columns(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -63,22 +78,37 @@ def minmax_all(df: DataFrame, name: str, out: str, variant: str) -> DataFrame:
     return df.withColumn(out, minmax_expr(F.col(name), F.col("_low"), F.col("_high"), variant)).drop("_low", "_high")
 
 
+def running_counts(counts: DataFrame, value: str, count: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """``counts`` (``keys``, ``value``, ``count``: distinct values) with ``below`` (rows with smaller values) and ``total`` (all rows), for each
+    of the ``keys``.  Values are dealt by range and a total for each range, a row each, places its running sums, so no window
+    sees all of them."""
+    ranged = cut(counts.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id()))  # computed once, so both readers see the same ranges
+    totals = ranged.groupBy(*keys, "_p").agg(F.sum(count).alias("_t"))
+    of_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    order = of_key.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_p", F.coalesce(F.sum("_t").over(order), F.lit(0)).alias("_start"), F.sum("_t").over(of_key).alias("total"))
+    inside = Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_b", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(F.broadcast(starts), [*keys, "_p"])  # a row for each range
+    return placed.withColumn("below", F.col("_start") + F.col("_b")).drop("_p", "_start", "_b")
+
+
+def join_values(df: DataFrame, values: DataFrame, keys: list[str], out: list[str]) -> DataFrame:
+    """``df`` with the columns ``out`` of ``values`` (one row for each of ``keys``; ``count`` and ``total`` tell how frequent they are).  Hot
+    values, HOT at most for each total, are broadcast; only the other rows are shuffled."""
+    values = cut(values)
+    hot = values.where(F.col("count") * HOT > F.col("total")).select(*keys, *(F.col(c).alias(f"_hot_{c}") for c in out), F.lit(True).alias("_hot"))
+    both = df.join(F.broadcast(hot), keys, "left")
+    done, rest = both.where("_hot"), both.where("_hot is null").drop(*(f"_hot_{c}" for c in out), "_hot")
+    rest = rest.join(values.select(*keys, *out), keys, "left")
+    return done.withColumnsRenamed({f"_hot_{c}": c for c in out}).drop("_hot").unionByName(rest)
+
+
 def rank_all(df: DataFrame, name: str, out: str) -> DataFrame:
-    """Percent rank over all rows with ties averaged: (rank + (ties - 1) / 2) / n; nulls don't count and stay null.
-
-    Distinct values are counted; they are dealt by range, so a total per range partition (a row each) places the
-    running sums, and no window sees all rows.
-    """
-    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ranged = counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
-    totals = ranged.groupBy("_p").agg(F.sum("_c").alias("_t"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
-    n = totals.agg(F.sum("_t").alias("_n"))
-    inside = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = ranged.withColumn("_b", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(F.broadcast(starts), "_p").crossJoin(F.broadcast(n))
-    ranks = ranks.select("_v", ((F.col("_start") + F.col("_b") + 1 + (F.col("_c") - 1) / 2) / F.col("_n")).alias(out))
-    return df.join(ranks, df[name] == ranks["_v"], "left").drop("_v")
+    """Percent rank over all rows with ties averaged: (rank + (ties - 1) / 2) / n; nulls don't count and stay null.  ``df`` is read
+    a few times."""
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name)).agg(F.count(F.lit(1)).alias("count"))
+    ranks = running_counts(counts, name, "count").withColumn(out, (F.col("below") + 1 + (F.col("count") - 1) / 2) / F.col("total"))
+    return join_values(df, ranks, [name], [out]).select(*df.columns, out)
 
 
 def rank_by(name: str, keys: list[str]) -> Column:
@@ -91,7 +121,8 @@ def rank_by(name: str, keys: list[str]) -> Column:
 
 
 def robust_z(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-    """``<name>_z`` = \\|x - median\\| / ((MAD + 1e-6) * 1.4826) within a group."""
+    """``<name>_z`` = \\|x - median\\| / ((MAD + 1e-6) * 1.4826) within a group.  A group is sorted in one task: give it rows that a group has
+    few of, such as the days of a party."""
     w = Window.partitionBy(*keys)
     df = df.withColumns({f"_dev_{n}": F.abs(F.col(n) - F.median(n).over(w)) for n in names})
     df = df.withColumns({f"{n}_z": F.col(f"_dev_{n}") / ((F.median(f"_dev_{n}").over(w) + F.lit(EPS)) * F.lit(1.4826)) for n in names})
@@ -109,6 +140,7 @@ def risk_level(c: Column, yellow: float = 0.31, red: float = 0.70) -> Column:
     return F.when(c >= red, "red").when(c >= yellow, "yellow").when(c.isNotNull(), "green")
 
 
+# What the levels of a reply are worth
 LEVEL_VALUES = {"красный": 0.9, "жёлтый": 0.6, "желтый": 0.6, "зелёный": 0.1, "зеленый": 0.1, "red": 0.9, "yellow": 0.6, "green": 0.1}
 
 
@@ -123,6 +155,23 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-zа-я0-9\s]", " "), r"\s+", " "))
 
 
+def has_raw_stem(c: Column, stems: tuple[str, ...]) -> Column:
+    """1.0 if the text holds one of the stems anywhere, in any case; a null holds none."""
+    return F.coalesce(F.lower(c).rlike("(" + "|".join(stems) + ")"), F.lit(False)).cast("double")
+
+
+def zscores(df: DataFrame, names: list[str]) -> DataFrame:
+    """Each column standardised over all rows with its population deviation; 0 without spread."""
+    stats = df.agg(*(F.struct(F.avg(n).alias("m"), F.stddev_pop(n).alias("s")).alias(f"_{n}") for n in names))
+    df = df.crossJoin(F.broadcast(stats))  # one row
+    return df.withColumns({n: F.when(F.col(f"_{n}.s") > 0, (F.col(n) - F.col(f"_{n}.m")) / F.col(f"_{n}.s")).otherwise(0.0) for n in names}).drop(*(f"_{n}" for n in names))
+
+
+def bottom_n(df: DataFrame, by: str, n: int, key: str = "txn_id") -> DataFrame:
+    """The ``n`` rows with the lowest values, nulls left out, ties by key."""
+    return df.where(F.col(by).isNotNull()).orderBy(by, key).limit(n)
+
+
 def has_stem(cleaned: Column, stems: tuple[str, ...]) -> Column:
     """Whether a word of cleaned text begins with one of the stems."""
     return cleaned.rlike("(^| )(" + "|".join(stems) + ")")

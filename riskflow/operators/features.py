@@ -1,7 +1,7 @@
 """Transaction features.  Input: a prepared ledger (``sources.ledger.prepare``).
 
-Null parties get no group values: aggregates are null (later 0) and the gap is 9999 days.  Windows of one party share
-the partitioning by that party, so each role costs one shuffle.
+Null parties get no group values: aggregates are null (later 0) and the gap is 9999 days.  Their rows are spread over the tasks by their
+ids instead of forming a group.  Windows of one party share the partitioning by that party, so each role costs one shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +19,11 @@ def _known(party: str, c: Column) -> Column:
     return F.when(F.col(party).isNotNull(), c)
 
 
+def _group(party: str) -> list[Column]:
+    """The party, or the row alone where there is none."""
+    return [F.col(party), F.when(F.col(party).isNull(), F.col("txn_id"))]
+
+
 def base(df: DataFrame, stems: tuple[str, ...] = Features.stems) -> DataFrame:
     """Calendar, roundness, logarithm and text signals of each row."""
     text = F.coalesce(F.col("purpose"), F.lit("nan"))
@@ -50,8 +55,8 @@ def base(df: DataFrame, stems: tuple[str, ...] = Features.stems) -> DataFrame:
 def daily(df: DataFrame) -> DataFrame:
     """Each party's total and number of positive amounts of the day, the row's share of it, and the days since its last row."""
     for role, party in ROLES.items():
-        day = Window.partitionBy(party, "date")
-        order = Window.partitionBy(party).orderBy("date", "txn_id")
+        day = Window.partitionBy(*_group(party), "date")
+        order = Window.partitionBy(*_group(party)).orderBy("date", "txn_id")
         total = _known(party, F.sum("amount").over(day))
         df = df.withColumns(
             {
@@ -65,9 +70,10 @@ def daily(df: DataFrame) -> DataFrame:
 
 
 def active_days(df: DataFrame, role: str) -> DataFrame:
-    """One row for each party and day with rows: the day's amount in the role's own column."""
+    """One row for each party and day with rows: the day's amount in the role's own column, its rows and how many of them are round."""
     party = ROLES[role]
-    return df.where(F.col(party).isNotNull()).groupBy(F.col(party).alias("inn"), "date").agg(F.sum(f"{role}_amount").alias("amt"))
+    round_rows = F.sum("is_round_amount") if "is_round_amount" in df.columns else F.lit(0)
+    return df.where(F.col(party).isNotNull()).groupBy(F.col(party).alias("inn"), "date").agg(F.sum(f"{role}_amount").alias("amt"), F.count(F.lit(1)).alias("_rows"), round_rows.alias("_round"))
 
 
 def rolling(df: DataFrame, role: str, windows: tuple[int, ...] = Features.windows) -> DataFrame:
@@ -75,7 +81,8 @@ def rolling(df: DataFrame, role: str, windows: tuple[int, ...] = Features.window
     95th percentile, in which the days without rows since the party's first count as 0.
 
     Only active days are rows: n = min(W, days since the first + 1) days are in a window, and the absent
-    ones are n - k zeros, which the sums ignore and the percentile's sorted array gets in front.
+    ones are n - k zeros, which the sums ignore and the percentile's sorted array gets in front.  ``client_round_ratio_30d`` is the share
+    of round amounts among the party's rows of 30 days.
     """
     days = active_days(df, role).withColumn("d", F.unix_date("date"))
     party = Window.partitionBy("inn")
@@ -102,6 +109,9 @@ def rolling(df: DataFrame, role: str, windows: tuple[int, ...] = Features.window
             f"{role}_roll_std_{w}d": F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col(f"_sq_{w}") - total * total / n) / (n - 1)))).otherwise(0.0),
             f"{role}_roll_p95_{w}d": value(low) + (at - low) * (F.coalesce(value(F.least(low + 1, n - 1)), F.lit(0.0)) - value(low)),
         }
+    month = party.orderBy("d").rangeBetween(-29, 0)
+    seen |= {"_rows_30": F.sum("_rows").over(month), "_round_30": F.sum("_round").over(month)}
+    out[f"{role}_client_round_ratio_30d"] = F.col("_round_30") / F.col("_rows_30")
     days = days.withColumns(seen).withColumns({f"_sorted_{w}": F.array_sort(f"_all_{w}") for w in windows})
     return days.select("inn", "date", *(c.alias(n) for n, c in out.items()))
 
@@ -133,10 +143,19 @@ def derived(df: DataFrame) -> DataFrame:
     })
 
 
+def volatility(df: DataFrame) -> DataFrame:
+    """``<role>_volatility_z``: the 30-day volatility standardised within the party (population deviation; 0 without spread)."""
+    for role, party in ROLES.items():
+        name = f"{role}_amount_volatility_30d"
+        stats = df.where(F.col(party).isNotNull()).groupBy(party).agg(F.avg(name).alias("_m"), F.stddev_pop(name).alias("_s"))
+        df = df.join(stats, party, "left").withColumn(f"{role}_volatility_z", F.when(F.col("_s") > 0, (F.col(name) - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_m", "_s")
+    return df
+
+
 def novelty(df: DataFrame, rows: int = Features.novelty_rows) -> DataFrame:
     """Share of first payments to a payee among the payer's last ``rows`` rows, this one included."""
-    pair = Window.partitionBy("debit_inn", "credit_inn").orderBy("date", "txn_id")
-    payer = Window.partitionBy("debit_inn").orderBy("date", "txn_id").rowsBetween(-(rows - 1), 0)
+    pair = Window.partitionBy(*_group("debit_inn"), "credit_inn").orderBy("date", "txn_id")
+    payer = Window.partitionBy(*_group("debit_inn")).orderBy("date", "txn_id").rowsBetween(-(rows - 1), 0)
     df = df.withColumn("_new", (F.row_number().over(pair) == 1).cast("double"))
     return df.withColumn("debit_new_counterparty_ratio", _known("debit_inn", F.avg("_new").over(payer))).drop("_new")
 
@@ -165,19 +184,24 @@ def profile(df: DataFrame, role: str) -> DataFrame:
     return out
 
 
+def add_profiles(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``df`` with its parties' profiles (of the rows ``of``, ``df`` itself by default)."""
+    source = of if of is not None else df
+    for role, party in ROLES.items():
+        df = df.join(profile(source, role).withColumnRenamed("inn", party), party, "left")
+    return df
+
+
 def enrich(df: DataFrame, settings: Features = Features()) -> DataFrame:
     """All features of a prepared ledger."""
-    out = fans(novelty(derived(add_rolling(daily(base(df, settings.stems)), settings.windows)), settings.novelty_rows))
-    for role, party in ROLES.items():
-        out = out.join(profile(df, role).withColumnRenamed("inn", party), party, "left")
-    return out
+    return add_profiles(fans(novelty(volatility(derived(add_rolling(daily(base(df, settings.stems)), settings.windows))), settings.novelty_rows)), df)
 
 
 def roles(df: DataFrame) -> DataFrame:
     """The enriched ledger in long form, one row for each transaction and side, with the role's columns under common names."""
     def side(role: str) -> DataFrame:
         party = ROLES[role]
-        own = {c: c.replace(f"{role}_", "", 1) for c in df.columns if c.startswith((f"{role}_roll_", f"{role}_amount_", f"{role}_tx_rate", f"{role}_accel", f"{role}_to_p95"))}
+        own = {c: c.replace(f"{role}_", "", 1) for c in df.columns if c.startswith((f"{role}_roll_", f"{role}_amount_", f"{role}_tx_rate", f"{role}_accel", f"{role}_to_p95", f"{role}_client_round", f"{role}_volatility_z"))}
         common = [c for c in ("is_weekend", "is_month_end", "is_quarter_end", "is_year_end", "is_round_amount", "purpose_len", "purpose_digits_ratio", "purpose_upper_ratio", "net_flow_ratio_7d", "in_out_ratio_30d", "transit_same_day_flag") if c in df.columns]
         fan = {"debit": "debit_fan_out_ratio", "credit": "credit_fan_in_ratio"}[role]
         new = F.col("debit_new_counterparty_ratio") if role == "debit" and "debit_new_counterparty_ratio" in df.columns else F.lit(0.0)

@@ -11,7 +11,8 @@ from riskflow.functions import exprs as E
 
 
 def one_row_each(df: DataFrame) -> DataFrame:
-    """One row for each txn_id: the highest of each number, the first known of anything else (by value)."""
+    """One row for each txn_id: the highest of each number; of anything else the first known one, in the order of values, since
+    rows of a distributed table have no other."""
     numeric = (T.NumericType,)
     aggs = [(F.max(f.name) if isinstance(f.dataType, numeric) else F.min(f.name)).alias(f.name) for f in df.schema.fields if f.name != "txn_id"]
     return df.groupBy("txn_id").agg(*aggs)
@@ -90,8 +91,8 @@ def overall(df: DataFrame, history: DataFrame | None = None, s: Fusion = Fusion(
 
 
 def fuse(df: DataFrame, history: DataFrame | None = None, s: Fusion = Fusion()) -> DataFrame:
-    """All of it, from layer scores.  Scalars and party counts come from the deduplicated input, so they share its shuffle."""
-    base = one_row_each(df)
+    """All of it, from layer scores.  Scalars and party counts come from the deduplicated input, which is computed once."""
+    base = E.cut(one_row_each(df))
     return overall(transaction_risk(correction(behaviour(trust(global_score(base, base), s, base)), base), s), history, s)
 
 

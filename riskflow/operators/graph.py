@@ -18,6 +18,12 @@ def _arcs(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def node_ids(df: DataFrame) -> DataFrame:
+    """Each party and its number from 0, in the order of their names; the library itself works with the names."""
+    both = df.select(F.col("debit_inn").alias("inn")).union(df.select(F.col("credit_inn").alias("inn"))).where("inn is not null")
+    return E.running_counts(both.distinct().withColumn("n", F.lit(1).cast("long")), "inn", "n").select("inn", F.col("below").alias("id"))
+
+
 def _loops(df: DataFrame) -> DataFrame:
     return df.where("debit_inn is not null and debit_inn = credit_inn").select(F.col("debit_inn").alias("n")).distinct()
 
@@ -43,10 +49,16 @@ def common_neighbours(asked: DataFrame, pairs: DataFrame) -> DataFrame:
     return known.join(shared, ["u", "v"], "left").na.fill(0, ["common"]).na.fill(0.0, ["adamic_adar", "resource_allocation"])
 
 
-def edge_scores(df: DataFrame) -> DataFrame:
-    """Jaccard of the ends' other neighbours, rarity, and their blend scaled to 0..1.  A self-loop makes a node its own neighbour."""
-    pairs = edges(df)
-    got = common_neighbours(pairs, pairs)
+def neighbourhoods(df: DataFrame) -> DataFrame:
+    """The edges with their ends' degrees and common neighbours, computed once: both scores and the link features lean on it."""
+    pairs = E.cut(edges(df))
+    return E.cut(common_neighbours(pairs, pairs))
+
+
+def edge_scores(df: DataFrame, got: DataFrame | None = None) -> DataFrame:
+    """Jaccard of the ends' other neighbours, rarity, and their blend scaled to 0..1.  A self-loop makes a node its own neighbour.
+    ``got``: ``neighbourhoods(df)``, if it is there already."""
+    got = got if got is not None else neighbourhoods(df)
     loops = _loops(df)
     got = got.join(loops.select(F.col("n").alias("u"), F.lit(1).alias("loop_u")), "u", "left").join(loops.select(F.col("n").alias("v"), F.lit(1).alias("loop_v")), "v", "left")
     # each end leaves the other out; a looped end stays in its own set only
@@ -57,10 +69,9 @@ def edge_scores(df: DataFrame) -> DataFrame:
     return E.minmax_all(raw, "raw_score", "graph_edge_score", "c").select("u", "v", "txn_count", "total_amount", "jaccard", "rarity", "raw_score", "graph_edge_score")
 
 
-def node_scores(df: DataFrame) -> DataFrame:
-    """Degree (a self-loop adds 2), local clustering, and their blend scaled to 0..1."""
-    pairs = edges(df)
-    got = common_neighbours(pairs, pairs)
+def node_scores(df: DataFrame, got: DataFrame | None = None) -> DataFrame:
+    """Degree (a self-loop adds 2), local clustering, and their blend scaled to 0..1.  ``got``: ``neighbourhoods(df)``."""
+    got = got if got is not None else neighbourhoods(df)
     half = got.select(F.explode(F.array("u", "v")).alias("inn"), F.col("common").alias("n"))
     per = half.groupBy("inn").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("links"))
     loops = _loops(df).select(F.col("n").alias("inn"), F.lit(2).alias("loop"))
@@ -68,7 +79,7 @@ def node_scores(df: DataFrame) -> DataFrame:
     per = per.withColumn("degree", (F.col("k") + F.col("loop")).cast("long"))
     per = per.withColumn("clustering", F.when(F.col("k") > 1, F.col("links") / (F.col("k") * (F.col("k") - 1))).otherwise(0.0))
     per = per.withColumn("raw_score", 0.5 * (1 - F.col("clustering")) + 0.5 / (F.col("degree") + 1))
-    return E.minmax_all(per, "raw_score", "graph_node_score", "c").select("inn", "degree", "clustering", "raw_score", "graph_node_score")
+    return E.minmax_all(E.cut(per), "raw_score", "graph_node_score", "c").select("inn", "degree", "clustering", "raw_score", "graph_node_score")
 
 
 def enrich(df: DataFrame, edge: DataFrame, node: DataFrame, canonical: bool = True) -> DataFrame:
@@ -82,14 +93,18 @@ def enrich(df: DataFrame, edge: DataFrame, node: DataFrame, canonical: bool = Tr
     return df.withColumn("graph_node_score", F.greatest("_debit_node", "_credit_node")).drop("_debit_node", "_credit_node")
 
 
-def structural_links(df: DataFrame) -> DataFrame:
-    """Link features of each pair: common neighbours, Jaccard, Adamic-Adar, resource allocation, log of the degrees' product."""
-    pairs = edges(df)
+LINK_FEATURES = ("common", "jaccard", "adamic_adar", "resource_allocation", "preferential")
+
+
+def structural_links(df: DataFrame, got: DataFrame | None = None, standard: bool = False) -> DataFrame:
+    """Link features of each pair: common neighbours, Jaccard, Adamic-Adar, resource allocation, log of the degrees' product; with
+    ``standard`` each standardised over all pairs."""
     common = F.col("common")
-    return common_neighbours(pairs, pairs).select(
+    out = (got if got is not None else neighbourhoods(df)).select(
         "u", "v", common.alias("common"), (common / (F.col("deg_u") + F.col("deg_v") - common)).alias("jaccard"), "adamic_adar", "resource_allocation",
         F.log1p(F.col("deg_u").cast("double") * F.col("deg_v")).alias("preferential"),
     )
+    return E.zscores(E.cut(out), list(LINK_FEATURES)) if standard else out
 
 
 def pair_aggregates(df: DataFrame) -> DataFrame:
@@ -102,6 +117,19 @@ def pair_aggregates(df: DataFrame) -> DataFrame:
     )
 
 
+PAIR_FEATURES = ("mean_log", "max_log", "freq", "round_share", "mean_len", "mean_gap")
+
+
+def edge_features(asked: DataFrame, df: DataFrame) -> DataFrame:
+    """``asked`` (u, v) with the aggregates of the directed pair, zeros where it has no transfers, each standardised over all directed
+    pairs of ``df``."""
+    known = E.cut(pair_aggregates(df))
+    stats = known.agg(*(F.struct(F.avg(n).alias("m"), F.stddev_pop(n).alias("s")).alias(f"_{n}") for n in PAIR_FEATURES))
+    joined = asked.join(known.withColumnsRenamed({"debit_inn": "u", "credit_inn": "v"}), ["u", "v"], "left").crossJoin(F.broadcast(stats))  # one row
+    z = {n: F.when(F.col(f"_{n}.s") > 0, (F.coalesce(F.col(n).cast("double"), F.lit(0.0)) - F.col(f"_{n}.m")) / F.col(f"_{n}.s")).otherwise(0.0) for n in PAIR_FEATURES}
+    return joined.withColumns(z).drop(*(f"_{n}" for n in PAIR_FEATURES))
+
+
 def node_features(df: DataFrame, names: list[str]) -> DataFrame:
     """Median and mean of numeric columns of every node in each role; 0 where it has no rows in it."""
     parts = []
@@ -151,15 +179,15 @@ def negative_pairs(df: DataFrame, per_edge: int = 1, seed: int = 42) -> DataFram
     Ends of shuffled edges are paired, so nodes come about as often as they have edges.  What falls on edges, itself or pairs drawn before
     is drawn again; if that gives little (dense cores), all nodes alike.  If at least half of all non-links are wanted, they are listed.
     """
-    pairs = edges(df).select("u", "v").persist()  # each round reads it again
+    pairs = E.cut(edges(df).select("u", "v"))  # each round reads it again
     m = pairs.count()
-    nodes = _arcs(pairs).select(F.col("u").alias("n")).distinct().persist()
+    nodes = E.cut(_arcs(pairs).select(F.col("u").alias("n")).distinct())
     n = nodes.count()
     free = n * (n - 1) // 2 - m
     want = min(per_edge * m, free)
     if 2 * want >= free:
         listed = nodes.select(F.col("n").alias("u")).join(nodes.select(F.col("n").alias("v")), F.col("u") < F.col("v"))  # few: at most 2 per_edge + 1 for each edge
-        return _lowest(listed.join(pairs, ["u", "v"], "left_anti").persist(), want, seed)
+        return _lowest(E.cut(listed.join(pairs, ["u", "v"], "left_anti")), want, seed)
     out, have, by_degree, turn = None, 0, True, 0
     while have < want:
         missing = want - have
@@ -171,7 +199,7 @@ def negative_pairs(df: DataFrame, per_edge: int = 1, seed: int = 42) -> DataFram
             rows = n * each
             ends = nodes.select("n", F.lit("").alias("key"), F.explode(F.sequence(F.lit(1), F.lit(each))).alias("i"))
         fresh = _drawn(ends, rows, seed + 2 * turn).join(pairs, ["u", "v"], "left_anti")
-        fresh = (fresh if out is None else fresh.join(out, ["u", "v"], "left_anti")).persist()
+        fresh = E.cut(fresh if out is None else fresh.join(out, ["u", "v"], "left_anti"))
         got = fresh.count()
         fresh = fresh if got <= missing else _lowest(fresh, missing, seed)
         out = fresh if out is None else out.unionByName(fresh)
@@ -186,13 +214,13 @@ def link_model(df: DataFrame, seed: int = 42) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    pairs = edges(df)
+    pairs = E.cut(edges(df))
     asked = pairs.select("u", "v", F.lit(1.0).alias("label")).unionByName(negative_pairs(df, seed=seed).withColumn("label", F.lit(0.0)))
     ends = common_neighbours(asked, pairs)
     common, du, dv = F.col("common"), F.col("deg_u") - F.col("label"), F.col("deg_v") - F.col("label")  # without the pair itself
     ready = ends.select("u", "v", "label", common.cast("double").alias("common"), (common / F.greatest(du + dv - common, F.lit(1.0))).alias("jaccard"), F.log1p(F.greatest(du, F.lit(0.0)) * F.greatest(dv, F.lit(0.0))).alias("preferential"))
     ready = VectorAssembler(inputCols=["common", "jaccard", "preferential"], outputCol="x", handleInvalid="skip").transform(ready)
-    ready = ready.persist()  # the fit reads it again and again
+    ready = E.cut(ready)  # the fit reads it again and again
     model = LogisticRegression(featuresCol="x", maxIter=30, regParam=0.01).fit(ready)
     from pyspark.ml.functions import vector_to_array
 

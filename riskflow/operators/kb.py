@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from riskflow.config import LOAN_STEMS, Fusion, KnowledgeBase
 from riskflow.functions import exprs as E
 from riskflow.operators.fusion import keep_last
 
+# The columns of the store
 TEXT = ("txn_id", "date", "debit_inn", "credit_inn", "purpose", "purpose_clean", "risk_level")
 NUMBERS = ("amount", "overall_risk", "txn_risk_score", "behavior_risk", "semantic_risk_score", "ts_anomaly_score_txn", "graph_edge_score", "graph_node_score", "in_out_ratio_30d", "debit_fan_out_ratio", "credit_fan_in_ratio", "purpose_stopword_high", "hbos_score", "copod_score", "iforest_score_debit", "iforest_score_credit", "history_risk")
 COLUMNS = (*TEXT, *NUMBERS, "round_large_amount")
@@ -86,6 +87,7 @@ def profiles(txns: DataFrame, stems: tuple[str, ...] = LOAN_STEMS, kb: Knowledge
     }).drop("_partners", "_all")
 
 
+# Flag, column, threshold, whether it includes the threshold
 FLAGS = (("high_history", "history_risk", 0.7, True), ("many_red", None, 0.3, False), ("loans", "loan_like_share", 0.5, False), ("transit", "transit_ratio", 0.4, False), ("semantic", "semantic_high_share", 0.4, False), ("time_series", "ts_high_share", 0.4, False), ("graph", "graph_node_mean", 0.7, False))
 
 
@@ -125,38 +127,88 @@ def review_flags(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Versions of the two tables under one folder that Spark reads and writes.  A version is complete when its marker is
-    there; one writer at a time."""
+    """The two tables under one folder that Spark reads and writes, each in ``buckets`` parts by hash of its key.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    A version is a list of the folders that hold the parts; it counts once the list is there.  A write makes new folders only for the parts
+    that it changes, and folders that neither the new version nor the one before it names are removed then.  One writer at a time."""
 
-    def _version(self) -> int:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return 0
-        done = [p.getPath().getName() for p in fs.listStatus(root)]
-        return max([int(n[5:]) for n in done if n.startswith("done-")], default=0)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self._root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        if not self._fs.exists(self._root):
+            return []
+        names = [p.getPath().getName() for p in self._fs.listStatus(self._root)]
+        return sorted(int(n[5:]) for n in names if n.startswith("list-") and self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+
+    def _parts(self, version: int) -> dict[str, dict[int, str]]:
+        out: dict[str, dict[int, str]] = {"txns": {}, "stats": {}}
+        for r in self.spark.read.parquet(f"{self.path}/list-{version}").collect():  # a row for each part
+            out[r["name"]][r["bucket"]] = r["folder"]
+        return out
+
+    def exists(self) -> bool:
+        return bool(self._versions())
 
     def read(self) -> tuple[DataFrame, DataFrame] | None:
         """Transactions and profiles of the last version, or None."""
-        v = self._version()
-        return (self.spark.read.parquet(f"{self.path}/txns-{v}"), self.spark.read.parquet(f"{self.path}/stats-{v}")) if v else None
+        versions = self._versions()
+        if not versions:
+            return None
+        parts = self._parts(versions[-1])
+        return self._open(parts["txns"].values()), self._open(parts["stats"].values())
+
+    def _open(self, folders: Iterable[str]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders))
+
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _replace(self, name: str, old: dict[int, str], fresh: DataFrame, key: str | list[str], bucket: Column, version: int, gone: DataFrame | None = None) -> dict[int, str]:
+        """New folders for the parts with rows of ``fresh``: the old rows but for those with its keys (or those in ``gone``), and its own."""
+        fresh = E.cut(fresh.withColumn("bucket", bucket))
+        changed = fresh.select("bucket") if gone is None else fresh.select("bucket").union(gone.select(bucket))
+        touched = {r[0] for r in changed.distinct().collect()}  # buckets at most
+        again = [b for b in touched if b in old]
+        both = fresh
+        if again:
+            both = self._open(old[b] for b in again).join(fresh if gone is None else gone, key, "left_anti").withColumn("bucket", bucket).unionByName(fresh)
+        first = key if isinstance(key, str) else key[0]
+        folder = f"{name}-{version}"
+        both.repartition("bucket", F.pmod(F.shiftright(F.xxhash64(first), 32), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        made = [p.getPath().getName() for p in self._fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}"))]
+        out = {b: f for b, f in old.items() if b not in touched} | {int(n[7:]): f"{folder}/{n}" for n in made if n.startswith("bucket=")}
+        if not out:  # an empty table has a folder, too
+            fresh.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{self.path}/{folder}/none")
+            out = {-1: f"{folder}/none"}
+        return out
 
     def write(self, txns: DataFrame, profile: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """Upsert projected transactions; ``profile`` (all transactions, affected parties) gives the profiles to replace."""
         if "_seq" in txns.columns:
             txns = keep_last(txns, "txn_id", "_seq").drop("_seq")
-        before, v = self.read(), self._version() + 1
-        merged = upsert(before[0], txns) if before else txns
-        merged.write.mode("overwrite").parquet(f"{self.path}/txns-{v}")
-        merged = self.spark.read.parquet(f"{self.path}/txns-{v}")
+        txns = E.cut(txns)
+        versions = self._versions()
+        old = self._parts(versions[-1]) if versions else {"txns": {}, "stats": {}}
+        if not txns.limit(1).count():
+            return
+        v = (versions[-1] if versions else 0) + 1
         touched = affected(txns)
-        if before:  # parties of rows that were overwritten change, too
-            touched = touched.union(affected(before[0].join(txns, "txn_id", "left_semi"))).distinct()
-        fresh = profile(merged, touched).withColumn("updated_at", F.current_timestamp().cast("string"))
-        stats = before[1].join(touched, "inn", "left_anti").unionByName(fresh) if before else fresh
-        stats.write.mode("overwrite").partitionBy("role").parquet(f"{self.path}/stats-{v}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/done-{v}")
+        if old["txns"]:  # parties of rows that were overwritten change, too
+            touched = touched.union(affected(self._open(old["txns"].values()).join(txns, "txn_id", "left_semi"))).distinct()
+        touched = E.cut(touched)
+        parts = self._replace("txns", old["txns"], txns, "txn_id", self._bucket("txn_id"), v)
+        fresh = profile(self._open(parts.values()), touched).withColumn("updated_at", F.current_timestamp().cast("string"))
+        stats = self._replace("stats", old["stats"], fresh, "inn", self._bucket("inn"), v, touched)
+        rows = [(n, b, f) for n, p in (("txns", parts), ("stats", stats)) for b, f in p.items()]
+        self.spark.createDataFrame(rows, "name string, bucket int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list-{v}")
+        self._clean({f.partition("/")[0] for _, _, f in rows} | {f.partition("/")[0] for p in old.values() for f in p.values()}, {v, v - 1})
+
+    def _clean(self, used: set[str], versions: set[int]) -> None:
+        for p in self._fs.listStatus(self._root):
+            name = p.getPath().getName()
+            kind, _, number = name.partition("-")
+            if (kind in ("txns", "stats") and name not in used) or (kind == "list" and int(number) not in versions):
+                self._fs.delete(p.getPath(), True)

@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.config import Forest
 from riskflow.functions import exprs as E
+from riskflow.operators import features
 
-SERIES = ["daily_total", "daily_count", "in_out", "net_flow", "client_round"]
+# The measures of a day
+SERIES = ("daily_total", "daily_count", "in_out", "net_flow", "client_round")
+# The columns that the global layer looks at
 BASE_FEATURES = (
-    ["amount"]
-    + [f"{r}_{n}" for r in ("debit", "credit") for n in ("roll_cnt_30d", "roll_mean_30d", "roll_std_30d", "amount_spike_ratio_7d", "tx_rate_spike_7d", "amount_volatility_30d")]
-    + ["daily_debit_transaction_count", "daily_credit_transaction_count", "daily_debit_percent", "daily_credit_percent", "days_since_last_txn_debit", "days_since_last_txn_credit"]
-    + ["debit_fan_out_ratio", "credit_fan_in_ratio", "in_out_ratio_30d", "is_round_amount", "day_of_week", "is_weekend", "is_month_end", "purpose_stopword_high"]
+    "amount",
+    "debit_roll_cnt_30d", "debit_roll_mean_30d", "debit_roll_std_30d", "debit_amount_spike_ratio_7d", "debit_tx_rate_spike_7d", "debit_amount_volatility_30d",
+    "credit_roll_cnt_30d", "credit_roll_mean_30d", "credit_roll_std_30d", "credit_amount_spike_ratio_7d", "credit_tx_rate_spike_7d", "credit_amount_volatility_30d",
+    "daily_debit_transaction_count", "daily_credit_transaction_count", "daily_debit_percent", "daily_credit_percent", "days_since_last_txn_debit", "days_since_last_txn_credit",
+    "debit_fan_out_ratio", "credit_fan_in_ratio", "in_out_ratio_30d", "round_large_amount", "day_of_week", "is_weekend", "is_month_end", "purpose_stopword_high",
 )
+LOG_FEATURES = ("log_amount", "log_days_since_last_debit", "log_days_since_last_credit")
+VECTOR_FEATURES = tuple(f"purpose_svd_{i}" for i in range(1, 51))
+# The columns that the individual layer looks at
 ROLE_FEATURES = (
-    ["amount", "log_amount", "roll_cnt_30d", "roll_mean_30d", "roll_std_30d", "amount_spike_ratio_7d", "tx_rate_spike_7d", "amount_volatility_30d", "accel_ratio_7d", "to_p95_ratio"]
-    + ["new_counterparty_ratio", "fan_ratio", "volatility_z", "daily_total", "daily_txn_cnt", "in_out_ratio_30d", "net_flow_ratio_7d", "transit_same_day_flag", "is_round_amount"]
-    + ["client_round_ratio_30d", "purpose_len", "purpose_digits_ratio", "purpose_upper_ratio", "is_weekend", "is_month_end", "is_quarter_end", "is_year_end"]
-    + ["log_days_since_last", "rel_amount_to_mean30d"]
+    "amount", "log_amount", "roll_cnt_30d", "roll_mean_30d", "roll_std_30d", "amount_spike_ratio_7d", "tx_rate_spike_7d", "amount_volatility_30d", "accel_ratio_7d", "to_p95_ratio",
+    "new_counterparty_ratio", "fan_ratio", "volatility_z", "daily_total", "daily_txn_cnt", "in_out_ratio_30d", "net_flow_ratio_7d", "transit_same_day_flag", "round_large_amount",
+    "client_round_ratio_30d", "purpose_len", "purpose_digits_ratio", "purpose_upper_ratio", "is_weekend", "is_month_end", "is_quarter_end", "is_year_end", "log_days_since_last", "rel_amount_to_mean30d",
 )
 
 
@@ -43,24 +52,31 @@ def daily_series(df: DataFrame, role: str, names: dict[str, str]) -> DataFrame:
 
 def series_scores(days: DataFrame, min_active_days: int = 10) -> DataFrame:
     """Each party's active days by mean robust deviation of the five measures, scaled within the party; 0 on other days and for
-    parties with fewer than ``min_active_days`` active days."""
+    parties with fewer than ``min_active_days`` active days.  A party has a row for each day at most, however many transfers."""
     active = days.where("is_active_day = 1").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("side", "inn")))
-    judged = E.robust_z(active.where(F.col("_n") >= min_active_days), SERIES, ["side", "inn"])
+    judged = E.robust_z(active.where(F.col("_n") >= min_active_days), list(SERIES), ["side", "inn"])
     judged = judged.withColumn("raw", sum(F.col(f"{n}_z") for n in SERIES) / len(SERIES))
     judged = judged.withColumn("ts_score", E.minmax_by("raw", ["side", "inn"], "d"))
     return days.join(judged.select("side", "inn", "date", "ts_score"), ["side", "inn", "date"], "left").na.fill(0.0, ["ts_score"])
 
 
-def time_series(df: DataFrame, min_active_days: int = 10, canonical: bool = True) -> DataFrame:
+def measures(role: str, canonical: bool = True) -> dict[str, str]:
+    """The columns that the measures of a day come from."""
+    own = {"daily_count": f"daily_{role}_transaction_count", "in_out": "in_out_ratio_30d", "client_round": f"{role}_client_round_ratio_30d"}
+    return {"daily_total": f"daily_total_{role}", "net_flow": "net_flow_ratio_7d"} | {n: c if canonical else "_absent" for n, c in own.items()}
+
+
+def time_series(df: DataFrame, min_active_days: int = 10, canonical: bool = True, rank: bool = True) -> DataFrame:
     """txn_id with ts_anomaly_score of both roles, of the transaction (the higher), and its rank."""
     out = df.select("txn_id", "date", "debit_inn", "credit_inn")
     for role in ("debit", "credit"):
-        names = {"daily_total": f"daily_total_{role}", "daily_count": f"daily_{role}_transaction_count" if canonical else "_absent", "in_out": "in_out_ratio_30d" if canonical else "_absent", "net_flow": "net_flow_ratio_7d", "client_round": "client_round_ratio_30d"}
+        names = measures(role, canonical)
         scores = series_scores(daily_series(df, role, names), min_active_days)
         out = out.join(scores.select(F.col("inn").alias(f"{role}_inn"), "date", F.col("ts_score").alias(f"ts_anomaly_score_{role}")), [f"{role}_inn", "date"], "left")
     out = out.na.fill(0.0, ["ts_anomaly_score_debit", "ts_anomaly_score_credit"])
     out = out.withColumn("ts_anomaly_score_txn", F.greatest("ts_anomaly_score_debit", "ts_anomaly_score_credit"))
-    return E.rank_all(out, "ts_anomaly_score_txn", "ts_anomaly_rank_txn").drop("date", "debit_inn", "credit_inn")
+    out = out.drop("date", "debit_inn", "credit_inn")
+    return E.rank_all(E.cut(out), "ts_anomaly_score_txn", "ts_anomaly_rank_txn") if rank else out
 
 
 # semantics: distances of vectors from their centre
@@ -97,80 +113,170 @@ def semantic_risk(df: DataFrame, local: str, outlier: str, keyword: str) -> Data
     return E.rank_all(df, "semantic_risk_score", "semantic_risk_rank")
 
 
-def purpose_vectors(df: DataFrame, key: str = "txn_id", dims: int = 50) -> DataFrame:
-    """key with ``vector``: truncated SVD (not centred) of the TF-IDF of purposes.  Distinct texts are the rows of the matrix."""
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    from riskflow.operators.features import tfidf
+def purpose_vectors(df: DataFrame, key: str = "txn_id", dims: int = 50, width: int = 1 << 14, rounds: int = 4, seed: int = 42) -> DataFrame:
+    """key with ``vector``: truncated SVD (not centred) of the TF-IDF of purposes, its n-grams hashed into ``width`` columns.
 
+    Distinct texts are the rows of the matrix A.  A randomised SVD needs only A'A times a narrow matrix (``width`` x about 60, whatever the
+    number of texts): each task adds up its rows' part of it, and the parts are summed by block of columns.
+    """
     texts = df.select(F.coalesce("purpose_clean", F.lit("nan")).alias("purpose_clean")).distinct()
-    long = tfidf(texts, "purpose_clean")
-    index = StringIndexer(inputCol="gram", outputCol="j", stringOrderType="alphabetAsc").fit(long)
-    rows = index.transform(long).groupBy("purpose_clean").agg(F.array_sort(F.collect_list(F.struct(F.col("j").cast("int").alias("j"), "weight"))).alias("v"))
-    rows = rows.withColumn("id", F.monotonically_increasing_id()).persist()
-    size = len(index.labels)
-    matrix = IndexedRowMatrix(rows.select("id", "v").rdd.map(lambda r: IndexedRow(r["id"], Vectors.sparse(size, [(x["j"], x["weight"]) for x in r["v"]]))), numCols=size)
-    k = max(1, min(dims, size - 1, rows.count() - 1))
-    svd = matrix.computeSVD(k, computeU=True)
-    scale = svd.s.toArray().tolist()
-    u = svd.U.rows.map(lambda r: (r.index, [float(x * s) for x, s in zip(r.vector.toArray(), scale, strict=True)]))
-    vectors = df.sparkSession.createDataFrame(u, "id long, vector array<double>")
-    known = rows.select("id", "purpose_clean").join(vectors, "id").drop("id")
+    long = features.tfidf(texts, "purpose_clean").groupBy("purpose_clean", F.pmod(F.xxhash64("gram"), F.lit(width)).cast("int").alias("j")).agg(F.sum("weight").alias("w"))
+    length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))  # one again, where n-grams share a column
+    rows = long.groupBy("purpose_clean").agg(F.collect_list(F.struct("j", "w")).alias("v")).select("purpose_clean", F.col("v.j").alias("j"), F.col("v.w").alias("w"))
+    rows = E.cut(rows.withColumn("w", F.transform("w", lambda x: x / length)))
+    used = long.select("j").distinct().count()
+    k = max(1, min(dims, used - 1, rows.count() - 1))
+    context = df.sparkSession.sparkContext
+    wide = min(width, k + 10)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, wide)))[0]
+    for _ in range(rounds):
+        q, _ = _times_gram(rows, context.broadcast(q), width, wide)
+    right = context.broadcast(np.ascontiguousarray(q[:, :k]))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _Sparse(batch) @ right.value
+            yield pa.RecordBatch.from_arrays([batch.column("purpose_clean"), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), k).cast(pa.list_(pa.float64()))], ["purpose_clean", "vector"])
+
+    known = rows.mapInArrow(project, "purpose_clean string, vector array<double>")
     return df.select(key, F.coalesce("purpose_clean", F.lit("nan")).alias("purpose_clean")).join(known, "purpose_clean").drop("purpose_clean")
 
 
+class _Sparse:
+    """The rows of a batch as a sparse matrix: column numbers ``j`` and weights ``w`` in lists."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        j, w = batch.column("j"), batch.column("w")
+        self.n = batch.num_rows
+        self.row = np.repeat(np.arange(self.n), np.diff(j.offsets.to_numpy()))
+        self.j, self.w = j.flatten().to_numpy(), w.flatten().to_numpy()
+
+    def __matmul__(self, dense: np.ndarray) -> np.ndarray:
+        first = np.searchsorted(self.row, np.arange(self.n + 1))
+        out = np.zeros((self.n, dense.shape[1]))
+        some = np.flatnonzero(np.diff(first))
+        if len(some):
+            out[some] = np.add.reduceat(dense[self.j] * self.w[:, None], first[:-1][some], axis=0)
+        return out
+
+    def add_transposed(self, dense: np.ndarray, to: np.ndarray) -> None:
+        """``to`` += A' ``dense``"""
+        order = np.argsort(self.j, kind="stable")
+        j = self.j[order]
+        first = np.flatnonzero(np.concatenate(([True], j[1:] != j[:-1]))) if len(j) else np.zeros(0, np.int64)
+        if len(j):
+            to[j[first]] += np.add.reduceat(dense[self.row[order]] * self.w[order, None], first, axis=0)
+
+
+def _times_gram(rows: DataFrame, q, width: int, wide: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """The eigenvectors (columns, largest first) and eigenvalues of A'A within the space that A'A makes of ``q``'s columns."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                a = _Sparse(batch.slice(at, 2000))
+                total = np.zeros((width, wide)) if total is None else total
+                a.add_transposed(a @ q.value, total)
+        if total is not None:
+            blocks = [total[i : i + block] for i in range(0, width, block)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["at", "sums"])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist())
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    sums = rows.mapInArrow(part, "at int, sums binary").groupBy("at").applyInArrow(add, "at int, sums binary").collect()  # width x wide numbers
+    y = np.zeros((width, wide))
+    for r in sums:
+        y[r["at"] * block : (r["at"] + 1) * block] = np.frombuffer(r["sums"], np.float64).reshape(-1, wide)
+    # in the space of q, A'A is q'y; its eigenvectors order the columns
+    values, turn = np.linalg.eigh((q.value.T @ y + y.T @ q.value) / 2)
+    order = np.argsort(-values)
+    return np.linalg.qr(y @ turn[:, order])[0], values[order]
+
+
 # global outliers over a feature matrix
 
 
-def feature_matrix(df: DataFrame, names: list[str], key: str = "txn_id") -> DataFrame:
-    """Long form (key, feature, x): nulls and infinities are 0, flags are numbers, each feature is standardised with its
-    population deviation."""
+def _number(name: str) -> Column:
+    """A column as a number; null, NaN and infinities are 0."""
+    c = F.col(name).cast("double")
+    return F.coalesce(F.when(F.abs(c) < float("inf"), c), F.lit(0.0))
+
+
+def standardised(df: DataFrame, names: list[str], key: str = "txn_id") -> DataFrame:
+    """key and ``x``: an array with the features, each standardised with its population deviation (0 without spread); absent ones are 0."""
     df = E.ensure_columns(df, {n: 0.0 for n in names})
-    value = lambda n: F.coalesce(F.when(F.abs(F.col(n).cast("double")) < float("inf"), F.col(n).cast("double")), F.lit(0.0))
-    stats = df.agg(*(F.struct(F.avg(value(n)).alias("m"), F.stddev_pop(value(n)).alias("s")).alias(f"s_{i}") for i, n in enumerate(names)))
-    wide = df.select(key, *(value(n).alias(f"v_{i}") for i, n in enumerate(names))).crossJoin(F.broadcast(stats))
-    z = [F.struct(F.lit(n).alias("feature"), F.when(F.col(f"s_{i}.s") > 0, (F.col(f"v_{i}") - F.col(f"s_{i}.m")) / F.col(f"s_{i}.s")).otherwise(0.0).alias("x")) for i, n in enumerate(names)]
-    return wide.select(key, F.explode(F.array(*z)).alias("f")).select(key, "f.feature", "f.x")
+    stats = df.agg(*(F.struct(F.avg(_number(n)).alias("m"), F.stddev_pop(_number(n)).alias("s")).alias(f"s_{i}") for i, n in enumerate(names)))
+    wide = df.select(key, *(_number(n).alias(f"v_{i}") for i, n in enumerate(names))).crossJoin(F.broadcast(stats))  # one row
+    return wide.select(key, F.array(*(F.when(F.col(f"s_{i}.s") > 0, (F.col(f"v_{i}") - F.col(f"s_{i}.m")) / F.col(f"s_{i}.s")).otherwise(0.0) for i in range(len(names)))).alias("x"))
+
+
+def feature_matrix(df: DataFrame, names: list[str], key: str = "txn_id") -> DataFrame:
+    """Long form (key, feature, x) of ``standardised``."""
+    labels = F.array(*(F.lit(n) for n in names))
+    return standardised(df, names, key).select(key, F.posexplode("x").alias("i", "x")).select(key, F.get(labels, F.col("i")).alias("feature"), "x")
 
 
-def hbos(matrix: DataFrame, key: str = "txn_id", bins: int = 10, alpha: float = 0.1) -> DataFrame:
+def hbos(wide: DataFrame, n_features: int, key: str = "txn_id", bins: int = 10, alpha: float = 0.1) -> DataFrame:
     """Histogram score: sum over features of -log2(density + alpha), ``bins`` equal bins a feature; the last bin holds its upper end.
-    A feature without spread has one bin one wide around its value, as histograms of constants have."""
-    ranges = matrix.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
-    ranges = ranges.withColumn("step", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0 / bins))
-    ranges = ranges.withColumn("lo", F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5))
-    small = F.broadcast(ranges)  # a row for each feature
-    binned = matrix.join(small, "feature").withColumn("bin", F.least(F.floor((F.col("x") - F.col("lo")) / F.col("step") + 1e-9), F.lit(bins - 1)))
-    counts = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("c"))  # bins rows for each feature
-    scored = binned.join(F.broadcast(counts), ["feature", "bin"]).withColumn("s", -F.log2(F.col("c") / (F.col("n") * F.col("step")) + alpha))
-    return scored.groupBy(key).agg(F.sum("s").alias("hbos_raw"))
-
-
-def copod(matrix: DataFrame, key: str = "txn_id") -> DataFrame:
+    A feature without spread has one bin one wide around its value, as histograms of constants have.
+
+    ``wide`` has the features as an array ``x``; rows stay as they are, only counts of bins are grouped."""
+    ranges = wide.agg(F.count(F.lit(1)).alias("n"), *(F.struct(F.min(F.col("x")[i]).alias("lo"), F.max(F.col("x")[i]).alias("hi")).alias(f"r_{i}") for i in range(n_features)))
+    spread = lambda r: r["hi"] > r["lo"]
+    edges = F.transform(F.array(*(F.col(f"r_{i}") for i in range(n_features))), lambda r: F.struct(F.when(spread(r), r["lo"]).otherwise(r["lo"] - 0.5).alias("lo"), F.when(spread(r), (r["hi"] - r["lo"]) / bins).otherwise(1.0 / bins).alias("step")))
+    ranges = ranges.select("n", edges.alias("edges"))
+    binned = wide.crossJoin(F.broadcast(ranges)).withColumn("bins", F.zip_with("x", "edges", lambda x, e: F.least(F.floor((x - e["lo"]) / e["step"] + 1e-9), F.lit(bins - 1))))  # one row
+    counts = binned.select("n", F.posexplode("bins").alias("i", "bin"), "edges").groupBy("i", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first(F.get("edges", F.col("i"))["step"]).alias("step"))
+    score = -F.log2(F.col("c") / (F.col("n") * F.col("step")) + alpha)
+    # n_features x bins numbers in one row
+    table = counts.agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * bins + F.col("bin")).cast("int"), score))).alias("table"))
+    scored = binned.crossJoin(F.broadcast(table)).select(key, F.aggregate(F.transform("bins", lambda b, i: F.element_at("table", (i * bins + b).cast("int"))), F.lit(0.0), lambda a, s: a + s).alias("hbos_raw"))
+    return scored
+
+
+def copod(wide: DataFrame, key: str = "txn_id") -> DataFrame:
     """Copula score: tails from both empirical distributions of each feature; a feature's part is the larger of the mean of its
     tails and the tail on the side of its skew.
 
-    Distributions come from counts of distinct values in order, so hot values are one row each.
+    ``wide`` has the features as an array ``x``.  Distributions come from counts of distinct values, placed by range; hot values (flags) are
+    broadcast and only the others are joined by a shuffle.
     """
-    counts = matrix.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("feature").orderBy("x")
-    upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    n = F.sum("c").over(Window.partitionBy("feature"))
-    tails = counts.select("feature", "x", (-F.log(upto / n)).alias("left"), (-F.log((n - upto + F.col("c")) / n)).alias("right"))
+    matrix = wide.select(key, F.posexplode("x").alias("feature", "x"))
+    counts = matrix.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("count"))
+    n, upto = F.col("total"), F.col("below") + F.col("count")
+    tails = E.running_counts(counts, "x", "count", ["feature"]).select("feature", "x", "count", "total", (-F.log(upto / n)).alias("left"), (-F.log((n - F.col("below")) / n)).alias("right"))
     skews = matrix.groupBy("feature").agg(F.skewness("x").alias("skew")).withColumn("side", F.when(F.isnan("skew") | F.col("skew").isNull() | (F.abs("skew") < 1e-9), 0).otherwise(F.signum("skew")))
     tails = tails.join(F.broadcast(skews.select("feature", "side")), "feature")  # a row for each feature
-    both = (F.col("left") + F.col("right"))
+    both = F.col("left") + F.col("right")
     chosen = F.when(F.col("side") < 0, F.col("left")).when(F.col("side") > 0, F.col("right")).otherwise(both)
-    tails = tails.select("feature", "x", F.greatest(chosen, both / 2).alias("s"))
-    return matrix.join(tails, ["feature", "x"]).groupBy(key).agg(F.sum("s").alias("copod_raw"))
+    tails = tails.select("feature", "x", "count", "total", F.greatest(chosen, both / 2).alias("s"))
+    return E.join_values(matrix, tails, ["feature", "x"], ["s"]).groupBy(key).agg(F.sum("s").alias("copod_raw"))
+
+
+def with_logs(df: DataFrame) -> DataFrame:
+    """The global layer's own logarithms and roundness flag."""
+    gap = lambda c: F.log1p(F.greatest(E.number(df, c, 0.0), F.lit(0.0)))
+    df = df.withColumns({"log_amount": F.log1p(F.abs("amount")), "log_days_since_last_debit": gap("days_since_last_txn_debit"), "log_days_since_last_credit": gap("days_since_last_txn_credit")})
+    return df.withColumn("round_large_amount", F.col("is_round_amount")) if "round_large_amount" not in df.columns and "is_round_amount" in df.columns else df
+
 
+def with_vectors(df: DataFrame, vectors: DataFrame, key: str = "txn_id") -> DataFrame:
+    """``df`` with the components of ``vectors`` (key, vector) as columns."""
+    joined = df.join(vectors.select(key, F.col("vector").alias("_vector")), key, "left")
+    return joined.withColumns({n: F.coalesce(F.get("_vector", F.lit(i)), F.lit(0.0)) for i, n in enumerate(VECTOR_FEATURES)}).drop("_vector")
 
-def global_scores(df: DataFrame, names: list[str] = BASE_FEATURES, key: str = "txn_id", rank: bool = True) -> DataFrame:
-    """txn_id with hbos_score, copod_score (both 0..1) and global_score, their mean, and its rank."""
-    matrix = feature_matrix(df, names, key)
-    out = hbos(matrix, key).join(copod(matrix, key), key)
+
+def global_scores(df: DataFrame, names: list[str] | None = None, key: str = "txn_id", rank: bool = True) -> DataFrame:
+    """txn_id with hbos_score, copod_score (both 0..1) and global_score, their mean, and its rank.  By default all 80 features:
+    the base columns, the components of the purposes' vectors (``with_vectors``) and three logarithms; absent ones are 0."""
+    if names is None:
+        df, names = with_logs(df), [*BASE_FEATURES, *VECTOR_FEATURES, *LOG_FEATURES]
+    wide = E.cut(standardised(df, names, key))  # both scores read it a few times
+    out = hbos(wide, len(names), key).join(copod(wide, key), key)
+    out = E.cut(out)
     out = E.minmax_all(out, "hbos_raw", "hbos_score", "b")
     out = E.minmax_all(out, "copod_raw", "copod_score", "b")
     out = out.withColumn("global_score", 0.5 * F.col("hbos_score") + 0.5 * F.col("copod_score"))
@@ -178,24 +284,38 @@ def global_scores(df: DataFrame, names: list[str] = BASE_FEATURES, key: str = "t
     return E.rank_all(out, "global_score", "global_rank") if rank else out
 
 
+def _components(df: DataFrame, names: list[str], key: str, k: int) -> tuple[DataFrame, np.ndarray]:
+    """Standardised rows and the first ``k`` principal components (features x k), from the matrix of the features' products."""
+    wide = standardised(df, names, key)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    got = wide.agg(*(F.avg(F.col("x")[i] * F.col("x")[j]).alias(f"p{n}") for n, (i, j) in enumerate(pairs))).first()  # means are 0
+    product = np.zeros((len(names), len(names)))
+    for n, (i, j) in enumerate(pairs):
+        product[i, j] = product[j, i] = got[n] or 0.0
+    values, vectors = np.linalg.eigh(product)
+    vectors = vectors[:, np.argsort(-values)[:k]]
+    return wide, vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])] < 0, -1, 1)
+
+
 def pca_loadings(df: DataFrame, names: list[str], key: str = "txn_id", k: int = 2) -> DataFrame:
     """Sum of absolute loadings of each feature on the first ``k`` principal components."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+    _, loadings = _components(df, names, key, k)
+    return df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, np.abs(loadings).sum(1), strict=True)], "feature string, importance double")
 
-    ordered = sorted(names)
-    wide = feature_matrix(df, ordered, key).groupBy(key).pivot("feature", ordered).agg(F.first("x"))
-    ready = wide.select(array_to_vector(F.array(*ordered)).alias("x"))
-    pc = PCA(k=k, inputCol="x", outputCol="p").fit(ready).pc.toArray()
-    return df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(ordered, np.abs(pc).sum(1), strict=True)], "feature string, importance double")
+
+def pca_projection(df: DataFrame, names: list[str], key: str = "txn_id", k: int = 2) -> DataFrame:
+    """key and its place on the first ``k`` principal components, ``pc_1`` and so on; a component's largest loading is positive."""
+    wide, loadings = _components(df, names, key, k)
+    place = lambda c: F.aggregate(F.zip_with("x", F.array(*(F.lit(float(v)) for v in loadings[:, c])), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return wide.select(key, *(place(c).alias(f"pc_{c + 1}") for c in range(loadings.shape[1])))
 
 
 # individual layer: an isolation forest for each party
 
 
-def contamination(n: int, low: float = 0.02, high: float = 0.20) -> float:
+def contamination(n: Column, low: float = 0.02, high: float = 0.20) -> Column:
     """The share of outliers to expect among n rows; kept as a figure, scores don't depend on it."""
-    return float(np.clip(min(max(3 / n, low), 10 / n), low, high))
+    return E.clip(F.least(F.greatest(3 / n, F.lit(low)), 10 / n), low, high)
 
 
 def path_length(n: np.ndarray) -> np.ndarray:
@@ -207,35 +327,67 @@ def path_length(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def isolation_scores(x: np.ndarray, trees: int, sample: int, seed: int) -> np.ndarray:
-    """2 ** (-mean depth / c(psi)) for each row; a tree splits random features at random values within their range."""
-    rng = np.random.default_rng(seed)
-    n = len(x)
-    psi = min(sample, n)
-    limit = int(np.ceil(np.log2(max(psi, 2))))
-    depth = np.zeros(n)
-    for _ in range(trees):
-        drawn = rng.choice(n, psi, replace=False) if psi < n else np.arange(n)
-        stack = [(drawn, np.arange(n), 0)]
-        while stack:
-            inner, rows, d = stack.pop()
-            if d < limit and len(inner) > 1:
-                low, high = x[inner].min(0), x[inner].max(0)
-                wide = np.flatnonzero(high > low)
-                if len(wide):
-                    f = wide[rng.integers(len(wide))]
-                    cut = rng.uniform(low[f], high[f])
-                    a, b = x[inner, f] < cut, x[rows, f] < cut
-                    stack += [(inner[a], rows[b], d + 1), (inner[~a], rows[~b], d + 1)]
-                    continue
-            depth[rows] += d + path_length(np.array([len(inner)]))[0]
-    return 2.0 ** (-depth / trees / max(path_length(np.array([psi]))[0], 1e-9))
+class IsolationForest:
+    """Trees that split random features at random values within their range; all trees grow one level at a time."""
+
+    def __init__(self, x: np.ndarray, trees: int, sample: int, seed: int):
+        rng = np.random.default_rng(seed)
+        n = len(x)
+        self.psi = min(sample, n)
+        self.limit = int(np.ceil(np.log2(max(self.psi, 2))))
+        rows = (np.argsort(rng.random((trees, n)), axis=1)[:, : self.psi] if self.psi < n <= 8 * sample else np.stack([rng.choice(n, self.psi, replace=False) for _ in range(trees)]) if self.psi < n else np.tile(np.arange(n), (trees, 1))).ravel()
+        node = np.repeat(np.arange(trees), self.psi)
+        feature, cut, child, depth = [], [], [], []
+        total = trees
+        for d in range(self.limit + 1):
+            order = np.argsort(node, kind="stable")
+            rows, node = rows[order], node[order]
+            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
+            size = np.diff(np.concatenate((first, [len(node)])))
+            here = x[rows]
+            low, high = (f.reduceat(here, first, axis=0) if len(first) else np.zeros((0, x.shape[1])) for f in (np.minimum, np.maximum))
+            wide = high > low
+            splits = wide.any(1) & (size > 1) & (d < self.limit)
+            pick = np.minimum((rng.random(len(first)) * wide.sum(1)).astype(int), np.maximum(wide.sum(1) - 1, 0))
+            f = np.where(splits, (np.cumsum(wide, 1) > pick[:, None]).argmax(1), -1)
+            at = np.arange(len(first))
+            c = low[at, f] + rng.random(len(first)) * (high[at, f] - low[at, f]) if len(first) else np.zeros(0)
+            c = np.where(c > low[at, f], c, high[at, f]) if len(first) else c  # both sides have rows, so all children are met in the next level
+            feature.append(f)
+            cut.append(c)
+            child.append(np.where(splits, total + 2 * (np.cumsum(splits) - 1), 0))
+            depth.append(d + path_length(size))
+            group = np.repeat(at, size)
+            go = splits[group]
+            node = child[-1][group[go]] + (here[go, f[group[go]]] >= c[group[go]])
+            rows = rows[go]
+            total += 2 * int(splits.sum())
+            if not len(rows):
+                break
+        self.trees = trees
+        self.feature, self.cut, self.child, self.depth = (np.concatenate(v) for v in (feature, cut, child, depth))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """2 ** (-mean depth / c(psi)) for each row."""
+        out = np.empty(len(x))
+        for a in range(0, len(x), 1000):
+            rows = x[a : a + 1000]
+            node = np.tile(np.arange(self.trees), (len(rows), 1))
+            for _ in range(self.limit):
+                f = self.feature[node]
+                right = np.take_along_axis(rows, np.maximum(f, 0), axis=1) >= self.cut[node]
+                node = np.where(f >= 0, self.child[node] + right, node)
+            out[a : a + 1000] = self.depth[node].mean(1)
+        return 2.0 ** (-out / max(path_length(np.array([self.psi]))[0], 1e-9))
 
 
 def role_features(roles: DataFrame) -> DataFrame:
     """The long role view with the features that the forest asks for; absent ones are 0."""
+    roles = E.ensure_columns(roles, {"roll_mean_30d": 0.0})
     mean30 = F.nullif("roll_mean_30d", F.lit(0.0))
     roles = roles.withColumns({"log_days_since_last": F.log1p(F.col("days_since_last")), "rel_amount_to_mean30d": F.coalesce(F.col("amount") / (mean30 + E.EPS), F.lit(0.0))})
+    if "round_large_amount" not in roles.columns and "is_round_amount" in roles.columns:
+        roles = roles.withColumn("round_large_amount", F.col("is_round_amount"))
     roles = E.ensure_columns(roles, {n: 0.0 for n in ROLE_FEATURES})
     return roles.select("txn_id", "side", "inn", *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in ROLE_FEATURES))
 
@@ -243,23 +395,42 @@ def role_features(roles: DataFrame) -> DataFrame:
 def individual(roles: DataFrame, settings: Forest = Forest()) -> DataFrame:
     """txn_id with iforest_score_debit and _credit (null in parties with too few rows) and behavior_score, the higher.
 
-    A group is one party and side, the unit that the model is fitted on; its rows are a few columns of numbers, and each tree
-    sees ``sample`` of them.
+    A group is one party and side, the unit that the model is fitted on.  Parties with more than ``settings.group_rows`` rows are standardised
+    with aggregates, fitted on so many of their rows (by seeded hash; each tree sees ``sample``), and scored in parts of about so many rows.
     """
-    rows = role_features(roles)
-    enough = rows.groupBy("side", "inn").count().where(F.col("count") >= settings.min_rows).select("side", "inn")
+    rows = E.cut(role_features(roles))
+    sizes = rows.groupBy("side", "inn").agg(F.count(F.lit(1)).alias("_n"), *(F.struct(F.avg(n).alias("m"), F.stddev_pop(n).alias("s")).alias(f"_{n}") for n in ROLE_FEATURES)).where(F.col("_n") >= settings.min_rows)
+    z = [F.when(F.col(f"_{n}.s") > 0, (F.col(n) - F.col(f"_{n}.m")) / F.col(f"_{n}.s")).otherwise(0.0) for n in ROLE_FEATURES]
+    known = rows.join(sizes, ["side", "inn"]).select("txn_id", "side", "inn", "_n", F.array(*z).alias("x"))
+    parts = F.ceil(F.col("_n") / settings.group_rows)
+    known = known.withColumns({"part": F.pmod(F.xxhash64("txn_id"), parts), "parts": parts})
+    fitted = F.pmod(F.xxhash64("txn_id", F.lit(settings.seed)), parts) == 0
     seed, trees, sample = settings.seed, settings.trees, settings.sample
 
+    def forest(pdf: pd.DataFrame) -> tuple[IsolationForest, np.ndarray]:
+        x = np.stack(pdf["x"])
+        own = zlib.crc32(f"{pdf['side'].iloc[0]}/{pdf['inn'].iloc[0]}".encode())
+        return IsolationForest(x, trees, sample, seed + own), x
+
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("txn_id")
-        x = pdf[ROLE_FEATURES].to_numpy(float)
-        sd = x.std(0)
-        x = np.where(sd > 0, (x - x.mean(0)) / np.where(sd > 0, sd, 1), 0)
-        own = int(np.frombuffer(f"{pdf['side'].iloc[0]}/{pdf['inn'].iloc[0]}".encode().ljust(8, b"0")[-8:], np.uint64)[0] % (1 << 32))
-        raw = isolation_scores(x, trees, sample, seed + own)
-        return pd.DataFrame({"txn_id": pdf["txn_id"], "side": pdf["side"], "score": (raw - raw.min()) / (raw.max() - raw.min() + 1e-9)})
-
-    scored = rows.join(enough, ["side", "inn"], "left_semi").groupBy("side", "inn").applyInPandas(score, "txn_id string, side string, score double")
+        made, x = forest(pdf)
+        return pd.DataFrame({"txn_id": pdf["txn_id"], "side": pdf["side"], "inn": pdf["inn"], "raw": made.scores(x)})
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"side": pdf["side"].iloc[:1], "inn": pdf["inn"].iloc[:1], "model": [pickle.dumps(forest(pdf.sort_values("txn_id"))[0])]})
+
+    def score_part(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"txn_id": left["txn_id"], "side": left["side"], "inn": left["inn"], "raw": pickle.loads(right["model"].iloc[0]).scores(np.stack(left["x"])) if len(left) else []})
+
+    scored = known.where("parts = 1").groupBy("side", "inn").applyInPandas(score, "txn_id string, side string, inn string, raw double")
+    large = known.where("parts > 1")
+    models = large.where(fitted).groupBy("side", "inn").applyInPandas(fit, "side string, inn string, model binary")
+    models = models.join(sizes.select("side", "inn", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")), ["side", "inn"])
+    keys = ["side", "inn", "part"]
+    scored = E.cut(scored.unionByName(large.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInPandas(score_part, "txn_id string, side string, inn string, raw double")))
+    ends = scored.groupBy("side", "inn").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
+    scored = scored.join(ends, ["side", "inn"]).withColumn("score", (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9))
     wide = scored.groupBy("txn_id").agg(*(F.max(F.when(F.col("side") == s, F.col("score"))).alias(f"iforest_score_{s}") for s in ("debit", "credit")))
-    out = roles.select("txn_id").distinct().join(wide, "txn_id", "left")
+    out = rows.select("txn_id").distinct().join(wide, "txn_id", "left")
     return out.withColumn("behavior_score", F.greatest("iforest_score_debit", "iforest_score_credit"))

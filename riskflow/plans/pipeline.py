@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.config import Settings
+from riskflow.functions import exprs as E
 from riskflow.operators import features, fusion, graph, kb, layers, review
 from riskflow.sources import ledger
 
@@ -20,27 +21,46 @@ class Result:
     stats: DataFrame
 
 
-def scored(df: DataFrame, s: Settings = Settings(), history: DataFrame | None = None, svd: bool = False, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
-    """A prepared ledger with features, layer scores and overall risk.  ``keep`` may write what several layers read and
-    give it back, so that it is computed once."""
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def semantic(wide: DataFrame, vectors: DataFrame) -> DataFrame:
+    """txn_id with the semantic risk and its rank, from the vectors of purposes (txn_id, vector)."""
+    known = wide.select("txn_id", "debit_inn", "credit_inn", "purpose_stopword_high").join(vectors, "txn_id")
+    local = layers.local_shift(layers.local_shift(known, "vector", "debit_inn", "_ld"), "vector", "credit_inn", "_lc").withColumn("_local", F.greatest("_ld", "_lc"))
+    return layers.semantic_risk(layers.global_outlier(local, "vector", "_out"), "_local", "_out", "purpose_stopword_high").select("txn_id", "semantic_risk_score", "semantic_risk_rank")
+
+
+def with_layers(df: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """``df`` with the scores of layers, each a row for a transaction."""
+    for extra in found:
+        df = df.join(extra, "txn_id", "left")
+    return df
+
+
+def scored(df: DataFrame, s: Settings = Settings(), history: DataFrame | None = None, svd: bool = True, with_semantic: bool = False, keep: Keep = lambda df, _: E.cut(df)) -> DataFrame:
+    """A prepared ledger with features, layer scores and overall risk.  ``keep`` holds what several layers read, so that it is
+    computed once.  ``svd``: the global layer sees the vectors of purposes, too; ``with_semantic``: the semantic layer has a part in the blend."""
     df = keep(fusion.one_row_each(df), "ledger")
     wide = keep(features.enrich(df, s.features), "features")
-    roles = features.roles(wide)
-    wide = graph.enrich(wide, graph.edge_scores(df), graph.node_scores(df), s.canonical)
-    for extra in (layers.individual(roles, s.forest), layers.global_scores(wide), layers.time_series(wide, canonical=s.canonical)):
-        wide = wide.join(extra, "txn_id", "left")
-    if svd:
-        vectors = wide.join(layers.purpose_vectors(wide), "txn_id").select("txn_id", "debit_inn", "credit_inn", "vector", "purpose_stopword_high")
-        local = layers.local_shift(layers.local_shift(vectors, "vector", "debit_inn", "_ld"), "vector", "credit_inn", "_lc").withColumn("_local", F.greatest("_ld", "_lc"))
-        risk = layers.semantic_risk(layers.global_outlier(local, "vector", "_out"), "_local", "_out", "purpose_stopword_high")
-        wide = wide.join(risk.select("txn_id", "semantic_risk_score", "semantic_risk_rank"), "txn_id", "left")
-    wide = keep(wide, "layers")
+    near = graph.neighbourhoods(df)
+    vectors = keep(layers.purpose_vectors(wide), "vectors") if svd or with_semantic else None
+    found = [
+        layers.individual(features.roles(wide), s.forest),
+        layers.global_scores(layers.with_vectors(wide, vectors) if svd else wide),
+        layers.time_series(wide, canonical=s.canonical),
+    ]
+    if with_semantic:
+        found.append(semantic(wide, vectors))
+    wide = graph.enrich(wide, keep(graph.edge_scores(df, near), "edges"), keep(graph.node_scores(df, near), "nodes"), s.canonical)
+    wide = keep(with_layers(wide, [keep(extra, f"layer-{i}") for i, extra in enumerate(found)]), "layers")
     # the behaviour layer's own name is taken by the blend
     return fusion.fuse(wide.withColumnRenamed("behavior_score", "individual_behavior_score"), history, s.fusion)
 
 
 def run(spark: SparkSession, path: str, store: str, s: Settings = Settings(), client: Callable[[], review.Client] = review.EchoClient) -> Result:
     """Load a statement, score it against the history that the store had before, review a sample, update the store."""
+    path = ledger.discover_statement(spark, path)
     kept = kb.Store(spark, store)
     before = kept.read()
 

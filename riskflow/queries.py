@@ -71,7 +71,7 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kb_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kb.project(fused(spark, sf_dir)).persist()  # profiles read it several times
+    return E.cut(kb.project(fused(spark, sf_dir)))  # profiles read it several times
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +169,7 @@ query("intervals", f"WITH {DAILY} SELECT txn_id, gd AS days_since_last_txn_debit
 def _rolling(role: str, w: int) -> None:
     sql = f"WITH {P} {roll_cte(role, (w,), 'x')} SELECT inn, date, {R(f'sum{w}', 2)} AS total, cnt{w} AS cnt, {R(f'mean{w}', 2)} AS mean, {R(f'std{w}', 2)} AS std, {R(f'p95{w}', 2)} AS p95 FROM w_x"
     names = {f"{role}_roll_{a}_{w}d": b for a, b in (("sum", "total"), ("cnt", "cnt"), ("mean", "mean"), ("std", "std"), ("p95", "p95"))}
-    query(f"rolling_{w}_{role}", sql, total=2, mean=2, std=2, p95=2)(lambda s, d: features.rolling(prepared(s, d), role, (w,)).withColumnsRenamed(names))
+    query(f"rolling_{w}_{role}", sql, total=2, mean=2, std=2, p95=2)(lambda s, d: features.rolling(prepared(s, d), role, (w,)).withColumnsRenamed(names).select("inn", "date", *names.values()))
 
 
 for _role in ("debit", "credit"):
@@ -265,30 +265,8 @@ query("structural_links", f"""WITH {_GRAPH}, w AS (SELECT e.u, e.v, sum(CASE WHE
 query("negative_pairs")(lambda s, d: graph.negative_pairs(prepared(s, d)))
 query("link_model")(lambda s, d: graph.link_model(prepared(s, d)))
 
-# time series: the daily total and the smoothed flow of each party
+# time series of events; those of the ledger are in queries_more
 
-_TS = DAILY + """, ev AS (SELECT 'debit' AS side, debit_inn AS inn, date, txn_id, td AS total, nd AS cnt FROM dl UNION ALL SELECT 'credit', credit_inn, date, txn_id, tc, nc FROM dl),
- dy AS (SELECT side, inn, date, CAST(min_by(total, txn_id) AS DOUBLE) AS total, CAST(min_by(cnt, txn_id) AS DOUBLE) AS cnt FROM ev GROUP BY 1, 2, 3),
- ac AS (SELECT *, count(*) OVER (PARTITION BY side, inn) AS n FROM dy WHERE abs(total) > 0), dv AS (SELECT *, abs(total - median(total) OVER w) AS d1, abs(cnt - median(cnt) OVER w) AS d2 FROM ac WHERE n >= 10 WINDOW w AS (PARTITION BY side, inn)),
- zz AS (SELECT *, (d1 / ((median(d1) OVER w + 1e-6) * 1.4826) + d2 / ((median(d2) OVER w + 1e-6) * 1.4826)) / 5 AS rw FROM dv WINDOW w AS (PARTITION BY side, inn)),
- sc AS (SELECT side, inn, date, CASE WHEN max(rw) OVER w = min(rw) OVER w THEN 0 ELSE (rw - min(rw) OVER w) / (max(rw) OVER w - min(rw) OVER w) END AS ts FROM zz WINDOW w AS (PARTITION BY side, inn))"""
-
-
-def _series(s: SparkSession, d: str) -> DataFrame:
-    df = features.daily(prepared(s, d))
-    sides = [layers.daily_series(df, r, {"daily_total": f"daily_total_{r}", "daily_count": f"daily_{r}_transaction_count", "in_out": "_none", "net_flow": "_none", "client_round": "_none"}) for r in ("debit", "credit")]
-    return sides[0].unionByName(sides[1])
-
-
-query("ts_daily", f"WITH {_TS} SELECT side, inn, date, {R('total', 2)} AS daily_total, cnt AS daily_count, CAST(abs(total) > 0 AS INT) AS is_active_day FROM dy", daily_total=2)(lambda s, d: _series(s, d).select("side", "inn", "date", "daily_total", "daily_count", "is_active_day"))
-query("ts_scores", f"WITH {_TS} SELECT dy.side, dy.inn, dy.date, {R('coalesce(ts, 0)', 5)} AS ts_score FROM dy LEFT JOIN sc ON sc.side = dy.side AND sc.inn = dy.inn AND sc.date = dy.date", ts_score=5)(lambda s, d: layers.series_scores(_series(s, d)).select("side", "inn", "date", "ts_score"))
-_TXTS = _TS + ", tt AS (SELECT txn_id, coalesce(a.ts, 0) AS x, coalesce(b.ts, 0) AS y FROM dl LEFT JOIN sc a ON a.side = 'debit' AND a.inn = debit_inn AND a.date = dl.date LEFT JOIN sc b ON b.side = 'credit' AND b.inn = credit_inn AND b.date = dl.date)"
-query("ts_transactions", f"WITH {_TXTS} SELECT txn_id, {R('x', 5)} AS ts_anomaly_score_debit, {R('y', 5)} AS ts_anomaly_score_credit, {R('greatest(x, y)', 5)} AS ts_anomaly_score_txn FROM tt", ts_anomaly_score_debit=5, ts_anomaly_score_credit=5, ts_anomaly_score_txn=5)(
-    lambda s, d: layers.time_series(features.daily(prepared(s, d)).withColumn("net_flow_ratio_7d", F.lit(0.0))).drop("ts_anomaly_rank_txn")
-)
-query("top_n_ts", f"WITH {_TXTS} SELECT txn_id, {R('greatest(x, y)', 5)} AS ts_score FROM tt ORDER BY {R('greatest(x, y)', 5)} DESC, txn_id LIMIT 20")(
-    lambda s, d: layers.time_series(features.daily(prepared(s, d)).withColumn("net_flow_ratio_7d", F.lit(0.0))).select("txn_id", (F.round(F.col("ts_anomaly_score_txn") + F.lit(1e-7), 5) + F.lit(0.0)).alias("ts_score")).orderBy(F.desc("ts_score"), "txn_id").limit(20)
-)
 query("events_ts_scores", f"""WITH ev AS (SELECT user_id, CAST(ts AS DATE) AS date, sum(value) AS total, CAST(count(*) AS DOUBLE) AS cnt FROM events GROUP BY 1, 2), ac AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ev WHERE abs(total) > 0),
  dv AS (SELECT *, abs(total - median(total) OVER w) AS d1, abs(cnt - median(cnt) OVER w) AS d2 FROM ac WHERE n >= 10 WINDOW w AS (PARTITION BY user_id)), zz AS (SELECT *, (d1 / ((median(d1) OVER w + 1e-6) * 1.4826) + d2 / ((median(d2) OVER w + 1e-6) * 1.4826)) / 5 AS rw FROM dv WINDOW w AS (PARTITION BY user_id)),
  sc AS (SELECT user_id, date, CASE WHEN max(rw) OVER w = min(rw) OVER w THEN 0 ELSE (rw - min(rw) OVER w) / (max(rw) OVER w - min(rw) OVER w) END AS ts FROM zz WINDOW w AS (PARTITION BY user_id)) SELECT ev.user_id AS inn, ev.date, {R('coalesce(ts, 0)', 4)} AS ts_score FROM ev LEFT JOIN sc ON sc.user_id = ev.user_id AND sc.date = ev.date""", ts_score=4)(
@@ -327,16 +305,16 @@ _CP = ", cr AS (SELECT txn_id, f, -ln(cume_dist() OVER (PARTITION BY f ORDER BY
 
 
 def _matrix(s: SparkSession, d: str) -> DataFrame:
-    return layers.feature_matrix(based(s, d).withColumnsRenamed({"x_quantity": "q", "x_discount": "dc"}), _FEATURES)
+    return layers.standardised(based(s, d).withColumnsRenamed({"x_quantity": "q", "x_discount": "dc"}), _FEATURES)
 
 
-query("hbos", f"WITH {_MATRIX} {_HB} SELECT txn_id, {R('raw_h', 4)} AS hbos_raw FROM hb", hbos_raw=4)(lambda s, d: layers.hbos(_matrix(s, d)))
+query("hbos", f"WITH {_MATRIX} {_HB} SELECT txn_id, {R('raw_h', 4)} AS hbos_raw FROM hb", hbos_raw=4)(lambda s, d: layers.hbos(_matrix(s, d), len(_FEATURES)))
 query("copod", f"WITH {_MATRIX} {_CP} SELECT txn_id, {R('raw_c', 4)} AS copod_raw FROM cp", copod_raw=4)(lambda s, d: layers.copod(_matrix(s, d)))
 query("global_score", f"WITH {_MATRIX} {_HB} {_CP}, m AS (SELECT min(raw_h) AS hl, max(raw_h) AS hh FROM hb), n AS (SELECT min(raw_c) AS cl, max(raw_c) AS ch FROM cp) SELECT hb.txn_id, {R('(raw_h - hl) / (hh - hl)', 4)} AS hbos_score, {R('(raw_c - cl) / (ch - cl)', 4)} AS copod_score, {R('0.5 * (raw_h - hl) / (hh - hl) + 0.5 * (raw_c - cl) / (ch - cl)', 4)} AS global_score FROM hb JOIN cp ON cp.txn_id = hb.txn_id, m, n", hbos_score=4, copod_score=4, global_score=4)(
     lambda s, d: layers.global_scores(based(s, d).withColumnsRenamed({"x_quantity": "q", "x_discount": "dc"}), _FEATURES, rank=False)
 )
 query("pca_loadings")(lambda s, d: layers.pca_loadings(based(s, d).withColumnsRenamed({"x_quantity": "q", "x_discount": "dc"}), _FEATURES))
-query("iforest")(lambda s, d: layers.individual(features.roles(features.enrich(prepared(s, d), config.Features(stems=STEMS))), config.Forest(trees=20)))
+query("iforest")(lambda s, d: layers.individual(features.roles(features.enrich(prepared(s, d), config.Features(stems=STEMS)))))
 
 # fusion
 
@@ -379,9 +357,8 @@ query("kb_entity_flags", f"WITH {_STATS}, fl AS (SELECT inn, unnest([CASE WHEN h
 query("kb_recent_risky", f"WITH {FUSED} SELECT txn_id, CAST(date AS VARCHAR) AS date, CASE WHEN debit_inn = '7' THEN 'debit' ELSE 'credit' END AS role, CASE WHEN debit_inn = '7' THEN credit_inn ELSE debit_inn END AS counterparty, amount FROM fu WHERE debit_inn = '7' OR credit_inn = '7' ORDER BY round(txr, 9) DESC, date DESC, txn_id LIMIT 20")(
     lambda s, d: kb.recent_risky(kb_rows(s, d).withColumn("txn_risk_score", F.round("txn_risk_score", 9)), "7").select("txn_id", "date", "role", "counterparty", "amount")
 )
-query("kb_entity_view")(lambda s, d: kb.entity_view(kb_rows(s, d), stats(s, d), "7"))
 query("review_flags", f"WITH {_STATS} SELECT txn_id, coalesce(CAST(a.sr > 0.4 AS INT), 0) AS review_debit, coalesce(CAST(b.sr > 0.4 AS INT), 0) AS review_credit, greatest(coalesce(CAST(a.sr > 0.4 AS INT), 0), coalesce(CAST(b.sr > 0.4 AS INT), 0)) AS review_any FROM fu LEFT JOIN hi a ON a.role = 'debit' AND a.inn = fu.debit_inn LEFT JOIN hi b ON b.role = 'credit' AND b.inn = fu.credit_inn")(
-    lambda s, d: kb.review_flags(kb_rows(s, d), stats(s, d)).select("txn_id", "review_debit", "review_credit", "review_any")
+    lambda s, d: (lambda rows: kb.review_flags(rows, kb.profiles(rows, config.LOAN_STEMS_EN)))(kb_rows(s, d)).select("txn_id", "review_debit", "review_credit", "review_any")
 )
 query("kb_upsert", f"WITH {P} SELECT txn_id, CASE WHEN q >= 30 THEN amount + 1 ELSE amount END AS amount FROM p WHERE q <= 40 OR q >= 30")(
     lambda s, d: kb.upsert(prepared(s, d).where("x_quantity <= 40").select("txn_id", "amount"), prepared(s, d).where("x_quantity >= 30").select("txn_id", (F.col("amount") + 1).alias("amount")))
@@ -396,19 +373,9 @@ query("kb_affected", f"WITH {P} SELECT debit_inn AS inn FROM p WHERE q = 50 UNIO
 query("llm_payload", f"WITH {FUSED} SELECT txn_id, purpose, amount FROM fu WHERE amount > 50000")(
     lambda s, d: review.payload(fused(s, d).where("amount > 50000")).select("txn_id", F.from_json("payload", "purpose string, amount double").alias("j")).select("txn_id", "j.purpose", "j.amount")
 )
-query("llm_echo")(lambda s, d: review.replies(review.chosen(fused(s, d))))
-query("llm_parse", "SELECT CAST(item_id AS VARCHAR) AS txn_id, CASE WHEN item_id % 3 = 2 THEN 0.9 ELSE 0.6 END::DOUBLE AS level FROM benchmark")(
-    lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select(
-        F.col("item_id").cast("string").alias("txn_id"),
-        F.when(F.col("item_id") % 3 == 0, F.format_string('{"transactions": [{"txn_id": "%d", "risk_level": "Жёлтый "}]}', "item_id")).when(F.col("item_id") % 3 == 1, F.format_string('Answer: ```{"txn_id": "%d", "risk_level": "yellow"}``` end', "item_id")).otherwise(F.format_string('{"txn_id": "%d", "risk_level": "красный"}', "item_id")).alias("raw"),
-    ).select("txn_id", E.level_value(F.get(review.parse_replies(F.col("raw")), F.lit(0))["risk_level"]).alias("level"))
-)
 query("rule_levels", f"WITH {FUSED} SELECT txn_id, CASE WHEN round(ov, 5) > 0.5 THEN 'red' WHEN round(ov, 5) > 0.4 THEN 'yellow' ELSE 'green' END AS rule_level FROM fu")(
     lambda s, d: review.rule_levels(fused(s, d).withColumn("overall_risk", F.round("overall_risk", 5))).select("txn_id", "rule_level")
 )
-query("report_order", f"WITH {FUSED} SELECT txn_id, amount FROM fu ORDER BY round(ov, 5) DESC, amount DESC, txn_id LIMIT 100")(
-    lambda s, d: sinks.report(fused(s, d).withColumn("overall_risk", F.round("overall_risk", 5))).limit(100).select("txn_id", "amount")
-)
 query("top_parties", f"WITH {P}, t AS (SELECT debit_inn AS inn, sum(amount) AS total FROM p GROUP BY 1) SELECT inn, {R('total', 2)} AS total FROM t ORDER BY round(total, 2) DESC, inn LIMIT 100", total=2)(
     lambda s, d: prepared(s, d).groupBy(F.col("debit_inn").alias("inn")).agg(F.sum("amount").alias("total")).orderBy(F.desc(F.round("total", 2)), "inn").limit(100)
 )

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.functions.exprs import number, python_number
 
+# Which files are statements
 PATTERNS = ("*.csv", "*.xlsx", "*.xls", "*.parquet")
 
 
-def discover_statement(path: str | None = None, patterns: tuple[str, ...] = PATTERNS) -> str:
-    """``path`` if it is a file, else the first match in name order in the folder (the current one by default)."""
-    base = Path(path or ".")
-    if base.is_file():
+def discover_statement(spark: SparkSession, path: str | None = None, patterns: tuple[str, ...] = PATTERNS) -> str:
+    """``path`` if it is a file (or a folder with the name of one), else the first match in name order in the folder (the current one by default), in any store that
+    Spark reads."""
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(path or ".")
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(base) and (fs.getFileStatus(base).isFile() or base.getName().endswith((".parquet", ".csv"))):
         return str(base)
-    found = sorted({str(p) for pattern in patterns for p in base.glob(pattern)})
+    found = sorted({str(f.getPath()) for p in patterns for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(base, p)) or ()})
     if not found:
         raise FileNotFoundError(f"no statement in {base}")
     return found[0]

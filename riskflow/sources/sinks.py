@@ -23,6 +23,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_excel(df: DataFrame, path: str, limit: int = 100_000) -> str:
-    """At most ``limit`` rows of a report as a workbook on the driver."""
-    df.limit(limit).toPandas().to_excel(path, index=False, freeze_panes=(1, 0))
+    """A report as a workbook, made on the driver; more than ``limit`` rows are refused, not cut."""
+    rows = df.limit(limit + 1).toPandas()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; write CSV or JSON instead")
+    rows.to_excel(path, index=False, freeze_panes=(1, 0))
     return path

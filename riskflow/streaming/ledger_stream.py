@@ -9,12 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from riskflow.operators import kb
 
 
-def upsert_stream(stream: DataFrame, store: kb.Store, checkpoint: str) -> StreamingQuery:
+def upsert_stream(stream: DataFrame, store: kb.Store, checkpoint: str, sequence: str | None = None) -> StreamingQuery:
     """Each micro-batch of scored transactions replaces or adds its rows; a batch that is repeated after a failure
-    changes nothing more."""
+    changes nothing more.  Of rows with the same id in a batch the last one by ``sequence`` counts, without one that with the highest day, then
+    hash, so a repeated batch chooses alike."""
 
     def batch(df: DataFrame, _: int) -> None:
-        store.write(kb.project(df.withColumn("_seq", F.monotonically_increasing_id())), lambda txns, touched: kb.profiles(txns, of=touched))
+        last = F.col(sequence) if sequence else F.struct(F.col("date").cast("string"), F.xxhash64(*df.columns))
+        store.write(kb.project(df.withColumn("_seq", last)), lambda txns, touched: kb.profiles(txns, of=touched))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
