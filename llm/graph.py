@@ -56,7 +56,8 @@ def components(edges: DataFrame) -> DataFrame:
     grows with the logarithm of the longest path.  Partitions first reduce their own edges to stars.  Each round is cut
     off with a checkpoint.
     """
-    edges = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_local_forest, "a long, b long").distinct())
+    edges = materialize(edges.select("a", "b").where("a <> b"))  # a stage of its own: tasks need one Python worker at a time
+    edges = materialize(edges.mapInArrow(_local_forest, "a long, b long").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
