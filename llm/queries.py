@@ -107,5 +107,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_ngram_jaccard_join, op2_decontaminate, op3_quality_rules, op4_quality_classifier, op5_url_filters, op6_token_ids, op7_mix_sources, op8_language_id, op9_line_dedup, op10_toxicity)
 }
-#: DuckDB SQL for the queries that SQL can express on whole tables in reasonable time: none of the ten as yet.
-ORACLE_SQL: dict[str, str] = {}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_JOIN_SQL = f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+ g AS MATERIALIZED (SELECT r, len(sh) AS n, unnest(sh) AS x FROM s),
+ l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+ c AS (SELECT r, r AS other FROM s UNION SELECT c.r, l.b FROM c JOIN l ON l.a = c.other)
+ SELECT s.doc_id, CAST(max(len(s.sh)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id FROM c JOIN s ON s.r = c.r JOIN s o ON o.r = c.other GROUP BY s.r, s.doc_id"""
+_COPIES_SQL = f"""WITH dw AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+ iw AS (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+ it AS MATERIALIZED (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS win FROM (SELECT *, least(10, len(ws)) AS k FROM iw) WHERE k > 0),
+ dn AS (SELECT r, k, unnest(range(1, len(ws) - k + 2)) AS i, ws FROM dw, (SELECT DISTINCT k FROM it) WHERE len(ws) >= k),
+ f AS MATERIALIZED (SELECT r, i, it.k, item_id FROM dn JOIN it ON it.k = dn.k AND it.win = array_to_string(ws[i:i + dn.k - 1], ' ')),
+ h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS p FROM f) GROUP BY 1),
+ n AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM f GROUP BY 1)
+ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN h ON h.r = dw.r LEFT JOIN n ON n.r = dw.r"""
+#: DuckDB SQL for the queries that SQL can express: models, flows by seeded hash and tokenizers are beyond it; tests hold
+#: the others against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": _JOIN_SQL, "op2_decontaminate": _COPIES_SQL}
