@@ -7,7 +7,8 @@ is found in two different texts or more recurs: its lines are dropped, but for
 those in the first document (lowest id) with the template, so that no content is lost altogether.
 
 The lines of a few megabytes of text are first reduced to distinct ones, then to distinct ones over all texts, so
-a line that stands in a third of all documents is one row for its leaf.  A leaf is streamed in order of its
+a line that stands in a third of all documents is one row for its leaf.  Most lines are alone in their leaf; the words of the
+others are read from the texts again.  A leaf is streamed in order of its
 lines; memory grows with its templates, which are found by parts of theirs that a similar line must have.  A leaf of more
 than ``LEAF_LINES`` distinct lines is split by a hash of the line; templates of its parts meet by these parts, too, and those that agree
 become one.  A line's places stay together by the chunk of text (a piece of a megabyte), so a very common line is a row for each chunk.
@@ -37,7 +38,7 @@ LEAD, SIMILAR = 3, 0.8
 LEAF_LINES = 200_000
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 _WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
-_SCAN = "chunk long, leaf long, key long, words binary, low long, high long, first long, docs array<int>, lines array<int>"
+_SCAN = "chunk long, leaf long, key long, low long, high long, first long, docs array<int>, lines array<int>"
 _FOUND = "key long, template long, low long, high long, first long, words binary"
 _NO_ID = np.iinfo(np.int64).max
 
@@ -54,6 +55,19 @@ def _line_starts(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate((first, [len(owner)])), owner[first], number
 
 
+def _keys(piece: Piece, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, those with digits wild; and key and leaf of each line."""
+    words = piece.hashes()
+    digits = np.concatenate(([0], np.cumsum(_DIGIT[piece.raw], dtype=np.int32)))
+    words[digits[piece.ends] > digits[piece.starts]] = _WILD
+    n = np.diff(first)
+    place = np.arange(len(words)) - np.repeat(first[:-1], n)
+    mixed = mix(words * (mix(place.astype(np.uint64) + np.uint64(77)) | np.uint64(1)))
+    key = mix(np.add.reduceat(mixed, first[:-1]) + n.astype(np.uint64))
+    leaf = mix(np.add.reduceat(np.where(place < LEAD, mixed, np.uint64(0)), first[:-1]) ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return words, key, leaf
+
+
 def _scan_piece(chunk: int, piece: Piece, ids: np.ndarray, digests: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each text (no leaf): its number in the piece, id, digest and number of lines; and one for each distinct line of the
     piece, in the order of their first places: the lowest and highest digest of its texts, their first document, and all its places."""
@@ -62,18 +76,11 @@ def _scan_piece(chunk: int, piece: Piece, ids: np.ndarray, digests: np.ndarray)
     one = pa.array(np.arange(piece.n + 1), pa.int32())
     listed = lambda x, cut: pa.ListArray.from_arrays(cut, pa.array(x, pa.int32()))
     none = pa.nulls(piece.n, pa.int64())
-    row = [pa.array(np.full(piece.n, chunk)), none, none, pa.nulls(piece.n, pa.binary()), pa.array(digests), none, pa.array(ids), listed(np.arange(piece.n), one), listed(np.bincount(owner, minlength=piece.n), one)]
+    row = [pa.array(np.full(piece.n, chunk)), none, none, pa.array(digests), none, pa.array(ids), listed(np.arange(piece.n), one), listed(np.bincount(owner, minlength=piece.n), one)]
     yield pa.RecordBatch.from_arrays(row, names)
     if not len(piece.starts):
         return
-    words = piece.hashes()
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[piece.raw], dtype=np.int32)))
-    words[digits[piece.ends] > digits[piece.starts]] = _WILD
-    n = np.diff(first)
-    place = np.arange(len(words)) - np.repeat(first[:-1], n)
-    mixed = mix(words * (mix(place.astype(np.uint64) + np.uint64(77)) | np.uint64(1)))
-    key = mix(np.add.reduceat(mixed, first[:-1]) + n.astype(np.uint64))
-    leaf = mix(np.add.reduceat(np.where(place < LEAD, mixed, np.uint64(0)), first[:-1]) ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    _, key, leaf = _keys(piece, first)
     order = np.argsort(key, kind="stable")
     edges = offsets_of(key[order])
     low, high, least = np.minimum.reduceat(digests[owner][order], edges[:-1]), np.maximum.reduceat(digests[owner][order], edges[:-1]), np.minimum.reduceat(ids[owner][order], edges[:-1])
@@ -81,14 +88,9 @@ def _scan_piece(chunk: int, piece: Piece, ids: np.ndarray, digests: np.ndarray)
     turn = np.argsort(lead)
     lead, size = lead[turn], size[turn]
     order = order[np.arange(len(order)) + np.repeat(edges[:-1][turn] - (np.cumsum(size) - size), size)]
-    small = words.astype(np.uint32)
-    small[small == 0] = 1
-    small[words == _WILD] = 0
-    at = np.arange(n[lead].sum()) + np.repeat(first[:-1][lead] - (np.cumsum(n[lead]) - n[lead]), n[lead])
-    packed = binaries(small[at], np.concatenate(([0], np.cumsum(n[lead]))))
     cut = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
-    longs = [pa.array(x) for x in (np.full(len(lead), chunk), leaf[lead].view(np.int64), key[lead].view(np.int64))]
-    yield pa.RecordBatch.from_arrays([*longs, packed, *(pa.array(x[turn]) for x in (low, high, least)), listed(owner[order], cut), listed(number[order], cut)], names)
+    longs = (np.full(len(lead), chunk), leaf[lead].view(np.int64), key[lead].view(np.int64), low[turn], high[turn], least[turn])
+    yield pa.RecordBatch.from_arrays([*map(pa.array, longs), listed(owner[order], cut), listed(number[order], cut)], names)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,6 +109,37 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return written(rows.mapInArrow(run, _SCAN), "lines")
 
 
+def _words_of(docs: DataFrame, text: str, leaves: DataFrame) -> DataFrame:
+    """leaf, key and words (4 bytes each, 0: variable) of the distinct lines in ``leaves``, from the texts; a bit map of bounded
+    size drops nearly all other lines."""
+    bits = 1 << min(28, max(20, (64 * leaves.count()).bit_length()))
+    spot = F.col("leaf").bitwiseAND(F.lit(bits - 1))
+    marked = leaves.select(spot.alias("p")).groupBy(F.shiftright("p", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits"))
+    table = np.zeros((bits >> 15, 4096), np.uint8)
+    for row in marked.toLocalIterator():  # 32 MB at most
+        table[row["b"]] = np.frombuffer(row["bits"], np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(table.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column(0)):
+                if not len(piece.starts):
+                    continue
+                first, _, _ = _line_starts(piece)
+                words, key, leaf = _keys(piece, first)
+                at = leaf & np.uint64(bits - 1)
+                some = np.flatnonzero(sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                lead = some[np.unique(key[some], return_index=True)[1]]
+                small = words.astype(np.uint32)
+                small[small == 0] = 1
+                small[words == _WILD] = 0
+                n = np.diff(first)[lead]
+                place = np.arange(n.sum()) + np.repeat(first[:-1][lead] - (np.cumsum(n) - n), n)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[lead].view(np.int64)), pa.array(key[lead].view(np.int64)), binaries(small[place], np.concatenate(([0], np.cumsum(n))))], ["leaf", "key", "words"])
+
+    return docs.select(text).mapInArrow(run, "leaf long, key long, words binary").groupBy("leaf", "key").agg(F.first("words").alias("words"))
+
+
 class Leaf:
     """The templates of the lines of one width in one leaf: words with wildcards (0), kept as rows of an array.
 
@@ -243,8 +276,13 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scanned = scan(docs, doc_id, text)
     lines = scanned.where("leaf is not null")
     # the lowest and the highest digest tell whether a line stands in two different texts
-    distinct = lines.groupBy("leaf", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("words").alias("words"), F.min("first").alias("first"))
-    found = lines.select("chunk", "key", "docs", "lines").join(templates(written(distinct, "distinct"), **options), "key")
+    distinct = written(lines.groupBy("leaf", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")), "distinct")
+    # only lines that share their leaf can share a template; the words of the others are never sent
+    several = materialize(distinct.groupBy("leaf").count().where("count > 1").select("leaf"))
+    worded = written(_words_of(docs, text, several).join(distinct, ["leaf", "key"]), "worded")
+    shared = templates(worded, **options)
+    single = distinct.where("low <> high").join(worded.select("leaf", "key"), ["leaf", "key"], "left_anti").select("key", F.col("key").alias("template"), "first")
+    found = lines.select("chunk", "key", "docs", "lines").join(shared.unionByName(single), "key")
     places = found.select("chunk", "template", "first", F.explode(F.arrays_zip("docs", "lines")).alias("p"))
     rows = scanned.where("leaf is null").select("chunk", F.col("docs")[0].alias("doc"), F.col("first").alias("id"), F.col("low").alias("digest"), F.col("lines")[0].cast("long").alias("n_lines"))
     return rows, places.select("chunk", F.col("p.docs").alias("doc"), F.col("p.lines").alias("line"), "template", "first")
