@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -64,9 +65,11 @@ def run(spark: SparkSession, path: str, store: str, s: Settings = Settings(), cl
     kept = kb.Store(spark, store)
     before = kept.read()
 
+    work = f"{store}/work-{uuid.uuid4().hex}"  # of this run: its result reads from there
+
     def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{store}/work/{name}")
-        return spark.read.parquet(f"{store}/work/{name}")
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.parquet(f"{work}/{name}")
 
     out = keep(scored(ledger.prepare(ledger.load_statement(spark, path)), s, before[1] if before else None, keep=keep), "fused")
     out = keep(fusion.ranked(out), "scored")

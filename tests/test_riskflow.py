@@ -3,15 +3,17 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskflow import queries as Q
-from riskflow.config import Settings
+from riskflow import queries_more as Q
+from riskflow.config import Forest, Settings
 from riskflow.functions import exprs as E
-from riskflow.operators import features, fusion, graph, kb
+from riskflow.operators import features, fusion, graph, kb, layers, review
 from riskflow.plans import pipeline
-from riskflow.sources import ledger
+from riskflow.sources import ledger, sinks
+from riskflow.streaming import ledger_stream
 
 DATA = "/root/testdata/sf0.001"
 LEDGER = [
@@ -31,7 +33,7 @@ def small(spark):
     return ledger.prepare(spark.createDataFrame(LEDGER, "txn_id string, date string, debit_inn string, credit_inn string, debit_amount string, credit_amount string, purpose string"))
 
 
-@pytest.mark.parametrize("name", ["prepare_base", "text_clean", "daily_aggregates", "rolling_30_debit", "novelty", "graph_edge_scores", "graph_node_scores", "ts_scores", "copod", "overall_risk", "kb_split"])
+@pytest.mark.parametrize("name", ["prepare_base", "text_clean", "daily_aggregates", "rolling_30_debit", "novelty", "graph_edge_scores", "graph_node_scores", "ts_scores", "copod", "overall_risk", "kb_split", "hbos_all", "copod_all", "history_lookup", "llm_echo", "kb_store", "csv_round_trip", "edge_features_z", "iforest_check"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "orders", "part", "documents", "events", "embeddings", "benchmark"):
@@ -111,12 +113,98 @@ def test_store_is_idempotent(spark, small, tmp_path):
     assert stats.count() == stats.select("role", "inn").distinct().count() == 6
 
 
-@pytest.mark.skipif(not os.environ.get("RUN_SLOW"), reason="takes minutes")
-def test_whole_run(spark, tmp_path):
-    path = str(tmp_path / "in.parquet")
-    ledger.synthetic_ledger(spark, DATA).where("cast(debit_inn as int) <= 3").drop("x_quantity", "x_discount", "x_tax", "x_part", "x_line").write.parquet(path)
-    from riskflow.config import Forest
-
-    out = pipeline.run(spark, path, str(tmp_path / "kb"), Settings(forest=Forest(trees=5)))
-    rows = out.enriched.select("txn_id", "overall_risk", "risk_level").collect()
-    assert len({r["txn_id"] for r in rows}) == len(rows) and all(0 <= r["overall_risk"] <= 1 and not math.isnan(r["overall_risk"]) for r in rows)
+def test_second_write_changes_only_what_it_touches(spark, small, tmp_path):
+    store = kb.Store(spark, str(tmp_path / "kb"), buckets=4)
+    rows = kb.project(small.withColumn("overall_risk", F.lit(0.5)))
+    write = lambda df: store.write(df, lambda txns, touched: kb.profiles(txns, of=touched))
+    write(rows)
+    first = store._parts(1)["txns"]
+    write(rows.where("txn_id = 't3'").withColumn("debit_inn", F.lit("Z")))
+    second = store._parts(2)["txns"]
+    assert sum(first[b] != second[b] for b in first) == 1
+    txns, stats = store.read()
+    assert txns.where("txn_id = 't3'").first()["debit_inn"] == "Z" and txns.count() == 8
+    got = {(r["role"], r["inn"]): r["tx_count"] for r in stats.collect()}
+    assert got["debit", "Z"] == 1 and got["debit", "B"] == 1 and len(got) == 7
+    write(rows.where("txn_id = 't7'").withColumn("debit_inn", F.lit("Z")))
+    assert ("debit", "B") not in {(r["role"], r["inn"]) for r in store.read()[1].collect()}  # a party without rows has no profile
+    write(rows.limit(0))
+    assert store._versions()[-1] == 3 and not os.path.exists(str(tmp_path / "kb" / "list-1"))
+
+
+def test_stream_into_the_store(spark, small, tmp_path):
+    for i in range(2):
+        small.withColumns({"overall_risk": F.lit(0.1 * i), "amount": F.col("amount") + i}).write.parquet(str(tmp_path / f"in/{i}"))
+    spark.conf.set("spark.sql.streaming.schemaInference", "true")
+    stream = spark.readStream.schema(small.withColumn("overall_risk", F.lit(0.1)).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    store = kb.Store(spark, str(tmp_path / "kb"), buckets=4)
+    ledger_stream.upsert_stream(stream, store, str(tmp_path / "c")).awaitTermination(120)
+    txns, stats = store.read()
+    assert txns.count() == txns.select("txn_id").distinct().count() == 8 and stats.count() == 6
+
+
+def test_daily_totals_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([("a", "2024-01-01 10:00:00", 1.0), ("a", "2024-01-01 12:00:00", 2.0), ("b", "2024-01-02 01:00:00", 5.0), ("a", "2024-01-09 00:00:00", 7.0)], "user_id string, ts string, value double").select("user_id", F.to_timestamp("ts").alias("ts"), "value").write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema("user_id string, ts timestamp, value double").parquet(str(tmp_path / "e"))
+    ledger_stream.daily_totals(stream).writeStream.format("memory").queryName("totals").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
+    got = {(r["user_id"], str(r["date"])): r["total"] for r in spark.table("totals").collect()}
+    assert got == {("a", "2024-01-01"): 3.0, ("b", "2024-01-02"): 5.0}  # the last day may still get rows
+
+
+def test_null_parties_stay_alone(spark, small):
+    rows = {r["txn_id"]: r for r in features.novelty(features.daily(small.withColumn("debit_inn", F.when(F.col("txn_id") != "t1", F.col("debit_inn"))))).collect()}
+    assert rows["t1"]["daily_total_debit"] is None and rows["t1"]["days_since_last_txn_debit"] == 9999 and rows["t1"]["debit_new_counterparty_ratio"] is None
+
+
+def test_hot_values_and_ranges(spark):
+    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") < 4000, 0.0).otherwise(F.col("id") / 7).alias("x"))
+    got = {r["id"]: r["r"] for r in E.rank_all(df, "x", "r").collect()}
+    assert len(got) == 5000 and got[0] == got[3999] == pytest.approx(2000.5 / 5000) and got[4999] == 1.0 and got[4000] == pytest.approx(4001 / 5000)
+
+
+def test_forest_finds_an_outlier_in_parts_as_well(spark):
+    rng = np.random.default_rng(0)
+    rows = [(f"t{i:03}", "p", "debit", float(rng.normal()) + (30 if i == 7 else 0), float(rng.normal())) for i in range(120)]
+    df = spark.createDataFrame(rows, "txn_id string, inn string, side string, amount double, log_amount double").withColumn("days_since_last", F.lit(1))
+    whole, parts = ({r["txn_id"]: r["iforest_score_debit"] for r in layers.individual(df, Forest(trees=50, group_rows=n)).collect()} for n in (1000, 50))
+    assert max(whole, key=whole.get) == "t007" and len(whole) == len(parts) == 120 and min(whole.values()) == min(parts.values()) == 0
+    # fitted on a third of the rows, seen or not seen the outlier
+    assert np.corrcoef([whole[t] for t in sorted(whole)], [parts[t] for t in sorted(parts)])[0, 1] > 0.7
+
+
+def test_vectors_are_those_of_a_plain_decomposition(spark):
+    texts = ["loan one", "loan two", "cash out", "cash in", "gift box", "gift bag now"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "txn_id string, purpose_clean string")
+    long = features.tfidf(df, "txn_id").collect()
+    grams = sorted({r["gram"] for r in long})
+    a = np.zeros((6, len(grams)))
+    for r in long:
+        a[int(r["txn_id"]), grams.index(r["gram"])] = r["weight"]
+    u, values, _ = np.linalg.svd(a, full_matrices=False)
+    want = u[:, :3] * values[:3]
+    got = np.array([r["vector"] for r in sorted(layers.purpose_vectors(df, dims=3, width=1 << 14).collect(), key=lambda r: r["txn_id"])])
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-3)
+
+
+def test_storefront_and_fallbacks(spark):
+    df = spark.createDataFrame([("t", "ПЕРЕВОД: ЗаЙм", 5.0, 1.4), ("u", None, 6.0, 0.2)], "txn_id string, purpose string, amount double, txn_risk_score double")
+    got = {r["txn_id"]: r for r in review.storefront(df).collect()}
+    assert got["t"]["purpose_stopword_high"] == 1 and got["t"]["overall_risk"] == 1 and got["u"]["purpose_stopword_high"] == 0
+
+
+def test_excel_refuses_what_does_not_fit(spark, tmp_path):
+    with pytest.raises(ValueError):
+        sinks.write_excel(spark.range(20), str(tmp_path / "x.xlsx"), limit=10)
+
+
+def test_whole_run_twice(spark, tmp_path):
+    """The second run sees the history that the first one left."""
+    rows = ledger.synthetic_ledger(spark, DATA).where("cast(debit_inn as int) <= 12").drop("x_quantity", "x_tax", "x_part", "x_line")
+    for i in range(2):
+        rows.where(f"x_discount % 2 = {i}").drop("x_discount").write.parquet(str(tmp_path / f"in{i}.parquet"))
+    out = [pipeline.run(spark, str(tmp_path / f"in{i}.parquet"), str(tmp_path / "kb"), Settings(forest=Forest(trees=10))) for i in range(2)]
+    for i, result in enumerate(out):
+        got = result.enriched.select("txn_id", "overall_risk", "risk_level", "history_risk", "llm_risk_level").collect()
+        assert len({r["txn_id"] for r in got}) == len(got) > 0 and all(0 <= r["overall_risk"] <= 1 and not math.isnan(r["overall_risk"]) and r["risk_level"] for r in got)
+        assert any(r["history_risk"] is not None for r in got) == bool(i)
+    assert kb.Store(spark, str(tmp_path / "kb")).read()[0].count() == rows.count()
