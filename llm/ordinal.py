@@ -9,11 +9,14 @@ sample is the same in every run.  Scoring reads every whole text in bounded piec
 
 Null and empty texts have no trigrams and get the score of the thresholds alone.  Null ratings and
 ratings of unknown documents are ignored; an id rated twice counts twice.  Without any ratings, or with
-only one grade, every document gets that grade (0 if there is none) and a tail of 1.
+only one grade, every document gets that grade (0 if there is none) and a tail of 1.  An empty table gives an empty result.  Columns
+named ``expected_grade`` or ``p_good`` are replaced by ``score`` and kept by ``reject``; others pass through.  A very long text is one row of counts, like
+any other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +30,7 @@ from llm.words import Piece
 
 BUCKETS = 2048
 MAX_LABELS = 6000
+TEXTS = 1024  # whose counts are held at once
 _A, _B, _C = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
 
 
@@ -50,6 +54,11 @@ def trigram_counts(piece: Piece) -> np.ndarray:
     return np.bincount(owner * BUCKETS + hashed[inside], minlength=piece.n * BUCKETS).reshape(piece.n, BUCKETS).astype(np.float32)
 
 
+def by_parts(piece: Piece, fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``fn`` of the counts of all texts of the piece, a bounded number of texts at a time."""
+    return np.concatenate([fn(trigram_counts(piece.part(a, min(a + TEXTS, piece.n)))) for a in range(0, piece.n, TEXTS)])
+
+
 def features(counts: np.ndarray) -> np.ndarray:
     x = np.log1p(counts)
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-6)
@@ -111,7 +120,7 @@ def rated_sample(docs: DataFrame, labels: DataFrame, rating: str, max_labels: in
 
 def train(docs: DataFrame, labels: DataFrame, rating: str = "quality", max_labels: int = MAX_LABELS, doc_id: str = "doc_id", text: str = "text") -> OrdinalModel:
     def rows(piece: Piece, batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = np.minimum(trigram_counts(piece), 65535).astype(np.uint16)
+        counts = by_parts(piece, lambda c: np.minimum(c, 65535).astype(np.uint16))
         return pa.RecordBatch.from_arrays([batch.column("rating"), pa.array([c.tobytes() for c in counts], pa.binary()), batch.column(doc_id)], ["rating", "counts", "id"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -131,7 +140,7 @@ def score(docs: DataFrame, model: OrdinalModel, good_grade: float, text: str = "
 
     def rows(piece: Piece, batch: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value
-        tails = m.tails(features(np.minimum(trigram_counts(piece), 65535)))
+        tails = by_parts(piece, lambda c: m.tails(features(np.minimum(c, 65535))))
         out = [m.expected(tails), m.tail(tails, good_grade)]
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(np.asarray(c, float)) for c in out)], [*names, "expected_grade", "p_good"])
 
@@ -141,5 +150,7 @@ def score(docs: DataFrame, model: OrdinalModel, good_grade: float, text: str = "
 def reject(docs: DataFrame, labels: DataFrame, *, rating: str = "quality", good_grade: float = 1, min_tail: float = 0.5, doc_id: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS) -> DataFrame:
     """``docs``, all columns, without documents whose probability of ``good_grade`` is below ``min_tail``."""
     model = train(docs, labels, rating, max_labels, doc_id, text)
-    return score(docs, model, good_grade, text, keep_text=True).where(F.col("p_good") >= min_tail).select(*docs.columns)
-
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    row = docs.select((F.struct(*rest) if rest else F.lit(0)).alias("_row"), F.col(text).alias("text"))
+    kept = score(row, model, good_grade, "text", keep_text=True).where(F.col("p_good") >= min_tail)
+    return kept.select(*(F.col("text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns))

@@ -7,7 +7,8 @@ if the posterior probability of being good is at least one half.
 
 Null and empty texts have no words: all measures are 0, base_failed is true and kept is false.
 Repeated rows get equal results, an empty table gives an empty result, and further columns of the
-input may have any name (only the id and the text are read).
+input may have any name (only the id and the text are read).  A very long text is measured as a whole.  The prior votes are worth a fixed
+share of all documents, so they weigh alike at every size; they keep good and bad from changing places.
 """
 
 from __future__ import annotations

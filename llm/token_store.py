@@ -10,7 +10,9 @@ what stands before it.
 
 Documents are dealt by ranges of their id, so each task encodes and writes one shard in order; only
 the shards' totals, a row for each, are summed to place them.  Ids that are null come first; rows with
-equal ids are ordered by a hash of their text.  A null or empty text has only the end id.
+equal ids are ordered by a hash of their text.  A null or empty text has only the end id.  The ids have to be integers (other
+values fail in the cast); further columns are ignored, whatever their names; an empty table gives empty files.  A very long text is
+encoded as a whole and is one document of one chunk.
 
 Encoding splits texts where the vocabulary's own rules always split (white space, runs of letters, of
 digits, of other characters), so that each distinct run is encoded once per worker and a text is a

@@ -70,6 +70,12 @@ class Piece:
         """64-bit hash of each word, A-Z lower-cased."""
         return hash_spans(_LOWER[self.raw], self.starts, self.ends)
 
+    def part(self, a: int, b: int) -> Piece:
+        """The texts from ``a`` to before ``b``."""
+        begin, end = self.bounds[a], self.bounds[b]
+        words = slice(self.word_bounds[a], self.word_bounds[b])
+        return Piece(self.first + a, self.raw[begin:end], self.bounds[a : b + 1] - begin, self.starts[words] - begin, self.ends[words] - begin, self.word_bounds[a : b + 1] - self.word_bounds[a])
+
     def text(self, i: int) -> bytes:
         return self.raw[self.bounds[i] : self.bounds[i + 1]].tobytes()
 
