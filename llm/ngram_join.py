@@ -15,8 +15,9 @@ A document is the set of its distinct word 5-grams, hashed to 64 bits.  Document
    sets that share a prefix n-gram: each shared part is passed once, with the overlap so far, and a subtree is left when what
    remains of both sets can't reach the overlap needed.  One set of each component is looked for first; sets that are
    then connected needn't be looked for again, so a group of copies isn't expanded into pairs.
-   A block of more than ``BLOCK_NGRAMS`` n-grams is cut into parts and each pair of parts is one task, so
-   memory is bounded and all links are kept.
+   A block of more than ``BLOCK_NGRAMS`` n-grams is cut into parts.  Each part is a task, with a few sets of the whole block that
+   connect groups across parts; then only sets outside the block's largest group meet each other and each part.  So memory is
+   bounded, all links between groups are kept, and a very large group of copies is linear work.
 
 Wherever n-grams are dealt by hash, the texts of a chunk (a few megabytes) first agree on the distinct ones, so an n-gram that very many
 documents have is one entry for each chunk; packets hold what a chunk has for a bucket, and with very many buckets they are dealt
@@ -47,7 +48,8 @@ WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 BUCKET_BYTES = 24 << 20  # of text for each bucket of the filter
 CHUNK_BYTES = 8 << 20  # of text whose n-grams travel together
 FAN = 4096
-BLOCK_NGRAMS = 4_000_000
+BLOCK_NGRAMS = 1_000_000
+LEADS = 32
 _SHARED = 0  # the class of n-grams that several classes of a chunk have
 _DOCS = -1
 _SCAN = "bucket long, chunk array<long>, ids array<long>, n array<int>, d1 array<long>, d2 array<long>, counts array<int>, grams binary"
@@ -580,21 +582,50 @@ def links(sets: DataFrame, n_buckets: int, block_ngrams: int = BLOCK_NGRAMS, fan
     across = redeal(sent.where("to >= 0"), _PREFIX, lambda c: bucket_of(c["gram"], n_buckets), n_buckets, fan).groupBy("to").applyInArrow(_block_edges, "a long, b long")
     blocks = components(within.unionByName(across))
     held = sets.join(blocks, "node").withColumn("grams_n", (F.length("grams") / 8).cast("long"))
-    sizes = held.groupBy("component").agg(F.sum("grams_n").alias("total"))
-    parts = F.ceil(F.col("total") / block_ngrams).cast("int")
-    held = held.join(sizes.withColumn("parts", parts), "component")
+    sizes = held.groupBy("component").agg(F.sum("grams_n").alias("total")).withColumn("parts", F.ceil(F.col("total") / block_ngrams).cast("int"))
+    held = materialize(held.join(sizes.drop("total"), "component"))
+    whole = _tasks(held.where("parts = 1").withColumn("cells", F.array(_cell(0, 0, -1))), n_buckets)
+    large = held.where("parts > 1")
+    if not large.limit(1).count():
+        return whole.groupBy("task").applyInArrow(_link, "a long, b long")
+    # first each part of a large block, along with a few sets of the whole block that join its groups across the parts
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    # a large block's part i meets each part j in the block's cell (i, j); each cell is a block of its own
-    cells = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j"), F.when(part == j, -1).when(part < j, 0).otherwise(1).alias("side")))
-    )
-    placed = held.select("component", "node", "n", "prefix", "grams", "df", F.explode(cells).alias("c"))
+    large = large.withColumn("part", part)
+    leads = large.groupBy("component", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(LEADS)).alias("k")).agg(F.min("node").alias("node")).select("node", F.lit(True).alias("lead"))
+    large = large.join(leads, "node", "left")
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: _cell(i, i, -1))
+    own = large.withColumn("cells", F.when(F.col("lead"), everywhere).otherwise(F.array(_cell(F.col("part"), F.col("part"), -1))))
+    first = materialize(whole.unionByName(_tasks(own, n_buckets)).groupBy("task").applyInArrow(_link, "a long, b long"))
+    # then what isn't in the largest group of its block, with itself and with each part: sets of that group needn't meet any more
+    found = components(first)
+    large = large.join(found.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    groups = large.groupBy("component", "group").agg(F.sum("grams_n").alias("n"))
+    main = groups.groupBy("component").agg(F.max(F.struct("n", "group"))["group"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("top"))
+    rest = materialize(large.join(main, "component").where("all > top"))
+    more = F.ceil((F.col("all") - F.col("top")) / block_ngrams).cast("int")  # parts of the others, numbered after those of the block
+    other = F.col("group") != F.col("main")
+    piece = F.col("parts") + F.pmod(F.xxhash64("node", F.lit(2)), more).cast("int")
+    pieces_of = F.sequence(F.col("parts"), F.col("parts") + more - 1)
+    with_main = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: _cell(i, piece, 1))
+    with_others = F.transform(pieces_of, lambda j: _cell(F.least(piece, j), F.greatest(piece, j), F.when(piece == j, -1).when(piece < j, 0).otherwise(1)))
+    cells = F.when(other, F.concat(with_main, with_others)).otherwise(F.transform(pieces_of, lambda j: _cell(F.col("part"), j, 0)))
+    second = _tasks(rest.withColumn("cells", cells), n_buckets).groupBy("task").applyInArrow(_link, "a long, b long")
+    return first.unionByName(materialize(second))
+
+
+def _cell(i, j, side) -> Column:
+    """Where a set is compared: block by i and j; ``side`` 0 meets side 1, -1 meets all."""
+    return F.struct(*(F.lit(x).cast("int").alias(n) if isinstance(x, int) else x.cast("int").alias(n) for x, n in ((i, "i"), (j, "j"), (side, "side"))))
+
+
+def _tasks(held: DataFrame, n_buckets: int) -> DataFrame:
+    """The sets once for each of their ``cells``, dealt to tasks."""
+    placed = held.select("component", "node", "n", "prefix", "grams", "df", F.explode("cells").alias("c"))
     placed = placed.select("node", "n", "prefix", "grams", "df", F.xxhash64("component", "c.i", "c.j").alias("block"), F.col("c.side").alias("side"))
-    tasks = placed.withColumn("task", F.pmod("block", F.lit(max(n_buckets, 1) * 64)))
-    return tasks.groupBy("task").applyInArrow(_link, "a long, b long")
+    return placed.withColumn("task", F.pmod("block", F.lit(max(n_buckets, 1) * 64)))
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
     """For each row: the id, ``n_shingles`` (size of the set) and ``component_id`` (smallest id connected by links)."""
     size = docs.agg(F.sum(F.octet_length(text))).collect()[0][0] or 0
     n_buckets = max(1, -(-size // bucket_bytes))
@@ -607,7 +638,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = docs_of.where(named).groupBy("d1", "d2").agg(F.min("id").alias("id"), F.max("n").alias("n")).withColumn("node", F.xxhash64("d1", "d2"))
     left = materialize(_candidates(scanned, classes, n_buckets, fan))
     sets = ordered_sets(_sets_of(rows, left, width), n_buckets, fan)
-    linked = components(links(sets, n_buckets, fan=fan))
+    linked = components(links(sets, n_buckets, block_ngrams, fan))
     inside = classes.join(linked, "node")
     least = inside.groupBy("component").agg(F.min("id").alias("least"))
     inside = inside.join(least, "component").select("d1", "d2", "least")

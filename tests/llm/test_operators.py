@@ -74,13 +74,8 @@ def test_join_is_exact(spark):
 def test_large_blocks_are_cut_without_losing_links(spark):
     base = [f"w{k}" for k in range(60)]
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(60)]
-    old = ngram_join.links.__defaults__
-    try:
-        ngram_join.links.__defaults__ = (500,)
-        got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
-        assert sorted(map(tuple, got.collect())) == linked(rows)
-    finally:
-        ngram_join.links.__defaults__ = old
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), block_ngrams=500)
+    assert sorted(map(tuple, got.collect())) == linked(rows)
 
 
 def test_components(spark):

@@ -99,6 +99,20 @@ def test_join_deals_in_two_steps_and_links_by_the_trie(spark, tables, docs, monk
     assert not len(a)  # nothing else finds links
 
 
+def test_join_of_a_large_block_with_several_groups(spark):
+    """One block of all texts by a passage that they share, cut into many parts; groups and chains of near copies in it."""
+    rng = np.random.default_rng(4)
+    shared, rows = [f"s{k}" for k in range(12)], []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for i in range([60, 25, 12, 6, 3, 1][g]):
+            at = (i * 3) % 50 if g == 1 else int(rng.integers(50))  # group 1 is a chain
+            own = base[:at] + [f"x{g}y{i}z{k}" for k in range(int(rng.integers(1, 9)))] + base[at + 2 :]
+            rows.append((len(rows), " ".join(shared + own)))
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), block_ngrams=400)
+    assert sorted(map(tuple, got.collect())) == sorted(components(rows))
+
+
 def copies(text, items):
     w = ALNUM.findall((text or "").translate(LOWER))
     at = defaultdict(list)
