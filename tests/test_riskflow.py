@@ -33,7 +33,7 @@ def small(spark):
     return ledger.prepare(spark.createDataFrame(LEDGER, "txn_id string, date string, debit_inn string, credit_inn string, debit_amount string, credit_amount string, purpose string"))
 
 
-@pytest.mark.parametrize("name", ["prepare_base", "text_clean", "daily_aggregates", "rolling_30_debit", "novelty", "graph_edge_scores", "graph_node_scores", "ts_scores", "copod", "overall_risk", "kb_split", "hbos_all", "copod_all", "history_lookup", "llm_echo", "kb_store", "csv_round_trip", "edge_features_z", "iforest_check"])
+@pytest.mark.parametrize("name", ["prepare_base", "text_clean", "daily_aggregates", "rolling_30_debit", "novelty", "graph_edge_scores", "graph_node_scores", "ts_scores", "copod", "overall_risk", "kb_split", "hbos_all", "history_lookup", "llm_echo", "csv_round_trip", "edge_features_z"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "orders", "part", "documents", "events", "embeddings", "benchmark"):
