@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from llm.words import SPACE, Piece, pieces
 
@@ -38,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def best(df: DataFrame, keys: list[str], order: list, item: str, top: int, slices: int = 64) -> DataFrame:
+    """The first ``top`` rows of each group, with ``rank`` from 1.  Slices of a group, dealt by ``item``, are ranked first, so the task of a group gets
+    ``slices * top`` rows at most."""
+    dealt = df.withColumn("_slice", F.pmod(F.xxhash64(item), F.lit(slices)))
+    first = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))).where(F.col("rank") <= top)
+    return first.drop("_slice").withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
+
+
 def map_pieces(
     df: DataFrame,
     text: str,

@@ -36,6 +36,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 NOT_ALNUM = np.zeros(256, bool)
 NOT_ALNUM[:128] = True
 NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = False
+#: as above, and digits separate, too
+NOT_LETTER = NOT_ALNUM.copy()
+NOT_LETTER[48:58] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,6 +79,16 @@ class Piece:
         words = slice(self.word_bounds[a], self.word_bounds[b])
         return Piece(self.first + a, self.raw[begin:end], self.bounds[a : b + 1] - begin, self.starts[words] - begin, self.ends[words] - begin, self.word_bounds[a : b + 1] - self.word_bounds[a])
 
+    def codes(self) -> tuple[np.ndarray, pa.Array]:
+        """Each word, A-Z lower-cased, as a place in the array of the distinct ones.  Told apart by their bytes."""
+        inside = np.zeros(len(self.raw) + 1, np.int8)
+        inside[self.starts] += 1
+        inside[self.ends] -= 1
+        data = _LOWER[self.raw[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]]
+        at = np.concatenate(([0], np.cumsum(self.ends - self.starts, dtype=np.int64)))
+        found = pa.LargeStringArray.from_buffers(len(self.starts), pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+        return found.indices.to_numpy().astype(np.int64), found.dictionary
+
     def text(self, i: int) -> bytes:
         return self.raw[self.bounds[i] : self.bounds[i + 1]].tobytes()
 
