@@ -118,16 +118,25 @@ def pair_aggregates(df: DataFrame) -> DataFrame:
 
 
 PAIR_FEATURES = ("mean_log", "max_log", "freq", "round_share", "mean_len", "mean_gap")
+HISTORY = ("mean_log", "max_log", "log_freq", "round_share", "round_100k_share", "mean_len", "digits_share", "mean_gap")
+
+
+def pair_history(df: DataFrame) -> DataFrame:
+    """The eight features of a directed pair: mean and highest log of the amounts, log of 1 + the number of transfers, shares of round amounts (10,000 and 100,000),
+    mean length and share of digits of the purposes, mean days since the pair's transfer before (9999 for the first)."""
+    w = Window.partitionBy("debit_inn", "credit_inn").orderBy("date", "txn_id")
+    gap = df.withColumns({"_gap": F.date_diff("date", F.lag("date").over(w)), "_log": F.log1p(F.abs("amount"))})
+    return gap.where("debit_inn is not null and credit_inn is not null").groupBy("debit_inn", "credit_inn").agg(
+        F.avg("_log").alias("mean_log"), F.max("_log").alias("max_log"), F.log1p(F.count(F.lit(1))).alias("log_freq"), F.avg("is_round_10k").alias("round_share"),
+        F.avg("is_round_100k").alias("round_100k_share"), F.avg("purpose_len").cast("double").alias("mean_len"), F.avg("purpose_digits_ratio").alias("digits_share"), F.avg(F.coalesce("_gap", F.lit(9999))).alias("mean_gap"),
+    )
 
 
 def edge_features(asked: DataFrame, df: DataFrame) -> DataFrame:
-    """``asked`` (u, v) with the aggregates of the directed pair, zeros where it has no transfers, each standardised over all directed
-    pairs of ``df``."""
-    known = E.cut(pair_aggregates(df))
-    stats = known.agg(*(F.struct(F.avg(n).alias("m"), F.stddev_pop(n).alias("s")).alias(f"_{n}") for n in PAIR_FEATURES))
-    joined = asked.join(known.withColumnsRenamed({"debit_inn": "u", "credit_inn": "v"}), ["u", "v"], "left").crossJoin(F.broadcast(stats))  # one row
-    z = {n: F.when(F.col(f"_{n}.s") > 0, (F.coalesce(F.col(n).cast("double"), F.lit(0.0)) - F.col(f"_{n}.m")) / F.col(f"_{n}.s")).otherwise(0.0) for n in PAIR_FEATURES}
-    return joined.withColumns(z).drop(*(f"_{n}" for n in PAIR_FEATURES))
+    """``asked`` (u, v) with ``HISTORY``, zeros where it has no transfers, each standardised over ``asked``."""
+    known = pair_history(df).withColumnsRenamed({"debit_inn": "u", "credit_inn": "v"})
+    joined = asked.join(known, ["u", "v"], "left").na.fill(0.0, list(HISTORY))
+    return E.zscores(E.cut(joined), list(HISTORY))
 
 
 def node_features(df: DataFrame, names: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskflow import config
 from riskflow.functions import exprs as E
-from riskflow.operators import features, fusion, graph, kb, layers, review
+from riskflow.operators import features, fusion, graph, kb, layers, links, review
 from riskflow.plans import pipeline
 from riskflow.queries import _GRAPH, _STATS, _WIDE, BOTH_ROLLS, DAILY, FUSED, ORACLE_SQL, QUERIES, RANKSQL, STEMS, P, R, based, fused, kb_rows, prepared, query, raw, rounded_amounts, stats
 from riskflow.sources import ledger, sinks
@@ -153,16 +153,16 @@ query("bottom_n", f"WITH {FUSED} SELECT txn_id, amount FROM fu ORDER BY round(tx
 
 # graph
 
-_LINKS = f"""{_GRAPH}, w AS (SELECT e.u, e.v, sum(CASE WHEN k > 1 THEN 1 / ln(k) END) AS aa, sum(1.0 / k) AS ra FROM e JOIN arc a ON a.u = e.u JOIN arc b ON b.u = e.v AND a.v = b.v JOIN deg ON deg.u = a.v GROUP BY 1, 2),
- sl AS (SELECT e.u, e.v, coalesce(both_n, 0)::DOUBLE AS f1, coalesce(both_n, 0) / (a.k + b.k - coalesce(both_n, 0)) AS f2, coalesce(aa, 0) AS f3, coalesce(ra, 0) AS f4, ln(1 + a.k * b.k) AS f5 FROM e JOIN deg a ON a.u = e.u JOIN deg b ON b.u = e.v LEFT JOIN cm ON cm.u = e.u AND cm.v = e.v LEFT JOIN w ON w.u = e.u AND w.v = e.v)"""
-_Z = "coalesce(({x} - (SELECT avg({x}) FROM {t})) / nullif((SELECT stddev_pop({x}) FROM {t}), 0), 0)"
-query("structural_links_z", f"WITH {_LINKS} SELECT u, v, {', '.join(f'{R(_Z.format(x=f, t=chr(115) + chr(108)), 4)} AS {n}' for f, n in zip(('f1', 'f2', 'f3', 'f4', 'f5'), graph.LINK_FEATURES, strict=True))} FROM sl", **dict.fromkeys(graph.LINK_FEATURES, 4))(
+_LINKS = f"""{_GRAPH}, w AS MATERIALIZED (SELECT e.u, e.v, sum(CASE WHEN k > 1 THEN 1 / ln(k) END) AS aa, sum(1.0 / k) AS ra FROM e JOIN arc a ON a.u = e.u JOIN arc b ON b.u = e.v AND a.v = b.v JOIN deg ON deg.u = a.v GROUP BY 1, 2),
+ sl AS MATERIALIZED (SELECT e.u, e.v, coalesce(both_n, 0)::DOUBLE AS f1, coalesce(both_n, 0) / (a.k + b.k - coalesce(both_n, 0)) AS f2, coalesce(aa, 0) AS f3, coalesce(ra, 0) AS f4, ln(1 + a.k * b.k) AS f5 FROM e JOIN deg a ON a.u = e.u JOIN deg b ON b.u = e.v LEFT JOIN cm ON cm.u = e.u AND cm.v = e.v LEFT JOIN w ON w.u = e.u AND w.v = e.v)"""
+query("structural_links_z", f"WITH {_LINKS}, st AS (SELECT {', '.join(f'avg(f{i}) AS m{i}, stddev_pop(f{i}) AS s{i}' for i in range(1, 6))} FROM sl) SELECT u, v, {', '.join(f'{R(f"coalesce((f{i} - m{i}) / nullif(s{i}, 0), 0)", 4)} AS {n}' for i, n in enumerate(graph.LINK_FEATURES, 1))} FROM sl, st", **dict.fromkeys(graph.LINK_FEATURES, 4))(
     lambda s, d: graph.structural_links(prepared(s, d), standard=True)
 )
-_PAIRS = f"""{P}, gp AS (SELECT *, coalesce(date_diff('day', lag(date) OVER (PARTITION BY debit_inn, credit_inn ORDER BY date, txn_id), date), 9999) AS gap, ln(1 + greatest(amount, 1)) AS la FROM p),
- pa AS (SELECT debit_inn, credit_inn, avg(la) AS f1, max(la) AS f2, count(*)::DOUBLE AS f3, avg(CAST(amount % 10000 = 0 AS INT)) AS f4, avg(length(purpose)) AS f5, avg(gap) AS f6 FROM gp GROUP BY 1, 2)"""
-query("edge_features_z", f"WITH {_PAIRS}, ak AS (SELECT DISTINCT least(debit_inn, credit_inn) AS u, greatest(debit_inn, credit_inn) AS v FROM p WHERE debit_inn <> credit_inn), jo AS (SELECT u, v, {', '.join(f'coalesce(f{i}, 0) AS f{i}' for i in range(1, 7))} FROM ak LEFT JOIN pa ON u = debit_inn AND v = credit_inn) SELECT u, v, "
-      + ", ".join(R(f"coalesce((f{i} - (SELECT avg(f{i}) FROM pa)) / nullif((SELECT stddev_pop(f{i}) FROM pa), 0), 0)", 4) + f" AS {n}" for i, n in enumerate(graph.PAIR_FEATURES, 1)) + " FROM jo", **dict.fromkeys(graph.PAIR_FEATURES, 4))(
+_PAIRS = f"""{P}, gp AS (SELECT *, coalesce(date_diff('day', lag(date) OVER (PARTITION BY debit_inn, credit_inn ORDER BY date, txn_id), date), 9999) AS gap, ln(1 + abs(amount)) AS la FROM p),
+ pa AS (SELECT debit_inn, credit_inn, avg(la) AS f1, max(la) AS f2, ln(1 + count(*)) AS f3, avg(CAST(amount % 10000 = 0 AS INT)) AS f4, avg(CAST(amount % 100000 = 0 AS INT)) AS f5, avg(length(purpose)) AS f6,
+ avg(length(regexp_replace(purpose, '[^0-9]', '', 'g')) / (length(purpose) + 1e-6)) AS f7, avg(gap) AS f8 FROM gp GROUP BY 1, 2)"""
+query("edge_features_z", f"WITH {_PAIRS}, ak AS (SELECT DISTINCT least(debit_inn, credit_inn) AS u, greatest(debit_inn, credit_inn) AS v FROM p WHERE debit_inn <> credit_inn), jo AS MATERIALIZED (SELECT u, v, {', '.join(f'coalesce(f{i}, 0) AS f{i}' for i in range(1, 9))} FROM ak LEFT JOIN pa ON u = debit_inn AND v = credit_inn), st AS (SELECT {', '.join(f'avg(f{i}) AS m{i}, stddev_pop(f{i}) AS s{i}' for i in range(1, 9))} FROM jo) SELECT u, v, "
+      + ", ".join(R(f"coalesce((f{i} - m{i}) / nullif(s{i}, 0), 0)", 4) + f" AS {n}" for i, n in enumerate(graph.HISTORY, 1)) + " FROM jo, st", **dict.fromkeys(graph.HISTORY, 4))(
     lambda s, d: graph.edge_features(graph.edges(prepared(s, d)).select("u", "v"), based(s, d))
 )
 
@@ -177,6 +177,41 @@ query("negative_pairs_check", f"WITH {P}, e AS (SELECT DISTINCT least(debit_inn,
 query("link_model_check", f"WITH {P}, e AS (SELECT DISTINCT least(debit_inn, credit_inn) AS u, greatest(debit_inn, credit_inn) AS v FROM p WHERE debit_inn <> credit_inn) SELECT count(*) AS pairs, 0::BIGINT AS outside FROM e")(
     lambda s, d: graph.link_model(prepared(s, d)).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(~F.col("edge_risk").between(0, 1)).alias("outside"))
 )
+_TEMPORAL = f"""{P}, tr AS (SELECT debit_inn AS u, credit_inn AS v, date_diff('day', DATE '1970-01-01', date) AS day FROM p WHERE debit_inn <> credit_inn), qu AS (SELECT quantile_cont(day, 0.7) AS q1, quantile_cont(day, 0.85) AS q2 FROM tr),
+ pt AS MATERIALIZED (SELECT u, v, CASE WHEN day <= q1 THEN 'train' WHEN day <= q2 THEN 'valid' ELSE 'test' END AS part FROM tr, qu),
+ no AS MATERIALIZED (SELECT inn, row_number() OVER (ORDER BY inn) - 1 AS id FROM (SELECT u AS inn FROM pt UNION SELECT v FROM pt)), nn AS (SELECT count(*) AS n FROM no),
+ po AS MATERIALIZED (SELECT DISTINCT part, u, v FROM pt WHERE part <> 'train'), dr AS (SELECT part, unnest(range(n)) AS i FROM (SELECT part, count(*) AS n FROM po GROUP BY 1)),
+ di AS (SELECT part, {', '.join(f"CAST('0x' || substr(md5(part || '|' || i || '|{k}|42'), 1, 12) AS BIGINT) % n AS {k}" for k in 'uv')} FROM dr, nn),
+ ne AS (SELECT DISTINCT part, a.inn AS u, b.inn AS v FROM di JOIN no a ON a.id = di.u JOIN no b ON b.id = di.v WHERE a.inn <> b.inn AND NOT EXISTS (SELECT 1 FROM pt WHERE pt.u = a.inn AND pt.v = b.inn)),
+ aq AS MATERIALIZED (SELECT *, 1 AS label FROM po UNION ALL SELECT *, 0 FROM ne),
+ te AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM pt WHERE part = 'train'), ta AS MATERIALIZED (SELECT u, v FROM te UNION ALL SELECT v, u FROM te), tg AS MATERIALIZED (SELECT u, count(*) AS k FROM ta GROUP BY 1),
+ tc AS MATERIALIZED (SELECT aq.u, aq.v, count(*) AS common, sum(CASE WHEN k > 1 THEN 1 / ln(k) END) AS aa, sum(1.0 / k) AS ra FROM (SELECT DISTINCT u, v FROM aq) aq JOIN ta a ON a.u = aq.u JOIN ta b ON b.u = aq.v AND a.v = b.v JOIN tg ON tg.u = a.v GROUP BY 1, 2),
+ tl AS MATERIALIZED (SELECT part, aq.u, aq.v, label, coalesce(common, 0) AS common, coalesce(coalesce(common, 0) / nullif(coalesce(x.k, 0) + coalesce(y.k, 0) - coalesce(common, 0), 0), 0) AS jaccard, coalesce(aa, 0) AS adamic_adar, coalesce(ra, 0) AS resource_allocation, ln(1 + coalesce(x.k, 0) * coalesce(y.k, 0)) AS preferential
+  FROM aq LEFT JOIN tg x ON x.u = aq.u LEFT JOIN tg y ON y.u = aq.v LEFT JOIN tc ON tc.u = aq.u AND tc.v = aq.v)"""
+query("temporal_links", f"WITH {_TEMPORAL} SELECT part, u, v, label, common, {', '.join(f'{R(n)} AS {n}' for n in graph.LINK_FEATURES[1:])} FROM tl", **dict.fromkeys(graph.LINK_FEATURES[1:], 6))(lambda s, d: links.temporal_links(prepared(s, d)))
+query("link_quality", f"""WITH {_TEMPORAL}, sc AS (SELECT part, label, {R('preferential', 2)} AS s FROM tl), qc AS (SELECT part, s, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM sc GROUP BY 1, 2),
+ cu AS (SELECT *, sum(p) OVER (PARTITION BY part ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY part ORDER BY s DESC) AS fp FROM qc)
+ SELECT part, CAST(sum(p) AS BIGINT) AS links, CAST(sum(n) AS BIGINT) AS others, {R('sum(n * (tp - p / 2.0)) / (sum(p) * sum(n))')} AS roc_auc, {R('sum(p * tp / (tp + fp)) / sum(p)')} AS average_precision FROM cu GROUP BY part""", roc_auc=6, average_precision=6)(
+    lambda s, d: _quality(E.cut(links.temporal_links(prepared(s, d)).withColumn("s", F.round(F.col("preferential") + F.lit(1e-7), 2))))
+)
+
+
+def _quality(scored: DataFrame) -> DataFrame:
+    parts = [links.ranking_quality(scored.where(F.col("part") == p), "s").select(F.lit(p).alias("part"), "*") for p in ("valid", "test")]
+    return parts[0].unionByName(parts[1])
+
+
+def _network_quality(s: SparkSession, d: str) -> DataFrame:
+    """The network on links after the second cut: as many as there are, and ranked better than by the best link feature alone and a bound."""
+    df = based(s, d)
+    alone = E.cut(links.temporal_links(df).where("part = 'test'"))
+    best = max(links.ranking_quality(alone, n).first()["roc_auc"] for n in graph.LINK_FEATURES)
+    good = F.col("roc_auc") > max(best, 0.8)
+    return links.held_out_quality(df).select("links", "others", good.alias("better_than_one_feature"), (F.col("average_precision") > 0.8).alias("precise"))
+
+
+query("graph_network", None)(lambda s, d: links.link_risk(based(s, d)))
+query("graph_network_check", f"WITH {_TEMPORAL} SELECT count(*) FILTER (label = 1) AS links, count(*) FILTER (label = 0) AS others, true AS better_than_one_feature, true AS precise FROM tl WHERE part = 'test'")(_network_quality)
 query("node_risk", f"SELECT inn, {R('avg(x)', 5)} AS node_risk FROM (SELECT u AS inn, graph_edge_score AS x FROM {sub('graph_edge_scores')} UNION ALL SELECT v, graph_edge_score FROM {sub('graph_edge_scores')}) GROUP BY 1", node_risk=5)(
     lambda s, d: graph.node_risk(graph.edge_scores(prepared(s, d)).select("u", "v", (F.round(F.col("graph_edge_score") + F.lit(1e-7), 6)).alias("edge_risk")))
 )
