@@ -111,6 +111,21 @@ def rank_all(df: DataFrame, name: str, out: str) -> DataFrame:
     return join_values(df, ranks, [name], [out]).select(*df.columns, out)
 
 
+def rank_within(df: DataFrame, name: str, keys: list[str], out: str) -> DataFrame:
+    """Percent rank within groups of any size, ties averaged; nulls don't count and stay null, rows without a key have none.  Distinct values are dealt by
+    range, so a group may be many tasks."""
+    counts = df.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count(F.lit(1)).alias("count"))
+    ranks = running_counts(counts, name, "count", keys).withColumn(out, (F.col("below") + 1 + (F.col("count") - 1) / 2) / F.col("total"))
+    return df.join(ranks.select(*keys, name, out), [*keys, name], "left").select(*df.columns, out)
+
+
+def minmax_within(df: DataFrame, name: str, out: str, keys: list[str], variant: str) -> DataFrame:
+    """Scaled to 0..1 within groups of any size by their least and largest values; rows without a key have none."""
+    ends = df.where(F.col(name).isNotNull()).groupBy(*keys).agg(F.min(name).alias("_low"), F.max(name).alias("_high"))
+    joined = df.join(ends, keys, "left")
+    return joined.withColumn(out, minmax_expr(F.col(name), F.col("_low"), F.col("_high"), variant)).select(*df.columns, out)
+
+
 def rank_by(name: str, keys: list[str]) -> Column:
     """Percent rank within a group, ties averaged."""
     w = Window.partitionBy(*keys)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskflow.config import Features
 from riskflow.functions import exprs as E
+from riskflow.operators import sliced
 
 ROLES = {"debit": "debit_inn", "credit": "credit_inn"}
 
@@ -52,20 +53,22 @@ def base(df: DataFrame, stems: tuple[str, ...] = Features.stems) -> DataFrame:
     )
 
 
-def daily(df: DataFrame) -> DataFrame:
-    """Each party's total and number of positive amounts of the day, the row's share of it, and the days since its last row."""
+def daily(df: DataFrame, hot_rows: int = sliced.HOT_ROWS) -> DataFrame:
+    """Each party's total and number of positive amounts of the day, the row's share of it, and the days since its last row.  Parties with more than ``hot_rows`` rows
+    are several tasks."""
+    hot = sliced.hot_groups(df, list(ROLES.values()), hot_rows)
     for role, party in ROLES.items():
         day = Window.partitionBy(*_group(party), "date")
-        order = Window.partitionBy(*_group(party)).orderBy("date", "txn_id")
+        df = sliced.lagged(df, party, ["date", "txn_id"], "_before_it", hot[party], _group(party))
         total = _known(party, F.sum("amount").over(day))
         df = df.withColumns(
             {
                 f"daily_total_{role}": total,
                 f"daily_{role}_transaction_count": _known(party, F.count(F.when(F.col("amount") > 0, 1)).over(day)),
-                f"days_since_last_txn_{role}": F.coalesce(_known(party, F.date_diff("date", F.lag("date").over(order))), F.lit(Features.first_gap)),
+                f"days_since_last_txn_{role}": F.coalesce(_known(party, F.date_diff("date", "_before_it")), F.lit(Features.first_gap)),
             }
         )
-        df = df.withColumn(f"daily_{role}_percent", F.coalesce(F.col("amount") / F.nullif(f"daily_total_{role}", F.lit(0.0)), F.lit(0.0)))
+        df = df.withColumn(f"daily_{role}_percent", F.coalesce(F.col("amount") / F.nullif(f"daily_total_{role}", F.lit(0.0)), F.lit(0.0))).drop("_before_it")
     return df
 
 
@@ -152,12 +155,12 @@ def volatility(df: DataFrame) -> DataFrame:
     return df
 
 
-def novelty(df: DataFrame, rows: int = Features.novelty_rows) -> DataFrame:
-    """Share of first payments to a payee among the payer's last ``rows`` rows, this one included."""
-    pair = Window.partitionBy(*_group("debit_inn"), "credit_inn").orderBy("date", "txn_id")
-    payer = Window.partitionBy(*_group("debit_inn")).orderBy("date", "txn_id").rowsBetween(-(rows - 1), 0)
-    df = df.withColumn("_new", (F.row_number().over(pair) == 1).cast("double"))
-    return df.withColumn("debit_new_counterparty_ratio", _known("debit_inn", F.avg("_new").over(payer))).drop("_new")
+def novelty(df: DataFrame, rows: int = Features.novelty_rows, hot_rows: int = sliced.HOT_ROWS) -> DataFrame:
+    """Share of first payments to a payee among the payer's last ``rows`` rows, this one included.  Payers with more than ``hot_rows`` rows are several tasks."""
+    order, hot, group = ["date", "txn_id"], sliced.hot_groups(df, ["debit_inn"], hot_rows)["debit_inn"], _group("debit_inn")
+    df = sliced.first_of_pair(df, "debit_inn", "credit_inn", order, "_new", hot, group)
+    df = sliced.trailing_mean(df, "debit_inn", order, "_new", rows, "_share", hot, group)
+    return df.withColumn("debit_new_counterparty_ratio", _known("debit_inn", F.col("_share"))).drop("_new", "_share")
 
 
 def fans(df: DataFrame) -> DataFrame:

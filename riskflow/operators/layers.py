@@ -97,7 +97,7 @@ def vector_distance(df: DataFrame, vector: str, keys: list[str], out: str, min_g
 def local_shift(df: DataFrame, vector: str, party: str, out: str, min_group: int = 5) -> DataFrame:
     """Distance from the party's own centre, scaled within the party; null for parties with fewer rows and without id."""
     known = vector_distance(df.where(F.col(party).isNotNull()), vector, [party], "_dist", min_group)
-    known = known.withColumn(out, F.when(F.col("_dist").isNotNull(), E.minmax_by("_dist", [party], "d"))).drop("_dist")
+    known = E.minmax_within(known, "_dist", "_scaled", [party], "d").withColumn(out, F.when(F.col("_dist").isNotNull(), F.col("_scaled"))).drop("_dist", "_scaled")
     return known.unionByName(df.where(F.col(party).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 

@@ -196,11 +196,11 @@ query("fan_ratios", f"""WITH {P}, a AS (SELECT debit_inn, date, count(DISTINCT c
     lambda s, d: features.fans(prepared(s, d)).select("txn_id", "unique_recipients_per_day", "unique_receivers_per_day", "debit_fan_out_ratio", "credit_fan_in_ratio")
 )
 query("pct_rank", f"WITH {P} SELECT txn_id, {R(RANKSQL.format(x='q'))} AS overall_rank, {R('(rank() OVER (PARTITION BY debit_inn ORDER BY q) + (count(*) OVER (PARTITION BY debit_inn, q) - 1) / 2.0) / count(*) OVER (PARTITION BY debit_inn)')} AS party_rank FROM p", overall_rank=6, party_rank=6)(
-    lambda s, d: E.rank_all(prepared(s, d), "x_quantity", "overall_rank").withColumn("party_rank", E.rank_by("x_quantity", ["debit_inn"])).select("txn_id", "overall_rank", "party_rank")
+    lambda s, d: E.rank_within(E.rank_all(prepared(s, d), "x_quantity", "overall_rank"), "x_quantity", ["debit_inn"], "party_rank").select("txn_id", "overall_rank", "party_rank")
 )
 query("minmax_scaling", f"""WITH {P}, w AS (SELECT txn_id, amount AS a, min(amount) OVER (PARTITION BY debit_inn) AS lo, max(amount) OVER (PARTITION BY debit_inn) AS hi, (SELECT min(amount) FROM p) AS l, (SELECT max(amount) FROM p) AS h FROM p)
  SELECT txn_id, {R('(a - lo) / (hi - lo + 1e-9)')} AS a, {R('CASE WHEN h - l <= 1e-9 THEN 0.5 ELSE (a - l) / (h - l) END')} AS b, {R('CASE WHEN h - l <= 1e-6 THEN 0.5 ELSE (a - l) / (h - l + 1e-6) END')} AS c, {R('CASE WHEN hi = lo THEN 0 ELSE (a - lo) / (hi - lo) END')} AS d FROM w""", a=6, b=6, c=6, d=6)(
-    lambda s, d: E.minmax_all(E.minmax_all(prepared(s, d), "amount", "b", "b"), "amount", "c", "c").withColumns({"a": E.minmax_by("amount", ["debit_inn"], "a"), "d": E.minmax_by("amount", ["debit_inn"], "d")}).select("txn_id", "a", "b", "c", "d")
+    lambda s, d: E.minmax_all(E.minmax_all(prepared(s, d), "amount", "b", "b"), "amount", "c", "c").transform(lambda f: E.minmax_within(E.minmax_within(f, "amount", "a", ["debit_inn"], "a"), "amount", "d", ["debit_inn"], "d")).select("txn_id", "a", "b", "c", "d")
 )
 query("robust_z", f"WITH {P}, m AS (SELECT *, abs(amount - median(amount) OVER (PARTITION BY debit_inn)) AS dev FROM p) SELECT txn_id, {R('dev / ((median(dev) OVER (PARTITION BY debit_inn) + 1e-6) * 1.4826)', 4)} AS z, {R('coalesce((amount - avg(amount) OVER (PARTITION BY debit_inn)) / nullif(stddev_pop(amount) OVER (PARTITION BY debit_inn), 0), 0)')} AS zscore FROM m", z=4, zscore=6)(
     lambda s, d: E.robust_z(prepared(s, d), ["amount"], ["debit_inn"]).withColumn("zscore", E.zscore_by("amount", ["debit_inn"])).select("txn_id", F.col("amount_z").alias("z"), "zscore")
