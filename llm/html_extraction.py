@@ -274,8 +274,8 @@ def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([main_text(x.as_py()) for x in batch.column("_page")], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), texts], [*names, into])
+            texts = pa.array([main_text(x.as_py()) for x in batch.column(len(names))], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*names, into])
 
-    rows = pages.select(*(F.col(f"`{n}`") for n in names), F.col(html).cast("string").alias("_page"))
+    rows = pages.select(*(F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)), F.col(html).cast("string").alias("page"))
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField(into, T.StringType())]))
