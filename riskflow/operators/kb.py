@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +14,27 @@ from riskflow.functions import exprs as E
 from riskflow.operators.fusion import keep_last
 
 # The columns of the store
-TEXT = ("txn_id", "date", "debit_inn", "credit_inn", "purpose", "purpose_clean", "risk_level")
-NUMBERS = ("amount", "overall_risk", "txn_risk_score", "behavior_risk", "semantic_risk_score", "ts_anomaly_score_txn", "graph_edge_score", "graph_node_score", "in_out_ratio_30d", "debit_fan_out_ratio", "credit_fan_in_ratio", "purpose_stopword_high", "hbos_score", "copod_score", "iforest_score_debit", "iforest_score_credit", "history_risk")
-COLUMNS = (*TEXT, *NUMBERS, "round_large_amount")
+FIXED = (
+    "txn_id", "date", "debit_inn", "credit_inn", "debit_amount", "credit_amount", "amount", "purpose", "purpose_clean", "purpose_stopword_high",
+    "global_score", "iforest_score_debit", "iforest_score_credit", "behavior_risk_debit", "behavior_risk_credit", "base_behavior_risk", "txn_risk_score",
+    "semantic_risk_score", "ts_anomaly_score_txn", "graph_edge_score", "graph_node_score", "round_large_amount", "debit_fan_out_ratio", "credit_fan_in_ratio", "in_out_ratio_30d",
+)
+#: what the blend knows besides
+COLUMNS = (*FIXED, "overall_risk", "risk_level", "behavior_risk", "hbos_score", "copod_score", "history_risk")
+TEXT = ("debit_inn", "credit_inn", "purpose", "purpose_clean", "risk_level")
+#: names of the store that have another one in the blend
+KNOWN_AS = {"global_score": "glob", "behavior_risk_debit": "risk_debit", "behavior_risk_credit": "risk_credit", "base_behavior_risk": "behavior_risk", "round_large_amount": "is_round_amount"}
 
 
 def project(df: DataFrame) -> DataFrame:
-    """The fixed columns of the store: ids trimmed, without a trailing ``.0``, in lower case, rows without one dropped; days as ISO text."""
-    if "round_large_amount" not in df.columns and "is_round_amount" in df.columns:
-        df = df.withColumn("round_large_amount", F.col("is_round_amount"))
+    """The columns of the store: ids trimmed, without a trailing ``.0``, in lower case, rows without one dropped; days as ISO text.  A column that isn't there is null."""
+    df = df.withColumns({c: F.col(old) for c, old in KNOWN_AS.items() if c not in df.columns and old in df.columns})
     df = E.ensure_columns(df, {c: None for c in COLUMNS})
-    key = F.lower(F.regexp_replace(F.trim(F.col("txn_id").cast("string")), r"\.0$", ""))
-    out = df.select(
-        key.alias("txn_id"), F.date_format(F.col("date").cast("date"), "yyyy-MM-dd").alias("date"), *(F.col(c).cast("string").alias(c) for c in TEXT[2:]),
-        *(E.number(df, c).alias(c) for c in NUMBERS), F.col("round_large_amount").try_cast("int").alias("round_large_amount"),
-        *(c for c in ("_seq",) if c in df.columns),
-    )
+    made = {
+        "txn_id": F.lower(F.regexp_replace(F.trim(F.col("txn_id").cast("string")), r"\.0$", "")), "date": F.date_format(F.col("date").cast("date"), "yyyy-MM-dd"),
+        "round_large_amount": F.col("round_large_amount").try_cast("int"),
+    } | {c: F.col(c).cast("string") for c in TEXT}
+    out = df.select(*((made[c] if c in made else E.number(df, c)).alias(c) for c in COLUMNS), *(c for c in ("_seq",) if c in df.columns))
     return out.where("txn_id is not null and txn_id <> ''")
 
 
@@ -55,11 +62,14 @@ def sides(txns: DataFrame) -> DataFrame:
 
 def profiles(txns: DataFrame, stems: tuple[str, ...] = LOAN_STEMS, kb: KnowledgeBase = KnowledgeBase(), s: Fusion = Fusion(), of: DataFrame | None = None) -> DataFrame:
     """One row for each party and role.  ``of`` (inn) limits the parties; the mean risk that history leans on is that of all rows."""
+    long = sides(txns)
+    return side_profiles(long if of is None else long.join(of, "inn", "left_semi"), txns.agg(F.avg("overall_risk").alias("_all")), stems, kb, s)
+
+
+def side_profiles(long: DataFrame, overall: DataFrame, stems: tuple[str, ...] = LOAN_STEMS, kb: KnowledgeBase = KnowledgeBase(), s: Fusion = Fusion()) -> DataFrame:
+    """The profiles of all parties in ``long`` (``sides``); ``overall``: one row with ``_all``, the mean risk of all rows."""
     risk = F.col("overall_risk")
-    overall = txns.agg(F.avg("overall_risk").alias("_all"))
-    long = sides(txns).withColumn("day", F.to_date("date"))
-    if of is not None:
-        long = long.join(of, "inn", "left_semi")
+    long = long.withColumn("day", F.to_date("date"))
     last = long.groupBy("role", "inn").agg(F.max("day").alias("last_day"))
     long = long.join(last, ["role", "inn"])
     age = F.date_diff("last_day", "day")
@@ -126,27 +136,41 @@ def review_flags(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.withColumn("review_any", F.greatest("review_debit", "review_credit"))
 
 
+#: what profiles look at
+SIDE = ("role", "inn", "txn_id", "partner", "fan", "date", "amount", "overall_risk", "txn_risk_score", "in_out_ratio_30d", "purpose_clean", "purpose_stopword_high", "semantic_risk_score", "ts_anomaly_score_txn", "graph_node_score", "graph_edge_score")
+KEYS = {"txns": ["txn_id"], "sides": ["inn", "role", "txn_id"], "stats": ["inn", "role"]}
+_PARTS = "name string, bucket int, folder string, risk double, known long"
+
+
 class Store:
-    """The two tables under one folder that Spark reads and writes, each in ``buckets`` parts by hash of its key.
+    """Transactions, their sides by party, and profiles, each in ``buckets`` parts by hash of the first of its keys, under one folder that Spark reads and writes.
 
-    A version is a list of the folders that hold the parts; it counts once the list is there.  A write makes new folders only for the parts
-    that it changes, and folders that neither the new version nor the one before it names are removed then.  One writer at a time."""
+    A version is a list of the folders that hold the parts.  A write reads and rewrites only parts that its rows fall in: those of its ids, to find what it overwrites, and those of the
+    parties it touches, whose profiles are computed from their sides anew (exact quantiles and withdrawn rows need all values of a party, not all parties).
+    The mean risk of all rows comes from a sum and a count for each part.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self._root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
+    Writers don't wait for each other.  Each prepares folders of its own and then puts its version's file in place, which fails if there is one of that number (atomic where
+    renaming without overwriting is, as in HDFS); the writer then starts again from the version that was faster.  The last ``keep`` versions stay readable."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, keep: int = 3, tries: int = 10):
+        self.spark, self.path, self.buckets, self.keep, self.tries = spark, path.rstrip("/"), buckets, keep, tries
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _names(self) -> list[str]:
+        return [p.getPath().getName() for p in self._fs.listStatus(self._at(""))] if self._fs.exists(self._at("")) else []
 
     def _versions(self) -> list[int]:
-        if not self._fs.exists(self._root):
-            return []
-        names = [p.getPath().getName() for p in self._fs.listStatus(self._root)]
-        return sorted(int(n[5:]) for n in names if n.startswith("list-") and self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
-
-    def _parts(self, version: int) -> dict[str, dict[int, str]]:
-        out: dict[str, dict[int, str]] = {"txns": {}, "stats": {}}
-        for r in self.spark.read.parquet(f"{self.path}/list-{version}").collect():  # a row for each part
-            out[r["name"]][r["bucket"]] = r["folder"]
+        return sorted(int(n[8:]) for n in self._names() if n.startswith("version-"))
+
+    def _parts(self, version: int) -> dict[str, dict[int, tuple]]:
+        """bucket -> folder, sum of risks, number of known risks; for each table."""
+        out: dict[str, dict[int, tuple]] = {n: {} for n in KEYS}
+        name = self.spark.read.text(f"{self.path}/version-{version}").first()[0]
+        for r in self.spark.read.schema(_PARTS).parquet(f"{self.path}/{name}").collect():  # a row for each part
+            out[r["name"]][r["bucket"]] = (r["folder"], r["risk"], r["known"])
         return out
 
     def exists(self) -> bool:
@@ -160,55 +184,97 @@ class Store:
         parts = self._parts(versions[-1])
         return self._open(parts["txns"].values()), self._open(parts["stats"].values())
 
-    def _open(self, folders: Iterable[str]) -> DataFrame:
-        return self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders))
+    def _open(self, parts: Iterable[tuple]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{p[0]}" for p in parts))
 
     def _bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def _replace(self, name: str, old: dict[int, str], fresh: DataFrame, key: str | list[str], bucket: Column, version: int, gone: DataFrame | None = None) -> dict[int, str]:
-        """New folders for the parts with rows of ``fresh``: the old rows but for those with its keys (or those in ``gone``), and its own."""
-        fresh = E.cut(fresh.withColumn("bucket", bucket))
-        changed = fresh.select("bucket") if gone is None else fresh.select("bucket").union(gone.select(bucket))
-        touched = {r[0] for r in changed.distinct().collect()}  # buckets at most
-        again = [b for b in touched if b in old]
-        both = fresh
+    def _touched(self, keys: DataFrame, name: str) -> list[int]:
+        return sorted(r[0] for r in keys.select(self._bucket(KEYS[name][0])).distinct().collect())  # buckets at most
+
+    def _replace(self, name: str, old: dict[int, tuple], fresh: DataFrame, folder: str, gone: DataFrame | None = None) -> dict[int, tuple]:
+        """New folders for the parts with rows of ``fresh`` or keys in ``gone``: the old rows but for those with these keys, and the fresh ones."""
+        keys = fresh.select(*KEYS[name]) if gone is None else fresh.select(*KEYS[name]).unionByName(gone.select(*KEYS[name]))
+        touched = self._touched(keys, name)
+        both, again = fresh, [old[b] for b in touched if b in old]
         if again:
-            both = self._open(old[b] for b in again).join(fresh if gone is None else gone, key, "left_anti").withColumn("bucket", bucket).unionByName(fresh)
-        first = key if isinstance(key, str) else key[0]
-        folder = f"{name}-{version}"
-        both.repartition("bucket", F.pmod(F.shiftright(F.xxhash64(first), 32), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
-        made = [p.getPath().getName() for p in self._fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}"))]
-        out = {b: f for b, f in old.items() if b not in touched} | {int(n[7:]): f"{folder}/{n}" for n in made if n.startswith("bucket=")}
+            both = self._open(again).join(keys, KEYS[name], "left_anti").unionByName(fresh)
+        dealt = both.withColumn("bucket", self._bucket(KEYS[name][0])).repartition("bucket", F.pmod(F.shiftright(F.xxhash64(*KEYS[name]), 32), F.lit(4)))
+        dealt.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        made = {int(p.getPath().getName()[7:]): p.getPath().getName() for p in self._fs.listStatus(self._at(folder)) if p.getPath().getName().startswith("bucket=")}
+        out = {b: p for b, p in old.items() if b not in touched} | {b: (f"{folder}/{n}", None, None) for b, n in made.items()}
+        if name == "txns" and made:
+            sums = self.spark.read.parquet(f"{self.path}/{folder}").groupBy("bucket").agg(F.sum("overall_risk").alias("risk"), F.count("overall_risk").alias("known"))
+            out |= {r["bucket"]: (f"{folder}/{made[r['bucket']]}", r["risk"], r["known"]) for r in sums.collect()}
         if not out:  # an empty table has a folder, too
-            fresh.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{self.path}/{folder}/none")
-            out = {-1: f"{folder}/none"}
+            fresh.limit(0).write.parquet(f"{self.path}/{folder}/none")
+            out = {-1: (f"{folder}/none", None, None)}
         return out
 
-    def write(self, txns: DataFrame, profile: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Upsert projected transactions; ``profile`` (all transactions, affected parties) gives the profiles to replace."""
+    def write(self, txns: DataFrame, profile: Callable[[DataFrame, DataFrame], DataFrame] = side_profiles) -> None:
+        """Upsert projected transactions; ``profile`` (sides of the touched parties, mean risk of all rows) gives their profiles."""
         if "_seq" in txns.columns:
             txns = keep_last(txns, "txn_id", "_seq").drop("_seq")
         txns = E.cut(txns)
-        versions = self._versions()
-        old = self._parts(versions[-1]) if versions else {"txns": {}, "stats": {}}
         if not txns.limit(1).count():
             return
-        v = (versions[-1] if versions else 0) + 1
-        touched = affected(txns)
-        if old["txns"]:  # parties of rows that were overwritten change, too
-            touched = touched.union(affected(self._open(old["txns"].values()).join(txns, "txn_id", "left_semi"))).distinct()
+        for _ in range(self.tries):
+            version = max(self._versions(), default=0) + 1
+            tag = f"{version}-{uuid.uuid4().hex}"
+            parts = self._changed(txns, self._parts(version - 1) if version > 1 else {n: {} for n in KEYS}, tag, profile)
+            rows = [(n, b, *p) for n, of in parts.items() for b, p in of.items()]
+            self.spark.createDataFrame(rows, _PARTS).coalesce(1).write.parquet(f"{self.path}/list-{tag}")
+            if self._commit(version, f"list-{tag}"):
+                self._clean(version)
+                return
+            for name in self._names():  # another writer was faster
+                if name.endswith(tag):
+                    self._fs.delete(self._at(name), True)
+        raise RuntimeError(f"other writers were faster {self.tries} times")
+
+    def _changed(self, txns: DataFrame, old: dict[str, dict[int, tuple]], tag: str, profile: Callable[[DataFrame, DataFrame], DataFrame]) -> dict[str, dict[int, tuple]]:
+        mine = [old["txns"][b] for b in self._touched(txns, "txns") if b in old["txns"]] if old["txns"] else []
+        replaced = E.cut(self._open(mine).join(txns, "txn_id", "left_semi")) if mine else None
+        fresh = sides(txns).select(*SIDE)
+        gone = None if replaced is None else sides(replaced).select(*SIDE)
+        parts = {"txns": self._replace("txns", old["txns"], txns, f"txns-{tag}"), "sides": self._replace("sides", old["sides"], fresh, f"sides-{tag}", gone)}
+        touched = affected(txns) if replaced is None else affected(txns).union(affected(replaced)).distinct()
         touched = E.cut(touched)
-        parts = self._replace("txns", old["txns"], txns, "txn_id", self._bucket("txn_id"), v)
-        fresh = profile(self._open(parts.values()), touched).withColumn("updated_at", F.current_timestamp().cast("string"))
-        stats = self._replace("stats", old["stats"], fresh, "inn", self._bucket("inn"), v, touched)
-        rows = [(n, b, f) for n, p in (("txns", parts), ("stats", stats)) for b, f in p.items()]
-        self.spark.createDataFrame(rows, "name string, bucket int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list-{v}")
-        self._clean({f.partition("/")[0] for _, _, f in rows} | {f.partition("/")[0] for p in old.values() for f in p.values()}, {v, v - 1})
-
-    def _clean(self, used: set[str], versions: set[int]) -> None:
-        for p in self._fs.listStatus(self._root):
-            name = p.getPath().getName()
-            kind, _, number = name.partition("-")
-            if (kind in ("txns", "stats") and name not in used) or (kind == "list" and int(number) not in versions):
-                self._fs.delete(p.getPath(), True)
+        known = [parts["sides"][b] for b in self._touched(touched, "sides") if b in parts["sides"]]
+        risk, n = (sum(p[k] or 0 for p in parts["txns"].values()) for k in (1, 2))
+        overall = self.spark.createDataFrame([(risk / n if n else None,)], "_all double")
+        long = (self._open(known) if known else fresh.limit(0)).join(touched, "inn", "left_semi")
+        stats = E.cut(profile(long, overall).withColumn("updated_at", F.current_timestamp().cast("string")))
+        both = touched.crossJoin(self.spark.createDataFrame([("debit",), ("credit",)], "role string"))  # two rows
+        parts["stats"] = self._replace("stats", old["stats"], stats, f"stats-{tag}", both)
+        return parts
+
+    def _commit(self, version: int, name: str) -> bool:
+        """Put the version's file in place; False if there is one already."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        draft = self._at(f"draft-{name}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(name, "ascii"))
+        out.close()
+        never = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf).rename(draft, self._at(f"version-{version}"), never)
+            return True
+        except Py4JJavaError as e:
+            if not self._fs.exists(self._at(f"version-{version}")):
+                raise
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            self._fs.delete(draft, False)
+            return False
+
+    def _clean(self, version: int) -> None:
+        """Remove versions before the last ``keep`` ones, and folders of their time that no later version names.  What other writers prepare has a higher number."""
+        kept = [v for v in self._versions() if v > version - self.keep]
+        used = {p[0].partition("/")[0] for v in kept for of in self._parts(v).values() for p in of.values()} | {self.spark.read.text(f"{self.path}/version-{v}").first()[0] for v in kept}
+        for name in self._names():
+            kind, _, rest = name.partition("-")
+            number = rest.partition("-")[0]
+            if name not in used and (kind in KEYS or kind in ("list", "version")) and int(number) <= version - self.keep:
+                self._fs.delete(self._at(name), True)

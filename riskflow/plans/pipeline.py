@@ -74,7 +74,7 @@ def run(spark: SparkSession, path: str, store: str, s: Settings = Settings(), cl
     out = keep(scored(ledger.prepare(ledger.load_statement(spark, path)), s, before[1] if before else None, keep=keep), "fused")
     out = keep(fusion.ranked(out), "scored")
     reviews = review.replies(review.chosen(out, s.review), client, s.review)
-    kept.write(kb.project(out), lambda txns, touched: kb.profiles(txns, kb=s.kb, s=s.fusion, of=touched))
+    kept.write(kb.project(out), lambda long, overall: kb.side_profiles(long, overall, kb=s.kb, s=s.fusion))
     stats = kept.read()
     assert stats is not None
     return Result(review.attach(out, reviews), reviews, stats[1])

@@ -63,8 +63,14 @@ _REL = "coalesce({r}_amount / (nullif({t}_mean30, 0) + 1e-6), 0)"
 query("log_gap_relative", f"WITH {_WIDE} SELECT txn_id, 'debit' AS side, {R('ln(1 + gd)')} AS log_days_since_last, {R(_REL.format(r='debit', t='d'), 4)} AS rel_amount_to_mean30d FROM x UNION ALL SELECT txn_id, 'credit', {R('ln(1 + gc)')}, {R(_REL.format(r='credit', t='c'), 4)} FROM x", log_days_since_last=6, rel_amount_to_mean30d=4)(
     lambda s, d: layers.role_features(features.roles(features.derived(features.add_rolling(features.daily(based(s, d)))))).select("txn_id", "side", "log_days_since_last", "rel_amount_to_mean30d")
 )
-query("kb_projection", f"WITH {P} SELECT lower(txn_id) AS txn_id, CAST(date AS VARCHAR) AS date, debit_inn, amount, NULL::DOUBLE AS overall_risk FROM p")(
-    lambda s, d: kb.project(prepared(s, d).withColumn("txn_id", F.concat(F.lit(" "), F.upper("txn_id"), F.lit(".0 ")))).select("txn_id", "date", "debit_inn", "amount", "overall_risk")
+_KB_SQL = {
+    "txn_id": "lower(txn_id)", "date": "CAST(date AS VARCHAR)", "purpose_clean": "clean", "purpose_stopword_high": "CAST(kw AS DOUBLE)", "global_score": "gl", "iforest_score_debit": "fd", "iforest_score_credit": "fc",
+    "behavior_risk_debit": "CASE WHEN fd IS NOT NULL THEN ad * fd + (1 - ad) * gl END", "behavior_risk_credit": "CASE WHEN fc IS NOT NULL THEN ac * fc + (1 - ac) * gl END", "base_behavior_risk": "beh", "txn_risk_score": "txr", "semantic_risk_score": "sem",
+    "ts_anomaly_score_txn": "ts", "graph_edge_score": "ge", "graph_node_score": "gn", "round_large_amount": "CAST(amount % 10000 = 0 AS INT)", "debit_fan_out_ratio": "dc / 10.0", "credit_fan_in_ratio": "tx / 8.0", "in_out_ratio_30d": "io",
+}
+_KB_ROUNDED = [c for c in kb.FIXED if c in _KB_SQL and c not in ("txn_id", "date", "purpose_clean", "round_large_amount")]
+query("kb_projection", f"WITH {FUSED} SELECT {', '.join((R(_KB_SQL[c]) if c in _KB_ROUNDED else _KB_SQL.get(c, c)) + f' AS {c}' for c in kb.FIXED)} FROM fu", **dict.fromkeys(_KB_ROUNDED, 6))(
+    lambda s, d: kb.project(fused(s, d).withColumn("txn_id", F.concat(F.lit(" "), F.upper("txn_id"), F.lit(".0 ")))).select(*kb.FIXED)
 )
 query("contamination", f"WITH {P}, c AS (SELECT debit_inn AS inn, count(*)::DOUBLE AS n FROM p GROUP BY 1) SELECT inn, {R('greatest(least(least(greatest(3 / n, 0.02), 10 / n), 0.2), 0.02)')} AS share FROM c", share=6)(
     lambda s, d: prepared(s, d).groupBy(F.col("debit_inn").alias("inn")).count().select("inn", layers.contamination(F.col("count")).alias("share"))
@@ -298,7 +304,7 @@ def _stored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     if store.exists() or store.read() is not None:
         raise AssertionError("a new store is not empty")
     for part in (df.where("x_quantity <= 40"), second):
-        store.write(kb.project(part), lambda txns, touched: kb.profiles(txns, of=touched))
+        store.write(kb.project(part))
     got = store.read()
     assert got is not None
     return got

@@ -16,7 +16,7 @@ def upsert_stream(stream: DataFrame, store: kb.Store, checkpoint: str, sequence:
 
     def batch(df: DataFrame, _: int) -> None:
         last = F.col(sequence) if sequence else F.struct(F.col("date").cast("string"), F.xxhash64(*df.columns))
-        store.write(kb.project(df.withColumn("_seq", last)), lambda txns, touched: kb.profiles(txns, of=touched))
+        store.write(kb.project(df.withColumn("_seq", last)))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -107,29 +107,76 @@ def test_store_is_idempotent(spark, small, tmp_path):
     store = kb.Store(spark, str(tmp_path / "kb"))
     rows = kb.project(small.withColumn("overall_risk", F.lit(0.5)).withColumn("txn_id", F.concat(F.upper("txn_id"), F.lit(".0"))))
     for _ in range(2):
-        store.write(rows, lambda txns, touched: kb.profiles(txns, of=touched))
+        store.write(rows)
     txns, stats = store.read()
     assert txns.count() == 8 and txns.where("txn_id = 't1'").count() == 1
     assert stats.count() == stats.select("role", "inn").distinct().count() == 6
 
 
-def test_second_write_changes_only_what_it_touches(spark, small, tmp_path):
-    store = kb.Store(spark, str(tmp_path / "kb"), buckets=4)
+def test_second_write_changes_only_what_it_touches(spark, small, tmp_path, monkeypatch):
+    store = kb.Store(spark, str(tmp_path / "kb"), buckets=4, keep=2)
     rows = kb.project(small.withColumn("overall_risk", F.lit(0.5)))
-    write = lambda df: store.write(df, lambda txns, touched: kb.profiles(txns, of=touched))
-    write(rows)
-    first = store._parts(1)["txns"]
-    write(rows.where("txn_id = 't3'").withColumn("debit_inn", F.lit("Z")))
-    second = store._parts(2)["txns"]
-    assert sum(first[b] != second[b] for b in first) == 1
+    store.write(rows)
+    first, opened, real = store._parts(1), [], kb.Store._open
+    monkeypatch.setattr(kb.Store, "_open", lambda self, parts: real(self, opened.extend(parts := list(parts)) or parts))
+    store.write(rows.where("txn_id = 't3'").withColumn("debit_inn", F.lit("Z")))
+    monkeypatch.undo()
+    second = store._parts(2)
+    assert sum(first["txns"][b] != second["txns"][b] for b in first["txns"]) == 1
+    # reads: the part of the id, and parts of the parties B, C and Z only
+    own = {r[0] for r in spark.createDataFrame([("B",), ("C",), ("Z",)], "inn string").select(store._bucket("inn")).collect()}
+    assert {p for p in opened if p[0].startswith("txns")} == {first["txns"][b] for b in first["txns"] if first["txns"][b] != second["txns"][b]}
+    assert all(b in own for of in (first, second) for b, p in of["sides"].items() if p in opened)
     txns, stats = store.read()
     assert txns.where("txn_id = 't3'").first()["debit_inn"] == "Z" and txns.count() == 8
     got = {(r["role"], r["inn"]): r["tx_count"] for r in stats.collect()}
     assert got["debit", "Z"] == 1 and got["debit", "B"] == 1 and len(got) == 7
-    write(rows.where("txn_id = 't7'").withColumn("debit_inn", F.lit("Z")))
+    store.write(rows.where("txn_id = 't7'").withColumn("debit_inn", F.lit("Z")))
     assert ("debit", "B") not in {(r["role"], r["inn"]) for r in store.read()[1].collect()}  # a party without rows has no profile
-    write(rows.limit(0))
-    assert store._versions()[-1] == 3 and not os.path.exists(str(tmp_path / "kb" / "list-1"))
+    store.write(rows.limit(0))
+    assert store._versions() == [2, 3] and not [n for n in store._names() if n.split("-")[1] == "1" and not any(p[0].startswith(n) for of in store._parts(2).values() for p in of.values())]
+
+
+def same_profiles(store):
+    txns, stats = store.read()
+    names = [c for c in stats.columns if c != "updated_at"]
+    rows = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*names).collect()), key=str)
+    return rows(stats) == rows(kb.profiles(txns))
+
+
+def test_profiles_after_many_writes_are_those_computed_anew(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    store = kb.Store(spark, str(tmp_path / "kb"), buckets=3)
+    for turn in range(3):  # new rows, overwritten rows that change party, day and risk, rows without a party
+        rows = [(f"t{int(k)}", f"2024-0{1 + int(rng.integers(5))}-11", *(None if rng.random() < 0.1 else f"p{int(rng.integers(6))}" for _ in "dc"), float(rng.random()), float(rng.integers(9))) for k in rng.choice(60, 25, replace=False)]
+        df = spark.createDataFrame(rows, "txn_id string, date string, debit_inn string, credit_inn string, overall_risk double, amount double")
+        store.write(kb.project(df.withColumns({"txn_risk_score": F.col("overall_risk"), "purpose": F.lit("loan back"), "in_out_ratio_30d": F.col("overall_risk")})))
+        last = store.read()[0]
+        assert same_profiles(store) and last.count() == last.select("txn_id").distinct().count()
+
+
+def test_two_writers_lose_nothing(spark, small, tmp_path, monkeypatch):
+    """A second writer, that began from the same version, commits while the first one is about to."""
+    rows = kb.project(small.withColumn("overall_risk", F.lit(0.5)))
+    one, other = (kb.Store(spark, str(tmp_path / "kb"), buckets=4) for _ in range(2))
+    one.write(rows.where("txn_id < 't3'"))
+    real, turns = kb.Store._commit, []
+
+    def late(self, version, name):
+        if self is one and len(turns) < 2:
+            turns.append(version)
+            other.write(rows.where(f"txn_id = 't{4 + len(turns)}'"))
+        return real(self, version, name)
+
+    monkeypatch.setattr(kb.Store, "_commit", late)
+    one.write(rows.where("txn_id = 't3'"))
+    assert turns == [2, 3] and one._versions()[-1] == 4
+    assert {r["txn_id"] for r in one.read()[0].collect()} == {"t1", "t2", "t3", "t5", "t6"} and same_profiles(one)
+    assert not [n for n in one._names() if n.startswith("draft")]
+    monkeypatch.setattr(kb.Store, "_commit", lambda self, version, name: False)
+    with pytest.raises(RuntimeError):
+        kb.Store(spark, str(tmp_path / "kb"), buckets=4, tries=2).write(rows.where("txn_id = 't7'"))
+    assert "t7" not in {r["txn_id"] for r in one.read()[0].collect()}
 
 
 def test_stream_into_the_store(spark, small, tmp_path):
