@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import decontaminate, mixing, ngram_join, ordinal, token_store
+from llm.common import materialize
 from llm.queries import END_ID, MAX_REPEAT, SHARE, WEIGHTS, table, tokenizer_path
 
 
@@ -23,13 +24,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays: the one with the smallest id.  Documents without words and rows without an id, which
     link with nothing, stay.  An id with several texts is several documents; of rows with the same id and text one stays."""
-    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("doc_id", "text")).dropDuplicates(["_key"])
-    groups = ngram_join.similar_components(docs.where("doc_id is not null").select(F.xxhash64("doc_id", "text").alias("_key"), "text"), doc_id="_key")
+    named = docs.where("doc_id is not null").withColumns({"_key": F.xxhash64("doc_id", "text"), "_digest": F.md5("text")})
+    ids = named.select("doc_id", "_digest", "_key").distinct()
+    # documents told apart by id and 128 bits of the text; should different ones ever share a key of 64 bits, they all stay
+    unclear = materialize(ids.groupBy("_key").count().where("count > 1").select("_key"))
+    clear = named.join(unclear, "_key", "left_anti") if unclear.limit(1).count() else named
+    groups = ngram_join.similar_components(clear.select("_key", "text"), doc_id="_key")
     linked = groups.where("n_shingles > 0").select("_key", "component_id").distinct()
-    ids = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("_key")).distinct()
     stays = linked.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_key"))
     gone = linked.select("_key").join(stays.select("_key"), "_key", "left_anti")
-    kept = keyed.join(gone, "_key", "left_anti").select(*docs.columns)
+    kept = named.dropDuplicates(["doc_id", "_digest"]).join(gone, "_key", "left_anti").select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

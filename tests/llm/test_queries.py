@@ -433,3 +433,14 @@ def test_run(spark, tables):
         want.append((r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(map(tuple, corpus_pipeline.run(spark, tables).collect()), key=lambda r: r[1]) == want
+
+
+def test_near_duplicates_of_documents_that_share_a_key(spark, monkeypatch):
+    """Should all keys of 64 bits be the same, no document goes but exact repetitions of rows."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "other words"), (1, "a second text"), (None, text)], "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, text), (3, "other words"), (1, "a second text"), (None, text)], key=str)
+    monkeypatch.setattr(corpus_pipeline.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, text), (2, text), (3, "other words"), (1, "a second text"), (None, text)], key=str)
