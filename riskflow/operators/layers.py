@@ -168,10 +168,13 @@ class _Sparse:
             to[j[first]] += np.add.reduceat(dense[self.row[order]] * self.w[order, None], first, axis=0)
 
 
-def _times_gram(rows: DataFrame, q, width: int, wide: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """The eigenvectors (columns, largest first) and eigenvalues of A'A within the space that A'A makes of ``q``'s columns."""
+def _times_gram(rows: DataFrame, q, width: int, wide: int, block: int = 512, fan: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The eigenvectors (columns, largest first) and eigenvalues of A'A within the space that A'A makes of ``q``'s columns.  The tasks' parts are added
+    up in a tree, so no group gets more than ``fan`` of them."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         total = None
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -180,13 +183,18 @@ def _times_gram(rows: DataFrame, q, width: int, wide: int, block: int = 512) ->
                 a.add_transposed(a @ q.value, total)
         if total is not None:
             blocks = [total[i : i + block] for i in range(0, width, block)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["at", "sums"])
+            branch = [TaskContext.get().partitionId() // fan] * len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(branch, pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["at", "branch", "sums"])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist())
-        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "branch": pa.array([key[1].as_py() // fan], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    sums = rows.mapInArrow(part, "at int, sums binary").groupBy("at").applyInArrow(add, "at int, sums binary").collect()  # width x wide numbers
+    kind, left = "at int, branch int, sums binary", rows.rdd.getNumPartitions()
+    sums = rows.mapInArrow(part, kind)
+    while left > 1:
+        sums, left = sums.groupBy("at", "branch").applyInArrow(add, kind), -(-left // fan)
+    sums = sums.collect()  # width x wide numbers
     y = np.zeros((width, wide))
     for r in sums:
         y[r["at"] * block : (r["at"] + 1) * block] = np.frombuffer(r["sums"], np.float64).reshape(-1, wide)
