@@ -52,6 +52,7 @@ class Review:
     sample_n: int = 20
     batch_size: int = 10
     attempts: int = 3
+    pause: tuple[float, float] = (0.8, 2.0)  # seconds between tries, at random
     seed: int = 42
 
 

@@ -15,7 +15,7 @@ from riskflow.functions import exprs as E
 from riskflow.operators import features, fusion, graph, kb, layers, links, review
 from riskflow.plans import pipeline
 from riskflow.queries import _GRAPH, _STATS, _WIDE, BOTH_ROLLS, DAILY, FUSED, ORACLE_SQL, QUERIES, RANKSQL, STEMS, P, R, based, fused, kb_rows, prepared, query, raw, rounded_amounts, stats
-from riskflow.sources import ledger, sinks
+from riskflow.sources import ledger, sinks, workbook
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -323,6 +323,16 @@ query("seeded_sample", f"WITH {_SAMPLE} SELECT txn_id FROM ch")(lambda s, d: rev
 query("llm_echo", f"WITH {_SAMPLE} SELECT txn_id, 'yellow' AS llm_risk_level, 0.6::DOUBLE AS llm_risk, NULL::VARCHAR AS legal_characterization, 'echo' AS risk_explanation, NULL::VARCHAR AS recommendation, NULL::VARCHAR AS notes_for_audit, '[]' AS reasoning, '[]' AS legal_basis FROM ch")(
     lambda s, d: review.replies(review.chosen(fused(s, d)))
 )
+query("llm_journal", ORACLE_SQL["llm_echo"])(lambda s, d: _journal(s, E.cut(review.chosen(fused(s, d)))))
+
+
+def _journal(s: SparkSession, rows: DataFrame) -> DataFrame:
+    """Asked in two runs with one journal: the second only asks for what the first didn't have."""
+    at = folder(s)
+    review.journalled_replies(rows.limit(7), at)
+    return review.journalled_replies(rows, at)
+
+
 query("reply_join", f"WITH {_SAMPLE} SELECT fu.txn_id, amount, CASE WHEN ch.txn_id IS NOT NULL THEN 0.6 END::DOUBLE AS llm_risk FROM fu LEFT JOIN ch ON ch.txn_id = fu.txn_id")(
     lambda s, d: (lambda df: review.attach(df, review.replies(review.chosen(df))).select("txn_id", "amount", "llm_risk"))(E.cut(fused(s, d)))
 )
@@ -341,3 +351,13 @@ query("report_order", f"WITH {FUSED} SELECT txn_id, amount, {R('ov', 5)} AS over
 query("report_top", f"WITH {FUSED} SELECT txn_id, amount FROM fu ORDER BY round(ov, 5) DESC, amount DESC, txn_id LIMIT 100")(
     lambda s, d: sinks.report(fused(s, d).withColumn("overall_risk", F.round("overall_risk", 5))).limit(100).select("txn_id", "amount")
 )
+
+
+def _workbooks(s: SparkSession, d: str) -> DataFrame:
+    at = folder(s)
+    df = prepared(s, d).select("txn_id", "date", "debit_inn", "amount", "purpose")
+    workbook.write_workbooks(df.repartition(4, "txn_id"), at, 10_000)
+    return workbook.read_workbook(s, at).withColumn("date", F.to_date("date").cast("string"))
+
+
+query("excel_round_trip", f"WITH {P} SELECT txn_id, CAST(date AS VARCHAR) AS date, debit_inn, amount, purpose FROM p")(_workbooks)

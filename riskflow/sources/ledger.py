@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.functions.exprs import number, python_number
+from riskflow.sources.workbook import read_workbook
 
 # Which files are statements
 PATTERNS = ("*.csv", "*.xlsx", "*.xls", "*.parquet")
@@ -26,10 +27,12 @@ def discover_statement(spark: SparkSession, path: str | None = None, patterns: t
 
 
 def load_statement(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A statement by its suffix: CSV with a header, Excel (first sheet, if openpyxl is there) or Parquet.  ``path`` may be
-    anything Spark reads, folders included."""
+    """A statement by its suffix: CSV with a header, Excel (first sheet) or Parquet.  ``path`` may be
+    anything Spark reads, folders included.  The old binary workbooks (xls) need pandas with a reader for them, on the driver."""
     low = path.lower()
-    if low.endswith((".xlsx", ".xls")):
+    if low.endswith(".xlsx"):
+        return read_workbook(spark, path)
+    if low.endswith(".xls"):
         import pandas as pd
 
         return spark.createDataFrame(pd.read_excel(path))

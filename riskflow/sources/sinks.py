@@ -1,10 +1,13 @@
-"""Reports: the enriched ledger and reviews as CSV or JSON lines; an Excel workbook where openpyxl is there."""
+"""Reports: the enriched ledger and reviews as CSV or JSON lines; Excel workbooks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskflow.sources.workbook import write_workbooks
+
+# The columns of a report
 REPORT_COLUMNS = ("txn_id", "date", "amount", "debit_inn", "credit_inn", "purpose", "overall_risk", "risk_level", "llm_risk_level", "legal_characterization", "risk_explanation", "recommendation", "notes_for_audit")
 
 
@@ -22,10 +25,8 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_excel(df: DataFrame, path: str, limit: int = 100_000) -> str:
-    """A report as a workbook, made on the driver; more than ``limit`` rows are refused, not cut."""
-    rows = df.limit(limit + 1).toPandas()
-    if len(rows) > limit:
+def write_excel(df: DataFrame, path: str, limit: int = 1_000_000) -> list[str]:
+    """A report as workbooks in a folder; more than ``limit`` rows are refused, not cut."""
+    if df.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} rows; write CSV or JSON instead")
-    rows.to_excel(path, index=False, freeze_panes=(1, 0))
-    return path
+    return write_workbooks(df, path)

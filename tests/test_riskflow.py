@@ -239,11 +239,6 @@ def test_storefront_and_fallbacks(spark):
     assert got["t"]["purpose_stopword_high"] == 1 and got["t"]["overall_risk"] == 1 and got["u"]["purpose_stopword_high"] == 0
 
 
-def test_excel_refuses_what_does_not_fit(spark, tmp_path):
-    with pytest.raises(ValueError):
-        sinks.write_excel(spark.range(20), str(tmp_path / "x.xlsx"), limit=10)
-
-
 def test_whole_run_twice(spark, tmp_path):
     """The second run sees the history that the first one left."""
     rows = ledger.synthetic_ledger(spark, DATA).where("cast(debit_inn as int) <= 12").drop("x_quantity", "x_tax", "x_part", "x_line")
