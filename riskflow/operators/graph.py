@@ -50,9 +50,24 @@ def common_neighbours(asked: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def neighbourhoods(df: DataFrame) -> DataFrame:
-    """The edges with their ends' degrees and common neighbours, computed once: both scores and the link features lean on it."""
+    """The edges with their ends' degrees and what both have in common (as ``common_neighbours``), computed once: both scores and the link features lean on it.
+
+    Each edge points from the end with the lower degree to the other, so a node has at most ``sqrt(2 m)`` edges that leave it.  A triangle is then met once, as two of these
+    from one node, and told to its three edges."""
     pairs = E.cut(edges(df))
-    return E.cut(common_neighbours(pairs, pairs))
+    degree = E.cut(_arcs(pairs).groupBy("u").agg(F.count(F.lit(1)).alias("deg")))
+    known = pairs.join(degree.withColumnRenamed("deg", "deg_u"), "u").join(degree.select(F.col("u").alias("v"), F.col("deg").alias("deg_v")), "v")
+    up = F.struct("deg_u", "u") < F.struct("deg_v", "v")
+    ends = [F.struct(F.col(f"deg_{k}").alias("deg"), F.col(k).alias("n")) for k in "uv"]
+    arcs = E.cut(known.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, ends[1]).otherwise(ends[0]).alias("b"), F.least("deg_u", "deg_v").alias("deg_a")))
+    wedges = arcs.join(arcs.select("a", F.col("b").alias("c")), "a").where(F.col("b") < F.col("c"))
+    third = arcs.select(F.col("a").alias("_b"), F.col("b.n").alias("_c"))
+    triangles = wedges.join(third, (F.col("b.n") == F.col("_b")) & (F.col("c.n") == F.col("_c"))).select("a", "deg_a", "b", "c")
+    seen = lambda x, y, deg: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"), deg.alias("deg"))
+    a, b, c = F.col("a"), F.col("b.n"), F.col("c.n")
+    told = triangles.select(F.explode(F.array(seen(a, b, F.col("c.deg")), seen(a, c, F.col("b.deg")), seen(b, c, F.col("deg_a")))).alias("t")).select("t.*")
+    shared = told.groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("deg") > 1, 1 / F.log("deg"))).alias("adamic_adar"), F.sum(1 / F.col("deg")).alias("resource_allocation"))
+    return E.cut(known.join(shared, ["u", "v"], "left").na.fill(0, ["common"]).na.fill(0.0, ["adamic_adar", "resource_allocation"]))
 
 
 def edge_scores(df: DataFrame, got: DataFrame | None = None) -> DataFrame:

@@ -66,6 +66,11 @@ def measures(role: str, canonical: bool = True) -> dict[str, str]:
     return {"daily_total": f"daily_total_{role}", "net_flow": "net_flow_ratio_7d"} | {n: c if canonical else "_absent" for n, c in own.items()}
 
 
+def series_input(df: DataFrame) -> DataFrame:
+    """Only the columns that the series come from: a wide table that is cut off with all its columns would have them all computed."""
+    return df.select("txn_id", "date", "debit_inn", "credit_inn", *sorted({c for r in ("debit", "credit") for c in measures(r).values()}))
+
+
 def time_series(df: DataFrame, min_active_days: int = 10, canonical: bool = True, rank: bool = True) -> DataFrame:
     """txn_id with ts_anomaly_score of both roles, of the transaction (the higher), and its rank."""
     out = df.select("txn_id", "date", "debit_inn", "credit_inn")
