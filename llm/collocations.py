@@ -107,6 +107,7 @@ def _counted(rows: DataFrame, widths: range, min_count: int, frequent: Broadcast
             number, names = found.indices.to_numpy().astype(np.int64), found.dictionary
             for piece in pieces(batch.column(0), APART, PIECE_BYTES):
                 yield from _phrases(piece, number[piece.first : piece.first + piece.n], names, widths, frequent and frequent.value)
+            pa.default_memory_pool().release_unused()
 
     sums = rows.mapInArrow(run, _ROWS).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     return sums.where((F.col("n") >= min_count) | (F.col("words") == 0))
