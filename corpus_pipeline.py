@@ -32,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = ngram_join.similar_components(clear.select("_key", "text"), doc_id="_key")
     linked = groups.where("n_shingles > 0").select("_key", "component_id").distinct()
     stays = linked.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_key"))
-    gone = linked.select("_key").join(stays.select("_key"), "_key", "left_anti")
-    kept = named.dropDuplicates(["doc_id", "_digest"]).join(gone, "_key", "left_anti").select(*docs.columns)
+    gone = linked.select("_key").join(stays.select("_key"), "_key", "left_anti").join(ids, "_key").select("doc_id", "_digest")
+    # both by id and digest, so texts are shuffled once
+    kept = named.drop("_key").dropDuplicates(["doc_id", "_digest"]).join(gone, ["doc_id", "_digest"], "left_anti").select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
