@@ -1,17 +1,17 @@
 """Line dedup with a log-template tree.
 
 A line's words with digits are variable fields (``*``).  Lines fall into the leaves of a tree of fixed
-depth: first the number of words, then the first ``LEAD`` words.  Within a leaf, lines that agree in at least
-``SIMILAR`` of their word positions share a template, in which the other positions become ``*``.  A template that
+depth: first the number of words, then the first ``LEAD`` words.  Within a leaf, each word is counted at its place over all
+distinct lines; the words of a line that are rarer there than its others become what most lines of the leaf have at that place or, where no word is common
+enough, variable fields.  At least ``SIMILAR`` of a line's places stay (``templates`` has the rule), so a line agrees with its template in at least that share, and what is
+found depends neither on the order of lines nor on how many there are.  A template that
 is found in two different texts or more recurs: its lines are dropped, but for
 those in the first document (lowest id) with the template, so that no content is lost altogether.
 
 The lines of a few megabytes of text are first reduced to distinct ones, then to distinct ones over all texts, so
 a line that stands in a third of all documents is one row for its leaf.  Most lines are alone in their leaf; the words of the
-others are read from the texts again.  A leaf is streamed in order of its
-lines; memory grows with its templates, which are found by parts of theirs that a similar line must have.  A leaf of more
-than ``LEAF_LINES`` distinct lines is split by a hash of the line; templates of its parts meet by these parts, too, and those that agree
-become one.  A line's places stay together by the chunk of text (a piece of a megabyte), so a very common line is a row for each chunk.
+others are read from the texts again and are rows by word and place from then on, so no task ever holds a leaf.  Counts that many lines ask for are
+broadcast (``HOT`` of them at most), so a common word at a common place is no hot key.  A line's places stay together by the chunk of text (a piece of a megabyte), so a very common line is a row for each chunk.
 
 Null and empty texts have no lines; lines without words are neither counted nor dropped.  Exact copies of a
 whole text are one text when recurrence is counted, so copies alone don't make all their lines recur.  Rows with
@@ -22,7 +22,6 @@ takes a small multiple of its size.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import binaries, materialize, offsets_of, written
-from llm.graph import components
+from llm.common import materialize, offsets_of, written
 from llm.words import Piece, mix, pieces
 
 LEAD, SIMILAR = 3, 0.8
-LEAF_LINES = 200_000
+HOT = 50_000
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 _WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
 _SCAN = "chunk long, leaf long, key long, low long, high long, first long, docs array<int>, lines array<int>"
-_FOUND = "key long, template long, low long, high long, first long, words binary"
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -110,7 +107,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def _words_of(docs: DataFrame, text: str, leaves: DataFrame) -> DataFrame:
-    """leaf, key and words (4 bytes each, 0: variable) of the distinct lines in ``leaves``, from the texts; a bit map of bounded
+    """leaf, key and words (hashes of 32 bits, 0: variable) of the distinct lines in ``leaves``, from the texts; a bit map of bounded
     size drops nearly all other lines."""
     bits = 1 << min(28, max(20, (64 * leaves.count()).bit_length()))
     spot = F.col("leaf").bitwiseAND(F.lit(bits - 1))
@@ -135,137 +132,47 @@ def _words_of(docs: DataFrame, text: str, leaves: DataFrame) -> DataFrame:
                 small[words == _WILD] = 0
                 n = np.diff(first)[lead]
                 place = np.arange(n.sum()) + np.repeat(first[:-1][lead] - (np.cumsum(n) - n), n)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[lead].view(np.int64)), pa.array(key[lead].view(np.int64)), binaries(small[place], np.concatenate(([0], np.cumsum(n))))], ["leaf", "key", "words"])
-
-    return docs.select(text).mapInArrow(run, "leaf long, key long, words binary").groupBy("leaf", "key").agg(F.first("words").alias("words"))
-
-
-class Leaf:
-    """The templates of the lines of one width in one leaf: words with wildcards (0), kept as rows of an array.
-
-    A line that agrees with a template in all but ``misses`` places agrees with it wholly in one of ``misses + 1`` ranges of
-    places, so templates are looked up by the words of these ranges."""
-
-    def __init__(self, width: int, similar: float):
-        self.words = np.zeros((4, width), np.uint32)
-        self.least = similar * width
-        misses = int(np.floor(width - self.least + 1e-9))
-        # the leading words are the same in all lines of a leaf
-        self.cuts = np.unique(np.linspace(min(LEAD, width), width, misses + 2).astype(int)) if width - LEAD > misses else np.array([0, width])
-        self.all = width - LEAD <= misses
-        self.index: dict[tuple[int, bytes], list[int]] = defaultdict(list)
-        self.n = 0
-        self.keys: list[int] = []
-
-    def ranges(self, line: np.ndarray) -> list[tuple[int, bytes]]:
-        return [(0, b"")] if self.all else [(int(a), line[a:b].tobytes()) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
-
-    def _enter(self, k: int, ranges: list[tuple[int, bytes]]) -> None:
-        for r in ranges:
-            if k not in self.index[r][-1:]:
-                self.index[r].append(k)
-
-    def add(self, line: np.ndarray, key: int) -> int:
-        """The key of the template that the line has (its own, if it's the first)."""
-        mine = self.ranges(line)
-        near = np.array(sorted({k for r in mine for k in self.index.get(r, ())}), np.int64)
-        if len(near):
-            same = (self.words[near] == line).sum(1)
-            best = int(near[same.argmax()])
-            if same.max() >= self.least:
-                other = self.words[best] != line
-                if other.any():
-                    self.words[best][other] = 0
-                    self._enter(best, self.ranges(self.words[best]))
-                return self.keys[best]
-        if self.n == len(self.words):
-            self.words = np.concatenate((self.words, np.zeros_like(self.words)))
-        self.words[self.n] = line
-        self.keys.append(key)
-        self._enter(self.n, mine)
-        self.n += 1
-        return key
-
-
-def _assign(similar: float, with_templates: bool):
-    """Lines (leaf, key, words, low, high, first), in order of their leaf, with their template; ``with_templates`` also gives a
-    row with the words of each template of a leaf that is ``split`` (key null)."""
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[lead].view(np.int64)), pa.array(key[lead].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(small[place].view(np.int32)))], ["leaf", "key", "words"])
+
+    return docs.select(text).mapInArrow(run, "leaf long, key long, words array<int>").groupBy("leaf", "key").agg(F.first("words").alias("words"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaf = None, {}  # the leaf that goes on in the next batch: its templates by width
-        for batch in batches:
-            leaves, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lines = batch.column(2).to_pylist()
-            template = keys.copy()
-            edges = offsets_of(leaves)
-            words: list[tuple[int, bytes]] = []
-            for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                if leaves[a] != at:
-                    words += _rows(leaf)
-                    at, leaf = leaves[a], {}
-                    if b - a == 1 and k < len(edges) - 2 and not with_templates:
-                        continue  # a line of its own
-                for i in range(a, b):
-                    line = np.frombuffer(lines[i], np.uint32)
-                    if len(line) not in leaf:
-                        leaf[len(line)] = Leaf(len(line), similar)
-                    template[i] = leaf[len(line)].add(line, int(keys[i]))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(template), *(batch.column(i) for i in (3, 4, 5)), pa.nulls(len(keys), pa.binary())], _NAMES)
-            if with_templates and words:
-                yield made(words)
-        if with_templates and (words := _rows(leaf)):
-            yield made(words)
-
-    def made(words: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        none = pa.nulls(len(words), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array([w[0] for w in words], pa.int64()), none, none, none, pa.array([w[1] for w in words], pa.binary())], _NAMES)
-
-    return run
-
-
-_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
-
-
-def _rows(leaf: dict[int, Leaf]) -> list[tuple[int, bytes]]:
-    return [(key, x.words[i].tobytes()) for x in leaf.values() for i, key in enumerate(x.keys)]
-
-
-def _merged(parts: DataFrame, similar: float) -> DataFrame:
-    """``parts`` (leaf, template, words: templates of the parts of split leaves) -> template, group, of those that agree with others."""
-
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for leaf, key, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                line = np.frombuffer(words, np.uint32)
-                rows += [(leaf, len(line), a, part, key, words) for a, part in Leaf(len(line), similar).ranges(line)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()))], ["leaf", "width", "at", "part", "key", "words"])
 
-    sent = parts.mapInArrow(ranges, "leaf long, width int, at int, part binary, key long, words binary").withColumn("leaf", F.xxhash64("leaf", "width", "at", "part"))
-    none = F.lit(None).cast("long")
-    ordered = sent.repartition("leaf").sortWithinPartitions("leaf", "key").select("leaf", "key", "words", none.alias("low"), none.alias("high"), none.alias("first"))
-    met = ordered.mapInArrow(_assign(similar, False), _FOUND).where("key <> template")
-    return components(met.select(F.col("key").alias("a"), F.col("template").alias("b"))).select(F.col("node").alias("template"), F.col("component").alias("group"))
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, limit: float) -> DataFrame:
+    """``rows`` with the columns of ``table`` by ``key`` (null where it has none).  What more than ``limit`` rows ask for is broadcast, the rest shuffled."""
+    common = F.broadcast(table.where(F.col(weight) > limit))
+    rest = rows.join(common.select(key), key, "left_anti").join(table.where(F.col(weight) <= limit), key, "left")
+    return rows.join(common, key).unionByName(rest)
 
 
-def templates(distinct: DataFrame, similar: float = SIMILAR, leaf_lines: int = LEAF_LINES) -> DataFrame:
+def templates(distinct: DataFrame, similar: float = SIMILAR, hot: int = HOT) -> DataFrame:
     """``distinct`` (leaf, key, words, low, high, first: distinct lines, the lowest and highest digest of their texts, their
-    first document) -> key, template and first document of all lines whose template recurs.  ``distinct`` is read a few times."""
-    columns = ("leaf", "key", "words", "low", "high", "first")
-    large = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_lines)
-    large = materialize(large.select("leaf", F.ceil(F.col("n") / leaf_lines).alias("parts")))
-    if large.limit(1).count():
-        both = distinct.join(large, "leaf", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod("key", F.col("parts"))))
-        whole = both.where("part is null")
-        pieces_of = both.where("part is not null").withColumn("own", F.col("leaf")).withColumn("leaf", F.xxhash64("leaf", "part"))
-        names = pieces_of.select("key", "own")
-        split = materialize(pieces_of.repartition("leaf").sortWithinPartitions("leaf", "key").select(*columns).mapInArrow(_assign(similar, True), _FOUND))
-        group = _merged(split.where("key is null").select("template", "words").join(names.withColumnRenamed("key", "template"), "template").select("own", "template", "words"), similar)
-        found = split.where("key is not null").join(group, "template", "left").withColumn("template", F.coalesce("group", "template")).drop("group")
-    else:
-        whole, found = distinct, None
-    out = whole.repartition("leaf").sortWithinPartitions("leaf", "key").select(*columns).mapInArrow(_assign(similar, False), _FOUND)
-    out = written((out if found is None else out.unionByName(found)).drop("words"), "templates")
+    first document) -> key, template and first document of all lines whose template recurs.  ``distinct`` is read a few times.
+
+    A line may miss ``misses`` = floor(width * (1 - similar)) of its template's words.  Of its words after the leading ones, those whose count at their place of
+    the leaf is below the (misses + 1)-th lowest of the line are odd: ``misses`` at most, none where the lowest counts are equal.  An odd word becomes the most frequent one at its
+    place (of equal ones the greatest hash), if that is as frequent as the (misses + 1)-th lowest, and else variable.  One word after the leading ones always stays."""
+    width = F.size("words")
+    lines = distinct.withColumn("misses", F.least(F.floor(width * F.lit(1 - similar) + 1e-9), width - LEAD - 1).cast("int"))
+    wide = lines.where("misses > 0")
+    words = wide.select("leaf", "key", "misses", F.posexplode("words").alias("place", "word")).where(F.col("place") >= LEAD)
+    words = words.withColumn("token", F.xxhash64("leaf", "place", "word"))
+    counts = words.groupBy("leaf", "place", "word", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = written(counts, "counts")  # words that stand once need no row
+    asked = wide.agg(F.sum(width - LEAD)).first()[0] or 0
+    limit = asked / hot  # fewer than ``hot`` words, or places of leaves, are asked for more often
+    counted = _looked_up(words, counts.select("token", "n"), "token", "n", limit).withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+    line = counted.groupBy("leaf", "key", "misses").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("w"))
+    line = written(line.withColumn("least", F.element_at(F.array_sort(F.transform("w", lambda x: x["n"])), F.col("misses") + 1)), "counted")
+    in_leaf = wide.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"))
+    top = counts.groupBy("leaf", "place").agg(F.max(F.struct("n", "word")).alias("top")).join(in_leaf, "leaf")
+    top = written(top.select(F.xxhash64("leaf", "place").alias("slot"), F.col("top.word").alias("top"), F.col("top.n").alias("top_n"), "lines"), "top")
+    odd = line.select("leaf", "key", "least", F.explode(F.filter("w", lambda x: x["n"] < F.col("least"))).alias("x"))
+    odd = odd.select("key", "least", F.col("x.place").alias("place"), F.xxhash64("leaf", "x.place").alias("slot"))
+    common = _looked_up(odd, top, "slot", "lines", limit).where("top_n >= least")
+    common = common.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("place", "top"))).alias("common"))
+    general = F.transform("w", lambda x: F.when(x["n"] < F.col("least"), F.coalesce(F.try_element_at("common", x["place"]), F.lit(0))).otherwise(x["word"]))
+    found = line.join(common, "key", "left").select("key", F.xxhash64("leaf", general).alias("template")).join(wide.select("key", "low", "high", "first"), "key")
+    out = written(found.unionByName(lines.where("misses <= 0").select("key", F.col("key").alias("template"), "low", "high", "first")), "templates")
     recurring = out.groupBy("template").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).where("low <> high")
     return out.select("key", "template").join(recurring.select("template", "first"), "template")
 

@@ -372,13 +372,80 @@ def test_lines(spark, tables, docs):
     assert page["dropped_lines"] == [0] and got[10_007][0]["n_recurring"] == 1
 
 
-def test_large_leaves_are_split_and_merged(spark):
+def word_hash(word):
+    """The 32 bits that tell words of a place apart; 0 is variable."""
+    import pyarrow as pa
+
+    from llm.words import pieces
+
+    (piece,) = pieces(pa.array([word]))
+    return 0 if word == "*" else int((piece.hashes().astype(np.uint32)[0] or 1).view(np.int32))
+
+
+def plain_line_report(docs, lead=3, similar=0.8):
+    """Each row's id, n_lines, n_recurring, n_dropped and dropped lines, sorted."""
+    parsed = [[tuple("*" if re.search("[0-9]", x) else x.translate(LOWER) for x in WORD.findall(line)) for line in (text or "").split("\n")] for _, text, *_ in docs]
+    lines = {w for text in parsed for w in text if w}
+    counts, in_place = Counter(), defaultdict(Counter)
+    for w in lines:
+        for place in range(lead, len(w)):
+            counts[len(w), w[:lead], place, w[place]] += 1
+            in_place[len(w), w[:lead], place][w[place]] += 1
+    template = {}
+    for w in lines:
+        misses = min(math.floor(len(w) * (1 - similar) + 1e-9), len(w) - lead - 1)
+        out = list(w)
+        if misses > 0:
+            n = {place: counts[len(w), w[:lead], place, w[place]] for place in range(lead, len(w))}
+            least = sorted(n.values())[misses]
+            for place in (p for p in n if n[p] < least):
+                most = max(in_place[len(w), w[:lead], place].values())
+                out[place] = max((x for x, k in in_place[len(w), w[:lead], place].items() if k == most), key=word_hash) if most >= least else "*"
+        assert sum(x != y for x, y in zip(w, out, strict=True)) <= max(misses, 0)
+        template[w] = tuple(out)
+    texts, first = defaultdict(set), {}
+    for (d, text, *_), rows in zip(docs, parsed, strict=True):
+        for w in filter(None, rows):
+            texts[template[w]].add(text)
+            first[template[w]] = min(first.get(template[w], math.inf), math.inf if d is None else d)
+    out = []
+    for (d, *_), rows in zip(docs, parsed, strict=True):
+        again = [i for i, w in enumerate(rows) if w and len(texts[template[w]]) > 1]
+        cut = [i for i in again if first[template[rows[i]]] != (math.inf if d is None else d)]
+        out.append((d, sum(map(bool, rows)), len(again), len(cut), cut))
+    return sorted(out, key=str)
+
+
+def test_lines_equal_plain_python(spark, tables, docs):
+    assert sorted((tuple(r) for r in queries.op9_line_dedup(spark, tables).collect()), key=str) == plain_line_report(docs)
+
+
+@pytest.fixture(scope="module")
+def leaves():
+    """Lines of large leaves: a variable field, near copies with a few odd words each, fields with few values, other lines with a common range."""
+    rng = np.random.default_rng(5)
+    vocabulary = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    base = ["copy", "of", "it", *rng.choice(vocabulary, 37)]
+    rows = []
+    for i in range(300):
+        near = base.copy()
+        for place in rng.choice(np.arange(3, 40), rng.integers(0, 4), replace=False):
+            near[place] = rng.choice(vocabulary)
+        apart = ["at", "the", "end", *"is this range of".split(), *rng.choice(vocabulary, 12)]
+        city = ("rome", "oslo", "bonn")[i % 3]
+        rows.append((i if i % 50 else None, "\n".join([f"at 1 2 the value of item {vocabulary[i % 100]} is high", " ".join(near), f"in the city {city} it is now warm", " ".join(apart), "a b", "a b c d", "A b c e"])))
+    return rows + rows[:7] + [(9000, " \n\t"), (9001, ""), (9002, None), (9003, "in the city " + "x " * 70_000)]
+
+
+@pytest.mark.parametrize("hot", [50_000, 20, 1])
+def test_lines_of_large_leaves(spark, leaves, hot):
+    """Whatever is broadcast or shuffled, no column differs; all planted near copies and fields are found."""
     from llm import line_templates
 
-    rows = [(i, f"at 1 2 the value of item {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} is high\nown {chr(97 + i % 26)}{chr(97 + i // 26)} words {i}x") for i in range(200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    whole, split = ({r["doc_id"]: (r["n_recurring"], r["dropped_lines"]) for r in line_templates.line_report(df, leaf_lines=n).collect()} for n in (200_000, 30))
-    assert {d: x[1] for d, x in whole.items()} == {d: x[1] for d, x in split.items()} and whole[5][1] == [0] and whole[0][1] == []
+    got = sorted((tuple(r) for r in line_templates.line_report(spark.createDataFrame(leaves, "doc_id long, text string"), hot=hot).collect()), key=str)
+    assert got == plain_line_report(leaves)
+    planted = [r[4] for r in got if r[0] is not None and 2 <= r[0] < 300]
+    assert all({0, 1, 2, 4}.issubset(x) for x in planted) and not any(3 in x for x in planted if x)
 
 
 def test_toxicity_on_held_out_labels(spark):
