@@ -138,10 +138,15 @@ def _words_of(docs: DataFrame, text: str, leaves: DataFrame) -> DataFrame:
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, limit: float) -> DataFrame:
-    """``rows`` with the columns of ``table`` by ``key`` (null where it has none).  What more than ``limit`` rows ask for is broadcast, the rest shuffled."""
-    common = F.broadcast(table.where(F.col(weight) > limit))
-    rest = rows.join(common.select(key), key, "left_anti").join(table.where(F.col(weight) <= limit), key, "left")
-    return rows.join(common, key).unionByName(rest)
+    """``rows`` with the columns of ``table`` by ``key`` (null where it has none).  What more than ``limit`` rows ask for is broadcast; rows
+    that got it are dealt by a hash of their own in the join that answers the others, so no key is hot there."""
+    values = [c for c in table.columns if c != key]
+    common = table.where(F.col(weight) > limit).select(key, *(F.col(c).alias(f"_{c}") for c in values))
+    rest = table.where(F.col(weight) <= limit).withColumnRenamed(key, "_key")
+    asked = rows.join(F.broadcast(common), key, "left")
+    own = F.when(F.col(f"_{weight}").isNull(), F.col(key)).otherwise(F.xxhash64("key", "place"))
+    asked = asked.withColumn("_asked", own).join(rest, F.col("_asked") == F.col("_key"), "left")
+    return asked.select(*rows.columns, *(F.coalesce(f"_{c}", c).alias(c) for c in values))
 
 
 def templates(distinct: DataFrame, similar: float = SIMILAR, hot: int = HOT) -> DataFrame:
