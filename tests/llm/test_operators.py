@@ -102,6 +102,30 @@ def test_decontamination(spark, odd):
     assert clean[7].startswith("Start ") and "fox" not in clean[7] and clean[8] == "short and one" and clean[5] is not None
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, -1])
+def test_decontamination_in_passes(spark, odd, broadcast, monkeypatch, tmp_path):
+    """Many small blocks, a pass each, give the same as one pass; nearly full filter or not, joined either way; no pass writes the documents."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(decontaminate, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: (df.write.parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1])
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").select(F.col("item_id").cast("string"), "text").where("item_id % 4 = 0")
+    items = items.unionByName(spark.createDataFrame([("i2", "Short One"), (None, "w1 w4 w9"), ("i3", None), ("i4", "")], "item_id string, text string"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").withColumn("_hit_key", F.lit("x"))
+    docs = docs.unionByName(docs.limit(40)).unionByName(odd.select("doc_id", "text", F.lit("x").alias("_hit_key")))
+    docs = docs.unionByName(spark.createDataFrame([(9_999, "a short-one end w1 w4 w9", "x")], docs.schema))
+    words = sum(len((r["text"] or "").split()) for r in items.collect())
+    rows = lambda df: sorted(map(str, df.collect()))
+    one = rows(decontaminate.find_copies(docs, items, clean=True))
+    many = decontaminate.find_copies(docs, items, clean=True, block_words=words // 5, pass_blocks=1, sieve_bits=1 << 16 if broadcast < 0 else 1 << 24)
+    assert rows(many) == one and many.columns == ["doc_id", "text", "_hit_words", "_hit_spans", "_hit_items", "_hit_clean"]
+    copies = list(tmp_path.glob("copies-*/pass=*"))
+    assert len(copies) >= 3 and any("9999" in r and "w1" in r and "[0, 0]" not in r for r in one)
+    bytes_of = lambda at: sum(f.stat().st_size for f in at.rglob("*.parquet"))
+    docs.write.parquet(f"{tmp_path}/whole")
+    if broadcast > 0:
+        assert sum(map(bytes_of, [*copies, tmp_path / "copies", tmp_path / "sieved"])) < 0.5 * bytes_of(tmp_path / "whole")
+
+
 def test_quality(spark, odd, labels):
     r = quality_rules.quality_rules(odd).collect()
     by = {x["doc_id"]: x for x in r}
