@@ -7,8 +7,9 @@ what is routed.  Rows of the same document in several sources are rows of one pa
 quota of its own source, ``max_repeat`` times at most, and what the sources of a pattern take together is what has the costs, so a
 source rather repeats documents that the others don't have.
 
-The flow is a maximum flow for each level of the cost in turn, on sums by pattern in the driver.  Patterns beyond the ``max_patterns`` with most words
-count as patterns of their row's first (or own) source alone: that forgoes savings on repetitions, not words or quotas.
+The flow is a maximum flow for each level of the cost in turn, on sums by pattern in the driver.  More than ``max_patterns`` patterns are dealt by
+hash to batches of about so many, so the driver holds one batch at a time: each gets the part of every quota that its share of the source's words is, along with what earlier
+ones left open.  All patterns keep all their sources and quotas are met as with one batch; the flow is the cheapest for each batch, over all of them nearly so.
 
 Documents with null or empty text have size 0 and are never taken.  A null source is a source of its
 own, the last one.  Repeated rows are separate documents; rows with equal ids are taken together, all rows without an id, too.  An empty table
@@ -17,15 +18,17 @@ gives an empty result.  Columns of the input pass through, whatever their names;
 
 from __future__ import annotations
 
-from collections import deque
+import uuid
+from collections import Counter, deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import materialize
+from llm.common import materialize, shared_dir
 
 SEED = 7
-MAX_PATTERNS = 50_000
+MAX_PATTERNS = 100_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 
@@ -167,6 +170,16 @@ def whole_repetitions(routed: dict, cells: dict, max_repeat: int) -> dict:
     return out
 
 
+def whole_cells(routed: dict, cells: dict, max_repeat: int) -> dict:
+    """``routed`` with whole repetitions for all cells: what a cell leaves or adds goes on to the source's next smaller one."""
+    out, over = {}, Counter()
+    for cell in sorted(cells, key=lambda c: (-cells[c], c)):
+        words, wish = cells[cell], routed[cell] + over[cell[1]]
+        out[cell] = min(max_repeat, max(0, (2 * wish + words) // (2 * words))) * words if words else 0
+        over[cell[1]] = wish - out[cell]
+    return out
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -201,50 +214,35 @@ def mix(
         F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 1).alias("_hash"),
     )
     slim = materialize(keyed.select("_cell", "_hash", F.shiftright("_hash", 51).alias("_slice"), "_size", "_text"))
-    by_cell = slim.groupBy("_cell").agg(F.sum("_size").alias("words"))
-    if by_cell.count() > max_patterns:
-        most = by_cell.groupBy("_cell.of").agg(F.sum("words").alias("words")).orderBy(F.desc("words"), "of").limit(max_patterns)
-        most = materialize(most.select("of", F.lit(True).alias("_keep")))
-
-        def rarer(df: DataFrame) -> DataFrame:
-            alone = F.struct(F.when(F.col("_keep"), F.col("_cell.of")).otherwise(F.array(F.col("_cell.own") if source else F.get("_cell.of", F.lit(0)))).alias("of"), F.col("_cell.own").alias("own"))
-            return df.join(F.broadcast(most), F.col("_cell.of") == F.col("of"), "left").withColumn("_cell", alone).drop("of", "_keep")  # max_patterns rows at most
-
-        keyed, slim = rarer(keyed), materialize(rarer(slim))
-        by_cell = slim.groupBy("_cell").agg(F.sum("_size").alias("words"))
-    name = lambda k: None if k == "~" else k[1:]
-    cells = {(tuple(r[0]["of"]), r[0]["own"]): int(r[1] or 0) for r in by_cell.collect() if r[0]["of"] is not None}
-    sizes: dict = {}
-    for (p, mine), words in cells.items():
-        for s in [name(mine)] if source else map(name, p):
-            sizes[s] = sizes.get(s, 0) + words
-    wanted = targets(sizes, weights, share, max_repeat)
+    by_cell = materialize(slim.where(F.col("_cell.of").isNotNull()).groupBy("_cell").agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("words")))
     if source and text_key:  # each text once
-        once = slim.groupBy("_cell.of", "_text").agg(F.max("_size").alias("words")).groupBy("of").agg(F.sum("words").alias("words"))
-        supply = {tuple(r[0]): int(r[1] or 0) for r in once.collect() if r[0] is not None}
-    else:
-        supply = {}
-        for (p, _), words in cells.items():
-            supply[p] = supply.get(p, 0) + words
-    if source:
-        limits = {(p, name(mine)): max_repeat * words for (p, mine), words in cells.items()}
+        once = slim.groupBy("_cell.of", "_text").agg(F.max("_size").alias("words")).groupBy("of").agg(F.sum("words").alias("words")).where("of is not null")
     else:
-        limits = {(p, name(k)): max_repeat * words for (p, _), words in cells.items() for k in p}
-    flow = min_cost_flow(supply, limits, {s: int(round(t)) for s, t in wanted.items()}, None if source else {p: max_repeat * w for p, w in supply.items()})
-    routed = {(p, mine): flow.get((p, name(mine)), 0) if source else sum(flow.get((p, name(k)), 0) for k in p) for p, mine in cells}
-    if source:
-        routed = whole_repetitions(routed, cells, max_repeat)
-    plan = [((list(p), mine), routed[p, mine] // max(1, words), routed[p, mine] % max(1, words)) for (p, mine), words in cells.items()]
+        once = by_cell.groupBy("_cell.of").agg(F.sum("words").alias("words"))
+    once = materialize(once)
+    name = lambda k: None if k == "~" else k[1:]
+    by_source = by_cell.withColumn("_s", F.explode(F.array("_cell.own") if source else F.col("_cell.of"))).groupBy("_s")
+    by_source = by_source.agg(F.sum("words").alias("n"), F.max_by("_cell.of", F.struct("words", "_cell")).alias("main")).collect()  # a row for each source
+    sizes = {name(r["_s"]): int(r["n"]) for r in by_source}
+    wanted = targets(sizes, weights, share, max_repeat)
     spark = docs.sparkSession
-    plan_df = spark.createDataFrame(plan, "_cell struct<of:array<string>,own:string>, _whole long, _rest long")
-    small = F.broadcast if len(plan) <= 2 * max_patterns else lambda df: df
+    plan_df = _plan(by_cell, once, sizes, {s: int(round(t)) for s, t in wanted.items()}, sorted({tuple(r["main"]) for r in by_source}), bool(source), max_repeat, max_patterns, spark)
+    plan_bytes = by_cell.agg(F.sum(F.octet_length(F.concat_ws(",", "_cell.of")) + 24 * F.size("_cell.of") + 200)).first()[0] or 0
+
+    def meet(df: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
+        """Rows with what is planned for their cell: broadcast when small, else SALTS times, so a cell of very many rows is dealt by their hash."""
+        if plan_bytes <= BROADCAST_BYTES:
+            return df.join(F.broadcast(plan), "_cell", how)
+        salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return df.withColumn("_salt", F.pmod("_hash", F.lit(SALTS)).cast("int")).join(salted, ["_cell", "_salt"], how).drop("_salt")
+
     # at most 4096 rows a cell in the sums
     sums = slim.groupBy("_cell", "_slice").agg(F.sum("_size").alias("_words"))
     run = Window.partitionBy("_cell").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_words").over(run), F.lit(0)))
-    cut = sums.join(small(plan_df), "_cell").where((F.col("_rest") > 0) & (F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest")))
+    cut = sums.join(plan_df, "_cell").where((F.col("_rest") > 0) & (F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest")))
     cut = materialize(cut.groupBy("_cell").agg(F.min(F.struct("_slice", "_before")).alias("_cut")))
-    ranked = slim.join(small(plan_df.join(cut, "_cell")), "_cell").where(F.col("_slice") == F.col("_cut._slice"))
+    ranked = meet(slim, plan_df.join(cut, "_cell")).where(F.col("_slice") == F.col("_cut._slice"))
     ranked = ranked.groupBy("_cell", "_hash", "_rest", "_cut").agg(F.sum("_size").alias("_size"))
     order = Window.partitionBy("_cell").orderBy("_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranked.withColumn("_upto", F.col("_cut._before") + F.sum("_size").over(order)).where(F.col("_upto") <= F.col("_rest"))
@@ -256,12 +254,53 @@ def mix(
         (F.col("_rest") - F.coalesce("_upto", "_cut._before", F.lit(0))).alias("_gap"),
     )
     bounds = materialize(bounds)
-    more = slim.join(small(bounds), "_cell").where((F.col("_hash") > F.col("_last")) & (F.col("_gap") > 0)).groupBy("_cell", "_hash", "_gap").agg(F.sum("_size").alias("_size"))
+    more = meet(slim, bounds).where((F.col("_hash") > F.col("_last")) & (F.col("_gap") > 0)).groupBy("_cell", "_hash", "_gap").agg(F.sum("_size").alias("_size"))
     more = more.where((F.col("_size") > 0) & (F.abs(F.col("_gap") - F.col("_size")) < F.col("_gap")))
     more = more.groupBy("_cell").agg(F.min_by("_hash", F.struct(F.abs(F.col("_gap") - F.col("_size")), "_hash")).alias("_more"))
     chosen = materialize(bounds.join(more, "_cell", "left"))
-    out = keyed.join(small(chosen.select("_cell", "_whole", "_last", "_more")), "_cell", "left")
+    out = meet(keyed, chosen.select("_cell", "_whole", "_last", "_more"), "left")
     extra = (F.col("_hash") <= F.col("_last")) | F.coalesce(F.col("_hash") == F.col("_more"), F.lit(False))
     # a document is never taken more often than max_repeat, the one that fills the gap included
     copies = F.when(F.col("_size") > 0, F.least(F.coalesce(F.col("_whole") + extra.cast("long"), F.lit(0)), F.lit(max_repeat))).otherwise(0)
     return out.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c != "_copies"), copies.cast("long").alias("_copies")), wanted
+
+
+def _plan(by_cell: DataFrame, once: DataFrame, sizes: dict, quotas: dict, mains: list[tuple], own: bool, max_repeat: int, max_patterns: int, spark) -> DataFrame:
+    """``_whole`` repetitions and ``_rest`` words for each cell, batch by batch.  The patterns with the largest cell of a source (``mains``) are in the
+    last batch: they take what whole repetitions of the others leave."""
+    n = max(1, -(-once.count() // max_patterns))
+    schema = "_cell struct<of:array<string>,own:string>, _whole long, _rest long"
+    name = lambda k: None if k == "~" else k[1:]
+    path = f"{shared_dir(spark).rstrip('/')}/mix-{uuid.uuid4().hex}"
+    if n > 1:
+        main = spark.createDataFrame([(list(p), True) for p in mains], "of array<string>, _main boolean")
+
+        def dealt(df: DataFrame) -> DataFrame:
+            batch = F.when(F.col("_main"), n - 1).otherwise(F.pmod(F.xxhash64("of"), F.lit(n)))
+            return materialize(df.join(F.broadcast(main), "of", "left").withColumn("_batch", batch))  # a row for each source at most
+
+        by_cell, once = dealt(by_cell.withColumn("of", F.col("_cell.of"))), dealt(once)
+    room, given = Counter(), Counter()
+    for k in range(n):
+        mine, texts = (df.where(F.col("_batch") == k) if n > 1 else df for df in (by_cell, once))
+        cells = dict(sorted(((tuple(r[0]["of"]), r[0]["own"]), int(r[1])) for r in mine.select("_cell", "words").collect()))
+        supply = dict(sorted((tuple(r[0]), int(r[1] or 0)) for r in texts.select("of", "words").collect()))
+        limits = {(p, name(s)): max_repeat * words for (p, o), words in cells.items() for s in ([o] if own else p)}
+        here = {s for _, s in limits}
+        for (_, s), words in limits.items():
+            room[s] += words
+        open_ = {s: max(0, q * room[s] // max(1, max_repeat * sizes[s]) - given[s]) for s, q in quotas.items() if s in here}
+        flow = min_cost_flow(supply, limits, open_, None if own else {p: max_repeat * w for p, w in supply.items()})
+        routed = {(p, o): flow.get((p, name(o)), 0) if own else sum(flow.get((p, name(s)), 0) for s in p) for p, o in cells}
+        if own:
+            routed = (whole_cells if k < n - 1 else whole_repetitions)(routed, cells, max_repeat)
+            for (_, o), words in routed.items():
+                given[name(o)] += words
+        else:
+            for (_, s), words in flow.items():
+                given[s] += words
+        rows = spark.createDataFrame([((list(p), o), routed[p, o] // max(1, words), routed[p, o] % max(1, words)) for (p, o), words in cells.items()], schema)
+        if n == 1:
+            return rows
+        rows.write.parquet(f"{path}/batch={k}")
+    return spark.read.schema(schema).parquet(path).select("_cell", "_whole", "_rest")

@@ -323,6 +323,77 @@ def test_rare_patterns_keep_targets(spark):
             assert abs(r["n"] - wanted[r["source"]]) <= 10
 
 
+def least_cost(words, limits, flow, quotas):
+    """No unit of a pattern that costs more (a second use) can be given up for one that costs less, along any way of rerouting."""
+    used, fed, takes = Counter(), Counter(), defaultdict(list)
+    for (p, s), n in flow.items():
+        assert 0 <= n <= limits[p, s]
+        used[p] += n
+        fed[s] += n
+        takes[s].append(p)
+    assert all(fed[s] == quotas[s] for s in quotas)
+    to = defaultdict(list)
+    for (p, s), most in limits.items():
+        if flow.get((p, s), 0) < most:
+            to[p].append(s)
+    ahead = [s for p in words if used[p] < words[p] for s in to[p]]
+    seen = set()
+    while ahead:
+        s = ahead.pop()
+        if s not in seen:
+            seen.add(s)
+            for p in takes[s]:
+                if used[p] > words[p]:
+                    return False
+                ahead += to[p]
+    return True
+
+
+def test_flow_of_many_patterns_is_cheapest():
+    """100,000 patterns in one flow: all quotas met at the least cost; and a flow that isn't cheapest is told apart."""
+    rng = np.random.default_rng(4)
+    words, limits, sizes = {}, {}, Counter()
+    for i in range(100_000):
+        of = sorted(set(rng.integers(0, 40, 1 + i % 4).tolist()))
+        words[i] = int(rng.integers(1, 400))
+        for s in of:
+            limits[i, s] = 2 * words[i]
+            sizes[s] += words[i]
+    quotas = {s: int(x) for s, x in mixing.targets(sizes, [5, 2, 1], 0.7, 2).items()}
+    flow = mixing.min_cost_flow(words, limits, quotas)
+    assert least_cost(words, limits, flow, quotas) and len(flow) > 50_000
+    assert not least_cost({0: 5, 1: 5}, {(0, "a"): 10, (1, "a"): 10}, {(0, "a"): 10}, {"a": 10})
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, -1])
+def test_batches_of_patterns(spark, monkeypatch, broadcast):
+    """Patterns dealt to several batches: targets met within half a document as in one flow, rerun alike, few words repeated more than the cheapest flow repeats."""
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", broadcast)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(900):
+        of = sorted({f"s{j}" for j in rng.integers(0, 7, 3)})
+        size = int(rng.integers(1, 60))
+        rows += [(10 * i + k, s, of, size, i) for k, s in enumerate(of)]
+    rows += [(99_990, "s0", None, 5, 9_999), (99_991, None, [None, "s1"], 40, 9_998), (99_992, "s1", ["s1", None], 40, 9_998)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, sources array<string>, size long, key long")
+    again = {}
+    for most in (9, 1000):
+        mixed = [mixing.mix(df, size="size", sources="sources", doc_id="doc_id", weights=[5, 2, 1], share=0.6, source="source", text_key="key", max_patterns=most) for _ in range(2)]
+        first, second = (sorted(map(tuple, m[0].select("doc_id", "source", "size", "key", "_copies").collect()), key=str) for m in mixed)
+        assert first == second and len(first) == len(rows)
+        taken, text = Counter(), defaultdict(lambda: [0, 0])
+        for d, s, n, key, copies in first:
+            assert 0 <= copies <= 2 and not (d == 99_990 and copies)
+            taken[s] += n * copies
+            text[key] = [n, text[key][1] + copies]
+        for s, t in mixed[0][1].items():
+            assert abs(taken[s] - t) <= 31, (most, s)
+        again[most] = sum(n * max(0, c - 1) for n, c in text.values())
+    total = sum(taken.values())
+    assert abs(again[9] - again[1000]) < 0.1 * total
+
+
 def test_languages(spark, tables, docs):
     got = queries.op8_language_id(spark, tables).collect()
     assert len(got) == len(docs) and Counter(r["doc_id"] for r in got) == Counter(d for d, *_ in docs)
