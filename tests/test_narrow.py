@@ -1,5 +1,6 @@
 """Steps that shuffle no more than they need, and their results against plain Python."""
 
+import datetime
 import itertools
 import math
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskflow.functions import exprs as E
-from riskflow.operators import fusion, graph, layers
+from riskflow.operators import features, fusion, graph, layers
 from riskflow.sources import workbook
 
 
@@ -136,3 +137,43 @@ def test_series_are_scored_without_a_second_shuffle(spark):
         raw = (dev / ((np.median(dev, 0) + 1e-6) * 1.4826)).mean(1)
         want |= {r[:3]: v for r, v in zip(mine, (raw - raw.min()) / (raw.max() - raw.min()))}
     assert len(got) == len(rows) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.fixture(scope="module")
+def payments(spark):
+    """Several rows a day, days apart, rows without a party or a day, a repeated id."""
+    rng = np.random.default_rng(9)
+    day = lambda: None if rng.random() < 0.03 else datetime.date(2024, 1, 1) + datetime.timedelta(days=int(rng.integers(120)))
+    name = lambda n: None if rng.random() < 0.05 else f"p{int(rng.integers(n))}"
+    rows = [(f"{k % 290:03}", day(), name(3), name(4), float(rng.integers(0, 5)), float(rng.integers(0, 5)), int(rng.integers(2))) for k in range(300)]
+    df = spark.createDataFrame(rows, "txn_id string, date date, debit_inn string, credit_inn string, debit_amount double, credit_amount double, is_round_amount int")
+    return df.withColumn("amount", F.col("debit_amount") + F.col("credit_amount"))
+
+
+def test_a_partys_windows_share_one_shuffle_for_each_role(payments):
+    out = features.by_party(payments, (7, 30), volatile=True, fan=True)
+    assert plan(out).count("Exchange") == 2
+
+
+@pytest.mark.parametrize("hot", [20, 5_000_000])
+def test_windows_over_rows_are_those_of_days(payments, hot):
+    got = features.by_party(payments, (7, 30, 90), volatile=True, fan=True, hot_rows=hot).collect()
+    assert len(got) == 300
+    rows = [r.asDict() for r in got]
+    for role, party, other in (("debit", "debit_inn", "credit_inn"), ("credit", "credit_inn", "debit_inn")):
+        for r in rows:
+            mine = [x for x in rows if r[party] is not None and x[party] == r[party]]
+            today = [x for x in mine if x["date"] == r["date"]]
+            if r["date"] is None or r[party] is None:
+                assert r[f"{role}_roll_sum_7d"] is None and r[f"{role}_roll_p95_90d"] is None and r[features.FANS[role][2]] is None
+                continue
+            first = min(x["date"] for x in mine if x["date"])
+            for w in (7, 90):
+                n = min(w, (r["date"] - first).days + 1)
+                days = [sum(x[f"{role}_amount"] for x in mine if x["date"] == r["date"] - datetime.timedelta(days=k)) for k in range(n)]
+                want = (sum(days), sum(v > 0 for v in days), np.mean(days), np.std(days, ddof=1) if n > 1 else 0.0, np.percentile(days, 95))
+                assert tuple(r[f"{role}_roll_{a}_{w}d"] for a in ("sum", "cnt", "mean", "std", "p95")) == pytest.approx(want, abs=1e-6)
+            month = [x for x in mine if x["date"] and 0 <= (r["date"] - x["date"]).days < 30]
+            assert r[f"{role}_client_round_ratio_30d"] == pytest.approx(np.mean([x["is_round_amount"] for x in month]))
+            assert r[features.FANS[role][2]] == pytest.approx(len({x[other] for x in today} - {None}) / len(today))
+            assert r[f"daily_total_{role}"] == pytest.approx(sum(x["amount"] for x in today))
