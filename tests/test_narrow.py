@@ -177,3 +177,12 @@ def test_windows_over_rows_are_those_of_days(payments, hot):
             assert r[f"{role}_client_round_ratio_30d"] == pytest.approx(np.mean([x["is_round_amount"] for x in month]))
             assert r[features.FANS[role][2]] == pytest.approx(len({x[other] for x in today} - {None}) / len(today))
             assert r[f"daily_total_{role}"] == pytest.approx(sum(x["amount"] for x in today))
+
+
+def test_both_sides_come_from_one_pass(payments):
+    wide = features.by_party(payments.withColumn("purpose", F.lit("x")), (7,))
+    long = features.roles(wide)
+    assert plan(long).count("Exchange") == 2 and "Union" not in plan(long)
+    got = {(r["side"], r["inn"], r["date"], r["txn_id"], r["amount"], r["daily_total"], r["roll_sum_7d"]) for r in long.collect()}
+    want = {(k, r[f"{k}_inn"], r["date"], r["txn_id"], r[f"{k}_amount"], r[f"daily_total_{k}"], r[f"{k}_roll_sum_7d"]) for r in wide.collect() for k in features.ROLES if r[f"{k}_inn"] is not None}
+    assert got == want
