@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskflow.functions import exprs as E
-from riskflow.operators import features, fusion, graph, layers
+from riskflow.operators import features, fusion, graph, kb, layers
 from riskflow.sources import workbook
 
 
@@ -186,3 +186,15 @@ def test_both_sides_come_from_one_pass(payments):
     got = {(r["side"], r["inn"], r["date"], r["txn_id"], r["amount"], r["daily_total"], r["roll_sum_7d"]) for r in long.collect()}
     want = {(k, r[f"{k}_inn"], r["date"], r["txn_id"], r[f"{k}_amount"], r[f"daily_total_{k}"], r[f"{k}_roll_sum_7d"]) for r in wide.collect() for k in features.ROLES if r[f"{k}_inn"] is not None}
     assert got == want
+
+
+def test_profiles_hold_no_percentiles_for_each_partner(spark):
+    rows = [("1", "2024-01-01", "a", "x", 0.2), ("2", "2024-03-01", "a", "x", 0.9), ("3", "2024-03-05", "a", None, 0.4), ("4", None, "b", "y", 0.5), ("5", "2024-02-01", None, "y", 0.7), ("6", "2024-02-01", "c", None, 0.1)]
+    txns = kb.project(spark.createDataFrame(rows, "txn_id string, date string, debit_inn string, credit_inn string, overall_risk double").withColumns({"in_out_ratio_30d": F.col("overall_risk"), "purpose_clean": F.lit("x")}))
+    out = kb.profiles(txns)
+    assert "count(distinct" not in plan(out).lower()
+    got = {(r["role"], r["inn"]): (r["tx_count"], r["uniq_counterparties"], r["first_tx_date"], r["last_tx_date"], round(r["transit_ratio"], 4), r["suspicious_cp_cnt"]) for r in out.collect()}
+    assert got == {
+        ("debit", "a"): (3, 1, "2024-01-01", "2024-03-05", 0.3333, 1), ("debit", "b"): (1, 1, None, None, 0.0, 0), ("debit", "c"): (1, 0, "2024-02-01", "2024-02-01", 0.0, 0),
+        ("credit", "x"): (2, 1, "2024-01-01", "2024-03-01", 0.5, 1), ("credit", "y"): (2, 1, "2024-02-01", "2024-02-01", 0.0, 0),
+    }
