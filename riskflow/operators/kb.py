@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskflow.config import LOAN_STEMS, Fusion, KnowledgeBase
@@ -202,11 +202,15 @@ class Store:
         """New folders for the parts with rows of ``fresh`` or keys in ``gone``: the old rows but for those with these keys, and the fresh ones."""
         keys = fresh.select(*KEYS[name]) if gone is None else fresh.select(*KEYS[name]).unionByName(gone.select(*KEYS[name]))
         touched = self._touched(keys, name)
-        both, again = fresh, [old[b] for b in touched if b in old]
+        again = [old[b] for b in touched if b in old]
+        both = fresh.withColumn("_state", F.lit(2))
         if again:
-            both = self._open(again).join(keys, KEYS[name], "left_anti").unionByName(fresh)
-        dealt = both.withColumn("bucket", self._bucket(KEYS[name][0])).repartition("bucket", F.pmod(F.shiftright(F.xxhash64(*KEYS[name]), 32), F.lit(4)))
-        dealt.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+            both = self._open(again).withColumn("_state", F.lit(0)).unionByName(both)
+            both = both if gone is None else both.unionByName(gone.select(*KEYS[name], F.lit(1).alias("_state")), allowMissingColumns=True)
+        dealt = both.withColumns({"bucket": self._bucket(KEYS[name][0]), "_slot": F.pmod(F.shiftright(F.xxhash64(*KEYS[name]), 32), F.lit(4))}).repartition("bucket", "_slot")
+        if again:  # the rows of a key are together where they are dealt to: fresh ones win, those that are gone win over old ones
+            dealt = dealt.withColumn("_top", F.max("_state").over(Window.partitionBy("bucket", "_slot", *KEYS[name]))).where("_state = _top and _state <> 1").drop("_top")
+        dealt.drop("_slot", "_state").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         made = {int(p.getPath().getName()[7:]): p.getPath().getName() for p in self._fs.listStatus(self._at(folder)) if p.getPath().getName().startswith("bucket=")}
         out = {b: p for b, p in old.items() if b not in touched} | {b: (f"{folder}/{n}", None, None) for b, n in made.items()}
         if name == "txns" and made:

@@ -198,3 +198,20 @@ def test_profiles_hold_no_percentiles_for_each_partner(spark):
         ("debit", "a"): (3, 1, "2024-01-01", "2024-03-05", 0.3333, 1), ("debit", "b"): (1, 1, None, None, 0.0, 0), ("debit", "c"): (1, 0, "2024-02-01", "2024-02-01", 0.0, 0),
         ("credit", "x"): (2, 1, "2024-01-01", "2024-03-01", 0.5, 1), ("credit", "y"): (2, 1, "2024-02-01", "2024-02-01", 0.0, 0),
     }
+
+
+def test_a_store_deals_its_rows_once_and_withdraws_sides(spark, tmp_path, monkeypatch):
+    dealt = []
+    plain = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda df, *a: dealt.append(plan(plain(df, *a))) or plain(df, *a))
+    row = lambda *rows: kb.project(spark.createDataFrame(rows, "txn_id string, debit_inn string, credit_inn string, amount double"))
+    store = kb.Store(spark, str(tmp_path / "kb"), buckets=2)
+    store.write(row(("1", "a", "x", 1.0), ("2", "a", "y", 2.0), ("3", "b", "x", 3.0), ("4", "b", None, 4.0)))
+    store.write(row(("2", "c", "y", 5.0), ("3", "b", "x", 6.0), ("4", None, "x", 7.0), ("5", "a", "z", 8.0)))
+    txns, stats = store.read()
+    assert sorted((r["txn_id"], r["debit_inn"], r["amount"]) for r in txns.collect()) == [("1", "a", 1.0), ("2", "c", 5.0), ("3", "b", 6.0), ("4", None, 7.0), ("5", "a", 8.0)]
+    got = {(r["role"], r["inn"]): (r["tx_count"], r["amount_mean"]) for r in stats.collect()}
+    assert got == {("debit", "a"): (2, 4.5), ("debit", "b"): (1, 6.0), ("debit", "c"): (1, 5.0), ("credit", "x"): (3, pytest.approx(14 / 3)), ("credit", "y"): (1, 5.0), ("credit", "z"): (1, 8.0)}
+    store.write(row(("3", "c", "x", 6.0)))  # b has nothing left
+    assert "b" not in {r["inn"] for r in store.read()[1].collect()}
+    assert len(dealt) == 9 and not any("Join" in p for p in dealt[0::3] + dealt[1::3])  # transactions and sides of each write
