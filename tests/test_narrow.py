@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskflow.functions import exprs as E
-from riskflow.operators import features, fusion, graph, kb, layers
+from riskflow.operators import features, fusion, graph, kb, layers, review
 from riskflow.sources import workbook
 
 
@@ -215,3 +215,24 @@ def test_a_store_deals_its_rows_once_and_withdraws_sides(spark, tmp_path, monkey
     store.write(row(("3", "c", "x", 6.0)))  # b has nothing left
     assert "b" not in {r["inn"] for r in store.read()[1].collect()}
     assert len(dealt) == 9 and not any("Join" in p for p in dealt[0::3] + dealt[1::3])  # transactions and sides of each write
+
+
+def test_blend_reads_its_input_once_and_may_be_of_some_rows(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = [(f"{i:02x}", f"p{i % 3}", f"q{i % 2}", i / 50, (50 - i) / 50, i / 49 if i % 4 else None, 0.3, i / 60, "tax" if i % 5 == 0 else "loan", i % 10 == 0) for i in range(50)]
+    schema = "txn_id string, debit_inn string, credit_inn string, hbos_score double, copod_score double, iforest_score_debit double, semantic_risk_score double, graph_node_score double, purpose string, purpose_stopword_high boolean"
+    df = spark.createDataFrame(rows, schema)
+    every = {r["txn_id"]: r for r in fusion.fuse(df.mapInPandas(counted, schema)).collect()}
+    assert seen.value == len(every) == 50
+    some = fusion.fuse(df, of=lambda base: base.orderBy("txn_id").limit(7)).collect()  # scalars and counts are still those of all rows
+    assert len(some) == 7 and all(r.asDict() == every[r["txn_id"]].asDict() for r in some)
+    twice = fusion.fuse(df.unionByName(df.withColumn("hbos_score", F.lit(0.0)))).collect()
+    assert {r["txn_id"]: r["overall_risk"] for r in twice} == {k: r["overall_risk"] for k, r in every.items()}
+    blended = fusion.fuse(df.withColumn("is_tax", review.is_tax(("tax",))))
+    assert sorted(map(tuple, review.rule_levels(blended.drop("purpose", "purpose_stopword_high")).select("txn_id", "rule_level").collect())) == sorted(map(tuple, review.rule_levels(blended.drop("is_tax"), ("tax",)).select("txn_id", "rule_level").collect()))
