@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from llm import collocations, divergence, html_extraction, queries
+from llm import collocations, divergence, html_extraction, queries, toxicity
 from llm.html_extraction import main_text
 
 DATA = "/root/testdata/sf0.001"
@@ -162,3 +163,15 @@ def test_broken_pages_take_time_by_length(part):
 
     took(1000)
     assert took(40_000) < 20 * max(took(10_000), 0.05) and math.isfinite(took(10))
+
+
+def test_toxicity_learns_from_every_label(spark):
+    """More labels than were once sampled, those that say toxic only among the last of the former order; several tasks learn."""
+    order = F.row_number().over(Window.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id"))
+    docs = spark.range(9000).withColumnRenamed("id", "doc_id").withColumn("bad", order > 8000)
+    docs = docs.withColumn("text", F.concat_ws(" ", F.concat(F.lit("word"), F.col("doc_id") % 50), F.when(F.col("bad"), "vile").otherwise("calm"), F.concat(F.lit("end"), F.col("doc_id") % 7))).cache()
+    labels = docs.select("doc_id", F.col("bad").cast("int").alias("toxic"))
+    nets = [toxicity.train(docs.select("doc_id", "text"), labels, task_bytes=60_000) for _ in range(2)]
+    assert (nets[0].embedding == nets[1].embedding).all() and nets[0].threshold == nets[1].threshold
+    got = toxicity.score(docs.select("doc_id", "bad", "text"), nets[0])
+    assert got.where("bad != (predicted = 1)").count() == 0
