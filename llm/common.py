@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.words import SPACE, Piece, pieces
+from llm.words import PIECE_BYTES, SPACE, Piece, column_bytes, piece_end, pieces
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,13 +33,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: int) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint where columns repeat."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, int]) -> Iterator[None]:
+    """Spark's settings while the jobs in the ``with`` block run; the former ones come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def best(df: DataFrame, keys: list[str], order: list, item: str, top: int, slices: int = 64) -> DataFrame:
     """The first ``top`` rows of each group, with ``rank`` from 1.  Slices of a group, dealt by ``item``, are ranked first, so the task of a group gets
     ``slices * top`` rows at most."""
@@ -66,6 +80,21 @@ def map_pieces(
     return df.mapInArrow(run, schema)
 
 
+def whole_pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in batches that ``pieces`` takes as one piece each, whatever batches they came in."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        held = pa.concat_batches([held, batch]) if held is not None else batch
+        _, at = column_bytes(held.column(text))
+        row = 0
+        while (end := piece_end(at, row, size)) < held.num_rows:
+            yield held.slice(row, end - row)
+            row = end
+        held = held.slice(row)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of a per-byte or per-word array for each text, empty texts included."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))

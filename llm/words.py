@@ -131,12 +131,17 @@ def give_back() -> None:
         _TRIM(0)
 
 
+def piece_end(at: np.ndarray, row: int, size: int) -> int:
+    """Where the piece that begins with ``row`` ends: as many rows as fit ``size`` bytes, but one at least."""
+    return max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
+
+
 def pieces(column: pa.Array, separators: np.ndarray = SPACE, size: int = PIECE_BYTES) -> Iterator[Piece]:
     """Cut the column into pieces of about ``size`` bytes and find the words in each."""
     data, at = column_bytes(column)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
+        end = piece_end(at, row, size)
         raw, bounds = data[at[row] : at[end]], at[row : end + 1] - at[row]
         apart = separators[raw]
         edge = np.zeros(len(raw) + 1, bool)

@@ -7,11 +7,12 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from llm import collocations, divergence, html_extraction, queries, toxicity
+from llm import collocations, common, divergence, html_extraction, queries, toxicity, words
 from llm.html_extraction import main_text
 
 DATA = "/root/testdata/sf0.001"
@@ -175,3 +176,43 @@ def test_toxicity_learns_from_every_label(spark):
     assert (nets[0].embedding == nets[1].embedding).all() and nets[0].threshold == nets[1].threshold
     got = toxicity.score(docs.select("doc_id", "bad", "text"), nets[0])
     assert got.where("bad != (predicted = 1)").count() == 0
+
+
+def test_toxicity_reads_blocks_in_small_batches(spark, monkeypatch):
+    """However much text a task trains on, its batches stay small; and how files are split doesn't change who trains on what."""
+    docs = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("bad", F.col("doc_id") % 3 == 0)
+    word = F.concat(F.lit(" word"), F.col("doc_id") % 50, F.when(F.col("bad"), " vile").otherwise(" calm"))
+    docs = docs.withColumn("text", F.repeat(word, 300 + (F.col("doc_id") % 100).cast("int"))).cache()
+    labels, seen, added = docs.select("doc_id", F.col("bad").cast("int").alias("toxic")), [], toxicity.added
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+    def spy(df, *rest):
+        seen.extend(r["size"] for r in df.mapInArrow(sizes, "size long").collect())
+        return added(df, *rest)
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    nets = [toxicity.train(docs.select("doc_id", "text"), labels)]
+    monkeypatch.setattr(toxicity, "added", spy)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        nets.append(toxicity.train(docs.select("doc_id", "text"), labels))
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "512k"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(seen) > 4 and max(seen) < 6 << 20  # all of it is 8 MB
+    assert (nets[0].embedding == nets[1].embedding).all()
+
+
+def test_pieces_whatever_the_batches():
+    rng = np.random.default_rng(1)
+    texts = [None if n % 11 == 0 else "ab " * int(n) for n in rng.integers(0, 90, 400)] + ["x" * 900, "", None]
+    whole = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["t", "i"])
+    want = [whole.column("i").slice(p.first, p.n).to_pylist() for p in words.pieces(whole.column("t"), size=500)]
+    for step in (1, 7, 150, 1000):
+        parts = [whole.slice(a, step) for a in range(0, len(texts), step)]
+        assert [b.column("i").to_pylist() for b in common.whole_pieces(iter(parts), "t", 500)] == want
+    assert list(common.whole_pieces(iter([]), "t")) == []
