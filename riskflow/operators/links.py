@@ -27,6 +27,8 @@ from riskflow.operators import graph
 
 MEASURES = ("log_amount", "is_round_10k", "purpose_len", "purpose_digits_ratio")
 PAIR_KEY = ["u", "v"]
+#: what features of parties and pairs come from
+LOOKED_AT = (*PAIR_KEY, "part", "date", "amount", *MEASURES, "is_round_100k")
 
 
 def transfers(df: DataFrame) -> DataFrame:
@@ -60,7 +62,8 @@ class Protocol:
 def protocol(df: DataFrame, cuts: tuple[float, float] = (0.7, 0.85), seed: int = 42) -> Protocol:
     """Links of each part after the first cut, and for each a draw (a link's number in its part is what is drawn with) that is dropped if it ever
     is a link, or drawn twice."""
-    rows = E.cut(graph.temporal_split(transfers(df), cuts).withColumnsRenamed({"debit_inn": "u", "credit_inn": "v"}))
+    rows = graph.temporal_split(transfers(df), cuts).withColumnsRenamed({"debit_inn": "u", "credit_inn": "v"})
+    rows = E.cut(rows.select(*(c for c in rows.columns if c in LOOKED_AT)))
     pairs = rows.select("u", "v").distinct()
     positive = E.cut(rows.where("part <> 'train'").select("part", "u", "v").distinct())
     nodes = E.cut(graph.node_ids(rows.select(F.col("u").alias("debit_inn"), F.col("v").alias("credit_inn"))))
@@ -84,6 +87,7 @@ def link_features(asked: DataFrame, before: DataFrame) -> DataFrame:
     return both.join(got, ["_u", "_v"], "left").drop("_u", "_v").na.fill(0.0, ["jaccard"])
 
 
+@E.tidy
 def temporal_links(df: DataFrame, cuts: tuple[float, float] = (0.7, 0.85), seed: int = 42) -> DataFrame:
     """``part`` (valid, test), ``u``, ``v``, ``label`` and the link features of all pairs of the protocol."""
     p = protocol(df, cuts, seed)
@@ -252,10 +256,15 @@ def train(a: np.ndarray, b: np.ndarray, e: np.ndarray, label: np.ndarray, how: T
 def _vectors(asked: DataFrame, before: DataFrame, scale: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``asked`` with ``e``, the logs of its link features and the history of the pair and its reverse before the cut; standardised by ``scale`` (by default that of
     ``asked``), which is returned, too."""
-    named = E.cut(graph.pair_history(before.withColumnsRenamed({"u": "debit_inn", "v": "credit_inn"})).withColumnsRenamed({"debit_inn": "u", "credit_inn": "v"}))
     names = [*graph.LINK_FEATURES, *graph.HISTORY]
-    out = link_features(asked, before).withColumns({n: F.log1p(n) for n in ("common", "adamic_adar", "resource_allocation")})
-    out = E.cut(out.join(named, PAIR_KEY, "left").na.fill(0.0, list(graph.HISTORY)))
+
+    @E.tidy
+    def described() -> DataFrame:
+        named = graph.pair_history(before.withColumnsRenamed({"u": "debit_inn", "v": "credit_inn"})).withColumnsRenamed({"debit_inn": "u", "credit_inn": "v"})
+        out = link_features(asked, before).withColumns({n: F.log1p(n) for n in ("common", "adamic_adar", "resource_allocation")})
+        return out.join(named, PAIR_KEY, "left").na.fill(0.0, list(graph.HISTORY))
+
+    out = described()
     scale = scale or E.cut(out.agg(*(F.avg(n).alias(f"m_{n}") for n in names), *(F.stddev_pop(n).alias(f"s_{n}") for n in names)))
     z = [F.coalesce((F.col(n) - F.col(f"m_{n}")) / F.nullif(f"s_{n}", F.lit(0.0)), F.lit(0.0)) for n in names]
     return out.crossJoin(F.broadcast(scale)).select(*asked.columns, F.array(*z).alias("e")), scale  # one row
