@@ -207,10 +207,14 @@ class Store:
         if again:
             both = self._open(again).withColumn("_state", F.lit(0)).unionByName(both)
             both = both if gone is None else both.unionByName(gone.select(*KEYS[name], F.lit(1).alias("_state")), allowMissingColumns=True)
-        dealt = both.withColumns({"bucket": self._bucket(KEYS[name][0]), "_slot": F.pmod(F.shiftright(F.xxhash64(*KEYS[name]), 32), F.lit(4))}).repartition("bucket", "_slot")
+        dealt = both.withColumns({"bucket": self._bucket(KEYS[name][0]), "_slot": F.pmod(F.shiftright(F.xxhash64(*KEYS[name]), 32), F.lit(4))})
+        ids = [c for c in ("txn_id",) if c in KEYS[name]]
+        dealt = dealt.withColumns({c: E.packed_id(F.col(c)) for c in ids}).repartition("bucket", "_slot")
         if again:  # the rows of a key are together where they are dealt to: fresh ones win, those that are gone win over old ones
             dealt = dealt.withColumn("_top", F.max("_state").over(Window.partitionBy("bucket", "_slot", *KEYS[name]))).where("_state = _top and _state <> 1").drop("_top")
-        dealt.drop("_slot", "_state").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        dealt = dealt.withColumns({c: E.unpacked_id(F.col(c)) for c in ids}).drop("_slot", "_state")
+        with E.freeing(self.spark):
+            dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{folder}")
         made = {int(p.getPath().getName()[7:]): p.getPath().getName() for p in self._fs.listStatus(self._at(folder)) if p.getPath().getName().startswith("bucket=")}
         out = {b: p for b, p in old.items() if b not in touched} | {b: (f"{folder}/{n}", None, None) for b, n in made.items()}
         if name == "txns" and made:
@@ -223,6 +227,10 @@ class Store:
 
     def write(self, txns: DataFrame, profile: Callable[[DataFrame, DataFrame], DataFrame] = side_profiles) -> None:
         """Upsert projected transactions; ``profile`` (sides of the touched parties, mean risk of all rows) gives their profiles."""
+        with E.scratch():
+            self._write(txns, profile)
+
+    def _write(self, txns: DataFrame, profile: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         if "_seq" in txns.columns:
             txns = keep_last(txns, "txn_id", "_seq").drop("_seq")
         txns = E.cut(txns)
